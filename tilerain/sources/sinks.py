@@ -18,13 +18,14 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def split_manifest(events: DataFrame, event: str = "eid") -> DataFrame:
-    """Sorted ids and count per split; ids are event names, one row per event."""
-    return events.groupBy("split").agg(F.sort_array(F.collect_list(event)).alias("ids"), F.count(F.lit(1)).alias("n"))
+    """Ids with the size of their split; one row per event, so no list of ids has to fit in one row."""
+    sizes = events.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return events.join(F.broadcast(sizes), "split").select("split", event, "n")
 
 
 def write_manifest(events: DataFrame, path: str, event: str = "eid") -> None:
-    """The manifest as sorted rows, one folder per split, so no list of ids has to fit in one row."""
-    (events.select("split", event).repartition("split").sortWithinPartitions("split", event)
+    """The manifest as JSON lines in id order, one folder per split."""
+    (split_manifest(events, event).repartitionByRange("split", event).sortWithinPartitions("split", event)
      .write.mode("overwrite").partitionBy("split").json(path))
 
 
