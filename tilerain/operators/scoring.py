@@ -46,11 +46,11 @@ def scored_windows(cut_windows: DataFrame, channels: Sequence[str], size: int, f
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         scorer = factory()
-        for parts in batches:
+        for corner, *parts in batches:
             stacked = np.stack([np.stack(p.to_numpy()).reshape(-1, size, size) for p in parts], axis=1)
-            out = np.asarray(scorer(stacked), dtype=float).reshape(len(parts[0]), size * size)
+            out = np.asarray(scorer(stacked), dtype=float).reshape(len(corner), size * size)
             yield pd.Series(list(out))
-    return cut_windows.withColumn("scores", run(*[F.col(c) for c in channels]))
+    return cut_windows.withColumn("scores", run(F.col("x0"), *[F.col(c) for c in channels]))
 
 
 def blended(scored: DataFrame, size: int, weighting: str = "uniform", scores: str = "scores") -> DataFrame:
