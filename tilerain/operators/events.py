@@ -97,9 +97,8 @@ def sampled_intervals(starts: DataFrame, scenes: DataFrame, length: int, acquisi
              .withColumn("turn", F.row_number().over(cell.orderBy("_key", "t"))).drop("_key")
              .where(F.col("turn") <= target + max_tries - 1))
     first = index_to_date(F.col("t"), start)
-    day = F.col("dt").cast("date")
-    inside = (by_orbit(scenes).join(tries, ["y", "x"])
-              .where((day >= first) & (day <= F.date_add(first, length))))
+    daily = tries.withColumn("_day", F.explode(F.sequence(first, F.date_add(first, length))))
+    inside = by_orbit(scenes).withColumn("_day", F.col("dt").cast("date")).join(daily, ["y", "x", "_day"]).drop("_day")
     usable = (best_per_orbit_date(inside, ["y", "x", "t", "turn"], max_missing)
               .groupBy("y", "x", "t", "turn", "orbit").agg(F.count(F.lit(1)).alias("days"))
               .where(F.col("days") >= acquisitions))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilerain.functions.bands import d, predicted
-from tilerain.operators.ranking import running_totals
+from tilerain.operators.ranking import Fold, running_folds, value_levels
 from tilerain.schema import CLASS_SYSTEMS, class_group
 
 CELLS = ["tn", "fp", "fn", "tp"]
@@ -86,14 +86,16 @@ def confusion_levels(scores: DataFrame, system: str, threshold: float = 0.5) ->
 def auprc(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Exact area under the precision-recall curve over distinct scores, NULL without positives.
 
+    Rows with a NULL key (a class outside all groups) are left out.
+
     Pixels collapse to one row per distinct score before any ordering; the running totals use nested score buckets.
     """
     curve = scores.groupBy(*keys, "prob").agg(F.sum(F.col("target").cast("bigint")).alias("pos"),
                                               F.count(F.lit(1)).alias("n"))
     falling = -F.col("prob")
-    levels = [("_b1", F.floor(falling * 1024)), ("_b2", F.floor(falling * 1048576))]
-    run = running_totals(curve, keys, levels, [falling], {"pos": F.col("pos"), "n": F.col("n")})
-    precision = (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
+    run = running_folds(curve, keys, value_levels(falling), falling, {
+        "pos_upto": Fold("sum", F.col("pos"), inclusive=True), "n_upto": Fold("sum", F.col("n"), inclusive=True)})
+    precision = F.col("pos_upto") / F.col("n_upto")
     weighted = F.sum(F.col("pos") * precision) / F.nullif(F.sum("pos"), F.lit(0))
     return run.groupBy(*keys).agg(weighted.alias("auprc"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tilerain.functions.bands import d
 from tilerain.functions.keys import KEY_SPACE, random_key
-from tilerain.operators.ranking import ranked, ranked_by_key
+from tilerain.operators.ranking import integer_levels, ranked, ranked_by_key
 
 
 def axis_positions(length: Column, size: int, stride: int) -> Column:
@@ -176,7 +176,7 @@ def random_batch(patches: DataFrame, patch: str, n: int, seed: int, kind: str =
     return patches.orderBy(random_key([F.col(patch)], seed, kind), patch).limit(n)
 
 
-def shards(patches: DataFrame, order: str, count: int, total: int, drop_last: bool, levels=None) -> DataFrame:
+def shards(patches: DataFrame, order: str, count: int, total: int, drop_last: bool) -> DataFrame:
     """Adds `shard` and `shard_pos`: contiguous ranges of the patch order (`order` is a unique bigint).
 
     `total // count` each; the remainder is dropped or spread one by one over the first shards.
@@ -186,10 +186,8 @@ def shards(patches: DataFrame, order: str, count: int, total: int, drop_last: bo
     if count > total:
         raise ValueError(f"num_shards ({count}) cannot exceed total patches ({total})")
     base, extra = divmod(total, count)
-    if levels is None:
-        levels = [("_s1", F.shiftright(F.col(order), 26)), ("_s2", F.shiftright(F.col(order), 13))]
     at = F.col("rank") - 1
-    numbered = ranked(patches, [], levels, [F.col(order)])
+    numbered = ranked(patches, [], integer_levels(F.col(order)), F.col(order))
     if drop_last:
         placed = numbered.where(at < base * count).withColumn("shard", F.floor(at / base).cast("int"))
         start = F.col("shard") * base

@@ -1,11 +1,13 @@
-"""Global running totals and ranks without a single-task window.
+"""Global running sums, running extremes, ranks and medians without a single-task window.
 
-A window without partition columns sorts the whole table in one task. Here the order column is cut into nested buckets;
-totals of the buckets are small, so the running total of the buckets before a row plus the running total inside its own
-bucket is exact, and no task sees more than one bucket of rows or one parent's worth of buckets.
+A window without partition columns sorts the whole table in one task, and one with a hot key sorts that key in one task.
+Here the order column is cut into nested buckets. Each level's buckets are folded to one row, so the fold of everything
+before a row is the fold of the earlier buckets plus the fold inside its own finest bucket. No task sees more rows than
+one finest bucket or one parent's children, whatever share of the table a key or a bucket holds.
 """
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,61 +17,91 @@ from tilerain.functions.keys import key_levels
 Level = tuple[str, Column]
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], levels: Sequence[Level], order: Sequence[Column],
-                   measures: dict[str, Column]) -> DataFrame:
-    """Adds `<m>_before` (exclusive running total) and `<m>_total` per measure.
+class Fold(NamedTuple):
+    """`op` (sum, max, min) of `value` over the rows before (or after) each row in the order."""
 
-    `levels` are bucket columns from coarse to fine, each a non-decreasing function of `order`.
+    op: str
+    value: Column
+    after: bool = False
+    inclusive: bool = False
+
+
+_OPS = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def _merge(op: str, *parts: Column) -> Column:
+    if op == "sum":
+        return sum(F.coalesce(p, F.lit(0)) for p in parts)
+    return F.greatest(*parts) if op == "max" else F.least(*parts)
+
+
+def running_folds(df: DataFrame, keys: Sequence[str], levels: Sequence[Level], order: Column,
+                  folds: dict[str, Fold], totals: Sequence[str] = ()) -> DataFrame:
+    """Adds one column per fold, and `<name>_total` over the whole key for the folds listed in `totals`.
+
+    `levels` are bucket columns from coarse to fine, each a non-decreasing function of `order`. Rows with a NULL key
+    drop out.
     """
     names = [name for name, _ in levels]
-    work = df.select("*", *[c.alias(n) for n, c in levels], *[c.alias(f"_m_{m}") for m, c in measures.items()])
-    sums = [F.sum(f"_m_{m}").alias(f"_m_{m}") for m in measures]
+    work = df.select("*", order.alias("_order"), *[c.alias(n) for n, c in levels],
+                     *[f.value.alias(f"_m_{m}") for m, f in folds.items()])
+    reduce = [_OPS[f.op](f"_m_{m}").alias(f"_m_{m}") for m, f in folds.items()]
 
-    per_level: dict[int, DataFrame] = {len(names): work.groupBy(*keys, *names).agg(*sums)}
+    per_level: dict[int, DataFrame] = {len(names): work.groupBy(*keys, *names).agg(*reduce)}
     for depth in range(len(names) - 1, 0, -1):
-        per_level[depth] = per_level[depth + 1].groupBy(*keys, *names[:depth]).agg(*sums)
+        per_level[depth] = per_level[depth + 1].groupBy(*keys, *names[:depth]).agg(*reduce)
+
+    def sided(parent: Sequence[str], by: str, after: bool, inclusive: bool):
+        line = Window.partitionBy(*parent).orderBy(F.col(by).desc() if after else F.col(by).asc())
+        return line.rangeBetween(Window.unboundedPreceding, Window.currentRow) if inclusive else (
+            line.rowsBetween(Window.unboundedPreceding, -1))
 
+    kept = [f"{m}_total" for m in totals]
     offsets = None
     for depth in range(1, len(names) + 1):
-        parent = [*keys, *names[:depth - 1]]
-        whole = Window.partitionBy(*parent)
-        before = whole.orderBy(names[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
-        columns = [F.coalesce(F.sum(f"_m_{m}").over(before), F.lit(0)).alias(f"_b_{m}") for m in measures]
+        parent, here = [*keys, *names[:depth - 1]], names[depth - 1]
+        edge = [_OPS[f.op](f"_m_{m}").over(sided(parent, here, f.after, False)).alias(f"_e_{m}") for m, f in folds.items()]
         if offsets is None:
-            columns += [F.sum(f"_m_{m}").over(whole).alias(f"{m}_total") for m in measures]
-            offsets = per_level[depth].select(*keys, *names[:depth], *columns)
+            whole = [_OPS[folds[m].op](f"_m_{m}").over(Window.partitionBy(*parent)).alias(f"{m}_total") for m in totals]
+            offsets = per_level[depth].select(*keys, *names[:depth], *edge, *whole)
         else:
-            finer = per_level[depth].select(*keys, *names[:depth], *columns)
-            coarser = offsets.select(*parent, *[F.col(f"_b_{m}").alias(f"_p_{m}") for m in measures],
-                                     *[f"{m}_total" for m in measures])
-            offsets = finer.join(coarser, parent).select(
-                *keys, *names[:depth], *[(F.col(f"_b_{m}") + F.col(f"_p_{m}")).alias(f"_b_{m}") for m in measures],
-                *[f"{m}_total" for m in measures])
+            outer = offsets.select(*parent, *kept, *[F.col(f"_e_{m}").alias(f"_o_{m}") for m in folds])
+            joined = per_level[depth].select(*keys, *names[:depth], *edge).join(outer, parent)
+            offsets = joined.select(*keys, *names[:depth], *kept, *[
+                _merge(f.op, F.col(f"_e_{m}"), F.col(f"_o_{m}")).alias(f"_e_{m}") for m, f in folds.items()])
 
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = work.select("*", *[F.coalesce(F.sum(f"_m_{m}").over(inside), F.lit(0)).alias(f"_l_{m}") for m in measures])
-    return local.join(offsets, [*keys, *names]).select(
-        *df.columns, *[(F.col(f"_l_{m}") + F.col(f"_b_{m}")).alias(f"{m}_before") for m in measures],
-        *[f"{m}_total" for m in measures])
+    bucket = [*keys, *names]
+    local = work.select(*df.columns, *names, *[
+        _OPS[f.op](f"_m_{m}").over(sided(bucket, "_order", f.after, f.inclusive)).alias(f"_l_{m}") for m, f in folds.items()])
+    return local.join(offsets, bucket).select(*df.columns, *kept, *[
+        _merge(f.op, F.col(f"_l_{m}"), F.col(f"_e_{m}")).alias(m) for m, f in folds.items()])
 
 
-def ranked(df: DataFrame, keys: Sequence[str], levels: Sequence[Level], order: Sequence[Column]) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], levels: Sequence[Level], order: Column) -> DataFrame:
     """Adds 1-based `rank` and the group's `rank_total`; `order` must be unique within `keys`."""
-    totals = running_totals(df, keys, levels, order, {"_n": F.lit(1).cast("bigint")})
-    return (totals.withColumn("rank", F.col("_n_before") + 1).withColumn("rank_total", F.col("_n_total"))
-            .drop("_n_before", "_n_total"))
+    one = Fold("sum", F.lit(1).cast("bigint"))
+    return (running_folds(df, keys, levels, order, {"_before": one}, ["_before"])
+            .withColumn("rank", F.col("_before") + 1).withColumnRenamed("_before_total", "rank_total").drop("_before"))
 
 
 def ranked_by_key(df: DataFrame, keys: Sequence[str], key: Column, ties: Sequence[str]) -> DataFrame:
     """`ranked` on a random key; `ties` make the order total."""
     keyed = df.withColumn("_key", key)
-    return ranked(keyed, keys, key_levels(F.col("_key")), [F.col("_key"), *[F.col(t) for t in ties]]).drop("_key")
+    return ranked(keyed, keys, key_levels(F.col("_key")), F.struct("_key", *ties)).drop("_key")
+
+
+def integer_levels(value: Column) -> list[Level]:
+    """Nested buckets of a unique bigint in [0, 2^44): at most 2^20 coarse ones, 2^11 children each, 2^13 rows."""
+    return [(f"_i{b}", F.shiftright(value, b)) for b in (24, 13)]
 
 
 def value_levels(value: Column) -> list[Level]:
-    """Nested buckets of any double: sign-aware logarithmic steps, so both tiny and huge values spread out."""
-    scaled = F.signum(value) * F.log1p(F.abs(value) * F.lit(1e6))
-    return [("_v1", F.floor(scaled * 32)), ("_v2", F.floor(scaled * 32768))]
+    """Nested buckets of any finite double by sign and base-2 logarithm, so tiny and huge values spread out alike.
+
+    512 coarse buckets per octave, 32,768 children each: a finest bucket is about one single-precision value wide.
+    """
+    spread = F.when(value == 0, F.lit(0.0)).otherwise(F.signum(value) * (F.log2(F.abs(value)) + 1100))
+    return [(f"_v{b}", F.floor(spread * F.lit(float(1 << b)))) for b in (9, 24)]
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, how: str = "average") -> DataFrame:
@@ -80,12 +112,12 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, how: str = "ave
     if how not in ("lower", "average"):
         raise ValueError(f"unknown median {how!r}")
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    run = running_totals(counts, keys, value_levels(F.col("_v")), [F.col("_v")], {"c": F.col("_c")})
+    run = running_folds(counts, keys, value_levels(F.col("_v")), F.col("_v"), {"c": Fold("sum", F.col("_c"))}, ["c"])
     low = F.floor((F.col("c_total") + 1) / 2)
     high = low if how == "lower" else F.floor(F.col("c_total") / 2) + 1
 
     def holds(rank: Column) -> Column:
-        return (F.col("c_before") < rank) & (rank <= F.col("c_before") + F.col("_c"))
+        return (F.col("c") < rank) & (rank <= F.col("c") + F.col("_c"))
 
     middle = run.where(holds(low) | holds(high)).groupBy(*keys)
     return middle.agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))

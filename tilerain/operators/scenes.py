@@ -41,11 +41,13 @@ def search(scenes: DataFrame, sensor: str, bbox: tuple[float, float, float, floa
 
 
 def search_events(events: DataFrame, scenes: DataFrame, keys: list[str], before: int, after: int) -> DataFrame:
-    """Scenes of each event's cell inside [date - before, date + after], both days whole."""
-    window = events.select(*keys, "eid", "event_date")
-    day = F.col("dt").cast("date")
-    return (scenes.join(window, keys)
-            .where((day >= F.date_sub("event_date", before)) & (day <= F.date_add("event_date", after))))
+    """Scenes of each event's cell inside [date - before, date + after], both days whole.
+
+    The event's few days are listed, so the search is an equi-join on (cell, day) that meets matching pairs only.
+    """
+    days = F.sequence(F.date_sub("event_date", before), F.date_add("event_date", after))
+    window = events.select(*keys, "eid", "event_date", F.explode(days).alias("_day"))
+    return scenes.withColumn("_day", F.col("dt").cast("date")).join(window, [*keys, "_day"]).drop("_day")
 
 
 # ---- fixed values: asset names by catalog provider ----

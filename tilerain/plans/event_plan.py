@@ -7,6 +7,7 @@ from tilerain.functions.dates import radar_days_after
 from tilerain.operators.events import describe_events, extreme_events
 from tilerain.operators.pairing import mutual_pairs, nearest
 from tilerain.operators.scenes import below_cover, event_crs, primary_per_date, search_events
+from tilerain.session import cut
 
 CELL = ["y", "x"]
 
@@ -16,19 +17,20 @@ def select_event_scenes(cells: DataFrame, scenes: DataFrame, history: DataFrame
                         start: str) -> DataFrame:
     """One row per (event, optical date) with its radar scene.
 
-    The cheap time pairing runs before any cover test. Radar scenes are organized under the date of the optical scene
+    The cheap time pairing runs before any cover test. Tables that several branches read (events, candidate scenes,
+    chosen scenes) are small against the catalog and are written once. Radar scenes are organized under the date of the optical scene
     they are closest to, and one is chosen per date with the same CRS preference.
     """
-    events = describe_events(extreme_events(cells, threshold, history), geotransform, start)
+    events = cut(describe_events(extreme_events(cells, threshold, history), geotransform, start))
     keyed = events.select(*CELL, "eid", "event_date")
-    optical = search_events(keyed, scenes.where(F.col("sensor") == "s2"), CELL, before, after)
-    radar = search_events(keyed, scenes.where(F.col("sensor") == "s1"), CELL, before, radar_days_after(after, hours))
+    optical = cut(search_events(keyed, scenes.where(F.col("sensor") == "s2"), CELL, before, after))
+    radar = cut(search_events(keyed, scenes.where(F.col("sensor") == "s1"), CELL, before, radar_days_after(after, hours)))
     optical, radar = mutual_pairs(optical, radar, ["eid"], hours)
-    clear = below_cover(optical, max_cover)
-    crs = event_crs(clear)
-    main = crs.withColumnRenamed("crs", "main_crs")
-    chosen = primary_per_date(clear.join(main, "eid"), ["eid", "main_crs"], F.col("main_crs"))
-    matched = below_cover(nearest(radar.join(main, "eid"), chosen, ["eid"], hours), max_cover, "missing_pct")
+    clear = cut(below_cover(optical, max_cover))
+    main = event_crs(clear).withColumnRenamed("crs", "main_crs")
+    chosen = cut(primary_per_date(clear.join(main, "eid"), ["eid", "main_crs"], F.col("main_crs")))
+    with_crs = radar.join(chosen.select("eid", "main_crs").distinct(), "eid")
+    matched = below_cover(nearest(cut(with_crs), chosen, ["eid"], hours), max_cover, "missing_pct")
     dated = matched.withColumn("s1_dt", F.col("dt")).withColumn("dt", F.col("match_dt"))
     radar_choice = primary_per_date(dated, ["eid", "main_crs"], F.col("main_crs"))
     return (chosen.select("eid", "scene_date", "main_crs", F.col("item_id").alias("s2_item"))

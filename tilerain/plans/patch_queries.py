@@ -85,13 +85,9 @@ def random_batch(spark, sf):
     return G.random_batch(X.table(spark, sf, "customer").select("c_custkey"), "c_custkey", 50, 3, "mix")
 
 
-def _customer_levels():
-    return [("_s1", F.shiftright("c_custkey", 9)), ("_s2", F.shiftright("c_custkey", 5))]
-
-
 def _shards(spark, sf, drop_last=False):
     rows = X.table(spark, sf, "customer").select("c_custkey")
-    return G.shards(rows, "c_custkey", 13, rows.count(), drop_last, _customer_levels())
+    return G.shards(rows, "c_custkey", 13, rows.count(), drop_last)
 
 
 SH = """, q AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 i, count(*) OVER () n FROM customer), w AS (SELECT *, n//13 b, n%13 e FROM q),

@@ -1,6 +1,8 @@
 """Session settings used by the jobs and tests; cluster sizes come from spark-submit."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,3 +35,16 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes an intermediate table once, where several later branches of a plan read it.
+
+    Uses the cluster's shared checkpoint folder; only a local session without one gets a scratch folder.
+    """
+    spark = df.sparkSession
+    local = spark.sparkContext.master.startswith("local")
+    if spark.sparkContext.getCheckpointDir() is None or spark.conf.get("spark.checkpoint.dir", None):
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        checkpoint_dir(spark, tempfile.mkdtemp(prefix="tilerain-") if local and not configured else None)
+    return df.checkpoint()
