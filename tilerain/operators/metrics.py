@@ -111,9 +111,10 @@ def core_row(scores: DataFrame, losses: DataFrame | None, keys: Sequence[str]) -
 def permutation_importance(scores: DataFrame, baseline: str = "none", channel: str = "channel") -> DataFrame:
     """Core rates per permuted channel and their change against the unpermuted run."""
     rates = confusion(scores, [channel]).select(channel, *core_rates())
-    base = rates.where(F.col(channel) == baseline).select(*[F.col(r).alias(f"_{r}") for r in RATES])
-    keyed = rates.withColumn("_k", F.lit(1)).join(F.broadcast(base.withColumn("_k", F.lit(1))), "_k")
-    return keyed.select(channel, *RATES, *[(F.col(r) - F.col(f"_{r}")).alias(f"delta_{r}") for r in RATES])
+    # one row per channel by now, so a single group holds the whole table
+    every = Window.partitionBy(F.lit(0))
+    base = {r: F.max(F.when(F.col(channel) == baseline, F.col(r))).over(every) for r in RATES}
+    return rates.select(channel, *RATES, *[(F.col(r) - base[r]).alias(f"delta_{r}") for r in RATES])
 
 
 def shift_distribution(shifts: DataFrame, side: int) -> DataFrame:

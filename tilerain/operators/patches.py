@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilerain.functions.bands import d
 from tilerain.functions.keys import KEY_SPACE, random_key
@@ -52,7 +53,7 @@ def cut(data: Column, w: Column, x0: Column, y0: Column, size: int) -> Column:
     return F.flatten(rows)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def summed_area(flags: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """(h + 1) x (w + 1) table of flag counts above and left of each corner."""
     out = []
@@ -159,17 +160,16 @@ def wet_dry_sample(patches: DataFrame, patch: str, wet: str, samples: int, wet_s
     want_wet = int(samples * wet_share)
     ranks = ranked_by_key(patches.select(patch, F.col(wet).cast("boolean").alias("wet")), ["wet"],
                           random_key([F.col(patch)], seed, kind), [patch])
-    sizes = patches.agg(F.count_if(F.col(wet).cast("boolean")).alias("n_wet"),
-                        F.count_if(~F.col(wet).cast("boolean")).alias("n_dry"))
-    wet_need = F.when(F.col("n_wet") == 0, 0).when(F.col("n_dry") == 0, samples).otherwise(want_wet)
-    slots = spark.range(samples).withColumn("_k", F.lit(1)).join(F.broadcast(sizes.withColumn("_k", F.lit(1))), "_k")
+    flag = F.col(wet).cast("boolean")
+    n_wet, n_dry = patches.agg(F.count_if(flag), F.count_if(~flag)).first()
+    wet_need = 0 if n_wet == 0 else samples if n_dry == 0 else want_wet
     is_wet = F.col("id") < wet_need
     place = F.when(is_wet, F.col("id")).otherwise(F.col("id") - wet_need)
-    size = F.when(is_wet, F.col("n_wet")).otherwise(F.col("n_dry"))
-    redraw = F.pmod(random_key([F.col("id")], seed + 7, kind), size) + 1
-    drawn = slots.where(size > 0).select("id", is_wet.alias("wet"),
-                                         F.when(place < size, place + 1).otherwise(redraw).alias("rank"))
-    return drawn.join(ranks.select(patch, "wet", "rank"), ["wet", "rank"]).select(F.col("id").alias("slot"), patch, "wet")
+    size = F.when(is_wet, n_wet).otherwise(n_dry)
+    redraw = F.pmod(random_key([F.col("id")], seed + 7, kind), F.greatest(size, F.lit(1))) + 1
+    drawn = spark.range(samples).where(size > 0).select(
+        F.col("id").alias("slot"), is_wet.alias("wet"), F.when(place < size, place + 1).otherwise(redraw).alias("rank"))
+    return drawn.join(ranks.select(patch, "wet", "rank"), ["wet", "rank"]).select("slot", patch, "wet")
 
 
 def random_batch(patches: DataFrame, patch: str, n: int, seed: int, kind: str = "hash") -> DataFrame:

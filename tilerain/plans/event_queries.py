@@ -169,3 +169,14 @@ def codes_and_names(spark, sf):
         F.concat(F.when(k % 4 == 0, "x").otherwise("n"), (25 + k % 25).cast("string"), F.lit("w"), (70 + k % 55).cast("string"),
                  F.lit(".tif")).alias("nm"))
     return flat_box(rows.select(k, D.is_epsg(F.col("code")).alias("is_epsg"), D.elevation_bounds(F.col("nm")).alias("bbox")))
+
+
+@query("streamed_events", f"""SELECT {EID} eid, t, y, x, precip FROM precip_cell_day WHERE precip > 280""", "precip_cell_day")
+def streamed_events(spark, sf):
+    """Cell-days written to a landing folder, then taken in by the stream in several micro-batches."""
+    from tilerain.session import scratch_folder
+    from tilerain.streaming.intake import recorded, start_intake
+    base = scratch_folder(spark)
+    X.precip_cell_day(spark, sf).repartition(4, "t").write.parquet(f"{base}/landing")
+    start_intake(spark, f"{base}/landing", f"{base}/events", f"{base}/offsets", 280, X.GEOTRANSFORM, X.START, 2).awaitTermination()
+    return recorded(spark, f"{base}/events").select("eid", "t", "y", "x", "precip")

@@ -167,3 +167,45 @@ def mean_filled_windows(spark, sf):
     t = X.tile(spark, sf)
     db = F.transform(F.col("data"), lambda v, p: F.when((F.col("tile_id") * 64 + p) % 97 == 0, F.lit(-9999.0)).otherwise(v * 20 - 15))
     return t.select("tile_id", F.posexplode(W.mean_filled(db, -14.5, -9999.0)).alias("pos", "vv")).select("tile_id", "pos", r6("vv").alias("vv"))
+
+
+RADAR = ", rt AS (SELECT tile_id, CASE WHEN tile_id % 5 = 0 THEN 'val' ELSE 'train' END split, r, c, pos, vv_db vv, vh_db vh, b04 red, scl, target label FROM pixel_ext)"
+GONE = "(vv = -9999 OR vh = -9999 OR red = 0)"
+
+
+def _radar_tiles(spark, sf):
+    """Stacked radar tiles in tile form with a split by tile."""
+    tiles = X.tile(spark, sf)
+    t = F.col("tile_id")
+    dn = lambda v: F.floor((v + 1) * 5000).cast("int")
+    data = F.col("data")
+    return tiles.select(
+        t, F.when(t % 5 == 0, "val").otherwise("train").alias("split"), "h", "w",
+        F.transform(data, lambda v, p: F.when((t * 64 + p) % 97 == 0, F.lit(-9999.0)).otherwise(v * 20 - 15)).alias("vv"),
+        F.transform(data, lambda v, p: F.when((t * 64 + p) % 89 == 0, F.lit(-9999.0)).otherwise(v * 15 - 20)).alias("vh"),
+        F.transform(data, lambda v, p: ((dn(v) * 13 + p * 29) % 10000).cast("double")).alias("red"),
+        F.transform(data, lambda v: dn(v) % 12).alias("scl"), F.transform(data, lambda v: F.when((dn(v) * 7) % 11 < 3, 1).otherwise(0)).alias("label"))
+
+
+@query("training_patches", RADAR + POS.replace("[0,2,4,5]", "[0,3,4]") + f""", ok AS (SELECT tile_id, x0, y0 FROM rt, ps, qs WHERE r BETWEEN x0 AND x0+3 AND c BETWEEN y0 AND y0+3 GROUP BY ALL HAVING sum({GONE}::int)/16.0::double <= 0.07 AND sum((scl IN (8,9))::int)/16.0::double <= 0.2)
+SELECT ok.tile_id, split, x0, y0, round(sum(vv::float), 3) vv_sum, sum(label)::double label_sum, 16 n FROM ok JOIN rt ON rt.tile_id=ok.tile_id AND r BETWEEN x0 AND x0+3 AND c BETWEEN y0 AND y0+3 GROUP BY ALL""", "pixel_ext")
+def training_patches(spark, sf):
+    from tilerain.plans.patch_plan import patches
+    out = patches(_radar_tiles(spark, sf), ["vv", "label"], 4, "strided", stride=3, max_missing=0.07, max_cloud=0.2)
+    total = lambda c: F.aggregate(F.element_at("channels", c), F.lit(0.0), lambda a, v: a + v)
+    return out.select("tile_id", "split", "x0", "y0", F.round(total("vv"), 3).alias("vv_sum"), total("label").alias("label_sum"), F.size(F.element_at("channels", "vv")).alias("n"))
+
+
+@query("training_statistics", RADAR + f" SELECT 'vv' channel, count(*) n, round(avg(vv),6) mean, round(stddev_samp(vv),6) std, round(min(vv),6) min, round(max(vv),6) max FROM rt WHERE split='train' AND NOT {GONE} UNION ALL SELECT 'label', count(*), 0, 1, 0, 1 FROM rt WHERE split='train' AND NOT {GONE}", "pixel_ext")
+def training_statistics(spark, sf):
+    from tilerain.plans.patch_plan import training_statistics as run
+    return rounded(run(_radar_tiles(spark, sf), ["vv", "label"], ["label"]))
+
+
+@query("scored_tiles", RADAR + """, m AS (SELECT tile_id, avg(vv) mv FROM rt WHERE vv <> -9999 GROUP BY 1), z AS (SELECT rt.*, (CASE WHEN vv = -9999 THEN coalesce(mv, 0) ELSE vv END + 14.0::double)/3.5::double x FROM rt LEFT JOIN m ON m.tile_id=rt.tile_id),
+sc AS (SELECT tile_id, r, c, avg(1/(1+exp(-10*(x - 0.01::double*(r-x0))))) p FROM z, (SELECT unnest([0,3,4]) x0), (SELECT unnest([0,3,4]) y0) WHERE r BETWEEN x0 AND x0+3 AND c BETWEEN y0 AND y0+3 GROUP BY ALL)
+SELECT sc.tile_id, sc.r, sc.c, round(p, 6) prob, vv = -9999 OR vh = -9999 missing, scl FROM sc JOIN rt ON rt.tile_id=sc.tile_id AND rt.r=sc.r AND rt.c=sc.c""", "pixel_ext")
+def scored_tiles(spark, sf):
+    from tilerain.plans.score_plan import prepared, scored_pixels
+    ready = prepared(_radar_tiles(spark, sf), {"vv": (-14.0, 3.5)}, ["vv", "vh"], -9999.0)
+    return rounded(scored_pixels(ready, ["vv"], 4, _position_scorer(), ["scl"]))

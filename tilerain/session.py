@@ -1,6 +1,7 @@
 """Session settings used by the jobs and tests; cluster sizes come from spark-submit."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,25 +27,32 @@ def local_session(cpus: int | str = 8, app: str = "tilerain", partitions: int =
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for cut lineage: the cluster's setting, or `fallback` where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if fallback is None:
+    """Sets the folder for cut lineage: the cluster's setting, or `fallback` where it is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if folder is None:
         raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    if spark.sparkContext.getCheckpointDir() is None or not spark.sparkContext.getCheckpointDir().startswith(folder):
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. Only a local session without one gets a scratch folder of its own."""
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return checkpoint_dir(spark)
+    current = spark.sparkContext.getCheckpointDir()
+    if current is not None:
+        return current
+    local = spark.sparkContext.master.startswith("local")
+    return checkpoint_dir(spark, tempfile.mkdtemp(prefix="tilerain-") if local else None)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes an intermediate table once, where several later branches of a plan read it.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
-    Uses the cluster's shared checkpoint folder; only a local session without one gets a scratch folder.
-    """
-    spark = df.sparkSession
-    local = spark.sparkContext.master.startswith("local")
-    if spark.sparkContext.getCheckpointDir() is None or spark.conf.get("spark.checkpoint.dir", None):
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        checkpoint_dir(spark, tempfile.mkdtemp(prefix="tilerain-") if local and not configured else None)
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes an intermediate table once, where several later branches of a plan read it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -14,7 +14,7 @@ CELL_DIR = r"(\d+)_(\d+)$"
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, size_bytes) without reading content."""
+    """(path, name, size_bytes) without reading content. Empty files are not listed, so they count as absent."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return listed.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"))
 
