@@ -98,11 +98,12 @@ def test_medians(spark):
     values = [(k, draw.uniform(-5, 5)) for k in (1, 2) for _ in range(20 + k)] + [(3, 0.0)] * 5
     df = spark.createDataFrame(values, "k int, v double")
     for how in ("lower", "average"):
-        got = {r["k"]: r["median"] for r in K.exact_median(df, ["k"], "v", how).collect()}
-        for k in (1, 2, 3):
-            part = sorted(v for q, v in values if q == k)
-            want = part[(len(part) - 1) // 2] if how == "lower" else float(np.median(part))
-            assert got[k] == pytest.approx(want)
+        for small in (0, 21, 10 ** 6):
+            got = {r["k"]: r["median"] for r in K.exact_median(df, ["k"], "v", how, small).collect()}
+            for k in (1, 2, 3):
+                part = sorted(v for q, v in values if q == k)
+                want = part[(len(part) - 1) // 2] if how == "lower" else float(np.median(part))
+                assert got[k] == pytest.approx(want)
 
 
 def average_precision(rows):

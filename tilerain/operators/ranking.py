@@ -104,14 +104,35 @@ def value_levels(value: Column) -> list[Level]:
     return [(f"_v{b}", F.floor(spread * F.lit(float(1 << b)))) for b in (9, 24)]
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, how: str = "average") -> DataFrame:
+SMALL_GROUP = 1_000_000
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, how: str = "average", small: int = SMALL_GROUP) -> DataFrame:
     """Exact median per key as `median`; `lower` takes the lower middle value, `average` the mean of both.
 
-    Equal values collapse first; the middle is found by running counts, so no task holds a key's whole value list.
+    Keys of at most `small` rows use the built-in aggregate, which holds a key's distinct values in one task. Larger ones
+    are found by running counts over nested buckets, so no task holds a key's whole value list.
     """
     if how not in ("lower", "average"):
         raise ValueError(f"unknown median {how!r}")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > small).drop("_n")
+    if not keys:
+        few = sizes.first()["_n"] <= small
+        return _builtin_median(rows, keys, how) if few else _bucketed_median(rows, keys, how)
+    ordinary = rows.join(large, list(keys), "left_anti")
+    return _builtin_median(ordinary, keys, how).unionByName(
+        _bucketed_median(rows.join(large, list(keys), "left_semi"), keys, how))
+
+
+def _builtin_median(rows: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    name = "percentile_disc" if how == "lower" else "percentile_cont"
+    return rows.groupBy(*keys).agg(F.expr(f"{name}(0.5) WITHIN GROUP (ORDER BY _v)").alias("median"))
+
+
+def _bucketed_median(rows: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     run = running_folds(counts, keys, value_levels(F.col("_v")), F.col("_v"), {"c": Fold("sum", F.col("_c"))}, ["c"])
     low = F.floor((F.col("c_total") + 1) / 2)
     high = low if how == "lower" else F.floor(F.col("c_total") / 2) + 1

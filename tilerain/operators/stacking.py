@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilerain.functions.bands import pair_shift
+from tilerain.operators.ranking import exact_median
 from tilerain.schema import S2_CHANNELS, SAR_CHANNELS
 
 
@@ -135,13 +137,13 @@ def inconsistent_rasters(rasters: DataFrame, tolerance: float = 1e-5) -> DataFra
 
 def median_shift(points: DataFrame, tile: Sequence[str]) -> DataFrame:
     """Median control-point offset per tile in whole pixels, halves to even."""
-    from tilerain.functions.bands import pair_shift
-    from tilerain.operators.ranking import exact_median
-    offsets = points.select(*tile, pair_shift(F.col("mapX"), F.col("sourceX")).alias("dx"),
-                            pair_shift(F.col("mapY"), F.col("sourceY")).alias("dy"))
-    x = exact_median(offsets, tile, "dx").select(*tile, F.rint("median").cast("int").alias("shift_x"))
-    y = exact_median(offsets, tile, "dy").select(*tile, F.rint("median").cast("int").alias("shift_y"))
-    return x.join(y, list(tile))
+    axes = F.array(*[
+        F.struct(F.lit(axis).alias("axis"), pair_shift(F.col(f"map{axis}"), F.col(f"source{axis}")).alias("offset"))
+        for axis in ("X", "Y")])
+    offsets = points.select(*tile, F.inline(axes))
+    middle = F.rint("median").cast("int")
+    return exact_median(offsets, [*tile, "axis"], "offset").groupBy(*tile).agg(
+        F.max(F.when(F.col("axis") == "X", middle)).alias("shift_x"), F.max(F.when(F.col("axis") == "Y", middle)).alias("shift_y"))
 
 
 def labeled_events(paths: DataFrame) -> DataFrame:
