@@ -164,3 +164,12 @@ def elbo(recon: DataFrame, latents: DataFrame, keys: Sequence[str], beta: float)
     """Reconstruction + beta * batch-mean KL, per key."""
     kl = latents.groupBy(*keys).agg(F.avg(kl_per_sample(F.col("mu"), F.col("log_var"))).alias("kld"))
     return recon.join(kl, list(keys)).withColumn("elbo", F.col("recon") + d(beta) * F.col("kld"))
+
+
+def ablation_delta(pixels: DataFrame, keys: Sequence[str], patch: Sequence[str], with_mu: str, with_zero: str, target: str,
+                   loss: str = "mse") -> DataFrame:
+    """Loss of the output decoded from zeros minus that of the output decoded from the posterior mean, in one pass."""
+    mu = reconstruction_terms(F.col(with_mu), F.col(target))[loss]
+    zero = reconstruction_terms(F.col(with_zero), F.col(target))[loss]
+    per_patch = pixels.groupBy(*keys, *patch).agg(F.sum(mu).alias("_mu"), F.sum(zero).alias("_zero"))
+    return per_patch.groupBy(*keys).agg((F.avg("_zero") - F.avg("_mu")).alias("ablation_delta"))

@@ -182,10 +182,12 @@ def joined_summaries(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def early_stopping(history: DataFrame, patience: int, min_delta: float = 0.0, keys: Sequence[str] = ("run",)) -> DataFrame:
+def early_stopping(history: DataFrame, patience: int, min_delta: float = 0.0, keys: Sequence[str] = ("run",),
+                   count_from: int = 0) -> DataFrame:
     """Best epoch so far, patience counter and stop flag per epoch of each run (columns: keys, epoch, loss).
 
-    A loss below the best so far resets the counter; one above best + min_delta adds to it.
+    A loss below the best so far resets the counter; one above best + min_delta adds to it, from epoch `count_from` on
+    (the end of the annealing cycles where cycles do not count).
     """
     order = Window.partitionBy(*keys).orderBy("epoch")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -195,7 +197,7 @@ def early_stopping(history: DataFrame, patience: int, min_delta: float = 0.0, ke
               .withColumn("best_loss", F.min("loss").over(upto))
               .withColumn("_grp", F.sum(F.col("is_best").cast("int")).over(upto)))
     since = Window.partitionBy(*keys, "_grp").orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    worse = (~F.col("is_best")) & (F.col("loss") > F.col("best_loss") + d(min_delta))
+    worse = (~F.col("is_best")) & (F.col("loss") > F.col("best_loss") + d(min_delta)) & (F.col("epoch") >= count_from)
     counted = marked.withColumn("counter", F.sum(worse.cast("int")).over(since).cast("int")).withColumn(
         "best_epoch", F.first("epoch").over(since))
     return counted.withColumn("stopped", F.max(F.col("counter") >= patience).over(upto)).select(

@@ -215,8 +215,13 @@ def ssim_tiles(tiles: DataFrame, value: str, truth: str) -> DataFrame:
     return tiles.withColumn("ssim", score(F.col(value), F.col(truth), F.col("h"), F.col("w")))
 
 
-def despeckling_report(pixels: DataFrame, channel: str, tile: Sequence[str] = ("tile_id",)) -> DataFrame:
-    """Mean PSNR, Laplacian variance and looks per modality of (modality, tile, r, c, db, clean_db) rows."""
+def despeckling_report(pixels: DataFrame, channel: str, tile: Sequence[str] = ("tile_id",),
+                       homogeneous: DataFrame | None = None) -> DataFrame:
+    """Mean PSNR, SSIM, Laplacian variance and looks per modality of (modality, tile, r, c, db, clean_db) rows.
+
+    Looks are taken from the `homogeneous` rows (modality, tile, r, c, db) when given. One shuffle on (modality, tile)
+    serves the stencil, the per-tile sums and the arrays for the similarity kernel.
+    """
     key = ["modality", *tile]
     unit = by_tile(pixels, key).withColumn("_a", unit_amplitude(F.col("db"), channel)).withColumn(
         "_t", unit_amplitude(F.col("clean_db"), channel)).withColumn("_u", unit_db(F.col("db"), channel))
@@ -224,7 +229,24 @@ def despeckling_report(pixels: DataFrame, channel: str, tile: Sequence[str] = ("
     around = (F.coalesce(F.lag("_u").over(down), d(0)) + F.coalesce(F.lead("_u").over(down), d(0))
               + F.coalesce(F.lag("_u").over(across), d(0)) + F.coalesce(F.lead("_u").over(across), d(0)))
     gap, power = F.col("_a") - F.col("_t"), F.pow(d(10), F.col("db") / 10)
+    looks = F.avg(power) * F.avg(power) / F.nullif(F.var_samp(power), d(0))
+    cells = F.array_sort(F.collect_list(F.struct("r", "c", "_a", "_t")))
     per_tile = unit.withColumn("_lap", around - d(4) * F.col("_u")).groupBy(*key).agg(
         (d(10) * F.log10(d(1) / (F.avg(gap * gap) + d(PSNR_EPS)))).alias("psnr"), F.var_samp("_lap").alias("var_lap"),
-        (F.avg(power) * F.avg(power) / F.nullif(F.var_samp(power), d(0))).alias("enl"))
-    return per_tile.groupBy("modality").agg(*[F.avg(m).alias(m) for m in ("psnr", "var_lap", "enl")])
+        looks.alias("enl"), cells.alias("_cells"), (F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    compared = ssim_tiles(per_tile.withColumn("_x", F.transform("_cells", lambda s: s["_a"]))
+                          .withColumn("_y", F.transform("_cells", lambda s: s["_t"])).drop("_cells"), "_x", "_y")
+    report = compared.groupBy("modality").agg(*[F.avg(m).alias(m) for m in ("psnr", "ssim", "var_lap", "enl")])
+    if homogeneous is None:
+        return report
+    flat = homogeneous.groupBy(*key).agg(looks.alias("enl")).groupBy("modality").agg(F.avg("enl").alias("enl"))
+    return report.drop("enl").join(flat, "modality", "left")
+
+
+def despeckling_table(by_channel: dict[str, DataFrame]) -> DataFrame:
+    """One row per modality with the metrics of every channel side by side."""
+    out = None
+    for channel, report in by_channel.items():
+        named = report.select("modality", *[F.col(c).alias(f"{c}_{channel}") for c in report.columns if c != "modality"])
+        out = named if out is None else out.join(named, "modality")
+    return out

@@ -80,8 +80,8 @@ REPORT = f""", lp AS ({LEE.replace(', p AS', 'WITH p AS', 1).replace('round(CASE
 u AS (SELECT 'raw' modality, tile_id, r, c, vv_db db FROM pixel UNION ALL SELECT 'enhanced_lee', tile_id, r, c, vv FROM lp UNION ALL SELECT 'model', tile_id, r, c, v*10-15 FROM pixel),
 a AS (SELECT u.*, {UNIT('sqrt(pow(10,db/10))', 'pow(10,-1.5)', '1')} x, {UNIT('sqrt(pow(10,(v*18-15)/10))', 'pow(10,-1.5)', '1')} y, {UNIT('db', '-30', '0')} n FROM u JOIN pixel p ON p.tile_id=u.tile_id AND p.r=u.r AND p.c=u.c),
 l AS (SELECT *, coalesce(lag(n) OVER d,0)+coalesce(lead(n) OVER d,0)+coalesce(lag(n) OVER e,0)+coalesce(lead(n) OVER e,0)-4*n l FROM a WINDOW d AS (PARTITION BY modality, tile_id, c ORDER BY r), e AS (PARTITION BY modality, tile_id, r ORDER BY c)),
-t AS (SELECT modality, tile_id, 10*log10(1/(avg((x-y)*(x-y))+1e-10)) psnr, var_samp(l) var_lap, avg(pow(10,db/10))*avg(pow(10,db/10))/var_samp(pow(10,db/10)) enl FROM l GROUP BY ALL)
-SELECT modality, round(avg(psnr),6) psnr, round(avg(var_lap),6) var_lap, round(avg(enl),5) enl FROM t GROUP BY modality"""
+t AS (SELECT modality, tile_id, 10*log10(1/(avg((x-y)*(x-y))+1e-10)) psnr, avg((2*x*y+0.0001::double)/(x*x+y*y+0.0001::double)) ssim, var_samp(l) var_lap, avg(pow(10,db/10))*avg(pow(10,db/10))/var_samp(pow(10,db/10)) enl FROM l GROUP BY ALL)
+SELECT modality, round(avg(psnr),6) psnr_vv, round(avg(ssim),6) ssim_vv, round(avg(var_lap),6) var_lap_vv, round(avg(enl) FILTER (tile_id % 3 = 0),5) enl_vv FROM t GROUP BY modality"""
 
 
 @query("despeckling_report", REPORT, "pixel")
@@ -92,8 +92,8 @@ def despeckling_report(spark, sf):
             px.select(*KEY, (F.col("v") * 10 - 15).alias("db")).withColumn("modality", F.lit("model"))]
     clean = px.select(*KEY, (F.col("v") * 18 - 15).alias("clean_db"))
     joined = rows[0].unionByName(rows[1]).unionByName(rows[2]).join(clean, KEY)
-    out = N.despeckling_report(joined, "vv")
-    return out.select("modality", r6("psnr").alias("psnr"), r6("var_lap").alias("var_lap"), r6("enl", 5).alias("enl"))
+    table = N.despeckling_table({"vv": N.despeckling_report(joined, "vv", homogeneous=joined.where("tile_id % 3 = 0"))})
+    return table.select("modality", *[r6(f"{m}_vv").alias(f"{m}_vv") for m in ("psnr", "ssim", "var_lap")], r6("enl_vv", 5).alias("enl_vv"))
 
 
 @query("crop_to_bounds", """, b AS (SELECT vec_id tile_id, cast(vec_id % 5 - 2 AS int) c0, cast(vec_id % 4 - 1 AS int) r0 FROM embeddings), g AS (SELECT b.*, cast(x.range AS int) r, cast(y.range AS int) c FROM b, range(6) x, range(5) y)

@@ -265,3 +265,18 @@ def laplacian_variance(spark, sf):
 @query("total_variation", ", l AS (SELECT tile_id, coalesce(pow(v-lag(v) OVER d,2),0)+coalesce(pow(v-lag(v) OVER e,2),0) l FROM pixel_ext WINDOW d AS (PARTITION BY tile_id, c ORDER BY r), e AS (PARTITION BY tile_id, r ORDER BY c)) SELECT tile_id, round(sum(l),6) tv, round(sum(l)/count(*),6) tv_per_pixel FROM l GROUP BY 1", "pixel_ext")
 def total_variation(spark, sf):
     return rounded(N.total_variation(X.pixel_ext(spark, sf).select("tile_id", "r", "c", "v"), "v"))
+
+
+@query("ablation_delta", ", s AS (SELECT tile_id % 4 run, tile_id, sum(pow(b03/10000.0::double - prob, 2)) z, sum(pow(v - prob, 2)) m FROM pixel_ext GROUP BY 1, 2) SELECT run, round(avg(z) - avg(m), 5) ablation_delta FROM s GROUP BY run", "pixel_ext")
+def ablation_delta(spark, sf):
+    px = X.pixel_ext(spark, sf).select("tile_id", (F.col("tile_id") % 4).alias("run"), "v", "prob", (F.col("b03") / F.lit(10000.0)).alias("z"))
+    return rounded(L.ablation_delta(px, ["run"], ["tile_id"], "v", "z", "prob"), 5)
+
+
+@query("annealed_stopping", """WITH h AS (SELECT event_id epoch, user_id run, value loss FROM events WHERE (event_id + 1) % 10 = 0 OR event_id >= 4000), m AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pv, min(loss) OVER (PARTITION BY run ORDER BY epoch) best_loss FROM h),
+g AS (SELECT *, pv IS NULL OR loss < pv is_best, sum(CASE WHEN pv IS NULL OR loss < pv THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY epoch) grp FROM m),
+q AS (SELECT *, cast(sum(CASE WHEN NOT is_best AND loss > best_loss AND epoch >= 4000 THEN 1 ELSE 0 END) OVER (PARTITION BY run, grp ORDER BY epoch) AS int) counter FROM g)
+SELECT epoch, run, counter, max(counter) OVER (PARTITION BY run ORDER BY epoch) >= 9 stopped FROM q""")
+def annealed_stopping(spark, sf):
+    logged = X.table(spark, sf, "events").select(F.col("event_id").alias("epoch"), F.col("user_id").alias("run"), F.col("value").alias("loss"))
+    return M.early_stopping(M.annealed_epochs(logged, 10, 400), 9, count_from=4000).select("epoch", "run", "counter", "stopped")
