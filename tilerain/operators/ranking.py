@@ -43,8 +43,13 @@ def running_folds(df: DataFrame, keys: Sequence[str], levels: Sequence[Level], o
     drop out.
     """
     names = [name for name, _ in levels]
-    work = df.select("*", order.alias("_order"), *[c.alias(n) for n, c in levels],
-                     *[f.value.alias(f"_m_{m}") for m, f in folds.items()])
+    # Non-null levels and keys keep the joins below from adding filters of their own to each branch; the branches then
+    # share the exchange that feeds them.
+    present = df
+    for key in keys:
+        present = present.where(F.col(key).isNotNull())
+    work = present.select("*", order.alias("_order"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in levels],
+                          *[f.value.alias(f"_m_{m}") for m, f in folds.items()])
     reduce = [_OPS[f.op](f"_m_{m}").alias(f"_m_{m}") for m, f in folds.items()]
 
     per_level: dict[int, DataFrame] = {len(names): work.groupBy(*keys, *names).agg(*reduce)}
