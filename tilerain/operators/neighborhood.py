@@ -180,6 +180,59 @@ def lee_filter_tiles(tiles: DataFrame, column: str = "data", kernel: int = LEE_K
     return tiles.withColumn(column, filtered(F.col(column), F.col("h"), F.col("w")))
 
 
+def gradient_tiles(tiles: DataFrame, column: str = "data") -> DataFrame:
+    """Adds `slope_y`, `slope_x` arrays to tile rows; narrow."""
+    def slope(axis: int):
+        @F.pandas_udf("array<double>")
+        def along(data: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+            return pd.Series([np.gradient(np.asarray(v, dtype=float).reshape(hh, ww), axis=axis).ravel()
+                              for v, hh, ww in zip(data, h, w)])
+        return along(F.col(column), F.col("h"), F.col("w"))
+    return tiles.withColumn("slope_y", slope(0)).withColumn("slope_x", slope(1))
+
+
+def laplacian_variance_tiles(tiles: DataFrame, column: str = "data") -> DataFrame:
+    """Adds `var_laplacian` to tile rows; narrow."""
+    @F.pandas_udf("double")
+    def spread(data: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for v, hh, ww in zip(data, h, w):
+            framed = np.pad(np.asarray(v, dtype=float).reshape(hh, ww), 1)
+            inner = framed[1:-1, 1:-1]
+            around = framed[:-2, 1:-1] + framed[2:, 1:-1] + framed[1:-1, :-2] + framed[1:-1, 2:]
+            out.append((around - 4 * inner).var(ddof=1))
+        return pd.Series(out, dtype="float64")
+    return tiles.withColumn("var_laplacian", spread(F.col(column), F.col("h"), F.col("w")))
+
+
+def leave_one_out_tiles(tiles: DataFrame, acquisitions: int, column: str = "data", stack: str = "stack_id",
+                        acq: str = "acq") -> DataFrame:
+    """(stack, acq, h, w, data, composite) rows of stacks with exactly `acquisitions` tiles.
+
+    Stacks of any other size are left out by their count first, so what is gathered is a handful of compact tile rows.
+    """
+    counts = tiles.groupBy(stack).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(acq).alias("_d"))
+    fitting = counts.where((F.col("_n") == acquisitions) & (F.col("_d") == acquisitions)).select(stack)
+    layers = F.array_sort(F.collect_list(F.struct(acq, "h", "w", column)))
+    full = (tiles.join(fitting, stack, "left_semi").groupBy(stack).agg(layers.alias("_layers"))
+            .withColumn("_values", F.transform("_layers", lambda s: s[column])))
+
+    @F.pandas_udf("array<array<double>>")
+    def others(stacks: pd.Series) -> pd.Series:
+        out = []
+        for layers in stacks:
+            values = np.stack([np.asarray(v, dtype=float) for v in layers])
+            gone = values == SAR_NODATA
+            rest = (values.sum(0) - values) / (len(values) - 1)
+            out.append(list(np.where(gone.sum(0) - gone > 0, SAR_NODATA, rest)))
+        return pd.Series(out)
+    merged = full.withColumn("_others", others("_values"))
+    return merged.select(stack, F.inline(F.transform(
+        F.arrays_zip(F.col("_layers").alias("a"), F.col("_others").alias("b")),
+        lambda s: F.struct(s["a"][acq].alias(acq), s["a"]["h"].alias("h"), s["a"]["w"].alias("w"),
+                           s["a"][column].alias(column), s["b"].alias("composite")))))
+
+
 def gaussian_taps(size: int = 11, sigma: float = 1.5) -> np.ndarray:
     x = np.arange(size) - size // 2
     g = np.exp(-(x ** 2) / (2 * sigma ** 2))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilerain.functions.bands import d, masked_prediction, predicted
-from tilerain.operators.patches import cut, strided_positions
+from tilerain.operators.patches import axis_positions, cut, require_fit, strided_positions
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 
@@ -65,31 +65,34 @@ def blended(scored: DataFrame, size: int, weighting: str = "uniform", scores: st
 
 def tile_scores(tiles: DataFrame, channels: Sequence[str], size: int, factory: Callable[[], Scorer],
                 stride: int | None = None, weighting: str = "uniform") -> DataFrame:
-    """The same result in tile form: windows, scores and blending of a tile stay in its row, without a shuffle."""
-    step = stride if stride is not None else size - size // 4
-    weight = np.asarray(window_weights(size, weighting)).reshape(size, size)
+    """The same result in tile form: windows, scores and blending of a tile stay in its row, without a shuffle.
 
-    def starts(length: int) -> list[int]:
-        spots = list(range(0, length - size + 1, step))
-        return spots if spots[-1] == length - size else [*spots, length - size]
+    Window corners come from the plan. A window is a gather from the flat image, and blending is a weighted count of the
+    same flat indices.
+    """
+    step = stride if stride is not None else size - size // 4
+    weight = np.asarray(window_weights(size, weighting))
+    row, col = np.divmod(np.arange(size * size), size)
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         scorer = factory()
-        for h, w, *parts in batches:
+        for heights, widths, tops, lefts, *parts in batches:
             maps = []
-            for k in range(len(h)):
-                shape = (int(h.iloc[k]), int(w.iloc[k]))
-                image = np.stack([np.asarray(p.iloc[k], dtype=float).reshape(shape) for p in parts])
-                spots = [(x, y) for x in starts(shape[0]) for y in starts(shape[1])]
-                out = scorer(np.stack([image[:, x:x + size, y:y + size] for x, y in spots]))
-                total, mass = np.zeros(shape), np.zeros(shape)
-                for (x, y), score in zip(spots, out):
-                    total[x:x + size, y:y + size] += score * weight
-                    mass[x:x + size, y:y + size] += weight
-                maps.append((total / np.maximum(mass, 1e-3)).ravel())
+            for h, w, top, left, *layers in zip(heights, widths, tops, lefts, *parts):
+                x0, y0 = (a.ravel() for a in np.meshgrid(top, left, indexing="ij"))
+                spot = (x0[:, None] + row) * w + y0[:, None] + col
+                image = np.stack([np.asarray(layer, dtype=float) for layer in layers])
+                batch = image[:, spot].swapaxes(0, 1).reshape(len(spot), len(layers), size, size)
+                scores = np.asarray(scorer(batch), dtype=float).reshape(spot.shape)
+                total = np.bincount(spot.ravel(), (scores * weight).ravel(), h * w)
+                mass = np.bincount(spot.ravel(), np.broadcast_to(weight, spot.shape).ravel(), h * w)
+                maps.append(total / np.maximum(mass, 1e-3))
             yield pd.Series(maps)
-    return tiles.withColumn("prob", run(F.col("h"), F.col("w"), *[F.col(c) for c in channels]))
+
+    ready = require_fit(tiles, size)
+    corners = [axis_positions(F.col(side), size, step) for side in ("h", "w")]
+    return ready.withColumn("prob", run(F.col("h"), F.col("w"), *corners, *[F.col(c) for c in channels]))
 
 
 def final_map(scores: DataFrame, missing: Column, threshold: float = 0.5) -> DataFrame:

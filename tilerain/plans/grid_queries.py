@@ -188,3 +188,24 @@ def shifted_pair(spark, sf):
     px, t = X.pixel_ext(spark, sf), F.col("tile_id")
     shifts = X.tile(spark, sf).select(t, (t % 5 - 2).cast("int").alias("shift_x"), (t % 3 - 1).cast("int").alias("shift_y"))
     return R.shifted_pair(px.select(*KEY, "target"), px.select(*KEY, "vv_db"), shifts)
+
+
+@query("terrain_slope_tiles", f"SELECT tile_id, r, c, {_slope('d')} slope_y, {_slope('e')} slope_x FROM pixel {LINE_WINDOWS}", "pixel")
+def terrain_slope_tiles(spark, sf):
+    dem = X.tile(spark, sf).withColumn("data", F.transform("data", lambda v: F.floor((v + 1) * 5000).cast("double")))
+    return K.exploded(N.gradient_tiles(dem), ["slope_y", "slope_x"])
+
+
+@query("laplacian_variance_tiles", """, l AS (SELECT tile_id, coalesce(lag(v) OVER d,0)+coalesce(lead(v) OVER d,0)+coalesce(lag(v) OVER e,0)+coalesce(lead(v) OVER e,0)-4*v l FROM pixel
+WINDOW d AS (PARTITION BY tile_id, c ORDER BY r), e AS (PARTITION BY tile_id, r ORDER BY c)) SELECT tile_id, round(var_samp(l),6) var_laplacian FROM l GROUP BY 1""", "pixel")
+def laplacian_variance_tiles(spark, sf):
+    return rounded(N.laplacian_variance_tiles(X.tile(spark, sf)).select("tile_id", "var_laplacian"))
+
+
+@query("leave_one_out_tiles", """, w AS (SELECT *, count(*) OVER s n, sum(vv_db) OVER s sv, sum((vv_db=-9999)::int) OVER s mv FROM pixel WINDOW s AS (PARTITION BY stack_id, r, c))
+SELECT stack_id, r, c, acq, round(CASE WHEN mv - (vv_db=-9999)::int > 0 THEN -9999 ELSE (sv - vv_db)/(n-1) END, 6) composite FROM w""", "pixel")
+def leave_one_out_tiles(spark, sf):
+    t = F.col("tile_id")
+    tiles = _db_tiles(spark, sf).withColumn("stack_id", F.floor(t / 5).cast("int")).withColumn("acq", (t % 5).cast("int"))
+    out = N.leave_one_out_tiles(tiles, 5)
+    return rounded(K.exploded(out, ["composite"], ["stack_id", "acq"]))
