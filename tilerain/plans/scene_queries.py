@@ -193,7 +193,7 @@ def _features(spark, sf):
 AND ev.miny <= f.maxy AND ev.maxy >= f.miny AND fcode <> 49300 GROUP BY eid""", "feature")
 def overlapping_watersheds(spark, sf):
     kept = _features(spark, sf).where(F.col("fcode") != 49300)
-    return S.box_overlap(_boxed_orders(spark, sf), kept, strict=False).groupBy("eid").agg(
+    return S.box_overlap(_boxed_orders(spark, sf), kept, strict=False, grid=0.5).groupBy("eid").agg(
         F.count(F.lit(1)).alias("n"), F.sum("feature_id").alias("id_sum"))
 
 
