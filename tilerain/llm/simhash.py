@@ -74,15 +74,17 @@ def _balls(prints: Column, tables: int) -> Column:
     Two halves one bit apart differ in parity, so only odd halves need to send their neighbours: they meet the even one
     at home. Equal halves meet at home as well.
     """
+    flips = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
+
+    def ball(half: Column, tag: int) -> Column:
+        near = F.concat(F.array(half), F.transform(flips, lambda bit: half.bitwiseXOR(bit)))
+        variants = F.when(F.bit_count(half).bitwiseAND(F.lit(1)) == 1, near).otherwise(F.array(half))
+        return F.transform(variants, lambda v: v.bitwiseOR(F.lit(tag << 32).cast("long")))
+
     parts = []
     for t in range(tables):
-        for h in (0, 1):
-            half = F.shiftrightunsigned(prints[t], 32) if h else prints[t].bitwiseAND(F.lit(0xFFFFFFFF))
-            tag = F.lit((2 * t + h) << 32).cast("long")
-            flips = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
-            near = F.concat(F.array(half), F.transform(flips, lambda b, x=half: x.bitwiseXOR(b)))
-            variants = F.when(F.bit_count(half).bitwiseAND(F.lit(1)) == 1, near).otherwise(F.array(half))
-            parts.append(F.transform(variants, lambda v, g=tag: v.bitwiseOR(g)))
+        parts.append(ball(prints[t].bitwiseAND(F.lit(0xFFFFFFFF)), 2 * t))
+        parts.append(ball(F.shiftrightunsigned(prints[t], 32), 2 * t + 1))
     return F.concat(*parts)
 
 
