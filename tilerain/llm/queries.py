@@ -1,9 +1,19 @@
 """The registered queries of this folder, and SQL where SQL can express one."""
 
-from tilerain.llm import exact_dedup, pair_bpe, simhash
+from pyspark.sql import functions as F
+
+from tilerain.llm import curves, exact_dedup, html_density, mixing, pair_bpe, pii, simhash, suffix_dedup, token_counts, toxicity
 from tilerain.llm.common import table
 
 
+def op1_hilbert_neighbours(spark, sf_dir):
+    return curves.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op2_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -16,13 +26,36 @@ WINDOW w AS (PARTITION BY body)
 """
 
 
+def op4_text_density(spark, sf_dir):
+    return html_density.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark, sf_dir):
     return pair_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op5_bpe": op5_bpe, "op8_simhash": op8_simhash}
+def op9_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_temperature_mix(spark, sf_dir):
+    return mixing.copies(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_hilbert_neighbours, op2_toxicity, op3_exact_dedup, op4_text_density, op5_bpe, op6_personal_data, op7_suffix_dedup,
+    op8_simhash, op9_token_counts, op10_temperature_mix)}
 ORACLES = {"op3_exact_dedup": OP3_SQL}
