@@ -12,7 +12,7 @@ from tilerain.llm.common import mapped, spill_file, stored, text_of
 from tilerain.llm.induced import array_of, falling_suffixes
 
 #: Bytes of a string that counts as repeated, and of the strings that mark where one can be.
-LENGTH, GRAM = 400, 200
+LENGTH, GRAM = 400, 100
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 22
 #: Odd multiplier of the rolling hash and its inverse modulo 2 ** 64.
@@ -69,13 +69,13 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 
 
 def _marks(length: int, gram: int):
-    """row, mark, low, size, digest: every mark of a text with its surroundings, which hold all windows that it marks."""
+    """ra, rb, mark, low, size, digest: every mark of a text with its surroundings, which hold all windows that it marks."""
     side = length - gram
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out = [[], [], [], [], [], []]
+            for ra, rb, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if len(text) < length:
                     continue
                 place, mark = anchors(np.frombuffer(text, np.uint8), length, gram)
@@ -85,25 +85,26 @@ def _marks(length: int, gram: int):
                     if (h, low, high) in seen:  # in a short text two equal marks can share their surroundings
                         continue
                     seen.add((h, low, high))
-                    for column, x in zip(out, (row, h, low, high - low, xxhash.xxh3_128_digest(text[low:high]))):
+                    digest = xxhash.xxh3_64_intdigest(text[low:high])
+                    for column, x in zip(out, (ra, rb, h, low, high - low, digest - (digest >> 63 << 64))):
                         column.append(x)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                                   pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["row", "mark", "low", "size", "digest"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["ra", "rb", "mark", "low", "size", "digest"])
     return run
 
 
 def _cut_out(batches):
     """Surroundings of the wanted marks of a text."""
-    names = ["mark", "digest", "row", "low", "body"]
+    names = ["mark", "digest", "ra", "rb", "low", "body"]
     for batch in batches:
-        out = [[], [], [], [], []]
-        for row, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        out = [[], [], [], [], [], []]
+        for ra, rb, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
             for w in wanted:
                 body = text[w["low"]:w["low"] + w["size"]]
-                for column, x in zip(out, (w["mark"], w["digest"], row, w["low"], body)):
+                for column, x in zip(out, (w["mark"], w["digest"], ra, rb, w["low"], body)):
                     column.append(x)
-        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()),
-                               pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
 
 def repeated_starts(bodies, places, length: int = LENGTH):
@@ -178,16 +179,16 @@ def repeated_starts(bodies, places, length: int = LENGTH):
 def _shard(length: int):
     """Sorts the strings of a partition and sends the ranges of each that are repeated."""
     def run(batches):
-        digests, places = [], []
+        keys, places, texts = [], [], {}
 
         def bodies():
             for batch in batches:
-                for mark, digest, row, low, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                    digests.append(digest)
-                    places.append((row, low))
+                for mark, digest, ra, rb, low, body in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                    keys.append((mark, digest))
+                    places.append((texts.setdefault((ra, rb), len(texts)), low))
                     yield body
         stream = list_on_disk(bodies())
-        out = [[], [], []]
+        out = [[], [], [], []]
         if places:
             parts = list(repeated_starts(stream, places, length))
             if parts:
@@ -197,10 +198,10 @@ def _shard(length: int):
                 head = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (offset[1:] > offset[:-1] + 1))))
                 tail = np.concatenate((head[1:] - 1, [len(which) - 1]))
                 for w, a, b in zip(which[head].tolist(), offset[head].tolist(), offset[tail].tolist()):
-                    for column, x in zip(out, (digests[w], a, b + length)):
+                    for column, x in zip(out, (*keys[w], a, b + length)):
                         column.append(x)
-        yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())],
-                              ["digest", "first", "last"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["mark", "digest", "first", "last"])
     return run
 
 
@@ -233,25 +234,29 @@ def _removed(batches):
 
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """row, first, last: byte ranges of rows(row long, body binary) that strings which occur elsewhere cover.
+    """ra, rb, first, last: byte ranges of rows(doc_id, ra, rb, body) that strings which occur elsewhere cover. ra and rb
+    together name a text.
 
-    Marks, one for about a hundred bytes, say where a repeated string can be; those that occur once are settled by a count.
+    Marks, one for about 150 bytes, say where a repeated string can be; those that occur once are settled by a count.
     Equal surroundings of a mark are folded before anything wide moves, so a passage that a third of the texts share costs
     one string: surroundings that occur twice are repeated as a whole. Those of one mark that differ meet in the partition
     of their mark, whose suffixes are sorted outside of memory.
     """
-    marks = stored(mapped(rows.select("row", "body"), _marks(length, gram), "row long, mark long, low int, size int, digest binary"))
-    groups = marks.groupBy("mark", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "low", "size")).alias("one"))
-    groups = stored(groups.where("mark IS NOT NULL"))
-    open_marks = groups.groupBy("mark").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
-    wanted = groups.join(open_marks.select("mark"), "mark", "left_semi").select("one.row", F.struct("mark", "digest", "one.low", "one.size").alias("w"))
-    wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    pieces = mapped(rows.join(wanted, "row").select("row", "body", "wanted"), _cut_out,
-                    "mark long, digest binary, row long, low int, body binary")
-    sorted_out = pieces.repartition("mark").mapInArrow(_shard(length), "digest binary, first int, last int")
-    whole = groups.where((F.col("n") > 1) & (F.col("one.size") >= length)).select("digest", F.lit(0).alias("first"), F.col("one.size").alias("last"))
-    ranges = whole.union(sorted_out).groupBy("digest", "first", "last").agg(F.lit(1).alias("x")).drop("x")
-    return marks.join(ranges, "digest").select("row", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))
+    marks = stored(mapped(rows.select("ra", "rb", "body"), _marks(length, gram), "ra long, rb long, mark long, low int, size int, digest long"))
+    often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n > 1")
+    marks = stored(marks.join(often.select("mark", (F.col("x") != F.col("y")).alias("mixed")), "mark"))
+    groups = stored(marks.groupBy("mark", "digest", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ra", "rb", "low", "size")).alias("one")))
+    open_marks = groups.where("mixed").groupBy("mark").agg(F.min("n").alias("least")).where("least = 1").select("mark")
+    wanted = groups.where("mixed").join(open_marks, "mark", "left_semi").select("one.ra", "one.rb", F.struct("mark", "digest", "one.low", "one.size").alias("w"))
+    wanted = wanted.groupBy("ra", "rb").agg(F.collect_list("w").alias("wanted"))
+    # the same columns as in the last join of `without_repeats`, so that the texts are shuffled once for both
+    texts = rows.join(wanted, ["ra", "rb"]).select("doc_id", "ra", "rb", "body", "wanted")
+    pieces = mapped(texts, _cut_out, "mark long, digest long, ra long, rb long, low int, body binary")
+    # equal texts of one id give the same pieces
+    sorted_out = pieces.repartition("mark").mapInArrow(_shard(length), "mark long, digest long, first int, last int")
+    whole = groups.where((F.col("n") > 1) & (F.col("one.size") >= length)).select("mark", "digest", F.lit(0).alias("first"), F.col("one.size").alias("last"))
+    ranges = whole.union(sorted_out).distinct()
+    return marks.join(ranges, ["mark", "digest"]).select("ra", "rb", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -263,9 +268,10 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     dropped, repeated rows count as texts of their own, null ids are kept; an empty table gives no rows; further columns
     play no part.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(text).cast("binary").alias("body"))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
-    ranges = repeated_ranges(rows, length, gram)
-    lists = ranges.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    full = rows.join(lists, "row", "left").select("doc_id", "body", "ranges")
+    body = text_of(text).cast("binary")
+    ident = F.col(f"`{doc_id}`").cast("long")
+    # a text is named by its id and a hash of it; rows that share both have the same ranges
+    rows = docs.select(ident.alias("doc_id"), body.alias("body"), F.coalesce(ident, F.xxhash64(F.lit("none"), body)).alias("ra"), F.xxhash64(body).alias("rb"))
+    lists = repeated_ranges(rows, length, gram).groupBy("ra", "rb").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    full = rows.join(lists, ["ra", "rb"], "left").select("doc_id", "body", "ranges")
     return mapped(full, _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
