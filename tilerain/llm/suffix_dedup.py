@@ -13,6 +13,8 @@ from tilerain.llm.induced import array_of, falling_suffixes
 
 #: Bytes of a string that counts as repeated, and of the strings that mark where one can be.
 LENGTH, GRAM = 400, 100
+#: Offsets of a window to its mark that are told apart.
+OFFSETS = 101
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 22
 #: Odd multiplier of the rolling hash and its inverse modulo 2 ** 64.
@@ -44,11 +46,13 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the marks of a text: in every window of `length` bytes the first of its `gram`-byte strings
-    with the smallest hash. The choice depends on the window's bytes alone, so two equal windows have their mark at the
-    same offset, and a window that occurs twice has a mark that occurs twice."""
-    places, hashes, width = [], [], length - gram + 1
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """The marks of a text: place, hash, first and last start of the windows that each one marks.
+
+    Every window of `length` bytes is marked by the first of its `gram`-byte strings with the smallest hash. The choice
+    depends on the window's bytes alone, so equal windows have equal marks at the same offset.
+    """
+    found, width = [], length - gram + 1
     for low in range(0, max(0, len(data) - length + 1), CHUNK):
         part = data[low:low + CHUNK + length - 1]
         h = gram_hashes(part, gram)
@@ -59,18 +63,25 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
             key = np.minimum(key[:len(key) - add], key[add:])
             have += add
         at = (key & np.uint64(0xFFFFFF)).astype(np.int64)
-        at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-        places.append(at + low)
-        hashes.append(h[at])
-    if not places:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    places, first = np.unique(np.concatenate(places), return_index=True)
-    return places, np.concatenate(hashes)[first]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        last = np.concatenate((first[1:], [len(at)])) - 1
+        found.append((at[first] + low, h[at[first]], first + low, last + low))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
 
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
 
-def _marks(length: int, gram: int):
-    """ra, rb, mark, low, size, digest: every mark of a text with its surroundings, which hold all windows that it marks."""
-    side = length - gram
+
+def _marks(length: int, gram: int, offsets: int):
+    """ra, rb, mark, low, size, digest: strings that hold the windows of each mark at similar offsets.
+
+    Every window is in just one of them. `mark` names the mark, the range of offsets and the bytes that all windows at
+    those offsets share: equal windows are in strings of the same name.
+    """
+    width = length - gram + 1
 
     def run(batches):
         for batch in batches:
@@ -78,42 +89,33 @@ def _marks(length: int, gram: int):
             for ra, rb, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if len(text) < length:
                     continue
-                place, mark = anchors(np.frombuffer(text, np.uint8), length, gram)
-                seen = set()
-                for p, h in zip(place.tolist(), mark.view(np.int64).tolist()):
-                    low, high = max(0, p - side), min(len(text), p + gram + side)
-                    if (h, low, high) in seen:  # in a short text two equal marks can share their surroundings
-                        continue
-                    seen.add((h, low, high))
-                    digest = xxhash.xxh3_64_intdigest(text[low:high])
-                    for column, x in zip(out, (ra, rb, h, low, high - low, digest - (digest >> 63 << 64))):
-                        column.append(x)
+                for p, h, first, last in zip(*(x.tolist() for x in anchors(np.frombuffer(text, np.uint8), length, gram))):
+                    for part in range((p - last) // offsets, (p - first) // offsets + 1):
+                        near, far = part * offsets, min(part * offsets + offsets, width) - 1
+                        low, high = max(first, p - far), min(last, p - near) + length
+                        mark = xxhash.xxh3_64_intdigest(text[p - near:p - far + length], h ^ part)
+                        digest = xxhash.xxh3_64_intdigest(text[low:high])
+                        for column, x in zip(out, (ra, rb, _signed(mark), low, high - low, _signed(digest))):
+                            column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["ra", "rb", "mark", "low", "size", "digest"])
     return run
 
 
 def _cut_out(batches):
-    """Surroundings of the wanted marks of a text."""
-    names = ["mark", "digest", "ra", "rb", "low", "body"]
+    """The wanted strings of a text."""
     for batch in batches:
-        out = [[], [], [], [], [], []]
-        for ra, rb, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+        out = [[], [], []]
+        for text, wanted in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             for w in wanted:
-                body = text[w["low"]:w["low"] + w["size"]]
-                for column, x in zip(out, (w["mark"], w["digest"], ra, rb, w["low"], body)):
+                for column, x in zip(out, (w["mark"], w["digest"], text[w["low"]:w["low"] + w["size"]])):
                     column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names)
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.binary()))], ["mark", "digest", "body"])
 
 
-def repeated_starts(bodies, places, length: int = LENGTH):
+def repeated_starts(bodies, length: int = LENGTH):
     """Suffix-sorts the concatenation of byte strings and yields (string, offset) arrays of the starts whose `length` bytes
-    also start at another place. `places` gives each string's (row, low): overlapping strings of one text hold the same
-    place more than once, which is no repetition.
-
-    `bodies` is an iterator; the text and all that grows with it is kept in scratch files.
-    """
+    start more than once in it. `bodies` is an iterator; the text and all that grows with it is kept in scratch files."""
     raw, starts, size = spill_file(), [0], 0
     for body in bodies:
         raw.write(body)
@@ -131,19 +133,12 @@ def repeated_starts(bodies, places, length: int = LENGTH):
     text[starts[1:] - 1] = 1
     text[size] = 0
     raw.close()
-    rows, lows = (np.array(x, np.int64) for x in zip(*places))
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def settle(pos: np.ndarray, group: np.ndarray) -> None:
-        """Of groups of suffixes with equal first bytes, those that hold two different places."""
+    def settle(pos: np.ndarray) -> None:
         which = np.searchsorted(starts, pos, side="right") - 1
-        row, at = rows[which], lows[which] + pos - starts[which]
-        same = (row[1:] == row[:-1]) & (at[1:] == at[:-1])
-        differs = np.concatenate(([False], ~same & (group[1:] == group[:-1])))
-        many = np.zeros(int(group[-1]) + 1, bool)
-        many[group[differs]] = True
-        good = many[group] & (pos + length < starts[which + 1])  # not across the end of a string
+        good = pos + length < starts[which + 1]  # not across the end of a string
         if good.any():
             found.append((which[good], (pos - starts[which])[good]))
 
@@ -163,10 +158,9 @@ def repeated_starts(bodies, places, length: int = LENGTH):
         pos, follows = np.concatenate([p for p, _ in kept]), np.concatenate([f for _, f in kept])
         follows[0] = False
         kept.clear()
-        group = np.cumsum(~follows) - 1
         inside = follows | np.concatenate((follows[1:], [False]))
         if inside.any():
-            settle(pos[inside], group[inside])
+            settle(pos[inside])
         if last:
             kept.append((pos[-1:], np.zeros(1, bool)))
 
@@ -179,18 +173,17 @@ def repeated_starts(bodies, places, length: int = LENGTH):
 def _shard(length: int):
     """Sorts the strings of a partition and sends the ranges of each that are repeated."""
     def run(batches):
-        keys, places, texts = [], [], {}
+        keys = []
 
         def bodies():
             for batch in batches:
-                for mark, digest, ra, rb, low, body in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                for mark, digest, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     keys.append((mark, digest))
-                    places.append((texts.setdefault((ra, rb), len(texts)), low))
                     yield body
-        stream = list_on_disk(bodies())
         out = [[], [], [], []]
-        if places:
-            parts = list(repeated_starts(stream, places, length))
+        stream = list_on_disk(bodies())
+        if keys:
+            parts = list(repeated_starts(stream, length))
             if parts:
                 which, offset = (np.concatenate(x) for x in zip(*parts))
                 order = np.lexsort((offset, which))
@@ -233,16 +226,16 @@ def _removed(batches):
         yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3])], names)
 
 
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, offsets: int = OFFSETS) -> DataFrame:
     """ra, rb, first, last: byte ranges of rows(doc_id, ra, rb, body) that strings which occur elsewhere cover. ra and rb
     together name a text.
 
     Marks, one for about 150 bytes, say where a repeated string can be; those that occur once are settled by a count.
-    Equal surroundings of a mark are folded before anything wide moves, so a passage that a third of the texts share costs
-    one string: surroundings that occur twice are repeated as a whole. Those of one mark that differ meet in the partition
-    of their mark, whose suffixes are sorted outside of memory.
+    Equal strings of a mark are folded before anything wide moves, so a passage that a third of the texts share costs one
+    string: what occurs twice as a whole is repeated as a whole. Strings of one mark that differ meet in the partition of
+    their mark, whose suffixes are sorted outside of memory.
     """
-    marks = stored(mapped(rows.select("ra", "rb", "body"), _marks(length, gram), "ra long, rb long, mark long, low int, size int, digest long"))
+    marks = stored(mapped(rows.select("ra", "rb", "body"), _marks(length, gram, offsets), "ra long, rb long, mark long, low int, size int, digest long"))
     often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n > 1")
     marks = stored(marks.join(often.select("mark", (F.col("x") != F.col("y")).alias("mixed")), "mark"))
     groups = stored(marks.groupBy("mark", "digest", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ra", "rb", "low", "size")).alias("one")))
@@ -251,10 +244,10 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     wanted = wanted.groupBy("ra", "rb").agg(F.collect_list("w").alias("wanted"))
     # the same columns as in the last join of `without_repeats`, so that the texts are shuffled once for both
     texts = rows.join(wanted, ["ra", "rb"]).select("doc_id", "ra", "rb", "body", "wanted")
-    pieces = mapped(texts, _cut_out, "mark long, digest long, ra long, rb long, low int, body binary")
-    # equal texts of one id give the same pieces
+    # rows that share id and text cut out the same string twice, which is as good as its count
+    pieces = mapped(texts, _cut_out, "mark long, digest long, body binary")
     sorted_out = pieces.repartition("mark").mapInArrow(_shard(length), "mark long, digest long, first int, last int")
-    whole = groups.where((F.col("n") > 1) & (F.col("one.size") >= length)).select("mark", "digest", F.lit(0).alias("first"), F.col("one.size").alias("last"))
+    whole = groups.where(F.col("n") > 1).select("mark", "digest", F.lit(0).alias("first"), F.col("one.size").alias("last"))
     ranges = whole.union(sorted_out).distinct()
     return marks.join(ranges, ["mark", "digest"]).select("ra", "rb", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))
 
