@@ -14,9 +14,9 @@ import numpy as np
 from tilerain.llm.common import spill_file
 
 #: Tuples of one batch, entries a queue keeps in memory, symbols from which an array goes to a file.
-BATCH, QUEUE_ENTRIES, MAPPED_FROM = 1 << 15, 2_000_000, 1 << 24
+BATCH, QUEUE_ENTRIES, MAPPED_FROM = 1 << 15, 400_000, 1 << 22
 #: A reduced text of so many symbols at most ends the recursion: it is sorted in memory.
-BASE = 1 << 20
+BASE = 1 << 21
 #: Ranges of symbols that a queue keeps apart.
 RANGES = 1024
 ENTRY = np.dtype([("key", "<i8"), ("pos", "<i8"), ("lcp", "<i4")])
@@ -309,7 +309,7 @@ def _kinds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(text)
     small, runs = array_of(n, np.bool_), array_of(n, np.int32)
     small[n - 1], runs[n - 1] = True, 1
-    step, high = 1 << 22, n - 1
+    step, high = 1 << 19, n - 1
     while high > 0:
         low = max(0, high - step)
         here, after = np.asarray(text[low:high]), np.asarray(text[low + 1:high + 1])
@@ -376,7 +376,7 @@ def falling_suffixes(text: np.ndarray, symbols: int, cap: int, out: Callable) ->
         out(np.array([0]), np.array([0]))
         return
     small, runs = _kinds(text)
-    step = 1 << 22
+    step = 1 << 19
     parts = BlockList()
     for low in range(0, n, step):
         high = min(n, low + step)

@@ -15,6 +15,8 @@ from tilerain.llm.induced import array_of, falling_suffixes
 LENGTH, GRAM = 400, 100
 #: Offsets of a window to its mark that are told apart.
 OFFSETS = 101
+#: Bytes of strings that one shard sorts, about; a mark with more than that makes a larger shard.
+SHARD_BYTES = 3 << 20
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 22
 #: Odd multiplier of the rolling hash and its inverse modulo 2 ** 64.
@@ -241,12 +243,14 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, off
     groups = stored(marks.groupBy("mark", "digest", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ra", "rb", "low", "size")).alias("one")))
     open_marks = groups.where("mixed").groupBy("mark").agg(F.min("n").alias("least")).where("least = 1").select("mark")
     wanted = groups.where("mixed").join(open_marks, "mark", "left_semi").select("one.ra", "one.rb", F.struct("mark", "digest", "one.low", "one.size").alias("w"))
+    size = wanted.agg(F.sum("w.size")).first()[0] or 0
+    shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     wanted = wanted.groupBy("ra", "rb").agg(F.collect_list("w").alias("wanted"))
     # the same columns as in the last join of `without_repeats`, so that the texts are shuffled once for both
     texts = rows.join(wanted, ["ra", "rb"]).select("doc_id", "ra", "rb", "body", "wanted")
     # rows that share id and text cut out the same string twice, which is as good as its count
     pieces = mapped(texts, _cut_out, "mark long, digest long, body binary")
-    sorted_out = pieces.repartition("mark").mapInArrow(_shard(length), "mark long, digest long, first int, last int")
+    sorted_out = pieces.repartition(shards, "mark").mapInArrow(_shard(length), "mark long, digest long, first int, last int")
     whole = groups.where(F.col("n") > 1).select("mark", "digest", F.lit(0).alias("first"), F.col("one.size").alias("last"))
     ranges = whole.union(sorted_out).distinct()
     return marks.join(ranges, ["mark", "digest"]).select("ra", "rb", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))
