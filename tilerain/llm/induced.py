@@ -14,9 +14,9 @@ import numpy as np
 from tilerain.llm.common import spill_file
 
 #: Tuples of one batch, entries a queue keeps in memory, symbols from which an array goes to a file.
-BATCH, QUEUE_ENTRIES, MAPPED_FROM = 1 << 15, 400_000, 1 << 22
+BATCH, QUEUE_ENTRIES, MAPPED_FROM = 1 << 15, 200_000, 1 << 22
 #: A reduced text of so many symbols at most ends the recursion: it is sorted in memory.
-BASE = 1 << 21
+BASE = 1 << 19
 #: Ranges of symbols that a queue keeps apart.
 RANGES = 1024
 ENTRY = np.dtype([("key", "<i8"), ("pos", "<i8"), ("lcp", "<i4")])

@@ -16,7 +16,7 @@ LENGTH, GRAM = 400, 100
 #: Offsets of a window to its mark that are told apart.
 OFFSETS = 101
 #: Bytes of strings that one shard sorts, about; a mark with more than that makes a larger shard.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 22
 #: Odd multiplier of the rolling hash and its inverse modulo 2 ** 64.
