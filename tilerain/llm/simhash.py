@@ -152,9 +152,11 @@ def links(prints: DataFrame, tables: int = 1, limit: int = 3) -> DataFrame:
     the halves meet. The buckets that hold more than one member are compared in blocks; a bucket of more than `BLOCK`
     members becomes pairs of blocks, so no task holds a hot bucket and no pair is written out.
     """
-    near = prints.select("node", "prints", F.explode(_balls(F.col("prints"), tables)).alias("key"))
+    near = prints.select("node", F.explode(_balls(F.col("prints"), tables)).alias("key"))
     sizes = near.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = near.join(sizes, "key").withColumn("cells", F.ceil(F.col("n") / BLOCK).cast("int"))
+    # with one table the node is the fingerprint; else the few rows that share a bucket fetch theirs
+    shared = shared.withColumn("prints", F.array("node")) if tables == 1 else shared.join(prints.select("node", "prints"), "node")
     cell = F.pmod(F.xxhash64("node", "key"), F.col("cells")).cast("int")
     dealt = (shared.withColumn("cell", cell).select("node", "prints", "key", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
              .select("key", F.least("cell", "other").cast("long").alias("i"), F.greatest("cell", "other").cast("long").alias("j"), "node", "prints"))
@@ -196,7 +198,7 @@ def simhash_recall(share: float, tables: int) -> float:
     return 1 - (1 - one) ** (2 * tables)
 
 
-def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, tables: int = 8,
+def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, tables: int = 6,
                       similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, all columns, that bear the smallest id of their near-duplicate group; ids are taken as unique.
 
