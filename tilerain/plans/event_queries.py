@@ -177,6 +177,6 @@ def streamed_events(spark, sf):
     from tilerain.session import scratch_folder
     from tilerain.streaming.intake import recorded, start_intake
     base = scratch_folder(spark)
-    X.precip_cell_day(spark, sf).repartition(4, "t").write.parquet(f"{base}/landing")
+    X.precip_cell_day(spark, sf).repartition("t").write.parquet(f"{base}/landing")
     start_intake(spark, f"{base}/landing", f"{base}/events", f"{base}/offsets", 280, X.GEOTRANSFORM, X.START, 2).awaitTermination()
     return recorded(spark, f"{base}/events").select("eid", "t", "y", "x", "precip")
