@@ -68,24 +68,37 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     return mapped(rows, run, "doc_id long, prints array<long>")
 
 
-def _balls(prints: Column, tables: int) -> Column:
-    """Bucket keys of all variants within half the radius of each 32-bit half.
+def _pieces(prints: Column, tables: int) -> Column:
+    """The 32-bit halves of all tables, each under its own tag in the bits above."""
+    halves = []
+    for t in range(tables):
+        halves.append(prints[t].bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(2 * t << 32).cast("long")))
+        halves.append(F.shiftrightunsigned(prints[t], 32).bitwiseOR(F.lit((2 * t + 1) << 32).cast("long")))
+    return F.array(*halves)
 
-    Two halves one bit apart differ in parity, so only odd halves need to send their neighbours: they meet the even one
-    at home. Equal halves meet at home as well.
-    """
-    flips = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
 
-    def ball(half: Column, tag: int) -> Column:
-        near = F.concat(F.array(half), F.transform(flips, lambda bit: half.bitwiseXOR(bit)))
-        variants = F.when(F.bit_count(half).bitwiseAND(F.lit(1)) == 1, near).otherwise(F.array(half))
-        return F.transform(variants, lambda v: v.bitwiseOR(F.lit(tag << 32).cast("long")))
+def _meetings(values: DataFrame) -> DataFrame:
+    """bucket, piece: of the distinct values(piece) those that meet others at a variant one bit away from both, or equal to one.
 
-    parts = []
-    for t in range(tables):
-        parts.append(ball(prints[t].bitwiseAND(F.lit(0xFFFFFFFF)), 2 * t))
-        parts.append(ball(F.shiftrightunsigned(prints[t], 32), 2 * t + 1))
-    return F.concat(*parts)
+    All values within two bits of each other meet. A variant has at most 33 senders, itself and its neighbours, so it
+    gathers them as bits of one mask: bit 0 for itself, bit i + 1 for the neighbour at bit i. The mask folds before the
+    shuffle, and no variant is a hot key. Two senders meet at two variants; the smaller one keeps them, which holds for
+    the senders up to the highest one whose bit is clear in the variant.
+    """
+    flips = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
+    itself = F.struct(F.col("piece").alias("variant"), F.lit(1).cast("long").alias("sender"))
+    neighbours = F.transform(flips, lambda bit: F.struct(F.col("piece").bitwiseXOR(bit).alias("variant"), (bit * 2).alias("sender")))
+    sent = values.select(F.inline(F.concat(F.array(itself), neighbours)))
+    met = sent.groupBy("variant").agg(F.bit_or("sender").alias("senders")).where("bit_count(senders) > 1")
+    below = F.col("senders").bitwiseAND(F.bitwise_not(F.col("variant") * 2)).bitwiseAND(F.lit((1 << 33) - 2))
+    for step in (1, 2, 4, 8, 16, 32):
+        met = met.withColumn("below", below)
+        below = F.col("below").bitwiseOR(F.shiftrightunsigned("below", step))
+    met = met.select("variant", F.col("senders").bitwiseAND(below).alias("senders")).where("bit_count(senders) > 1")
+    piece = F.when(F.col("bit") == 0, F.col("variant")).otherwise(
+        F.col("variant").bitwiseXOR(F.expr("shiftleft(1L, bit - 1)")))
+    return (met.select("variant", "senders", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bit"))
+            .where("shiftrightunsigned(senders, bit) & 1 = 1").select(F.col("variant").alias("bucket"), piece.alias("piece")))
 
 
 def _verified(limit: int):
@@ -148,19 +161,24 @@ def _verified(limit: int):
 def links(prints: DataFrame, tables: int = 1, limit: int = 3) -> DataFrame:
     """Verified links a, b between the nodes of prints(node long, prints array<long>), enough to connect whatever is linked.
 
-    Two fingerprints within three bits have a half in which they differ by at most half that radius, one bit: the balls of
-    the halves meet. The buckets that hold more than one member are compared in blocks; a bucket of more than `BLOCK`
-    members becomes pairs of blocks, so no task holds a hot bucket and no pair is written out.
+    Nodes are compared where some half of theirs differs by two bits at most: the balls of radius one around such halves
+    meet. (Two fingerprints within three bits always have such a half.) Equal halves send one ball. Nodes of a bucket are
+    compared in blocks; a bucket of more than `BLOCK` members becomes pairs of blocks, so no task holds a hot bucket and no
+    pair is written out.
     """
-    near = prints.select("node", F.explode(_balls(F.col("prints"), tables)).alias("key"))
-    sizes = near.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = near.join(sizes, "key").withColumn("cells", F.ceil(F.col("n") / BLOCK).cast("int"))
+    pieces = prints.select("node", F.explode(_pieces(F.col("prints"), tables)).alias("piece"))
+    values = stored(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
+    # nodes with an equal half meet in a bucket of its own
+    alike = values.where("n > 1").select((-F.col("piece") - 1).alias("bucket"), "piece")
+    shared = stored(_meetings(values).union(alike).join(pieces, "piece").select("bucket", "node"))
+    sizes = shared.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"))
+    shared = shared.join(sizes, "bucket")
     # with one table the node is the fingerprint; else the few rows that share a bucket fetch theirs
     shared = shared.withColumn("prints", F.array("node")) if tables == 1 else shared.join(prints.select("node", "prints"), "node")
-    cell = F.pmod(F.xxhash64("node", "key"), F.col("cells")).cast("int")
-    dealt = (shared.withColumn("cell", cell).select("node", "prints", "key", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
-             .select("key", F.least("cell", "other").cast("long").alias("i"), F.greatest("cell", "other").cast("long").alias("j"), "node", "prints"))
-    return (dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    cell = F.pmod(F.xxhash64("node", "bucket"), F.col("cells")).cast("int")
+    dealt = (shared.withColumn("cell", cell).select("node", "prints", "bucket", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+             .select("bucket", F.least("cell", "other").cast("long").alias("i"), F.greatest("cell", "other").cast("long").alias("j"), "node", "prints"))
+    return (dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
             .mapInArrow(_verified(limit), "a long, b long"))
 
 
@@ -171,7 +189,7 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Words are split at ASCII white space after lower-casing A-Z; repeated shingles count as often as they stand; a text
     of fewer words is one shingle, one without words has fingerprint zero and links like any other. With one table and
     `limit` 3 every pair of fingerprints at three or fewer differing bits is linked. With more tables the distance is that
-    of all 64 * tables bits and a pair is found when some half agrees but for one bit; `simhash_recall` gives the chance.
+    of all 64 * tables bits and a pair is found when some half agrees but for two bits; `simhash_recall` gives the chance.
 
     Null texts count as empty. Null ids never become a component_id unless a component holds no other. Repeated rows share
     a component. An empty table gives no rows; further columns play no part.
@@ -193,9 +211,10 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def simhash_recall(share: float, tables: int) -> float:
-    """Chance that a pair whose fingerprints differ in this share of bits is found with so many tables."""
-    one = (1 - share) ** 32 + 32 * share * (1 - share) ** 31
-    return 1 - (1 - one) ** (2 * tables)
+    """The chance that a pair whose fingerprints differ in this share of bits is found with so many tables."""
+    same = 1 - share
+    two = same ** 32 + 32 * share * same ** 31 + 496 * share ** 2 * same ** 30
+    return 1 - (1 - two) ** (2 * tables)
 
 
 def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, tables: int = 6,
