@@ -85,20 +85,18 @@ def _meetings(values: DataFrame) -> DataFrame:
     shuffle, and no variant is a hot key. Two senders meet at two variants; the smaller one keeps them, which holds for
     the senders up to the highest one whose bit is clear in the variant.
     """
-    flips = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
-    itself = F.struct(F.col("piece").alias("variant"), F.lit(1).cast("long").alias("sender"))
-    neighbours = F.transform(flips, lambda bit: F.struct(F.col("piece").bitwiseXOR(bit).alias("variant"), (bit * 2).alias("sender")))
-    sent = values.select(F.inline(F.concat(F.array(itself), neighbours)))
+    bit = F.explode(F.array(*[F.lit(i) for i in range(33)])).alias("bit")
+    variant = F.expr("CASE WHEN bit = 0 THEN piece ELSE piece ^ shiftleft(1L, bit - 1) END").alias("variant")
+    sent = values.select("piece", bit).select(variant, F.expr("shiftleft(1L, bit)").alias("sender"))
     met = sent.groupBy("variant").agg(F.bit_or("sender").alias("senders")).where("bit_count(senders) > 1")
     below = F.col("senders").bitwiseAND(F.bitwise_not(F.col("variant") * 2)).bitwiseAND(F.lit((1 << 33) - 2))
     for step in (1, 2, 4, 8, 16, 32):
         met = met.withColumn("below", below)
         below = F.col("below").bitwiseOR(F.shiftrightunsigned("below", step))
     met = met.select("variant", F.col("senders").bitwiseAND(below).alias("senders")).where("bit_count(senders) > 1")
-    piece = F.when(F.col("bit") == 0, F.col("variant")).otherwise(
-        F.col("variant").bitwiseXOR(F.expr("shiftleft(1L, bit - 1)")))
-    return (met.select("variant", "senders", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bit"))
-            .where("shiftrightunsigned(senders, bit) & 1 = 1").select(F.col("variant").alias("bucket"), piece.alias("piece")))
+    piece = F.expr("CASE WHEN bit = 0 THEN variant ELSE variant ^ shiftleft(1L, bit - 1) END")
+    return (met.select("variant", "senders", bit).where("shiftrightunsigned(senders, bit) & 1 = 1")
+            .select(F.col("variant").alias("bucket"), piece.alias("piece")))
 
 
 def _verified(limit: int):
@@ -217,7 +215,7 @@ def simhash_recall(share: float, tables: int) -> float:
     return 1 - (1 - two) ** (2 * tables)
 
 
-def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, tables: int = 6,
+def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, tables: int = 8,
                       similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, all columns, that bear the smallest id of their near-duplicate group; ids are taken as unique.
 
