@@ -86,6 +86,8 @@ def _meetings(values: DataFrame) -> DataFrame:
     the senders up to the highest one whose bit is clear in the variant.
     """
     bit = F.explode(F.array(*[F.lit(i) for i in range(33)])).alias("bit")
+    # values are small but become 33 rows each: as many tasks as a shuffle has, not as few as their files
+    values = values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "piece")
     variant = F.expr("CASE WHEN bit = 0 THEN piece ELSE piece ^ shiftleft(1L, bit - 1) END").alias("variant")
     sent = values.select("piece", bit).select(variant, F.expr("shiftleft(1L, bit)").alias("sender"))
     met = sent.groupBy("variant").agg(F.bit_or("sender").alias("senders")).where("bit_count(senders) > 1")
