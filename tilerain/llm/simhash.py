@@ -18,26 +18,32 @@ GOLDEN = 0x9E3779B97F4A7C15
 
 def _tables(h: np.ndarray, tables: int) -> np.ndarray:
     """tables x n hashes: the first is h itself, the others are mixed from it."""
-    out = np.empty((tables, len(h)), np.uint64)
-    out[0] = h
-    for t in range(1, tables):
-        x = h + np.uint64(GOLDEN * t & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
-        out[t] = x ^ (x >> np.uint64(31))
-    return out
-
-
-def _majority(h: np.ndarray) -> int:
-    """The 64 bits that are set in more than half of the hashes."""
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        bits = np.unpackbits(h[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        whole = len(bits) // 255 * 255
-        if whole:
-            total += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        total += bits[whole:].sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    salts = np.array([GOLDEN * t & 0xFFFFFFFFFFFFFFFF for t in range(1, tables)], np.uint64)
+    x = h + salts[:, None]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
+    return np.concatenate((h[None], x ^ (x >> np.uint64(31))))
+
+
+def _majority(h: np.ndarray) -> list[int]:
+    """Per row of h (tables x n) the 64 bits that are set in more than half of its hashes.
+
+    Bits are added as whole words: three words of one weight become their sum and a carry of twice the weight, until few
+    words of each weight are left to count one by one.
+    """
+    total = np.zeros((len(h), 64), np.int64)
+    words, weight = h, 1
+    while words is not None:
+        carries = []
+        while (third := words.shape[1] // 3) >= 8:
+            a, b, c = (words[:, i * third:(i + 1) * third] for i in range(3))
+            odd = a ^ b
+            carries.append((a & b) | (odd & c))
+            words = np.concatenate((odd ^ c, words[:, 3 * third:]), axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(h), -1, 8), axis=2, bitorder="little")
+        total += weight * bits.reshape(len(h), -1, 64).sum(axis=1, dtype=np.uint8).astype(np.int64)  # below 32 words
+        words, weight = np.concatenate(carries, axis=1) if carries else None, 2 * weight
+    return np.packbits(total * 2 > h.shape[1], axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
 def simhash(text: str, shingle: int = 3, tables: int = 1, seed: int = 42) -> list[int]:
@@ -52,7 +58,7 @@ def simhash(text: str, shingle: int = 3, tables: int = 1, seed: int = 42) -> lis
     stops = (ends[k - 1:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
-    return [_majority(x) for x in _tables(h, tables)]
+    return _majority(_tables(h, tables))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, tables: int = 1,
