@@ -28,20 +28,21 @@ def _tables(h: np.ndarray, tables: int) -> np.ndarray:
 def _majority(h: np.ndarray) -> list[int]:
     """Per row of h (tables x n) the 64 bits that are set in more than half of its hashes.
 
-    Bits are added as whole words: three words of one weight become their sum and a carry of twice the weight, until few
-    words of each weight are left to count one by one.
+    Bits are added as whole words: three words of one weight become their sum and a carry of twice the weight, until the
+    words left of each weight are quicker to count one by one (at most 255, which a byte can count).
     """
     total = np.zeros((len(h), 64), np.int64)
     words, weight = h, 1
     while words is not None:
         carries = []
-        while (third := words.shape[1] // 3) >= 8:
+        while words.shape[1] > 255 or len(h) * words.shape[1] > 768:
+            third = words.shape[1] // 3
             a, b, c = (words[:, i * third:(i + 1) * third] for i in range(3))
             odd = a ^ b
             carries.append((a & b) | (odd & c))
             words = np.concatenate((odd ^ c, words[:, 3 * third:]), axis=1)
         bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(h), -1, 8), axis=2, bitorder="little")
-        total += weight * bits.reshape(len(h), -1, 64).sum(axis=1, dtype=np.uint8).astype(np.int64)  # below 32 words
+        total += weight * bits.reshape(len(h), -1, 64).sum(axis=1, dtype=np.uint8).astype(np.int64)
         words, weight = np.concatenate(carries, axis=1) if carries else None, 2 * weight
     return np.packbits(total * 2 > h.shape[1], axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
