@@ -215,6 +215,41 @@ def test_random_patches_stop_at_the_quota(spark):
     assert all(r["x0"] >= 10 for r in out) and all(r["tile_id"] == 0 for r in out)
 
 
+def test_short_tiles_fail_in_the_strict_draw(spark):
+    tiles = spark.createDataFrame([(1, 20, 20, [1] * 400, [0] * 400)], "tile_id long, h int, w int, m array<int>, c array<int>")
+    with pytest.raises(Exception, match="too few patches"):
+        G.random_patches(tiles, 5, 6, 9, "m", "c", 0.0, 0.0, 50, strict=True).collect()
+
+
+def test_patches_of_a_tile_of_real_size(spark):
+    from tilerain.plans.patch_plan import patches
+    n = 400 * 400
+    value = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: (p % 9973).cast("float"))
+    tiles = spark.range(1).select(
+        F.col("id").alias("tile_id"), F.lit("train").alias("split"), F.lit(400).alias("h"), F.lit(400).alias("w"), value.alias("vv"),
+        value.alias("vh"), F.array_repeat(F.lit(1), n).alias("red"), F.array_repeat(F.lit(4), n).alias("scl"),
+        *[value.alias(f"b{i}") for i in range(14)])
+    out = patches(tiles, ["vv", "vh", *[f"b{i}" for i in range(14)]], 64, "strided", stride=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+    got = out.select("x0", "y0", F.size("channels").alias("k"), F.element_at(F.col("channels")["b13"], -1).alias("last")).collect()
+    assert len({(r["x0"], r["y0"]) for r in got}) == len(got) == 43 * 43
+    assert all(r["k"] == 16 and r["last"] == ((r["x0"] + 63) * 400 + r["y0"] + 63) % 9973 for r in got)
+
+
+def test_cut_windows_keep_nulls_and_skip_tiles_without_spots(spark):
+    rows = [(1, 2, 3, [1, None, 3, 4, 5, 6], [(0, 0), (0, 1)]), (2, 2, 3, [0] * 6, []), (3, 2, 3, [0] * 6, None)]
+    tiles = spark.createDataFrame(rows, "tile_id long, h int, w int, v array<int>, spots array<struct<x0:int,y0:int>>")
+    got = sorted(tuple(r) for r in G.cut_windows(tiles, ["v"], 2).collect())
+    assert got == [(1, 0, 0, [1, None, 4, 5]), (1, 0, 1, [None, 3, 5, 6])]
+
+
+def test_fixed_patches_by_missing_share(spark):
+    stack = spark.createDataFrame([(0, 0, 4, 4, [1] * 8 + [0] * 8)], "y int, x int, h int, w int, m array<int>")
+    spots = spark.createDataFrame([(0, 0, i, 0) for i in range(4)], "y int, x int, i int, j int")
+    assert sorted(r["i"] for r in G.fixed_patches(stack, spots, 2, "m", 0.5).collect()) == [1, 2]
+
+
 def test_random_draws_do_not_depend_on_partitioning(spark):
     cells = spark.range(400).select((F.col("id") % 20).cast("int").alias("y"), F.floor(F.col("id") / 20).cast("int").alias("x"), F.lit(0).alias("t"), F.lit(1.0).alias("precip"))
     pool = E.valid_cells(cells)

@@ -1,13 +1,15 @@
 """Patch positions, extraction and sampling.
 
-Tiles come as rows of row-major channel arrays. A patch is cut with array slices of its own tile row, so extraction is
-narrow. Acceptance tests use summed-area tables: one lookup of four corners per candidate, whatever the patch size.
+Tiles come as rows of row-major channel arrays. Accepted corners are found inside the tile row, and windows are cut from
+it a few at a time, so extraction is narrow and no generator copies a tile. Acceptance tests use summed-area tables: one
+lookup of four corners per candidate, whatever the patch size.
 """
 
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,41 @@ def cut(data: Column, w: Column, x0: Column, y0: Column, size: int) -> Column:
     return F.flatten(rows)
 
 
+#: Values that one batch of cut windows holds at most (a window that is larger goes alone).
+BATCH_VALUES = 1 << 20
+
+
+def cut_windows(tiles: DataFrame, channels: Sequence[str], size: int, keys: Sequence[str] = ("tile_id",),
+                spots: str = "spots") -> DataFrame:
+    """(keys, x0, y0, channels): the size x size windows at the listed corners of each tile row, in few rows at a time.
+
+    `spots` is an array of structs with x0 and y0; null or empty lists give no rows.
+    """
+    types = {f.name: f.dataType for f in tiles.schema}
+    schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField(n, T.IntegerType()) for n in ("x0", "y0")]
+                          + [T.StructField(c, types[c]) for c in channels])
+    step = max(1, BATCH_VALUES // (size * size * len(channels)))
+    corners = [F.col(spots)[n].cast("array<int>").alias(f"_{n}") for n in ("x0", "y0")]
+    rows = tiles.select(*keys, "h", "w", *corners, *channels)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name).slice(at, 1) for name in batch.schema.names}
+                shape = row["h"][0].as_py(), row["w"][0].as_py()
+                x0, y0 = (row[n].flatten().to_numpy() for n in ("_x0", "_y0"))
+                # positions rather than values are cut, so that nulls of a channel stay nulls
+                place = np.lib.stride_tricks.sliding_window_view(np.arange(shape[0] * shape[1]).reshape(shape), (size, size))
+                for first in range(0, len(x0), step):
+                    xs, ys = x0[first:first + step], y0[first:first + step]
+                    index = pa.array(place[xs, ys].ravel())
+                    offsets = pa.array(np.arange(len(xs) + 1, dtype=np.int32) * (size * size))
+                    same = pa.array(np.zeros(len(xs), np.int64))
+                    cuts = [pa.ListArray.from_arrays(offsets, row[c].flatten().take(index)) for c in channels]
+                    yield pa.record_batch([*[row[k].take(same) for k in keys], pa.array(xs), pa.array(ys), *cuts], [f.name for f in schema])
+    return rows.mapInArrow(run, schema)
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def summed_area(flags: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """(h + 1) x (w + 1) table of flag counts above and left of each corner."""
@@ -64,6 +101,10 @@ def summed_area(flags: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+#: A filter on its result would otherwise compute a tile's table twice.
+summed_area = summed_area.asNondeterministic()
+
+
 def window_count(table: Column, w: Column, x0: Column, y0: Column, size: int) -> Column:
     def at(r: Column, c: Column) -> Column:
         return F.get(table, (r * (w + 1) + c).cast("int"))
@@ -83,18 +124,32 @@ def accepted(x0: Column, y0: Column, size: int, max_missing: float, max_cloud: f
             & (window_count(F.col("_cloud"), w, x0, y0, size) / area <= d(max_cloud)))
 
 
+def strided_spots(tiles: DataFrame, size: int, stride: int, missing: str, clouds: str, max_missing: float,
+                  max_cloud: float) -> DataFrame:
+    """Adds `spots`, the accepted corners (x0, y0) with edge coverage, to each tile row."""
+    rows, columns = axis_positions(F.col("h"), size, stride), axis_positions(F.col("w"), size, stride)
+    every = F.flatten(F.transform(rows, lambda x: F.transform(columns, lambda y: F.struct(x.alias("x0"), y.alias("y0")))))
+    good = F.filter(every, lambda s: accepted(s["x0"], s["y0"], size, max_missing, max_cloud))
+    return with_tables(require_fit(tiles, size), missing, clouds).withColumn("spots", good).drop("_miss", "_cloud")
+
+
+def listed(tiles: DataFrame, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
+    """One row per entry of `spots`, with the keys alone: tile-sized columns don't pass through the generator."""
+    return tiles.select(*keys, "spots").select(*keys, F.inline("spots"))
+
+
 def strided_patches(tiles: DataFrame, size: int, stride: int, missing: str, clouds: str, max_missing: float,
-                    max_cloud: float) -> DataFrame:
-    """Accepted (tile, x0, y0) with edge coverage."""
-    spots = strided_positions(with_tables(tiles, missing, clouds), size, stride)
-    return spots.where(accepted(F.col("x0"), F.col("y0"), size, max_missing, max_cloud)).drop("_miss", "_cloud")
+                    max_cloud: float, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
+    """Accepted (keys, x0, y0) with edge coverage."""
+    return listed(strided_spots(tiles, size, stride, missing, clouds, max_missing, max_cloud), keys)
 
 
-def random_patches(tiles: DataFrame, size: int, samples: int, seed: int, missing: str, clouds: str, max_missing: float,
-                   max_cloud: float, max_attempts: int = 20000, kind: str = "hash") -> DataFrame:
-    """The first `samples` accepted of at most `max_attempts` drawn top-left corners per tile; short tiles keep fewer.
+def random_spots(tiles: DataFrame, size: int, samples: int, seed: int, missing: str, clouds: str, max_missing: float,
+                 max_cloud: float, max_attempts: int = 20000, kind: str = "hash", strict: bool = False) -> DataFrame:
+    """Adds `spots` (attempt, x0, y0): the first `samples` accepted of at most `max_attempts` drawn corners of each tile row.
 
-    Attempts are numbers and acceptance is four lookups, so all of a tile's draws stay inside its row.
+    A tile that yields too few keeps those, or fails if `strict`. Attempts are numbers and acceptance is four lookups, so
+    all of a tile's draws stay inside its row.
     """
     h, w = F.col("h"), F.col("w")
     mixed = lambda k, salt: random_key([F.col("tile_id"), k], seed + salt, "hash") if kind == "hash" else (
@@ -107,13 +162,33 @@ def random_patches(tiles: DataFrame, size: int, samples: int, seed: int, missing
 
     draws = F.transform(F.sequence(F.lit(1), F.lit(max_attempts)), draw)
     good = F.filter(draws, lambda s: accepted(s["x0"], s["y0"], size, max_missing, max_cloud))
-    return (with_tables(require_fit(tiles, size), missing, clouds)
-            .select("*", F.inline(F.slice(good, 1, samples))).drop("_miss", "_cloud"))
+    found = (with_tables(require_fit(tiles, size), missing, clouds)
+             .withColumn("spots", F.slice(good, 1, samples)).drop("_miss", "_cloud"))
+    if not strict:
+        return found
+    text = F.concat(F.lit("too few patches accepted on tile "), F.col("tile_id").cast("string"))
+    return found.withColumn("spots", F.when(F.size("spots") == samples, F.col("spots")).otherwise(F.raise_error(text)))
 
 
-def fixed_patches(stacks: DataFrame, spots: DataFrame, size: int) -> DataFrame:
-    """Listed (y, x, i, j) corners on the stacks of the same cell, when they fit."""
-    return stacks.join(spots, ["y", "x"]).where((F.col("i") + size <= F.col("h")) & (F.col("j") + size <= F.col("w")))
+def random_patches(tiles: DataFrame, size: int, samples: int, seed: int, missing: str, clouds: str, max_missing: float,
+                   max_cloud: float, max_attempts: int = 20000, kind: str = "hash", strict: bool = False,
+                   keys: Sequence[str] = ("tile_id",)) -> DataFrame:
+    """Accepted (keys, attempt, x0, y0), see `random_spots`."""
+    return listed(random_spots(tiles, size, samples, seed, missing, clouds, max_missing, max_cloud, max_attempts, kind, strict), keys)
+
+
+def fixed_patches(stacks: DataFrame, spots: DataFrame, size: int, missing: str | None = None,
+                  max_missing: float = 0.0) -> DataFrame:
+    """Listed (y, x, i, j) corners on the stacks of the same cell, when they fit.
+
+    `missing` names a flag array of the stacks; windows with a share of missing pixels above `max_missing` drop out.
+    """
+    fit = (F.col("i") + size <= F.col("h")) & (F.col("j") + size <= F.col("w"))
+    if missing is None:
+        return stacks.join(spots, ["y", "x"]).where(fit)
+    tables = stacks.withColumn("_miss", summed_area(F.col(missing), F.col("h"), F.col("w"))).drop(missing)
+    share = window_count(F.col("_miss"), F.col("w"), F.col("i"), F.col("j"), size) / d(size * size)
+    return tables.join(spots, ["y", "x"]).where(fit & (share <= d(max_missing))).drop("_miss")
 
 
 def grid_patches(pixels: DataFrame, size: int, missing: Column, tile: str = "tile_id") -> DataFrame:

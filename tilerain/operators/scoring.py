@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilerain.functions.bands import d, masked_prediction, predicted
-from tilerain.operators.patches import axis_positions, cut, require_fit, strided_positions
+from tilerain.operators.patches import axis_positions, cut_windows, require_fit
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 
@@ -36,9 +36,9 @@ def window_weights(size: int, kind: str = "uniform", floor: float = 1e-3) -> lis
 
 def windows(tiles: DataFrame, channels: Sequence[str], size: int, stride: int) -> DataFrame:
     """Sliding windows with edge coverage; each channel array is cut to the window. Narrow."""
-    spots = strided_positions(tiles, size, stride)
-    cuts = [cut(F.col(c), F.col("w"), F.col("x0"), F.col("y0"), size).alias(c) for c in channels]
-    return spots.select("tile_id", "x0", "y0", *cuts)
+    rows, columns = axis_positions(F.col("h"), size, stride), axis_positions(F.col("w"), size, stride)
+    every = F.flatten(F.transform(rows, lambda x: F.transform(columns, lambda y: F.struct(x.alias("x0"), y.alias("y0")))))
+    return cut_windows(require_fit(tiles, size).withColumn("spots", every), channels, size)
 
 
 def scored_windows(cut_windows: DataFrame, channels: Sequence[str], size: int, factory: Callable[[], Scorer]) -> DataFrame:

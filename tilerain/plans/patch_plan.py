@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilerain.operators.patches import cut, random_patches, strided_patches
+from tilerain.operators.patches import cut_windows, random_spots, strided_spots
 from tilerain.operators.stacking import exploded
 from tilerain.operators.stats import masked_moments
 from tilerain.schema import CLOUD_CLASSES, SAR_NODATA
@@ -31,10 +31,11 @@ def patches(tiles: DataFrame, channels: Sequence[str], size: int, method: str, s
     """(split, tile_id, x0, y0, size, channels) rows of accepted windows. Narrow from the tile rows on."""
     ready = flagged(tiles)
     if method == "strided":
-        spots = strided_patches(ready, size, stride, "missing", "clouds", max_missing, max_cloud)
+        spots = strided_spots(ready, size, stride, "missing", "clouds", max_missing, max_cloud)
     elif method == "random":
-        spots = random_patches(ready, size, samples, seed, "missing", "clouds", max_missing, max_cloud)
+        spots = random_spots(ready, size, samples, seed, "missing", "clouds", max_missing, max_cloud)
     else:
         raise ValueError(f"unknown method {method!r}, use 'random' or 'strided'")
-    arrays = [v for c in channels for v in (F.lit(c), cut(F.col(c), F.col("w"), F.col("x0"), F.col("y0"), size).cast("array<float>"))]
-    return spots.select("split", "tile_id", "x0", "y0", F.lit(size).alias("size"), F.create_map(*arrays).alias("channels"))
+    wins = cut_windows(spots, channels, size, ["split", "tile_id"])
+    arrays = [v for c in channels for v in (F.lit(c), F.col(c).cast("array<float>"))]
+    return wins.select("split", "tile_id", "x0", "y0", F.lit(size).alias("size"), F.create_map(*arrays).alias("channels"))

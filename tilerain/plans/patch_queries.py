@@ -39,8 +39,8 @@ def strided_patches(spark, sf):
 @query("patch_pixels", FLAGS + POS + """, ok AS (SELECT tile_id, x0, y0 FROM fl, ps, qs WHERE r BETWEEN x0 AND x0+2 AND c BETWEEN y0 AND y0+2 GROUP BY ALL HAVING sum(ms) = 0 AND sum(cl)/9.0::double <= 0.2)
 SELECT ok.tile_id, x0, y0, cast((r-x0)*3 + c-y0 AS int) pos, v FROM ok JOIN fl ON fl.tile_id=ok.tile_id AND r BETWEEN x0 AND x0+2 AND c BETWEEN y0 AND y0+2""", "pixel_ext")
 def patch_pixels(spark, sf):
-    kept = G.strided_patches(_flag_tiles(spark, sf), 3, 2, "missing", "clouds", 0.0, 0.2)
-    return kept.select("tile_id", "x0", "y0", F.posexplode(G.cut(F.col("data"), F.col("w"), F.col("x0"), F.col("y0"), 3)).alias("pos", "v"))
+    kept = G.cut_windows(G.strided_spots(_flag_tiles(spark, sf), 3, 2, "missing", "clouds", 0.0, 0.2), ["data"], 3)
+    return kept.select("tile_id", "x0", "y0", F.posexplode("data").alias("pos", "v"))
 
 
 @query("random_patches", FLAGS + f""", tries AS (SELECT vec_id tile_id, cast(k AS int) attempt, cast(floor({MIX.format(k='vec_id*1000 + k + 21')}*5/4294967296.0::double) AS int) x0, cast(floor({MIX.format(k='vec_id*1000 + k + 22')}*5/4294967296.0::double) AS int) y0 FROM embeddings, (SELECT range k FROM range(1, 26))),
