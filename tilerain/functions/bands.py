@@ -69,12 +69,25 @@ def optical_missing(red_dn: Column, *indices: Column) -> Column:
     return missing
 
 
+def blanked(index: Column, red_dn: Column) -> Column:
+    """The index as it is exported: its missing value where the red number is 0."""
+    return F.when(red_dn == 0, d(INDEX_NODATA)).otherwise(index)
+
+
+# ---- fixed values: bands that each water index is computed from ----
+INDEX_INPUTS = {"ndwi": ["green", "nir"], "mndwi": ["green", "swir1"], "awei_sh": ["blue", "green", "nir", "swir1", "swir2"],
+                "awei_nsh": ["green", "nir", "swir1", "swir2"]}
+
+
 def radar_missing(vv: Column, vh: Column, red_dn: Column) -> Column:
     return (vv == d(SAR_NODATA)) | (vh == d(SAR_NODATA)) | (red_dn == 0)
 
 
 def selected_missing(selected: list[str], bands: dict[str, tuple[Column, Column]]) -> Column:
-    """Union over the selected channels only; `bands` maps a channel to (its raw number, its index or None)."""
+    """Union over the selected channels only; `bands` maps a channel to (its raw number or None, its index or None).
+
+    An index is also missing where the raw number of any band that it is computed from is 0, so those must be in `bands`.
+    """
     missing = F.lit(False)
     for name in selected:
         if name not in bands:
@@ -84,6 +97,10 @@ def selected_missing(selected: list[str], bands: dict[str, tuple[Column, Column]
             missing = missing | (dn == 0)
         if index is not None:
             missing = missing | (index == d(INDEX_NODATA))
+        for band in INDEX_INPUTS.get(name, []):
+            if band not in bands:
+                raise ValueError(f"index {name!r} needs the raw numbers of {band!r}")
+            missing = missing | (bands[band][0] == 0)
     return missing
 
 

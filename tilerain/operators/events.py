@@ -65,7 +65,7 @@ def random_events(pool: DataFrame, cells: DataFrame, days: int, n: int, seed: in
 def dry_interval_starts(cells: DataFrame, length: int, threshold: float | None, lead: int = 0) -> DataFrame:
     """Start days whose interval (and `lead` days before it) stays below the threshold in every cell-day.
 
-    Missing rain counts as dry. Without a threshold the last start is excluded, as in the original sampler.
+    Missing rain and absent days count as dry; a cell's series ends with its last day. Without a threshold the last start is excluded, as in the original sampler.
     One window group is one cell's day series.
     """
     if length <= 0:
@@ -73,7 +73,7 @@ def dry_interval_starts(cells: DataFrame, length: int, threshold: float | None,
     if lead < 0:
         raise ValueError("lead must not be negative")
     series = Window.partitionBy("y", "x")
-    span = F.count(F.lit(1)).over(series)
+    span = F.max("t").over(series) + 1
     if threshold is None:
         return cells.withColumn("_n", span).where(F.col("t") < F.col("_n") - length).select("y", "x", "t")
     bad = F.when(F.col("precip") >= threshold, 1).otherwise(0)

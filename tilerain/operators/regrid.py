@@ -22,13 +22,13 @@ def dense_grid(keys: DataFrame, height: Column | int, width: Column | int) -> Da
 
 def crop(pixels: DataFrame, bounds: DataFrame, grid: Grid, value: str, nodata: float = 0.0,
          tile: Sequence[str] = ("tile_id",)) -> DataFrame:
-    """Crops to (west, south, east, north) per tile in the tile's own grid; nodata outside the raster."""
+    """Crops to (west, south, east, north) per tile in the tile's own grid; nodata outside the raster. Half pixels round to even."""
     ulx, sx, uly, sy = grid
     b = bounds.select(
-        *tile, F.round((F.col("west") - ulx) / sx).cast("int").alias("_c0"),
-        F.round((F.col("north") - uly) / sy).cast("int").alias("_r0"),
-        F.round((F.col("east") - F.col("west")) / sx).cast("int").alias("_w"),
-        F.round((F.col("south") - F.col("north")) / sy).cast("int").alias("_h"))
+        *tile, F.rint((F.col("west") - ulx) / sx).cast("int").alias("_c0"),
+        F.rint((F.col("north") - uly) / sy).cast("int").alias("_r0"),
+        F.rint((F.col("east") - F.col("west")) / sx).cast("int").alias("_w"),
+        F.rint((F.col("south") - F.col("north")) / sy).cast("int").alias("_h"))
     wanted = dense_grid(b, F.col("_h"), F.col("_w"))
     source = pixels.select(*tile, F.col("r").alias("_sr"), F.col("c").alias("_sc"), F.col(value))
     at = wanted.withColumn("_sr", F.col("r") + F.col("_r0")).withColumn("_sc", F.col("c") + F.col("_c0"))

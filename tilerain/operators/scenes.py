@@ -105,8 +105,12 @@ def post_event_only(scenes: DataFrame) -> DataFrame:
     return scenes.where(F.col("dt").cast("timestamp_ntz") >= rain_day_start(F.col("event_date"), hour=0))
 
 
+def id_has_any(wanted: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in wanted]), lambda w: F.contains(F.col("item_id"), w))
+
+
 def id_contains_any(scenes: DataFrame, wanted: list[str]) -> DataFrame:
-    return scenes.where(F.exists(F.array(*[F.lit(w) for w in wanted]), lambda w: F.contains(F.col("item_id"), w)))
+    return scenes.where(id_has_any(wanted))
 
 
 def dual_polarized(scenes: DataFrame, assets: tuple[str, ...] = ("vv", "vh")) -> DataFrame:

@@ -91,15 +91,18 @@ def union_once(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return first_per_key(all_rows, keys, ["dir_rank"])
 
 
-def missing_files(files: DataFrame, patterns: dict[str, str]) -> DataFrame:
+def missing_files(files: DataFrame, patterns: dict[str, str], events: DataFrame | None = None) -> DataFrame:
     """Per event the required file kinds without a non-empty file; `complete` when none is missing.
 
-    One boolean per pattern in a single aggregate, patterns anchored at the start of the name.
+    With `events` (distinct eid) exactly those are reported; one without any file lacks every kind. One boolean per pattern
+    in a single aggregate, patterns anchored at the start of the name.
     """
     found = {kind: F.bool_or(F.col("name").rlike("^" + rx) & (F.col("size_bytes") > 0)).alias(f"_{i}")
              for i, (kind, rx) in enumerate(patterns.items())}
     rows = files.groupBy("eid").agg(*found.values())
-    absent = F.array_compact(F.array(*[F.when(~F.col(f"_{i}"), F.lit(kind)) for i, kind in enumerate(patterns)]))
+    if events is not None:
+        rows = events.select("eid").join(rows, "eid", "left")
+    absent = F.array_compact(F.array(*[F.when(~F.coalesce(f"_{i}", F.lit(False)), F.lit(kind)) for i, kind in enumerate(patterns)]))
     return rows.select("eid", absent.alias("missing")).withColumn("complete", F.size("missing") == 0)
 
 
@@ -118,7 +121,7 @@ def inconsistent_rasters(rasters: DataFrame, tolerance: float = 1e-5) -> DataFra
 
     `transform` is an array of six doubles. Files fold map-side to one row per distinct layout of an event before anything
     is compared, so an event with very many files costs no more than its few layouts. Consistent events have
-    `mismatched_file` NULL.
+    `mismatched_file` NULL. A file without a CRS differs from one that has it.
     """
     layouts = rasters.groupBy("eid", "h", "w", "crs", "transform").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n"))
     reference = layouts.groupBy("eid").agg(F.min_by(F.struct("h", "w", "crs", "transform"), "name").alias("_ref"),
@@ -126,7 +129,7 @@ def inconsistent_rasters(rasters: DataFrame, tolerance: float = 1e-5) -> DataFra
     off = F.exists(F.arrays_zip(F.col("transform").alias("a"), F.col("_ref.transform").alias("b")),
                    lambda s: F.abs(s["a"] - s["b"]) >= tolerance)
     reason = (F.when((F.col("h") != F.col("_ref.h")) | (F.col("w") != F.col("_ref.w")), "shape")
-              .when(F.col("crs") != F.col("_ref.crs"), "crs").when(off, "transform"))
+              .when(~F.col("crs").eqNullSafe(F.col("_ref.crs")), "crs").when(off, "transform"))
     judged = layouts.join(reference, "eid").withColumn("_reason", reason)
     bad = F.col("_reason").isNotNull()
     return judged.groupBy("eid").agg(

@@ -35,12 +35,20 @@ def water_indices(spark, sf):
 
 
 @query("missing_masks", BANDS_SQL + """ SELECT tile_id, r, c, d04 = 0 OR ndwi = -999999 OR mndwi = -999999 OR awei_sh = -999999 OR awei_nsh = -999999 optical,
-vv_db = -9999 OR vh_db = -9999 OR d04 = 0 radar, d08 = 0 OR d03 = 0 OR ndwi = -999999 selected FROM idx""", "pixel_ext")
+vv_db = -9999 OR vh_db = -9999 OR d04 = 0 radar, d03 = 0 OR d08 = 0 OR ndwi = -999999 selected,
+d02 = 0 OR d03 = 0 OR d08 = 0 OR d11 = 0 OR d12 = 0 OR awei_sh = -999999 indices_only FROM idx""", "pixel_ext")
 def missing_masks(spark, sf):
     c = F.col
-    picked = B.selected_missing(["green", "nir", "ndwi", "dem"], {"red": (c("d04"), None), "green": (c("d03"), None), "nir": (c("d08"), None), "ndwi": (None, c("ndwi"))})
+    numbers = {"blue": "d02", "green": "d03", "red": "d04", "nir": "d08", "swir1": "d11", "swir2": "d12"}
+    bands = {**{b: (c(n), None) for b, n in numbers.items()}, "ndwi": (None, c("ndwi")), "awei_sh": (None, c("awei_sh"))}
+    picked, alone = (B.selected_missing(s, bands) for s in (["green", "nir", "ndwi", "dem"], ["awei_sh", "dem"]))
     return _indices(spark, sf).select(*KEY, B.optical_missing(c("d04"), c("ndwi"), c("mndwi"), c("awei_sh"), c("awei_nsh")).alias("optical"),
-                                      B.radar_missing(c("vv_db"), c("vh_db"), c("d04")).alias("radar"), picked.alias("selected"))
+                                      B.radar_missing(c("vv_db"), c("vh_db"), c("d04")).alias("radar"), picked.alias("selected"), alone.alias("indices_only"))
+
+
+@query("exported_indices", BANDS_SQL + " SELECT tile_id, r, c, " + ", ".join(f"round(CASE WHEN d04 = 0 THEN -999999.0::double ELSE {n} END, 6) {n}" for n in ("ndwi", "mndwi", "awei_sh", "awei_nsh")) + " FROM idx", "pixel_ext")
+def exported_indices(spark, sf):
+    return _indices(spark, sf).select(*KEY, *[r6(B.blanked(F.col(n), F.col("d04"))).alias(n) for n in ("ndwi", "mndwi", "awei_sh", "awei_nsh")])
 
 
 @query("download_ndwi", f""" SELECT tile_id, r, c, round(CASE WHEN b03=0 OR b08=0 THEN -999999.0::double WHEN img_date >= date '2022-01-25' THEN

@@ -231,10 +231,10 @@ def state_of_events(spark, sf):
 
 @query("area_scenes", """WITH a AS (SELECT s_nationkey area_id, min(s_suppkey % 30 / 10.0::double) x0, max(s_suppkey % 30 / 10.0::double + 0.3::double) x1, min(s_suppkey % 17 / 10.0::double) y0, max(s_suppkey % 17 / 10.0::double + 0.3::double) y1 FROM supplier GROUP BY 1),
 b AS (SELECT area_id, x0 - (x1-x0)*0.2 minx, x1 + (x1-x0)*0.2 maxx, y0 - (y1-y0)*0.2 miny, y1 + (y1-y0)*0.2 maxy, date '2024-01-03' + cast(area_id % 10 AS int) sd, CASE WHEN area_id % 3 = 0 THEN 'EPSG:32618' END crs FROM a),
-s AS (SELECT event_id item_id, CASE WHEN event_type IN ('click','view') THEN 's2' ELSE 's1' END sensor, ts dt, concat('EPSG:326', cast(13 + event_id % 5 AS varchar)) scrs, cast(event_id*53 % 101 AS double) ms, user_id % 15 + 0.05::double bx, user_id // 15 + 0.05::double by_ FROM events WHERE concat('P', event_id) LIKE '%1%' OR concat('P', event_id) LIKE '%8%'),
+s AS (SELECT event_id item_id, CASE WHEN event_type IN ('click','view') THEN 's2' ELSE 's1' END sensor, ts dt, concat('EPSG:326', cast(13 + event_id % 5 AS varchar)) scrs, cast(event_id*53 % 101 AS double) ms, user_id % 15 + 0.05::double bx, user_id // 15 + 0.05::double by_ FROM events WHERE event_type NOT IN ('click','view') OR concat('P', event_id) LIKE '%1%' OR concat('P', event_id) LIKE '%8%'),
 f AS (SELECT area_id, sensor, sd, crs, scrs, item_id, dt, cast(dt AS date) d, ms FROM b JOIN s ON minx <= bx+0.9 AND maxx >= bx AND miny <= by_+0.9 AND maxy >= by_ AND cast(dt AS date) BETWEEN sd AND sd + 14),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY area_id, sensor, d ORDER BY ms, item_id) rn FROM f) WHERE rn=1),
-c AS (SELECT area_id, arg_min(scrs, dt) fc FROM r GROUP BY 1)
+c AS (SELECT area_id, scrs fc FROM (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY CASE WHEN sensor = 's2' THEN 0 ELSE 1 END, dt, item_id) k FROM r) WHERE k=1)
 SELECT r.area_id, sensor, d scene_date, cast(item_id AS varchar) item_id, coalesce(crs, fc) crs, 2021 class_year FROM r JOIN c ON c.area_id=r.area_id""")
 def area_scenes(spark, sf):
     from tilerain.plans.area_plan import select_area_scenes
@@ -251,5 +251,5 @@ def area_scenes(spark, sf):
                       F.col("ts").alias("dt"), F.concat(F.lit("EPSG:326"), (13 + F.col("event_id") % 5).cast("string")).alias("crs"),
                       F.struct(bx.alias("minx"), by.alias("miny"), (bx + 0.9).alias("maxx"), (by + 0.9).alias("maxy")).alias("bbox"),
                       (F.col("event_id") * 53 % 101).cast("double").alias("missing_pct"), F.col("event_id").alias("ord"))
-    out = select_area_scenes(areas, scenes, ["1", "8"], 0.2, (1985, 2021))
+    out = select_area_scenes(areas, scenes, ["1", "8"], None, 0.2, (1985, 2021))
     return out.withColumn("item_id", F.expr("substring(item_id, 2)"))

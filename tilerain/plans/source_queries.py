@@ -155,11 +155,22 @@ def event_completeness(spark, sf):
 
 
 RASTERS = """WITH r AS (SELECT l_orderkey eid, concat(lpad(cast(l_linenumber AS varchar), 2, '0'), '_', l_partkey, '_', l_suppkey, '_', l_extendedprice) name, CASE WHEN l_partkey % 97 = 0 THEN 399 ELSE 400 END h, 400 w,
-CASE WHEN l_suppkey % 50 = 7 THEN 'EPSG:32613' ELSE 'EPSG:32614' END crs, CASE WHEN l_partkey % 61 = 0 THEN 10.5::double ELSE 10.0::double END sx FROM lineitem)"""
+CASE WHEN l_suppkey % 50 = 7 THEN 'EPSG:32613' WHEN l_suppkey % 50 = 9 THEN NULL ELSE 'EPSG:32614' END crs, CASE WHEN l_partkey % 61 = 0 THEN 10.5::double ELSE 10.0::double END sx FROM lineitem)"""
+
+
+@query("listed_event_completeness", """, f AS (SELECT regexp_extract(name, '([0-9]{8}_[0-9]+_[0-9]+)_v', 1) eid, name, size_bytes FROM raster_file), e AS (
+SELECT DISTINCT concat('20240101_', o_custkey % 40, '_', o_orderkey % 50) eid FROM orders), g AS (
+SELECT eid, coalesce(bool_or(name LIKE '%_vv.tif' AND size_bytes > 0), false) vv, coalesce(bool_or(name LIKE '%_vh.tif' AND size_bytes > 0), false) vh FROM e LEFT JOIN f USING (eid) GROUP BY eid)
+SELECT eid, concat_ws(',', CASE WHEN NOT vv THEN 'VV' END, CASE WHEN NOT vh THEN 'VH' END) missing, vv AND vh complete FROM g""", "raster_file")
+def listed_event_completeness(spark, sf):
+    files = C.named_files(X.raster_file(spark, sf)).select("eid", "name", "size_bytes")
+    part = lambda c, n: (F.col(c) % n).cast("string")
+    events = X.table(spark, sf, "orders").select(F.concat(F.lit("20240101_"), part("o_custkey", 40), F.lit("_"), part("o_orderkey", 50)).alias("eid")).distinct()
+    return K.missing_files(files, FILE_PATTERNS, events).withColumn("missing", F.array_join("missing", ","))
 
 
 @query("raster_consistency", RASTERS + """, d AS (SELECT DISTINCT * FROM r), f AS (SELECT *, first_value(h) OVER w rh, first_value(crs) OVER w rc, first_value(sx) OVER w rs FROM d WINDOW w AS (PARTITION BY eid ORDER BY name)),
-b AS (SELECT *, CASE WHEN h <> rh THEN 'shape' WHEN crs <> rc THEN 'crs' WHEN abs(sx - rs) >= 0.00001 THEN 'transform' END reason FROM f)
+b AS (SELECT *, CASE WHEN h <> rh THEN 'shape' WHEN crs IS DISTINCT FROM rc THEN 'crs' WHEN abs(sx - rs) >= 0.00001 THEN 'transform' END reason FROM f)
 SELECT eid, count(*) total_files, min(name) FILTER (reason IS NOT NULL) mismatched_file, arg_min(reason, name) FILTER (reason IS NOT NULL) reason, NOT bool_or(reason IS NOT NULL) is_valid FROM b GROUP BY eid""")
 def raster_consistency(spark, sf):
     li = X.table(spark, sf, "lineitem")
@@ -167,7 +178,7 @@ def raster_consistency(spark, sf):
     rasters = li.select(
         F.col("l_orderkey").alias("eid"), F.concat_ws("_", F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), p.cast("string"), F.col("l_suppkey").cast("string"), F.col("l_extendedprice").cast("string")).alias("name"),
         F.when(p % 97 == 0, 399).otherwise(400).alias("h"), F.lit(400).alias("w"),
-        F.when(F.col("l_suppkey") % 50 == 7, "EPSG:32613").otherwise("EPSG:32614").alias("crs"),
+        F.when(F.col("l_suppkey") % 50 == 7, "EPSG:32613").when(F.col("l_suppkey") % 50 == 9, None).otherwise("EPSG:32614").alias("crs"),
         F.array(F.when(p % 61 == 0, 10.5).otherwise(10.0), *[F.lit(0.0)] * 5).alias("transform")).distinct()
     return K.inconsistent_rasters(rasters)
 
