@@ -7,12 +7,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tilerain.functions import bands as B
 from tilerain.operators import events as E
+from tilerain.operators import losses as L
 from tilerain.operators import metrics as M
 from tilerain.operators import pairing as P
 from tilerain.operators import patches as G
 from tilerain.operators import ranking as K
+from tilerain.operators import regrid as R
 from tilerain.operators import scenes as S
+from tilerain.operators import stacking as C
 from tilerain.operators import stats as T
 
 START = datetime(2024, 3, 1)
@@ -98,12 +102,66 @@ def test_medians(spark):
     values = [(k, draw.uniform(-5, 5)) for k in (1, 2) for _ in range(20 + k)] + [(3, 0.0)] * 5
     df = spark.createDataFrame(values, "k int, v double")
     for how in ("lower", "average"):
-        for small in (0, 21, 10 ** 6):
-            got = {r["k"]: r["median"] for r in K.exact_median(df, ["k"], "v", how, small).collect()}
-            for k in (1, 2, 3):
-                part = sorted(v for q, v in values if q == k)
-                want = part[(len(part) - 1) // 2] if how == "lower" else float(np.median(part))
-                assert got[k] == pytest.approx(want)
+        got = {r["k"]: r["median"] for r in K.exact_median(df, ["k"], "v", how).collect()}
+        for k in (1, 2, 3):
+            part = sorted(v for q, v in values if q == k)
+            want = part[(len(part) - 1) // 2] if how == "lower" else float(np.median(part))
+            assert got[k] == pytest.approx(want)
+        part = sorted(v for _, v in values)
+        want = part[(len(part) - 1) // 2] if how == "lower" else float(np.median(part))
+        assert K.exact_median(df, [], "v", how).first()["median"] == pytest.approx(want)
+
+
+def test_median_of_special_values(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, v) for v in (1.0, 2.0, 3.0, nan, nan, nan)] + [(2, v) for v in (-inf, -1.0, 0.0, 5e-324, inf)] + [(3, None)]
+    got = {r["k"]: r["median"] for r in K.exact_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", "lower").collect()}
+    assert got == {1: 3.0, 2: 0.0}
+
+
+def test_ranks_of_any_bigint(spark):
+    values = [-(2 ** 63), -5, 0, 7, 2 ** 44, 2 ** 62, 2 ** 63 - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    got = K.ranked(df, [], K.integer_levels(F.col("v")), F.col("v")).orderBy("rank").collect()
+    assert [r["v"] for r in got] == values and {r["rank_total"] for r in got} == {7}
+
+
+def test_summaries_without_keys(spark):
+    latents = spark.createDataFrame([([0.1, 2.0], [0.0, -1.0]), ([0.0, 0.5], [0.3, 0.2])], "mu array<double>, log_var array<double>")
+    one = L.posterior_summary(latents).collect()
+    keyed = L.posterior_summary(latents.withColumn("k", F.lit(1)), ["k"]).drop("k").collect()
+    assert len(one) == 1 and one[0].asDict() == keyed[0].asDict()
+    recon = spark.createDataFrame([(2.0,)], "recon double")
+    row = L.elbo(recon, latents, [], 0.5).first()
+    assert row["elbo"] == pytest.approx(2.0 + 0.5 * row["kld"])
+
+
+def test_half_pixels_round_to_even(spark):
+    pixels = spark.range(100).select(F.lit(1).alias("tile_id"), F.floor(F.col("id") / 10).cast("int").alias("r"), (F.col("id") % 10).cast("int").alias("c"), F.col("id").alias("v"))
+    bounds = spark.createDataFrame([(1, 0.0, 65.0, 25.0, 100.0)], "tile_id int, west double, south double, east double, north double")
+    size = R.crop(pixels, bounds, (0.0, 10.0, 100.0, -10.0), "v").agg(F.max("r") + 1, F.max("c") + 1).first()
+    assert tuple(size) == (4, 2)
+
+
+def test_gaps_keep_later_dry_starts(spark):
+    cells = spark.createDataFrame([(t, 0, 0, 1.0) for t in (0, 1, 2, 6, 7, 8, 9)], "t int, y int, x int, precip double")
+    assert sorted(r["t"] for r in E.dry_interval_starts(cells, 3, 100.0).collect()) == [0, 1, 2, 6, 7]
+
+
+def test_indices_alone_see_their_input_bands(spark):
+    df = spark.createDataFrame([(0, 5, 0.1), (4, 5, 0.2), (4, 5, -999999.0)], "g int, n int, i double")
+    bands = {"green": (F.col("g"), None), "nir": (F.col("n"), None), "ndwi": (None, F.col("i"))}
+    assert [r["m"] for r in df.select(B.selected_missing(["ndwi"], bands).alias("m")).collect()] == [True, False, True]
+    with pytest.raises(ValueError, match="nir"):
+        B.selected_missing(["ndwi"], {"green": bands["green"], "ndwi": bands["ndwi"]})
+
+
+def test_events_without_files_and_files_without_crs(spark):
+    files = spark.createDataFrame([("a", "x_1", 4)], "eid string, name string, size_bytes long")
+    got = {r["eid"]: (r["missing"], r["complete"]) for r in C.missing_files(files, {"X": "x_"}, spark.createDataFrame([("a",), ("b",)], "eid string")).collect()}
+    assert got == {"a": ([], True), "b": (["X"], False)}
+    rasters = spark.createDataFrame([("e", "f1", 4, 4, "EPSG:1", [1.0] * 6), ("e", "f2", 4, 4, None, [1.0] * 6)], "eid string, name string, h int, w int, crs string, transform array<double>")
+    assert C.inconsistent_rasters(rasters).first()["reason"] == "crs"
 
 
 def average_precision(rows):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilerain.functions.bands import d, log_sigmoid, sigmoid
-from tilerain.operators.ranking import exact_median
+from tilerain.operators.ranking import exact_median, joined
 
 # ---- fixed values: loss weights ----
 TVERSKY_ALPHA = 0.3
@@ -100,14 +100,14 @@ def shift_losses(patches: DataFrame, patch: Sequence[str], window: int, size: in
     return sums.select(*patch, "row_shift", "col_shift", value.alias("loss"))
 
 
-def best_shift(losses: DataFrame, patch: Sequence[str], side: int, digits: int = 7) -> DataFrame:
+def best_shift(losses: DataFrame, patch: Sequence[str], side: int, digits: int | None = None) -> DataFrame:
     """Placement with the lowest loss; on a tie the center, then the first in row-major order.
 
-    Losses are compared at `digits` decimals, about single precision, so equal windows tie whatever the sum order.
+    Losses are compared exactly, or at `digits` decimals, where equal windows tie whatever the order of their sums.
     """
     center = side // 2
     is_center = (F.col("row_shift") == center) & (F.col("col_shift") == center)
-    order = F.struct(F.round("loss", digits).alias("l"), F.when(is_center, 0).otherwise(1).alias("c"),
+    order = F.struct((F.col("loss") if digits is None else F.round("loss", digits)).alias("l"), F.when(is_center, 0).otherwise(1).alias("c"),
                      (F.col("row_shift") * side + F.col("col_shift")).alias("f"))
     return losses.groupBy(*patch).agg(F.min_by(F.struct("row_shift", "col_shift", "loss"), order).alias("_b")).select(
         *patch, "_b.*")
@@ -157,13 +157,13 @@ def posterior_summary(latents: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     rest = rows.groupBy(*keys).agg(
         F.avg((F.col("kl") < 1e-3).cast("double")).alias("small_kl_share"), F.min("_lo").alias("log_var_min"),
         F.max("_hi").alias("log_var_max"), F.avg("kl").alias("mean_kl"))
-    return middle.join(rest, list(keys))
+    return joined(middle, rest, keys)
 
 
 def elbo(recon: DataFrame, latents: DataFrame, keys: Sequence[str], beta: float) -> DataFrame:
     """Reconstruction + beta * batch-mean KL, per key."""
     kl = latents.groupBy(*keys).agg(F.avg(kl_per_sample(F.col("mu"), F.col("log_var"))).alias("kld"))
-    return recon.join(kl, list(keys)).withColumn("elbo", F.col("recon") + d(beta) * F.col("kld"))
+    return joined(recon, kl, keys).withColumn("elbo", F.col("recon") + d(beta) * F.col("kld"))
 
 
 def ablation_delta(pixels: DataFrame, keys: Sequence[str], patch: Sequence[str], with_mu: str, with_zero: str, target: str,

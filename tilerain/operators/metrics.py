@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilerain.functions.bands import d, predicted
-from tilerain.operators.ranking import Fold, running_folds, value_levels
+from tilerain.operators.ranking import Fold, joined, running_folds, value_levels
 from tilerain.schema import CLASS_SYSTEMS, class_group
 
 CELLS = ["tn", "fp", "fn", "tp"]
@@ -104,8 +104,8 @@ def core_row(scores: DataFrame, losses: DataFrame | None, keys: Sequence[str]) -
     """Loss, accuracy, precision, recall, F1, IoU and AUPRC per (keys); `losses` has (keys, loss)."""
     rates = confusion(scores, keys).select(*keys, *core_rates())
     area = auprc(scores, keys)
-    row = rates.join(area, list(keys))
-    return row if losses is None else row.join(losses, list(keys))
+    row = joined(rates, area, keys)
+    return row if losses is None else joined(row, losses, keys)
 
 
 def permutation_importance(scores: DataFrame, baseline: str = "none", channel: str = "channel") -> DataFrame:

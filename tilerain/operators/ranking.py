@@ -96,48 +96,31 @@ def ranked_by_key(df: DataFrame, keys: Sequence[str], key: Column, ties: Sequenc
 
 
 def integer_levels(value: Column) -> list[Level]:
-    """Nested buckets of a unique bigint in [0, 2^44): at most 2^20 coarse ones, 2^11 children each, 2^13 rows."""
-    return [(f"_i{b}", F.shiftright(value, b)) for b in (24, 13)]
+    """Nested buckets of any unique bigint: at most 2^20 coarse ones, 2^15 children of each, 2^14 rows."""
+    return [(f"_i{b}", F.shiftright(value.cast("bigint"), b)) for b in (44, 29, 14)]
 
 
 def value_levels(value: Column) -> list[Level]:
-    """Nested buckets of any finite double by sign and base-2 logarithm, so tiny and huge values spread out alike.
+    """Nested buckets of any double by sign and base-2 logarithm, so tiny and huge values spread out alike; NaN comes last.
 
     512 coarse buckets per octave, 32,768 children each: a finest bucket is about one single-precision value wide.
     """
     spread = F.when(value == 0, F.lit(0.0)).otherwise(F.signum(value) * (F.log2(F.abs(value)) + 1100))
-    return [(f"_v{b}", F.floor(spread * F.lit(float(1 << b)))) for b in (9, 24)]
+    last = F.lit((1 << 63) - 1)
+    return [(f"_v{b}", F.when(F.isnan(value), last).otherwise(F.floor(spread * F.lit(float(1 << b))))) for b in (9, 24)]
 
 
-SMALL_GROUP = 1_000_000
-
-
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, how: str = "average", small: int = SMALL_GROUP) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, how: str = "average") -> DataFrame:
     """Exact median per key as `median`; `lower` takes the lower middle value, `average` the mean of both.
 
-    Keys of at most `small` rows use the built-in aggregate, which holds a key's distinct values in one task. Larger ones
-    are found by running counts over nested buckets, so no task holds a key's whole value list.
+    Equal values collapse to a count; running counts over nested buckets then tell which values hold the middle ranks, so
+    no task holds a key's whole value list. NULL values don't count, NaN ranks above all numbers. Rows with a NULL key drop
+    out, and keys without any value give no row (one NULL row without `keys`).
     """
     if how not in ("lower", "average"):
         raise ValueError(f"unknown median {how!r}")
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > small).drop("_n")
-    if not keys:
-        few = sizes.first()["_n"] <= small
-        return _builtin_median(rows, keys, how) if few else _bucketed_median(rows, keys, how)
-    ordinary = rows.join(large, list(keys), "left_anti")
-    return _builtin_median(ordinary, keys, how).unionByName(
-        _bucketed_median(rows.join(large, list(keys), "left_semi"), keys, how))
-
-
-def _builtin_median(rows: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    name = "percentile_disc" if how == "lower" else "percentile_cont"
-    return rows.groupBy(*keys).agg(F.expr(f"{name}(0.5) WITHIN GROUP (ORDER BY _v)").alias("median"))
-
-
-def _bucketed_median(rows: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = (df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     run = running_folds(counts, keys, value_levels(F.col("_v")), F.col("_v"), {"c": Fold("sum", F.col("_c"))}, ["c"])
     low = F.floor((F.col("c_total") + 1) / 2)
     high = low if how == "lower" else F.floor(F.col("c_total") / 2) + 1
@@ -145,5 +128,14 @@ def _bucketed_median(rows: DataFrame, keys: Sequence[str], how: str) -> DataFram
     def holds(rank: Column) -> Column:
         return (F.col("c") < rank) & (rank <= F.col("c") + F.col("_c"))
 
+    least, most = F.min("_v"), F.max("_v")
     middle = run.where(holds(low) | holds(high)).groupBy(*keys)
-    return middle.agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))
+    return middle.agg(F.when(least == most, least).otherwise((least + most) / 2).alias("median"))
+
+
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join of two aggregates on their keys; without keys both are one row, and those become one."""
+    if keys:
+        return left.join(right, list(keys))
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -207,12 +207,12 @@ def shift_losses(spark, sf):
 
 @query("shift_invariant_loss", SHIFT + ", " + BEST.format(m="bce") + " SELECT tile_id, row_shift, col_shift, round(bce, 6) loss FROM bs", "pixel_ext")
 def shift_invariant_loss(spark, sf):
-    return rounded(L.best_shift(_shift(spark, sf), ["tile_id"], 3))
+    return rounded(L.best_shift(_shift(spark, sf), ["tile_id"], 3, 7))
 
 
 @query("shift_invariant_total", SHIFT + ", " + BEST.format(m="tversky") + " SELECT round(sum(tversky), 5) loss, count(*) patches FROM bs", "pixel_ext")
 def shift_invariant_total(spark, sf):
-    best = L.best_shift(_shift(spark, sf, "tversky"), ["tile_id"], 3)
+    best = L.best_shift(_shift(spark, sf, "tversky"), ["tile_id"], 3, 7)
     return rounded(best.agg(F.sum("loss").alias("loss"), F.count(F.lit(1)).alias("patches")), 5)
 
 
@@ -223,12 +223,12 @@ def centered_loss(spark, sf):
 
 @query("shift_distribution", SHIFT + ", " + BEST.format(m="bce") + " SELECT i row_shift, j col_shift, count(bs.tile_id) n FROM sh LEFT JOIN bs ON bs.row_shift=i AND bs.col_shift=j GROUP BY 1, 2", "pixel_ext")
 def shift_distribution(spark, sf):
-    return M.shift_distribution(L.best_shift(_shift(spark, sf), ["tile_id"], 3), 3)
+    return M.shift_distribution(L.best_shift(_shift(spark, sf), ["tile_id"], 3, 7), 3)
 
 
 @query("aligned_windows", SHIFT + ", " + BEST.format(m="bce") + " SELECT p.tile_id, p.r-row_shift r, p.c-col_shift c, p.scl FROM pixel_ext p JOIN bs ON bs.tile_id=p.tile_id WHERE p.r-row_shift BETWEEN 0 AND 5 AND p.c-col_shift BETWEEN 0 AND 5", "pixel_ext")
 def aligned_windows(spark, sf):
-    best = L.best_shift(_shift(spark, sf), ["tile_id"], 3)
+    best = L.best_shift(_shift(spark, sf), ["tile_id"], 3, 7)
     return L.aligned_windows(X.pixel_ext(spark, sf).select("tile_id", "r", "c", "scl"), best, ["tile_id"], 6)
 
 
