@@ -224,7 +224,7 @@ def test_strided_windows_cover_and_stay_inside(spark):
 
 def test_small_tile_is_an_error(spark):
     tiles = spark.createDataFrame([(5, 10, 70)], "tile_id long, h int, w int")
-    with pytest.raises(Exception, match="too small"):
+    with pytest.raises(Exception, match="no patch of"):
         G.strided_positions(tiles, 64, 64).collect()
     assert G.too_small(tiles, 64).count() == 1
 

@@ -78,8 +78,8 @@ def test_event_list_file(spark, tmp_path):
     assert got == [(2, "2017-08-28", 523, 701, None), (3, "2017-08-29", 10, 20, "EPSG:32614"), (5, "2017-08-02", 1, 2, None)]
     reasons = {r["line_no"]: r["reason"] for r in errors.collect()}
     assert sorted(reasons) == [6, 7, 8, 9, 10, 11]
-    assert reasons[8].startswith("Line 8: All y, x") and "CRS" in reasons[9] and "integers" in reasons[10] and "Date" in reasons[11]
-    with pytest.raises(Exception, match="Line "):
+    assert reasons[8].startswith("line 8: row or column") and "CRS" in reasons[9] and "whole number" in reasons[10] and "date" in reasons[11]
+    with pytest.raises(Exception, match="line "):
         T.strict((events, errors)).collect()
 
 
@@ -204,3 +204,8 @@ def test_streaming_intake_continues_where_it_stopped(spark, tmp_path):
     start_intake(spark, source, events, ckpt, 300.0, box).awaitTermination()
     got = sorted((r["t"], r["y"], r["x"], r["eid"]) for r in recorded(spark, events).collect())
     assert got == [(0, 1, 1, "20160801_1_1"), (1, 1, 1, "20160802_1_1")]
+    # a new checkpoint folder takes everything in again and loses nothing
+    put([(3, 2, 2, 450.0), (3, 2, 2, 460.0)])
+    start_intake(spark, source, events, str(tmp_path / "other"), 300.0, box).awaitTermination()
+    got = sorted((r["t"], r["y"], r["x"], r["precip"]) for r in recorded(spark, events).collect())
+    assert got == [(0, 1, 1, 500.0), (1, 1, 1, 400.0), (3, 2, 2, 460.0)]

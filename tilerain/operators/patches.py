@@ -31,8 +31,8 @@ def fits(h: Column, w: Column, size: int) -> Column:
 
 def require_fit(tiles: DataFrame, size: int) -> DataFrame:
     """Fails on a tile smaller than the patch."""
-    text = F.concat(F.lit("Tile "), F.col("tile_id").cast("string"), F.lit(" is too small ("), F.col("h").cast("string"),
-                    F.lit("x"), F.col("w").cast("string"), F.lit(f") for patch size {size}x{size}"))
+    text = F.format_string(f"no patch of {size} pixels fits tile %s of %s by %s", F.col("tile_id").cast("string"),
+                           F.col("h").cast("string"), F.col("w").cast("string"))
     checked = F.when(fits(F.col("h"), F.col("w"), size), F.col("h")).otherwise(F.raise_error(text).cast("int"))
     return tiles.withColumn("h", checked)
 
@@ -208,7 +208,7 @@ def random_split(events: DataFrame, event: str, val_ratio: float, test_ratio: fl
     """Adds `split` to distinct events, so tiles of one event never part. Holdout = ceil(n * ratio)."""
     holdout = val_ratio + test_ratio
     if not 0 < holdout < 1:
-        raise ValueError("val_ratio + test_ratio must be in (0, 1)")
+        raise ValueError("the held-out share must lie between 0 and 1")
     columns = [number if number is not None else F.col(event)]
     first = ranked_by_key(events, [], random_key(columns, seed, kind), [event])
     n_hold = F.ceil(F.col("rank_total") * d(holdout))
@@ -257,9 +257,9 @@ def shards(patches: DataFrame, order: str, count: int, total: int, drop_last: bo
     `total // count` each; the remainder is dropped or spread one by one over the first shards.
     """
     if count <= 0:
-        raise ValueError(f"num_shards must be positive, got {count}")
+        raise ValueError(f"cannot write {count} shards")
     if count > total:
-        raise ValueError(f"num_shards ({count}) cannot exceed total patches ({total})")
+        raise ValueError(f"{total} patches do not fill {count} shards")
     base, extra = divmod(total, count)
     at = F.col("rank") - 1
     numbered = ranked(patches, [], integer_levels(F.col(order)), F.col(order))

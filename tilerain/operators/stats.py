@@ -87,7 +87,7 @@ def imputed(df: DataFrame, keys: list[str], value: str, missing: Column, fallbac
     """
     means = df.groupBy(*keys).agg(F.avg(F.when(~missing, F.col(value))).alias("_mean"))
     if fallback == "error":
-        empty = F.raise_error(F.lit("All values are missing for imputation")).cast("double")
+        empty = F.raise_error(F.lit("no value left to fill from")).cast("double")
     elif fallback == "zero":
         empty = d(0)
     else:

@@ -1,6 +1,6 @@
 """Event sampling as one DAG: rain events -> catalog search -> pairing -> cover filter -> scene choice -> radar match."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilerain.functions.dates import radar_days_after
@@ -15,7 +15,7 @@ CELL = ["y", "x"]
 def select_event_scenes(cells: DataFrame, scenes: DataFrame, history: DataFrame | None, threshold: float, before: int,
                         after: int, hours: float, max_cover: float, geotransform: tuple[float, ...],
                         start: str) -> DataFrame:
-    """One row per (event, optical date) with its radar scene.
+    """One row per optical date of each event that has any radar scene, with the radar scene of that date or none.
 
     The cheap time pairing runs before any cover test. Tables that several branches read (events, candidate scenes,
     chosen scenes) are small against the catalog and are written once. Radar scenes are organized under the date of the optical scene
@@ -33,7 +33,10 @@ def select_event_scenes(cells: DataFrame, scenes: DataFrame, history: DataFrame
     matched = below_cover(nearest(cut(with_crs), chosen, ["eid"], hours), max_cover, "missing_pct")
     dated = matched.withColumn("s1_dt", F.col("dt")).withColumn("dt", F.col("match_dt"))
     radar_choice = primary_per_date(dated, ["eid", "main_crs"], F.col("main_crs"))
+    # a window group is the few optical dates of one event
+    any_radar = F.count("s1_item").over(Window.partitionBy("eid")) > 0
     return (chosen.select("eid", "scene_date", "main_crs", F.col("item_id").alias("s2_item"))
             .join(radar_choice.select("eid", "scene_date", F.col("item_id").alias("s1_item"), "s1_dt"),
-                  ["eid", "scene_date"])
+                  ["eid", "scene_date"], "left")
+            .withColumn("_any", any_radar).where("_any").drop("_any")
             .join(events.select("eid", "event_date", "precip"), "eid"))

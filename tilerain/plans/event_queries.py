@@ -32,7 +32,7 @@ ma AS (SELECT * FROM (SELECT q1.*, ch.main_crs, ch.scene_date, row_number() OVER
 rc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY eid, scene_date
     ORDER BY CASE WHEN crs=main_crs THEN 0 ELSE 1 END, crs, ord) rn FROM ma) WHERE rn=1)
 SELECT ch.eid, ch.scene_date, ch.main_crs, ch.item_id s2_item, rc.item_id s1_item, rc.dt s1_dt, ev.event_date, ev.precip
-FROM ch JOIN rc ON rc.eid=ch.eid AND rc.scene_date=ch.scene_date JOIN ev ON ev.eid=ch.eid
+FROM ch LEFT JOIN rc ON rc.eid=ch.eid AND rc.scene_date=ch.scene_date JOIN ev ON ev.eid=ch.eid WHERE ch.eid IN (SELECT eid FROM rc)
 """, "history scene")
 def event_scene_selection(spark, sf):
     return select_event_scenes(X.precip_cell_day(spark, sf), X.scene(spark, sf), X.history(spark, sf), 250, 2, 4, 12, 60,

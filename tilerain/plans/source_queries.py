@@ -20,9 +20,9 @@ JUDGED = LINES + """, j AS (SELECT line_no, string_split(line, ',') p, event_id
 SELECT line_no, trim(p[1]) a, trim(p[2]) b, trim(p[3]) c, trim(p[4]) d, len(p) n FROM j), m AS (SELECT *,
 cast(coalesce(CASE WHEN regexp_full_match(a, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') THEN try_strptime(a, '%Y-%m-%d') END,
 CASE WHEN regexp_full_match(a, '[0-9]{8}') THEN try_strptime(a, '%Y%m%d') END) AS date) dd FROM k), q AS (SELECT *, CASE
-WHEN n NOT IN (3,4) THEN 'Expected 3 or 4 comma-separated values' WHEN length(a) NOT IN (8,10) OR dd IS NULL THEN 'Date string doesn''t match expected formats'
-WHEN n = 4 AND NOT regexp_full_match(d, 'EPSG:[0-9]+') THEN 'Not a valid CRS' WHEN NOT (regexp_full_match(b, '[+-]?[0-9]+') AND regexp_full_match(c, '[+-]?[0-9]+')) THEN 'Invalid integers'
-WHEN try_cast(b AS int) < 0 OR try_cast(c AS int) < 0 THEN 'All y, x coord values must be non-negative ints' END reason FROM m)"""
+WHEN n NOT IN (3,4) THEN 'needs 3 or 4 fields between commas' WHEN length(a) NOT IN (8,10) OR dd IS NULL THEN 'unreadable date'
+WHEN n = 4 AND NOT regexp_full_match(d, 'EPSG:[0-9]+') THEN 'unknown CRS code' WHEN NOT (regexp_full_match(b, '[+-]?[0-9]+') AND regexp_full_match(c, '[+-]?[0-9]+')) THEN 'row or column is no whole number'
+WHEN try_cast(b AS int) < 0 OR try_cast(c AS int) < 0 THEN 'row or column below 0' END reason FROM m)"""
 
 
 def _lines(spark, sf):
@@ -42,7 +42,7 @@ def event_list(spark, sf):
     return T.parse_event_list(_lines(spark, sf).drop("event_id"))[0]
 
 
-@query("event_list_errors", JUDGED + " SELECT line_no, concat('Line ', line_no, ': ', reason) reason FROM q WHERE reason IS NOT NULL")
+@query("event_list_errors", JUDGED + " SELECT line_no, concat('line ', line_no, ': ', reason) reason FROM q WHERE reason IS NOT NULL")
 def event_list_errors(spark, sf):
     return T.parse_event_list(_lines(spark, sf).drop("event_id"))[1]
 

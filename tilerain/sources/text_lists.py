@@ -23,15 +23,15 @@ def _judged(lines: DataFrame, dated: bool) -> DataFrame:
     whole = r"^[+-]?\d+$"
     y, x = at(first), at(first + 1)
     crs = at(first + 2)
-    number = F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(": "))
-    wanted = f"Expected {first + 2} or {first + 3} comma-separated values"
+    number = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "))
+    wanted = f"needs {first + 2} or {first + 3} fields between commas"
     rules = [((n != first + 2) & (n != first + 3), wanted)]
     if dated:
-        rules += [(~F.length(at(0)).isin(8, 10), "Date string doesn't match expected formats"),
-                  (parse_date(at(0)).isNull(), "Date string doesn't match expected formats")]
-    rules += [((n == first + 3) & ~is_epsg(crs), "Not a valid CRS"),
-              (~(y.rlike(whole) & x.rlike(whole)), "Invalid integers"),
-              ((y.try_cast("int") < 0) | (x.try_cast("int") < 0), "All y, x coord values must be non-negative ints")]
+        rules += [(~F.length(at(0)).isin(8, 10), "unreadable date"),
+                  (parse_date(at(0)).isNull(), "unreadable date")]
+    rules += [((n == first + 3) & ~is_epsg(crs), "unknown CRS code"),
+              (~(y.rlike(whole) & x.rlike(whole)), "row or column is no whole number"),
+              ((y.try_cast("int") < 0) | (x.try_cast("int") < 0), "row or column below 0")]
     reason = F.lit(None).cast("string")
     for bad, text_ in reversed(rules):
         reason = F.when(bad, F.concat(number, F.lit(text_))).otherwise(reason)

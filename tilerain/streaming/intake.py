@@ -1,9 +1,12 @@
 """Incremental event intake (J1): new cell-day files -> extreme events not seen before, appended to history.
 
 The history table is the state. A micro-batch that is replayed after a lost driver finds its own rows in the history
-folder of the same batch id and overwrites them, so a restart neither loses nor repeats events.
+folder of the same run and batch id and overwrites them, so a restart neither loses nor repeats events. The run is a name
+kept in the checkpoint folder: with a new checkpoint folder batch ids start over, in folders of their own.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +17,21 @@ from tilerain.schema import CELL_DAY, CUBE_START
 def start_intake(spark: SparkSession, source: str, events_path: str, checkpoint: str, threshold: float,
                  geotransform: tuple[float, ...], start: str = CUBE_START, max_files: int = 1000):
     """Runs over all files that are new since the last run and stops (available-now trigger)."""
+    from tilerain.sources.sinks import exists
+    name = f"{checkpoint.rstrip('/')}/intake_run"
+    if not exists(spark, name):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(name)
+    run = spark.read.text(name).first()["value"]
     cells = (spark.readStream.schema(CELL_DAY).option("maxFilesPerTrigger", max_files).parquet(source)
              .where(F.col("precip") > threshold))
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(CELL_KEY)
-        seen = recorded(batch.sparkSession, events_path).where(F.col("batch") != batch_id)
+        fresh = batch.groupBy(*CELL_KEY).agg(F.max("precip").alias("precip"))
+        low, high = batch.agg(F.min("t"), F.max("t")).first()
+        others = (F.col("run") != run) | (F.col("batch") != batch_id)
+        seen = recorded(batch.sparkSession, events_path).where(F.col("t").between(low, high) & others)
         found = describe_events(extreme_events(fresh, threshold, history=seen), geotransform, start)
-        found.write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
+        found.write.mode("overwrite").parquet(f"{events_path}/run={run}/batch={batch_id}")
 
     return (cells.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -31,7 +41,7 @@ def recorded(spark: SparkSession, events_path: str) -> DataFrame:
     """Events recorded so far; empty before the first batch."""
     from tilerain.sources.sinks import exists
     schema = "eid string, event_date date, t int, y int, x int, precip double, " \
-             "bbox struct<minx:double,miny:double,maxx:double,maxy:double>, batch long"
+             "bbox struct<minx:double,miny:double,maxx:double,maxy:double>, run string, batch long"
     if not exists(spark, events_path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(events_path)
