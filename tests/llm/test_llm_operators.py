@@ -117,6 +117,63 @@ def test_near_copies_go(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
 
 
+def planted_pairs(rng, indices, size=400):
+    """Pairs of texts without a third between, whose five-word shingles have about the given indices."""
+    texts = []
+    for index in indices:
+        base = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(size)]
+        other = list(base)
+        for k in rng.sample(range(size // 5), round((1 - index) / (1 + index) * size / 5)):
+            other[5 * k + 2] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+    return texts
+
+
+def test_near_copies_at_the_limit_are_exact(spark):
+    """Isolated pairs around 0.8: linked if and only if the counted index says so."""
+    rng = random.Random(11)
+    texts = planted_pairs(rng, [0.70, 0.75, 0.78, 0.79, 0.80, 0.805, 0.81, 0.82, 0.85, 0.9, 0.95] * 12)
+
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    want = set(range(0, len(texts), 2))
+    near = 0
+    for i in range(0, len(texts), 2):
+        a, b = shingles(texts[i]), shingles(texts[i + 1])
+        if len(a & b) / len(a | b) < 0.8:
+            want.add(i + 1)
+        near += 0.8 <= len(a & b) / len(a | b) < 0.85
+    kept = {r.doc_id for r in simhash.one_of_each_group(documents(spark, texts)).collect()}
+    assert near >= 24 and kept == want
+    assert simhash.candidate_recall(0.8, 8) > 0.9999
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_near_groups_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = [None, "", "  ", "one two", "one two", "one two three"]
+    for _ in range(30):
+        other = list(base)
+        for k in rng.sample(range(200), rng.randint(0, 9)):
+            other[k] = f"x{rng.randint(0, 3)}"
+        texts.append(" ".join(other))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or len(a & b) / len(a | b) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    kept = {r.doc_id for r in simhash.one_of_each_group(documents(spark, texts)).collect()}
+    assert kept == set(root)
+
+
 def test_bpe_equals_the_library(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer

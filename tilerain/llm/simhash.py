@@ -14,6 +14,11 @@ BLOCK = 1024
 #: Multipliers of the published splitmix64 finaliser (fixed values).
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 GOLDEN = 0x9E3779B97F4A7C15
+#: Bands of least hashes, and least hashes in each: a pair of Jaccard index 0.8 shares a band with chance 0.9999.
+BANDS, BAND_ROWS = 30, 6
+#: Standard deviations by which the distance of candidates may exceed the expected one.
+SLACK = 5
+_FACTORS = np.random.default_rng(1618).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _tables(h: np.ndarray, tables: int) -> np.ndarray:
@@ -47,19 +52,34 @@ def _majority(h: np.ndarray) -> list[int]:
     return np.packbits(total * 2 > h.shape[1], axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
-def simhash(text: str, shingle: int = 3, tables: int = 1, seed: int = 42) -> list[int]:
-    """The fingerprints of one text, 64 bits for each table."""
+def shingle_hashes(text: str, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of one text in their order, repeated ones as often as they stand."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * tables
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(shingle, len(words))
     starts = np.concatenate(([0], ends[:len(words) - k])).tolist()
     stops = (ends[k - 1:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
-    return _majority(_tables(h, tables))
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
+
+
+def simhash(text: str, shingle: int = 3, tables: int = 1, seed: int = 42) -> list[int]:
+    """The fingerprints of one text, 64 bits for each table."""
+    h = shingle_hashes(text, shingle, seed)
+    return _majority(_tables(h, tables)) if len(h) else [0] * tables
+
+
+def least_hashes(distinct: np.ndarray) -> list[int]:
+    """One number for each of BANDS bands: a hash of BAND_ROWS least hashes of a set of shingles. Two sets of Jaccard index s
+    agree in a band with chance s ** BAND_ROWS."""
+    least = np.full(BANDS * BAND_ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(distinct), 1024):
+        x = distinct[at:at + 1024, None] * _FACTORS
+        np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0), out=least)
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, tables: int = 1,
@@ -165,7 +185,7 @@ def _verified(limit: int):
     return run
 
 
-def links(prints: DataFrame, tables: int = 1, limit: int = 3) -> DataFrame:
+def links(prints: DataFrame, tables: int = 1, limit: int = 3, named: bool = True) -> DataFrame:
     """Verified links a, b between the nodes of prints(node long, prints array<long>), enough to connect whatever is linked.
 
     Nodes are compared where some half of theirs differs by two bits at most: the balls of radius one around such halves
@@ -180,8 +200,8 @@ def links(prints: DataFrame, tables: int = 1, limit: int = 3) -> DataFrame:
     shared = stored(_meetings(values).union(alike).join(pieces, "piece").select("bucket", "node"))
     sizes = shared.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"))
     shared = shared.join(sizes, "bucket")
-    # with one table the node is the fingerprint; else the few rows that share a bucket fetch theirs
-    shared = shared.withColumn("prints", F.array("node")) if tables == 1 else shared.join(prints.select("node", "prints"), "node")
+    # with one table the node is the fingerprint, if so `named`; else the few rows that share a bucket fetch theirs
+    shared = shared.withColumn("prints", F.array("node")) if tables == 1 and named else shared.join(prints.select("node", "prints"), "node")
     cell = F.pmod(F.xxhash64("node", "bucket"), F.col("cells")).cast("int")
     dealt = (shared.withColumn("cell", cell).select("node", "prints", "bucket", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
              .select("bucket", F.least("cell", "other").cast("long").alias("i"), F.greatest("cell", "other").cast("long").alias("j"), "node", "prints"))
@@ -224,14 +244,133 @@ def simhash_recall(share: float, tables: int) -> float:
     return 1 - (1 - two) ** (2 * tables)
 
 
+def candidate_recall(similarity: float, tables: int) -> float:
+    """The least chance that a pair of this Jaccard index, with no third text between, is compared exactly: by a shared band or
+    by its fingerprints (whose distance limit is left out here)."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return 1 - (1 - similarity ** BAND_ROWS) ** BANDS * (1 - simhash_recall(share, tables))
+
+
+def _sketches(rows: DataFrame, shingle: int, tables: int, seed: int) -> DataFrame:
+    """node, prints, bands per row of rows(node, body)."""
+    def run(batches):
+        for batch in batches:
+            prints, bands = [], []
+            for t in batch.column(1).to_pylist():
+                h = shingle_hashes(t, shingle, seed)
+                prints.append(_majority(_tables(h, tables)) if len(h) else [0] * tables)
+                bands.append(least_hashes(np.unique(h)))
+            lists = []
+            for found, n in ((prints, tables), (bands, BANDS)):
+                flat = np.array(found, np.uint64).reshape(-1).view(np.int64)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), pa.array(flat)))
+            yield pa.record_batch([batch.column(0), *lists], ["node", "prints", "bands"])
+    return mapped(rows.select("node", "body"), run, "node long, prints array<long>, bands array<long>")
+
+
+def exact_links(nodes: list[int], texts: list[str], similarity: float, shingle: int, seed: int = 42) -> list[tuple[int, int]]:
+    """Links between texts whose sets of word shingles have a Jaccard index of `similarity` or more, enough to connect
+    whatever such pairs connect.
+
+    A text of n shingles and any such other one share one of the rarest n - similarity * n + 1 of the first (in an order
+    common to all), so only texts that do are compared. Pairs that are connected already are not compared again.
+    """
+    sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in texts]
+    full = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    _, at, counts = np.unique(full, return_inverse=True, return_counts=True)
+    order = np.empty(len(counts), np.int64)
+    order[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+    holders: dict[int, list[int]] = {}
+    rare = counts == 1
+    found, empty = [], None
+    for i, mine in enumerate(sets):
+        n = len(mine)
+        if not n:
+            if empty is not None:
+                found.append((nodes[i], nodes[empty]))
+            empty = i
+            continue
+        own = at[bounds[i]:bounds[i + 1]]
+        own = own[np.argsort(order[own])][:n - int(np.ceil(similarity * n - 1e-9)) + 1]
+        own = own[~rare[own]].tolist()
+        for j in sorted(set().union(*(holders.get(k, ()) for k in own)), reverse=True):
+            a, b = find(i), find(j)
+            if a == b or min(n, len(sets[j])) < similarity * max(n, len(sets[j])) - 1e-9:
+                continue
+            both = len(np.intersect1d(mine, sets[j], assume_unique=True))
+            if both >= similarity * (n + len(sets[j]) - both) - 1e-9:
+                root[a] = b
+                found.append((nodes[i], nodes[j]))
+        for k in own:
+            holders.setdefault(k, []).append(i)
+    return found
+
+
+def _compared(similarity: float, shingle: int, seed: int):
+    """Within the sorted blocks (cluster, i, j) of a partition: links by the exact index."""
+    def run(batches):
+        block, nodes, texts = None, [], []
+
+        def done():
+            pairs = exact_links(nodes, texts, similarity, shingle, seed)
+            return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+        for batch in batches:
+            for *key, node, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if key != block:
+                    if len(nodes) > 1:
+                        yield done()
+                    block, nodes, texts = key, [], []
+                nodes.append(node)
+                texts.append(body)
+        if len(nodes) > 1:
+            yield done()
+    return run
+
+
+def near_links(rows: DataFrame, shingle: int = 5, tables: int = 8, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """Links a, b between the nodes of rows(node long, body string), one row a node, whose sets of word shingles have a
+    Jaccard index of `similarity` or more; enough to connect whatever such pairs connect.
+
+    Fingerprints and bands of least hashes only say which texts are compared: a text and the smallest node of each of its
+    bands, and fingerprints that are near with `SLACK` standard deviations to spare, are candidates. Candidates that hang
+    together form a cluster, and all texts of a cluster are compared exactly, in blocks of `BLOCK`.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * tables
+    limit = int(bits * share + SLACK * (bits * share * (1 - share)) ** 0.5)
+    sketches = stored(_sketches(rows, shingle, tables, seed))
+    bands = sketches.select("node", F.explode("bands").alias("band"))
+    hubs = bands.groupBy("band").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "b")
+    stars = bands.join(hubs, "band").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    roots = stored(components(stars.union(links(sketches.select("node", "prints"), tables, limit, named=False))))
+    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"))
+    cell = F.pmod(F.xxhash64("node", "root"), F.col("cells")).cast("int")
+    placed = roots.join(sizes, "root").withColumn("cell", cell)
+    dealt = rows.join(placed, "node").select("node", "body", "root", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "node", "body")
+    return (dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+            .mapInArrow(_compared(similarity, shingle, seed), "a long, b long"))
+
+
 def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, tables: int = 8,
                       similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, all columns, that bear the smallest id of their near-duplicate group; ids are taken as unique.
 
-    The similarity of two texts is the Jaccard index of their word shingles as the share of differing fingerprint bits
-    estimates it: index s means a cosine of 2s / (1 + s).
+    Texts are linked if the Jaccard index of their sets of word shingles, counted and not estimated, is `similarity` or more;
+    a group is what links connect. Texts without words are equal. `candidate_recall` gives the chance that a pair is compared.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    found = simhash_groups(docs, text, doc_id, shingle, tables, int(share * 64 * tables))
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    body = text_of(text)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("node"))
+    owned = stored(rows.groupBy("node").agg(F.min("doc_id").alias("owner"), F.min("body").alias("body")))
+    roots = components(near_links(owned.select("node", "body"), shingle, tables, similarity))
+    rooted = owned.select("node", "owner").join(roots, "node", "left").select("owner", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("owner").alias("__kept_id")).select("__kept_id").distinct()
     return docs.join(kept, docs[f"`{doc_id}`"].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
