@@ -239,6 +239,46 @@ def test_repeats_are_removed(spark, length, gram):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), spans, kept)
 
 
+
+def test_edges_of_a_shared_passage_are_split(spark, monkeypatch, tmp_path):
+    """A passage that all texts share, each with other text around it: no mark brings more than a shard."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 20000)
+    folder, shard = str(tmp_path), suffix_dedup._shard
+
+    def spy(length):
+        inner = shard(length)
+
+        def run(batches):
+            import collections
+            import uuid
+            sizes = collections.Counter()
+
+            def seen():
+                for batch in batches:
+                    for mark, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                        sizes[mark] += len(body)
+                    yield batch
+            yield from inner(seen())
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(max(sizes.values(), default=0)))
+        return run
+    monkeypatch.setattr(suffix_dedup, "_shard", spy)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, length = noise(900), 400
+    texts = [noise(500 + i) + passage + noise(500) for i in range(120)] + [noise(200) + passage[100:700] + noise(200), passage[:450]] + [noise(600)] * 2
+    raw = [t.encode() for t in texts]
+    seen = Counter(b[i:i + length] for b in raw for i in range(len(b) - length + 1))
+    for r in suffix_dedup.without_repeats(documents(spark, texts)).collect():
+        b, gone = raw[r.doc_id], bytearray(len(raw[r.doc_id]))
+        for i in range(len(b) - length + 1):
+            if seen[b[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        kept = hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()
+        assert (r.n_removed, r.kept_sha256) == (sum(gone), kept)
+    largest = max(int(p.read_text()) for p in tmp_path.iterdir())
+    assert largest <= 20000, largest
+
 def test_base_spans_and_discovery(spark):
     known = [f"member id 4111 1111 1111 1111 ok{i}" if i == 0 else f"member id user{i}@mail.org now" for i in range(12)]
     rows = {r.doc_id: r for r in pii.personal_data(documents(spark, [None, "", "1" * 20000, "+1 (555) 555-0199 at 1.2.3.256 or 8.8.8.8",

@@ -1,6 +1,7 @@
 """Removal of long byte strings that occur more than once, by suffix sorting of the places where they can be."""
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,9 @@ from tilerain.llm.induced import array_of, falling_suffixes
 
 #: Bytes of a string that counts as repeated, and of the strings that mark where one can be.
 LENGTH, GRAM = 400, 100
-#: Offsets of a window to its mark that are told apart.
-OFFSETS = 101
-#: Bytes of strings that one shard sorts, about; a mark with more than that makes a larger shard.
+#: Offsets of a window to its mark that share a name; a mark whose strings outgrow a shard is renamed by the next fewer ones.
+OFFSETS = (101, 26, 7, 1)
+#: Bytes of strings that one shard sorts, about, and that one mark may bring.
 SHARD_BYTES = 1 << 20
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 22
@@ -175,12 +176,12 @@ def repeated_starts(bodies, length: int = LENGTH):
 def _shard(length: int):
     """Sorts the strings of a partition and sends the ranges of each that are repeated."""
     def run(batches):
-        keys = []
+        keys = array("q")
 
         def bodies():
             for batch in batches:
                 for mark, digest, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    keys.append((mark, digest))
+                    keys.extend((mark, digest))
                     yield body
         out = [[], [], [], []]
         stream = list_on_disk(bodies())
@@ -193,7 +194,7 @@ def _shard(length: int):
                 head = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (offset[1:] > offset[:-1] + 1))))
                 tail = np.concatenate((head[1:] - 1, [len(which) - 1]))
                 for w, a, b in zip(which[head].tolist(), offset[head].tolist(), offset[tail].tolist()):
-                    for column, x in zip(out, (*keys[w], a, b + length)):
+                    for column, x in zip(out, (keys[2 * w], keys[2 * w + 1], a, b + length)):
                         column.append(x)
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["mark", "digest", "first", "last"])
@@ -228,7 +229,7 @@ def _removed(batches):
         yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3])], names)
 
 
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, offsets: int = OFFSETS) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, offsets: tuple[int, ...] = OFFSETS) -> DataFrame:
     """ra, rb, first, last: byte ranges of rows(doc_id, ra, rb, body) that strings which occur elsewhere cover. ra and rb
     together name a text.
 
@@ -236,21 +237,36 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, off
     Equal strings of a mark are folded before anything wide moves, so a passage that a third of the texts share costs one
     string: what occurs twice as a whole is repeated as a whole. Strings of one mark that differ meet in the partition of
     their mark, whose suffixes are sorted outside of memory.
+
+    Where the differing strings of a mark outgrow a shard (the edges of a passage that many texts share), they are themselves
+    taken as texts with fewer offsets to a name, which parts those within the passage from those across its edge. The last
+    name is that of a single window, where a count settles all: no mark is larger than a shard.
     """
-    marks = stored(mapped(rows.select("ra", "rb", "body"), _marks(length, gram, offsets), "ra long, rb long, mark long, low int, size int, digest long"))
+    marks = stored(mapped(rows.select("ra", "rb", "body"), _marks(length, gram, offsets[0]), "ra long, rb long, mark long, low int, size int, digest long"))
     often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n > 1")
     marks = stored(marks.join(often.select("mark", (F.col("x") != F.col("y")).alias("mixed")), "mark"))
     groups = stored(marks.groupBy("mark", "digest", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ra", "rb", "low", "size")).alias("one")))
     open_marks = groups.where("mixed").groupBy("mark").agg(F.min("n").alias("least")).where("least = 1").select("mark")
     wanted = groups.where("mixed").join(open_marks, "mark", "left_semi").select("one.ra", "one.rb", F.struct("mark", "digest", "one.low", "one.size").alias("w"))
-    size = wanted.agg(F.sum("w.size")).first()[0] or 0
-    shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    sizes = stored(wanted.groupBy("w.mark").agg(F.sum("w.size").alias("bytes")).select("mark", (F.col("bytes") > SHARD_BYTES).alias("hot"), "bytes"))
+    total = sizes.agg(F.sum(F.when(~F.col("hot"), F.col("bytes"))).alias("cold"), F.sum(F.when(F.col("hot"), F.col("bytes"))).alias("hot")).first()
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(partitions, -(-(total["cold"] or 0) // SHARD_BYTES))
     wanted = wanted.groupBy("ra", "rb").agg(F.collect_list("w").alias("wanted"))
     # the same columns as in the last join of `without_repeats`, so that the texts are shuffled once for both
     texts = rows.join(wanted, ["ra", "rb"]).select("doc_id", "ra", "rb", "body", "wanted")
     # rows that share id and text cut out the same string twice, which is as good as its count
     pieces = mapped(texts, _cut_out, "mark long, digest long, body binary")
+    narrower = None
+    if total["hot"] and len(offsets) > 1:
+        pieces = stored(pieces)
+        hot = sizes.where("hot").select("mark")
+        inner = pieces.join(hot, "mark", "left_semi").select(F.col("mark").alias("doc_id"), F.col("mark").alias("ra"), F.col("digest").alias("rb"), "body")
+        narrower = repeated_ranges(inner, length, gram, offsets[1:]).select(F.col("ra").alias("mark"), F.col("rb").alias("digest"), "first", "last")
+        pieces = pieces.join(hot, "mark", "left_anti")
     sorted_out = pieces.repartition(shards, "mark").mapInArrow(_shard(length), "mark long, digest long, first int, last int")
+    if narrower is not None:
+        sorted_out = sorted_out.union(narrower)
     whole = groups.where(F.col("n") > 1).select("mark", "digest", F.lit(0).alias("first"), F.col("one.size").alias("last"))
     ranges = whole.union(sorted_out).distinct()
     return marks.join(ranges, ["mark", "digest"]).select("ra", "rb", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))
