@@ -303,6 +303,23 @@ def test_toxic_words_are_learned_and_restored(spark):
     assert len({r.score for r in toxicity.scored(docs, none).collect()}) == 1
 
 
+
+def test_spaced_long_and_doubled_spellings_are_restored(spark):
+    rng = random.Random(7)
+    words = ["anen", "thore", "erst", "tionan", "hand", "stion"]
+    texts = [" ".join(rng.choice(words) for _ in range(20)) + (" moron" if i % 4 == 0 else "") for i in range(400)]
+    tricks = ["anen hand m o r o n", "h a n d m o r o n", "anen morron hand", "anen m" + "o" * 90 + "ron hand",
+              " ".join("handerstanenhanderst") + " " + " ".join("moron"), "a n e n h a n d"]
+    docs = documents(spark, texts + tricks)
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in toxicity.scored(docs, labels).collect()}
+    assert [rows[400 + i].predicted for i in range(6)] == [1, 1, 1, 1, 1, 0]
+
+
+def test_long_stretches_cost_their_length():
+    restorer = toxicity.Restorer(toxicity.character_model(np.zeros(toxicity.SYMBOLS ** 4)))
+    assert restorer.restore("a" + "1" * 5000 + "= x") and len(toxicity.features("m" * 70)) == 4
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 16))

@@ -22,18 +22,20 @@ SYMBOLS = 28
 #: What look-alike characters may stand for (fixed values).
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
          "€": "e", "(": "c", "¡": "i"}
-#: Log costs of the channel: a look-alike, a letter of a run that is dropped, a separator that is dropped.
-LOOK_COST, REPEAT_COST, GAP_COST = -1.0, -0.7, -0.2
-#: Longer stretches than this are codes or keys, not words.
-LONGEST = 40
+#: Log costs of the channel: a look-alike, a letter of a run that is dropped, a separator that is dropped or that parts words.
+LOOK_COST, REPEAT_COST, GAP_COST, PART_COST = -1.0, -0.7, -0.2, -1.0
+#: Longest stretch whose decoding is kept for the next time.
+REMEMBERED = 40
 _L = r"[^\W\d_]"
-_X = rf"(?:{_L}|[0134578@$!|+€(¡9])"
-#: Stretches that may hide a word: letters mixed with look-alikes, single characters set apart, letters in long runs.
+_D = "[0134578@$!|+€(¡9]"
+_X = rf"(?:{_L}|{_D})"
+#: Stretches that may hide a word: single characters set apart, letters mixed with look-alikes, doubled letters and longer
+#: runs. Groups that repeat are possessive, so that a long stretch costs no more than its length.
 SUSPECT = re.compile(
-    rf"(?<![\w@$])(?:{_X}(?P<gap>[ .\-_*/~])){{2,}}(?:{_X}(?P=gap))*{_X}(?![\w@$])"
-    rf"|(?<![\w@.+/=-])(?=[^\s]*{_L})(?:{_L}*[0134578@$!|+€(¡9]+)+{_L}+(?![\w@=])"
-    rf"|(?<![\w@.+/=-]){_L}{{2,}}(?:[013457@$]{_L}*)+(?![\w@.=])"
-    rf"|(?<!\w){_L}*({_L})\2\2+{_L}*(?!\w)")
+    rf"(?<![\w@$]){_X}(?P<gap>[ .\-_*/~]){_X}(?:(?=(?P=gap))|(?![\w@$]))(?:(?P=gap){_X}(?:(?=(?P=gap))|(?![\w@$])))++"
+    rf"|(?<![\w@.+/=-])(?=[^\s]*{_L})(?:{_L}*+{_D}++)++{_L}++(?![\w@=])"
+    rf"|(?<![\w@.+/=-]){_L}{{2,}}+(?:[013457@$]{_L}*+)++(?![\w@.=])"
+    rf"|(?<!\w){_L}*?({_L})\2{_L}*+(?!\w)")
 WORD = re.compile(rf"{_L}+")
 
 
@@ -79,11 +81,11 @@ def character_model(counts: np.ndarray) -> np.ndarray:
 
 class Restorer:
     """Viterbi decoding of suspicious stretches. Each character is a column of a lattice: letters stand for themselves,
-    look-alikes for letters, separators for nothing, and a run of one letter for one or two of it. A path is worth what the
-    character model gives its letters plus the costs of its channel; the states are the last three symbols."""
+    look-alikes for letters, separators for nothing or the end of a word, and a run of one letter for one or two of it. A path is
+    worth what the character model gives its letters plus the costs of its channel; the states are the last three symbols."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        self.logs, self.known = model.tolist(), {}
 
     def _columns(self, stretch: str, gap: str | None) -> list[list[tuple[str, float]]]:
         columns, i = [], 0
@@ -92,7 +94,7 @@ class Restorer:
             while i + run < len(stretch) and stretch[i + run] == c:
                 run += 1
             if c == gap or not (c.isalpha() or c in LOOKS):
-                columns.append([("", GAP_COST)])
+                columns.append([("", GAP_COST), (" ", PART_COST)])
             else:
                 letters = [(c, 0.0)] if c.isalpha() else [(x, LOOK_COST) for x in LOOKS[c]]
                 options = []
@@ -105,27 +107,32 @@ class Restorer:
         return columns
 
     def decode(self, stretch: str, gap: str | None = None) -> str:
-        paths = {0: (0.0, "")}
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # the best way to each state, as a chain from its end
         for options in self._columns(stretch, gap):
-            step: dict[int, tuple[float, str]] = {}
-            for state, (score, text) in paths.items():
+            step: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, way) in paths.items():
                 for letters, cost in options:
                     s, total = state, score + cost
                     for x in letters:
-                        code = ord(x) - 96 if "a" <= x <= "z" else 27
-                        total += float(self.model[s, code])
+                        code = ord(x) - 96 if "a" <= x <= "z" else 0 if x == " " else 27
+                        total += self.logs[s][code]
                         s = s * SYMBOLS % SYMBOLS ** 3 + code
                     if s not in step or total > step[s][0]:
-                        step[s] = (total, text + letters)
+                        step[s] = (total, (way, letters))
             paths = step
-        return max(((score + float(self.model[s, 0]), text) for s, (score, text) in paths.items()), default=(0.0, ""))[1]
+        way = max(paths.items(), key=lambda p: p[1][0] + self.logs[p[0]][0])[1][1]
+        parts = []
+        while way is not None:
+            way, letters = way
+            parts.append(letters)
+        return "".join(reversed(parts))
 
     def restore(self, text: str) -> str:
         """The text in lower case with every suspicious stretch decoded."""
         def one(found: re.Match) -> str:
             stretch = found.group()
-            if len(stretch) > LONGEST:
-                return stretch
+            if len(stretch) > REMEMBERED:
+                return self.decode(stretch, found.group("gap"))
             if stretch not in self.known:
                 if len(self.known) > 100_000:
                     self.known = {}
@@ -138,8 +145,6 @@ def features(restored: str) -> Counter:
     """Words and word beginnings with their counts."""
     out: Counter = Counter()
     for word, n in Counter(WORD.findall(restored)).items():
-        if len(word) > 60:
-            continue
         out["=" + word] += n
         for k in PREFIXES:
             if len(word) > k:
