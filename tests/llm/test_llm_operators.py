@@ -346,6 +346,21 @@ def test_page_text():
     assert html_density.main_text("") == "" and html_density.main_text("<p>" * 3000) == ""
 
 
+
+@pytest.mark.parametrize("wrapper", ["class='content has-sidebar'", "class='page no-sidebar'", "id='search-results'", "class='post tags'",
+                                     "aria-label='Comments on the new law'", "class='share'"])
+def test_wrapped_articles_stay(wrapper):
+    article = "".join(f"<p>Paragraph {i} of an article that goes on for a good while and says a lot.</p>" for i in range(9))
+    page = f"<html><body><div class='site-header'>Our site</div><div {wrapper}>{article}</div><div class='comments'><p>Me too</p></div><div class=ad>Buy</div></body></html>"
+    text = html_density.main_text(page)
+    assert text.count("Paragraph") == 9 and "Our site" not in text and "Me too" not in text and "Buy" not in text
+
+
+def test_long_comments_beside_an_article_go():
+    chat = "<article class='c'><p>A rather long comment that says what all the others say as well.</p></article>" * 9
+    page = f"<body><div class='wrap'><article><p>The piece itself, short as it is.</p></article></div><div id='comments'>{chat}</div></body>"
+    assert html_density.main_text(page) == "The piece itself, short as it is."
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 9)), "big" if i % 3 else ("null" if i % 2 else None)) for i in range(900)]

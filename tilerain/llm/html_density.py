@@ -25,18 +25,34 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 #: Elements that never hold main text.
 SKIPPED = set("head script style noscript template nav header footer aside form button select input textarea iframe object embed svg canvas "
               "audio video map dialog menu xmp noembed noframes title".split())
-#: Words in class, id or role that mark menus, notices, adverts, side columns, comments and the like.
-SIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|"
+#: Words that, as a whole name in class, id or role, mark menus, notices, adverts, side columns, comments and the like.
+SIDE = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|"
                   r"signup|login|nav\w*|menus?|breadcrumbs?|pagination|pager|header|masthead|footer|foot|sidebar|side|aside|rail|widgets?|"
-                  r"related|recommend\w*|share|sharing|social|comments?|replies|respond|disqus|discussion|toolbar|tags?|search|complementary|contentinfo|navigation|alert|alertdialog|hidden)(?:$|[\s_-])", re.I)
+                  r"related|recommend\w*|share|sharing|social|comments?|replies|respond|disqus|discussion|toolbar|tags?|search|complementary|contentinfo|navigation|alert|alertdialog|hidden", re.I)
+#: Parts of a name that say nothing of what an element holds.
+NEUTRAL = re.compile(r"\d*|site|page|main|top|bottom|left|right|primary|secondary|global|wrap|wrapper|container|inner|outer|box|block|area|section|"
+                     r"list|item|items|links?|buttons?|bar|slot|unit|posts?|form", re.I)
+#: An element so marked is hidden if it holds less than this share of the body's text.
+SMALL = 1 / 3
 SPACES = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parts", "parent", "side", "chars", "tags", "links", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "side", "marked", "chars", "tags", "links", "link_tags", "density", "total")
 
-    def __init__(self, tag, parent, side):
-        self.tag, self.parent, self.side, self.parts = tag, parent, side, []
+    def __init__(self, tag, parent, side, marked=False):
+        self.tag, self.parent, self.side, self.marked, self.parts = tag, parent, side, marked, []
+
+
+def _names_side(names: str) -> bool:
+    """Whether one of the names, taken whole, is that of a side part: all its words are side words or neutral ones, and not
+    all are neutral. has-sidebar, no-sidebar and search-results are none."""
+    for name in names.split():
+        words = re.split("[_-]", name)
+        side = [w for w in words if SIDE.fullmatch(w)]
+        if side and all(SIDE.fullmatch(w) or NEUTRAL.fullmatch(w) for w in words):
+            return True
+    return False
 
 
 def _tree(page: str) -> _Node:
@@ -87,19 +103,20 @@ def _tree(page: str) -> _Node:
         if name == "body":
             up_to({"head"}, set())
         attrs = found.group(3) or ""
-        side = name in SKIPPED
+        side, marked = name in SKIPPED, False
         if not side and attrs and name not in ("body", "html", "article", "main"):
             for key, value in MARK.findall(attrs):
                 key = key.lower()
                 value = value.strip("\"'")
-                if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key in ("class", "id", "role", "aria-label") and SIDE.search(value)):
+                if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                     side = True
                     break
+                marked = marked or key in ("class", "id", "role") and _names_side(value)
         if name in VOID or attrs.rstrip().endswith("/") and name in ("svg", "path"):
             if name in ("br", "hr"):
                 node.parts.append("\n" if name == "br" else _Node("hr", node, False))
             continue
-        child = _Node(name, node, side)
+        child = _Node(name, node, side, marked)
         node.parts.append(child)
         if name in RAW:
             raw_end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -132,6 +149,21 @@ def _measure(root: _Node) -> list[_Node]:
     return order
 
 
+def _hide(body: _Node) -> None:
+    """Makes side nodes of the marked nodes with little of the body's text, and of all of them if an article stands elsewhere."""
+    order = _measure(body)
+    if not any(n.marked for n in order):
+        return
+    elsewhere, stack = False, [body]
+    while stack:
+        n = stack.pop()
+        elsewhere = elsewhere or n.tag in ("article", "main") and n.chars > 0
+        stack.extend(p for p in n.parts if isinstance(p, _Node) and not p.side and not p.marked)
+    for n in order:
+        if n.marked and (elsewhere or n.chars < SMALL * body.chars):
+            n.side = True
+
+
 def _densities(order: list[_Node], link_chars: int, all_chars: int) -> None:
     """Composite text density of each node, and the sum of its children's."""
     share = link_chars / max(1, all_chars)
@@ -183,7 +215,8 @@ def main_text(page: str) -> str:
     Every node gets its characters per tag, adjusted by the characters and tags of links below it and by the link share
     of the whole body. The node whose children have the largest sum of densities holds the article; the smallest density
     on its path up to the body is the threshold for further parts outside of it. Scripts, forms, menus, notices, adverts
-    and comments, known by element or by the words of class and id, take no part.
+    and comments, known by element, take no part; those known by a name in class, id or role only if they hold little of the
+    text or an article stands elsewhere.
     """
     if not page:
         return ""
@@ -196,6 +229,7 @@ def main_text(page: str) -> str:
             break
         stack.extend(p for p in reversed(n.parts) if isinstance(p, _Node) and not p.side)
     links = sum(len(re.sub(r"<[^>]*>|\s", "", x)) for x in re.findall(r"<a\b[^>]*>(.*?)</a\s*>", page, re.S | re.I))
+    _hide(body)
     order = _measure(body)
     _densities(order, links, max(body.chars + links, 1))
     places = {id(n): i for i, n in enumerate(order)}
