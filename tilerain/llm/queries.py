@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tilerain.llm import curves, exact_dedup, html_density, mixing, pair_bpe, pii, simhash, suffix_dedup, token_counts, toxicity
+from tilerain.llm import (curves, exact_dedup, html_density, language_id, mixing, pair_bpe, pii, ranked_search, simhash, suffix_dedup,
+                          token_counts, toxicity, whitening)
 from tilerain.llm.common import table
 
 
@@ -55,7 +56,19 @@ def op10_temperature_mix(spark, sf_dir):
     return mixing.copies(table(spark, sf_dir, "documents"))
 
 
+def op11_polarised_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bit_sliced_search(spark, sf_dir):
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark, sf_dir):
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hilbert_neighbours, op2_toxicity, op3_exact_dedup, op4_text_density, op5_bpe, op6_personal_data, op7_suffix_dedup,
-    op8_simhash, op9_token_counts, op10_temperature_mix)}
+    op8_simhash, op9_token_counts, op10_temperature_mix, op11_polarised_whitening, op12_bit_sliced_search, op13_language_id)}
 ORACLES = {"op3_exact_dedup": OP3_SQL}
