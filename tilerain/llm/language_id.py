@@ -10,8 +10,10 @@ from tilerain.llm.common import mapped
 #: Hidden units of a direction, and bytes of a segment: the network reads a text segment by segment, each from both ends.
 HIDDEN, SEGMENT = 8, 128
 #: Training: documents at most (shared equally among the languages, those with the smallest hashes of the id), segments per
-#: document at most (evenly spread over the whole text), passes, segments per step, step size.
-TRAIN_DOCS, TRAIN_SEGMENTS, PASSES, STEP_SEGMENTS, RATE = 1600, 4, 4, 128, 0.02
+#: document at most (evenly spread over the whole text), steps at least, segments per step, step size.
+TRAIN_DOCS, TRAIN_SEGMENTS, STEPS, STEP_SEGMENTS, RATE = 1600, 4, 200, 128, 0.02
+#: Parts that the rows of a language are dealt to where the smallest hashes are looked for.
+SALTS = 64
 #: Segments that are read at once.
 LANES = 4096
 #: Answer for texts without a letter.
@@ -141,12 +143,13 @@ class Network:
         return loss, grad
 
 
-def fitted(segments: list[np.ndarray], labels: list[int], classes: int, passes: int = PASSES, seed: int = 7) -> Network:
+def fitted(segments: list[np.ndarray], labels: list[int], classes: int, least: int = STEPS, seed: int = 7) -> Network:
     """A network fitted on labelled segments by gradient steps with running moments. The same segments give the same network."""
     net, rng = Network(classes, seed=seed), np.random.default_rng(seed)
     first = {n: np.zeros_like(w) for n, w in net.p.items()}
     second = {n: np.zeros_like(w) for n, w in net.p.items()}
     y, step = np.array(labels), 0
+    passes = -(-least // -(-len(segments) // STEP_SEGMENTS))
     steps = passes * -(-len(segments) // STEP_SEGMENTS)
     for _ in range(passes):
         order = rng.permutation(len(segments))
@@ -175,10 +178,12 @@ def trained(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not languages:
         return None, []
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    nth = F.row_number().over(order)
-    picked = (rows.select("id", "lang").withColumn("nth", nth).where(F.col("nth") <= max(1, max_docs // len(languages)))
-              .select("id", "lang").distinct())
+    most = max(1, max_docs // len(languages))
+    picked = rows.select("id", "lang", F.xxhash64("id").alias("hash"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):  # a language with most of the rows is cut down in SALTS tasks first
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "id"))
+        picked = picked.withColumn("nth", nth).where(F.col("nth") <= most)
+    picked = picked.select("id", "lang").distinct()
     sample = rows.join(F.broadcast(picked), ["id", "lang"]).select("id", "lang", "text")
     index = {v: i for i, v in enumerate(languages)}
 
