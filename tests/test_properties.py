@@ -15,7 +15,6 @@ from tilerain.operators import pairing as P
 from tilerain.operators import patches as G
 from tilerain.operators import ranking as K
 from tilerain.operators import regrid as R
-from tilerain.operators import scenes as S
 from tilerain.operators import stacking as C
 from tilerain.operators import stats as T
 
@@ -315,27 +314,6 @@ def test_random_draws_do_not_depend_on_partitioning(spark):
     assert runs[0] == runs[1] and len(set((y, x) for _, y, x in runs[0])) == 25
 
 
-def test_box_overlap_matches_brute_force(spark):
-    draw = random.Random(9)
-
-    def boxes(n, big):
-        out = []
-        for i in range(n):
-            x, y = draw.choice([draw.uniform(-3, 3), float(draw.randrange(-3, 3))]), draw.uniform(-3, 3)
-            out.append((i, x, y, x + draw.uniform(0, big), y + draw.uniform(0, big)))
-        return out
-
-    def frame(rows, key, box):
-        return spark.createDataFrame(rows, f"{key} int, a double, b double, c double, d double").select(
-            key, F.struct(F.col("a").alias("minx"), F.col("b").alias("miny"), F.col("c").alias("maxx"), F.col("d").alias("maxy")).alias(box))
-    left, right = boxes(60, 0.5), boxes(40, 3)
-    for strict in (True, False):
-        got = sorted((r["i"], r["j"]) for r in S.box_overlap(frame(left, "i", "bbox"), frame(right, "j", "box"), strict).select("i", "j").collect())
-        want = sorted((i, j) for i, a, b, c, d in left for j, e, f, g, h in right if (
-            a < g and c > e and b < h and d > f if strict else a <= g and c >= e and b <= h and d >= f))
-        assert got == want
-
-
 def test_missing_rain_counts_as_dry(spark):
     rows = [(t, 0, 0, None if t in (3, 4) else 500.0 if t == 7 else 1.0) for t in range(12)]
     cells = spark.createDataFrame(rows, "t int, y int, x int, precip double")

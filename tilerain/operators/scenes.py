@@ -3,21 +3,26 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilerain.functions.dates import micros, rain_day_start
+from tilerain.functions.dates import radar_days_after, rain_day_start
+from tilerain.operators.boxes import box_overlap
 
 
-def overlaps(a: Column, b: Column, strict: bool = False) -> Column:
-    """Box overlap of two bbox structs; `strict` leaves out boxes that only touch."""
-    if strict:
-        return ((a.minx < b.maxx) & (a.maxx > b.minx) & (a.miny < b.maxy) & (a.maxy > b.miny))
-    return ((a.minx <= b.maxx) & (a.maxx >= b.minx) & (a.miny <= b.maxy) & (a.maxy >= b.miny))
+def property_test(name: str, op: str, value: object) -> Column:
+    """A test (`eq`, `gte`, `lte`, ...) of an entry of the `properties` map. It runs on the rows read; a map is not pruned by the scan."""
+    held = F.try_element_at(F.col("properties"), F.lit(name))
+    if not isinstance(value, str):
+        held = held.try_cast("double")
+    test = {"eq": held == value, "neq": held != value, "gt": held > value, "gte": held >= value, "lt": held < value, "lte": held <= value}
+    if op not in test:
+        raise ValueError(f"unknown property operator {op!r}")
+    return test[op]
 
 
 def search(scenes: DataFrame, sensor: str, bbox: tuple[float, float, float, float] | None = None,
            start: str | None = None, end: str | None = None, where: dict[str, tuple[str, object]] | None = None) -> DataFrame:
-    """Catalog search by sensor, box, whole-day interval and property predicates (`eq`, `gte`, `lte`, ...).
+    """Catalog search by sensor, box, whole-day interval and property tests.
 
-    Every predicate is on a plain column or a bbox field so that it reaches the Parquet scan.
+    Sensor, box and interval are tests on plain columns and bbox fields, so they reach the Parquet scan.
     """
     found = scenes.where(F.col("sensor") == sensor)
     if bbox is not None:
@@ -29,25 +34,38 @@ def search(scenes: DataFrame, sensor: str, bbox: tuple[float, float, float, floa
     if end is not None:
         found = found.where(F.col("dt") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
     for name, (op, value) in (where or {}).items():
-        held = F.try_element_at(F.col("properties"), F.lit(name))
-        if not isinstance(value, str):
-            held = held.try_cast("double")
-        test = {"eq": held == value, "neq": held != value, "gt": held > value, "gte": held >= value,
-                "lt": held < value, "lte": held <= value}
-        if op not in test:
-            raise ValueError(f"unknown property operator {op!r}")
-        found = found.where(test[op])
+        found = found.where(property_test(name, op, value))
     return found
 
 
-def search_events(events: DataFrame, scenes: DataFrame, keys: list[str], before: int, after: int) -> DataFrame:
-    """Scenes of each event's cell inside [date - before, date + after], both days whole.
+#: Days after an event that each sensor is searched for: a function of the days after it and the pairing tolerance in hours.
+WINDOW_AFTER = {"s2": lambda after, hours: after, "s1": radar_days_after}
+#: Property tests of the event search, by sensor (fixed values of the catalogs).
+EVENT_SEARCH = {"s2": {}, "s1": {"sar:instrument_mode": ("eq", "IW")}}
 
-    The event's few days are listed, so the search is an equi-join on (cell, day) that meets matching pairs only.
+
+def search_events(events: DataFrame, scenes: DataFrame, before: int, after: int, hours: float = 0.0,
+                  where: dict[str, dict[str, tuple[str, object]]] | None = None) -> DataFrame:
+    """Scenes whose footprint meets an event's box, from `before` days before to `after` days after it, all days whole.
+
+    Radar scenes are searched for longer, by the whole days that `hours` reach. `where` holds the property tests of each
+    sensor searched for (default: both sensors, radar in its wide mode). Events have eid, event_date and bbox, scenes the
+    columns of `schema.SCENE`; the result has both, the footprint as `box`. The event's few days are listed, so that the box
+    join meets boxes of one sensor and day only, and one join serves both sensors.
     """
-    days = F.sequence(F.date_sub("event_date", before), F.date_add("event_date", after))
-    window = events.select(*keys, "eid", "event_date", F.explode(days).alias("_day"))
-    return scenes.withColumn("_day", F.col("dt").cast("date")).join(window, [*keys, "_day"]).drop("_day")
+    tests = EVENT_SEARCH if where is None else where
+    wanted = F.lit(False)
+    for sensor, test in tests.items():
+        kept = F.col("sensor") == sensor
+        for name, (op, value) in test.items():
+            kept = kept & property_test(name, op, value)
+        wanted = wanted | kept
+    windows = F.array(*[F.struct(F.lit(sensor).alias("sensor"), F.sequence(
+        F.date_sub("event_date", before), F.date_add("event_date", WINDOW_AFTER[sensor](after, hours))).alias("days")) for sensor in tests])
+    days = F.flatten(F.transform(windows, lambda w: F.transform(w["days"], lambda day: F.struct(w["sensor"].alias("sensor"), day.alias("_day")))))
+    asked = events.withColumn("_w", F.explode(days)).select("*", "_w.sensor", "_w._day").drop("_w")
+    footprints = scenes.where(wanted).withColumn("_day", F.col("dt").cast("date")).withColumnRenamed("bbox", "box")
+    return box_overlap(asked, footprints, strict=False, on=["sensor", "_day"]).drop("_day")
 
 
 # ---- fixed values: asset names by catalog provider ----
@@ -177,26 +195,6 @@ def date_and_crs_lists(scenes: DataFrame, keys: list[str]) -> DataFrame:
         F.sort_array(F.collect_set("crs")).alias("crs_list"))
 
 
-def box_overlap(left: DataFrame, right: DataFrame, strict: bool = True, grid: float = 1.0) -> DataFrame:
-    """Pairs of overlapping boxes as an equi-join on grid squares; columns `bbox` -> left, `box` -> right.
-
-    Each box is listed under every square it covers. A pair sharing several squares is kept only in the square holding
-    the lower-left corner of the intersection, so nothing has to be made distinct afterwards.
-    """
-    def squares(df: DataFrame, box: str) -> DataFrame:
-        step = F.lit(float(grid))
-        cols = F.sequence(F.floor(F.col(f"{box}.minx") / step), F.floor(F.col(f"{box}.maxx") / step))
-        rows = F.sequence(F.floor(F.col(f"{box}.miny") / step), F.floor(F.col(f"{box}.maxy") / step))
-        return (df.withColumn("_gx", F.explode(cols)).withColumn("_gy", F.explode(rows)))
-
-    a, b = F.col("bbox"), F.col("box")
-    corner_x = F.floor(F.greatest(a.minx, b.minx) / F.lit(float(grid)))
-    corner_y = F.floor(F.greatest(a.miny, b.miny) / F.lit(float(grid)))
-    return (squares(left, "bbox").join(squares(right, "box"), ["_gx", "_gy"])
-            .where(overlaps(a, b, strict) & (F.col("_gx") == corner_x) & (F.col("_gy") == corner_y))
-            .drop("_gx", "_gy"))
-
-
 def widened(box: Column, by: float) -> Column:
     return F.struct((box.minx - by).alias("minx"), (box.miny - by).alias("miny"),
                     (box.maxx + by).alias("maxx"), (box.maxy + by).alias("maxy"))
@@ -212,7 +210,7 @@ def elevation_tiles(events: DataFrame, tiles: DataFrame, buffer: float = 0.02) -
         F.when(F.col("names").isNull(), F.lit("no elevation tile")).alias("error"))
 
 
-def state_of_box(events: DataFrame, states: DataFrame, grid: float = 1.0) -> DataFrame:
+def state_of_box(events: DataFrame, states: DataFrame) -> DataFrame:
     """State holding the first matching corner, corners tried lower-left, lower-right, upper-left, upper-right.
 
     `states` has (state, ord, box); where boxes of states overlap the lower `ord` wins.
@@ -224,10 +222,6 @@ def state_of_box(events: DataFrame, states: DataFrame, grid: float = 1.0) -> Dat
         "eid", F.col("c.i").alias("corner"),
         F.struct(F.col("c.px").alias("minx"), F.col("c.py").alias("miny"),
                  F.col("c.px").alias("maxx"), F.col("c.py").alias("maxy")).alias("bbox"))
-    hits = box_overlap(points, states, strict=False, grid=grid)
+    hits = box_overlap(points, states, strict=False)
     found = hits.groupBy("eid").agg(F.min_by("state", F.struct("corner", "ord")).alias("state"))
     return events.select("eid").join(found, "eid", "left")
-
-
-def latest_time(scenes: DataFrame) -> DataFrame:
-    return scenes.groupBy("eid").agg(F.max_by("dt", micros(F.col("dt"))).alias("latest"))

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilerain.functions.dates import buffered_bounds, clamped_year
-from tilerain.operators.scenes import best_per_date, box_overlap, id_has_any
+from tilerain.operators.boxes import box_overlap
+from tilerain.operators.scenes import best_per_date, id_has_any
 
 
 def select_area_scenes(areas: DataFrame, scenes: DataFrame, s2_ids: list[str] | None = None,

@@ -3,28 +3,25 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilerain.functions.dates import radar_days_after
 from tilerain.operators.events import describe_events, extreme_events
 from tilerain.operators.pairing import mutual_pairs, nearest
 from tilerain.operators.scenes import below_cover, event_crs, primary_per_date, search_events
 from tilerain.session import cut
 
-CELL = ["y", "x"]
-
-
 def select_event_scenes(cells: DataFrame, scenes: DataFrame, history: DataFrame | None, threshold: float, before: int,
                         after: int, hours: float, max_cover: float, geotransform: tuple[float, ...],
                         start: str) -> DataFrame:
     """One row per optical date of each event that has any radar scene, with the radar scene of that date or none.
 
-    The cheap time pairing runs before any cover test. Tables that several branches read (events, candidate scenes,
-    chosen scenes) are small against the catalog and are written once. Radar scenes are organized under the date of the optical scene
-    they are closest to, and one is chosen per date with the same CRS preference.
+    `scenes` is a catalog (`schema.SCENE`) with the measured cover_pct and missing_pct. One box join finds the scenes of both
+    sensors; the cheap time pairing runs before any cover test. Tables that several branches read (events, found scenes,
+    chosen scenes) hold the few columns needed from there on and are written once. Radar scenes are organized under the
+    date of the optical scene they are closest to, and one is chosen per date with the same CRS preference.
     """
     events = cut(describe_events(extreme_events(cells, threshold, history), geotransform, start))
-    keyed = events.select(*CELL, "eid", "event_date")
-    optical = cut(search_events(keyed, scenes.where(F.col("sensor") == "s2"), CELL, before, after))
-    radar = cut(search_events(keyed, scenes.where(F.col("sensor") == "s1"), CELL, before, radar_days_after(after, hours)))
+    found = cut(search_events(events.select("eid", "event_date", "bbox"), scenes, before, after, hours)
+                .select("eid", "sensor", "item_id", "dt", "crs", "ord", "cover_pct", "missing_pct"))
+    optical, radar = (found.where(F.col("sensor") == sensor).drop("sensor") for sensor in ("s2", "s1"))
     optical, radar = mutual_pairs(optical, radar, ["eid"], hours)
     clear = cut(below_cover(optical, max_cover))
     main = event_crs(clear).withColumnRenamed("crs", "main_crs")

@@ -16,10 +16,11 @@ EID = "concat(strftime(date '2024-01-01' + t, '%Y%m%d'), '_', y, '_', x)"
 @query("event_scene_selection", f"""
 , ev AS (SELECT {EID} eid, cast(date '2024-01-01' + t AS date) event_date, t, y, x, precip FROM precip_cell_day p
     WHERE precip > 250 AND NOT EXISTS (SELECT 1 FROM history h WHERE h.t=p.t AND h.y=p.y AND h.x=p.x)),
-o AS (SELECT e.eid, e.event_date, s.* FROM ev e JOIN scene s ON s.y=e.y AND s.x=e.x WHERE sensor='s2'
+bx AS (SELECT eid, event_date, x*0.25::double - 125 x0, (x+1)*0.25::double - 125 x1, (y+1)*(-0.25)::double + 50 y0, y*(-0.25)::double + 50 y1 FROM ev),
+o AS (SELECT e.eid, e.event_date, s.* FROM bx e JOIN catalog s ON minx <= x1 AND maxx >= x0 AND miny <= y1 AND maxy >= y0 WHERE sensor='s2'
     AND cast(dt AS date) BETWEEN event_date - 2 AND event_date + 4),
-q AS (SELECT e.eid, e.event_date, s.* FROM ev e JOIN scene s ON s.y=e.y AND s.x=e.x WHERE sensor='s1'
-    AND cast(dt AS date) BETWEEN event_date - 2 AND event_date + 5),
+q AS (SELECT e.eid, e.event_date, s.* FROM bx e JOIN catalog s ON minx <= x1 AND maxx >= x0 AND miny <= y1 AND maxy >= y0 WHERE sensor='s1'
+    AND imode='IW' AND cast(dt AS date) BETWEEN event_date - 2 AND event_date + 5),
 o1 AS (SELECT * FROM o WHERE EXISTS (SELECT 1 FROM q WHERE q.eid=o.eid AND abs(epoch_us(q.dt)-epoch_us(o.dt)) < 43200000000)),
 q1 AS (SELECT * FROM q WHERE EXISTS (SELECT 1 FROM o1 WHERE q.eid=o1.eid AND abs(epoch_us(q.dt)-epoch_us(o1.dt)) < 43200000000)),
 o2 AS (SELECT * FROM o1 WHERE NOT cover_pct > 60),
@@ -33,9 +34,9 @@ rc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY eid, scene_date
     ORDER BY CASE WHEN crs=main_crs THEN 0 ELSE 1 END, crs, ord) rn FROM ma) WHERE rn=1)
 SELECT ch.eid, ch.scene_date, ch.main_crs, ch.item_id s2_item, rc.item_id s1_item, rc.dt s1_dt, ev.event_date, ev.precip
 FROM ch LEFT JOIN rc ON rc.eid=ch.eid AND rc.scene_date=ch.scene_date JOIN ev ON ev.eid=ch.eid WHERE ch.eid IN (SELECT eid FROM rc)
-""", "history scene")
+""", "history catalog")
 def event_scene_selection(spark, sf):
-    return select_event_scenes(X.precip_cell_day(spark, sf), X.scene(spark, sf), X.history(spark, sf), 250, 2, 4, 12, 60,
+    return select_event_scenes(X.precip_cell_day(spark, sf), X.catalog(spark, sf), X.history(spark, sf), 250, 2, 4, 12, 60,
                                X.GEOTRANSFORM, X.START)
 
 

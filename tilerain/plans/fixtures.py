@@ -45,6 +45,20 @@ def scene(spark: SparkSession, sf: str) -> DataFrame:
         (e * 37 % 101).cast("int").alias("cover_pct"), (e * 53 % 101).cast("double").alias("missing_pct"), e.alias("ord"))
 
 
+def catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes with the columns of `schema.SCENE`, and the measured covers. A footprint lies inside its cell; every third one
+    reaches into the next cell as well."""
+    s, i = scene(spark, sf), F.col("item_id")
+    x, y = F.col("x"), F.col("y")
+    return s.select(
+        i.cast("string").alias("item_id"), "sensor", "dt", "crs",
+        F.struct((x * 0.25 - 124.9375).alias("minx"), ((y + 1) * -0.25 + 50.0625).alias("miny"),
+                 ((x + F.when(i % 3 == 0, 2).otherwise(1)) * 0.25 - 125.0625).alias("maxx"), (y * -0.25 + 49.9375).alias("maxy")).alias("bbox"),
+        F.create_map(F.lit("eo:cloud_cover"), F.col("cover_pct").cast("string"), F.lit("sat:orbit_state"), F.col("orbit"),
+                     F.lit("sar:instrument_mode"), F.when(i % 7 == 0, "EW").otherwise("IW")).alias("properties"),
+        F.create_map(F.lit("vv"), F.lit("a")).alias("assets"), "ord", F.col("cover_pct"), F.col("missing_pct"))
+
+
 def raster_file(spark: SparkSession, sf: str) -> DataFrame:
     day = F.lpad(F.dayofmonth("ts").cast("string"), 2, "0")
     tail = F.when(F.col("event_type").isin("click", "view"), "_vv.tif").otherwise("_vh.tif")
@@ -122,6 +136,10 @@ DUCK = {
         concat('EPSG:326', cast(13 + event_id % 5 AS varchar)) crs,
         CASE WHEN event_id % 3 = 0 THEN 'ascending' WHEN event_id % 3 = 1 THEN 'descending' ELSE '' END orbit,
         cast(event_id*37 % 101 AS int) cover_pct, cast(event_id*53 % 101 AS double) missing_pct, event_id ord FROM events"""),
+    "catalog": ("scene", """SELECT cast(item_id AS varchar) item_id, sensor, dt, crs, x*0.25::double - 124.9375 minx,
+        (y+1)*(-0.25)::double + 50.0625 miny, (x + CASE WHEN item_id % 3 = 0 THEN 2 ELSE 1 END)*0.25::double - 125.0625 maxx,
+        y*(-0.25)::double + 49.9375 maxy, CASE WHEN item_id % 7 = 0 THEN 'EW' ELSE 'IW' END imode, cover_pct, missing_pct, ord
+        FROM scene"""),
     "raster_file": ("", """SELECT DISTINCT concat('sar_202401', lpad(cast(day(ts) AS varchar),2,'0'), '_202401',
         lpad(cast(day(ts) AS varchar),2,'0'), '_20240101_', cast(cast(floor(user_id/15) AS int) AS varchar), '_',
         cast(user_id % 15 AS varchar), CASE WHEN event_type IN ('click','view') THEN '_vv.tif' ELSE '_vh.tif' END) name,

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from tilerain.functions import dates as D
 from tilerain.operators import pairing as P
 from tilerain.operators import scenes as S
+from tilerain.operators.boxes import box_overlap
+from tilerain.operators.events import describe_events
 from tilerain.plans import fixtures as X
 from tilerain.plans.registry import query
 
@@ -26,12 +28,12 @@ def scene_search(spark, sf):
 
 
 @query("scene_assets", """, a AS (SELECT item_id, sensor, CASE item_id % 3 WHEN 0 THEN 'mpc' WHEN 1 THEN 'aws' ELSE 'cdse' END provider,
-CASE WHEN sensor='s1' THEN 'vv' ELSE 'B11' END band, CASE WHEN item_id % 2 = 0 THEN NULL ELSE crs END own FROM scene WHERE sensor <> 'other')
-SELECT a.item_id, provider, band, CASE WHEN a.sensor='s1' THEN 'vv' WHEN provider='mpc' THEN 'B11' WHEN provider='aws' THEN 'swir16' ELSE 'B11_20m' END asset,
+CASE WHEN sensor='s1' THEN 'vv' ELSE 'B11' END band, CASE WHEN item_id % 2 = 0 THEN NULL ELSE crs END own FROM scene)
+SELECT a.item_id, provider, band, CASE WHEN a.sensor='other' THEN NULL WHEN a.sensor='s1' THEN 'vv' WHEN provider='mpc' THEN 'B11' WHEN provider='aws' THEN 'swir16' ELSE 'B11_20m' END asset,
 coalesce(own, CASE WHEN a.item_id % 4 = 0 THEN 'EPSG:4326' ELSE crs END) item_crs FROM a JOIN scene s ON s.item_id=a.item_id""", "scene")
 def scene_assets(spark, sf):
     i = F.col("item_id")
-    rows = X.scene(spark, sf).where("sensor <> 'other'").select(
+    rows = X.scene(spark, sf).select(
         i, F.when(i % 3 == 0, "mpc").when(i % 3 == 1, "aws").otherwise("cdse").alias("provider"), "sensor",
         F.when(F.col("sensor") == "s1", "vv").otherwise("B11").alias("band"), F.when(i % 2 != 0, F.col("crs")).alias("own"),
         F.array(F.lit(None).cast("string"), F.when(i % 4 == 0, "EPSG:4326").otherwise(F.col("crs")), F.lit("EPSG:1")).alias("assets"))
@@ -40,22 +42,23 @@ def scene_assets(spark, sf):
 
 
 EVENTS_SQL = """, ev AS (SELECT concat(strftime(date '2024-01-01' + t, '%Y%m%d'), '_', y, '_', x) eid,
-    cast(date '2024-01-01' + t AS date) event_date, y, x FROM precip_cell_day WHERE precip > 300)"""
-SEARCH_SQL = EVENTS_SQL + """, es AS (SELECT e.eid, e.event_date, s.* FROM ev e JOIN scene s ON s.y=e.y AND s.x=e.x
-    WHERE cast(dt AS date) BETWEEN event_date - 3 AND event_date + 2)"""
+    cast(date '2024-01-01' + t AS date) event_date, x ex, x*0.25::double - 125 bx, (x+1)*0.25::double - 125 cx,
+    (y+1)*(-0.25)::double + 50 by_, y*(-0.25)::double + 50 cy FROM precip_cell_day WHERE precip > 300)"""
+SEARCH_SQL = EVENTS_SQL + """, es AS (SELECT e.eid, e.event_date, e.ex, s.* FROM ev e JOIN catalog s
+    ON minx <= cx AND maxx >= bx AND miny <= cy AND maxy >= by_ WHERE (sensor='s2' AND cast(dt AS date) BETWEEN event_date - 3 AND event_date + 2)
+    OR (sensor='s1' AND imode='IW' AND cast(dt AS date) BETWEEN event_date - 3 AND event_date + 3))"""
 
 
 def _events(spark, sf):
     cells = X.precip_cell_day(spark, sf).where("precip > 300")
-    day = D.index_to_date(F.col("t"), X.START)
-    return cells.select(D.event_id(day, F.col("y"), F.col("x")).alias("eid"), day.alias("event_date"), "y", "x")
+    return describe_events(cells, X.GEOTRANSFORM, X.START)
 
 
 def _event_scenes(spark, sf):
-    return S.search_events(_events(spark, sf), X.scene(spark, sf), CELL, 3, 2)
+    return S.search_events(_events(spark, sf).select("eid", "event_date", "bbox"), X.catalog(spark, sf), 3, 2, 12)
 
 
-@query("scenes_of_events", SEARCH_SQL + " SELECT eid, item_id, sensor, dt FROM es", "precip_cell_day scene")
+@query("scenes_of_events", SEARCH_SQL + " SELECT eid, item_id, sensor, dt FROM es", "precip_cell_day catalog")
 def scenes_of_events(spark, sf):
     return _event_scenes(spark, sf).select("eid", "item_id", "sensor", "dt")
 
@@ -75,12 +78,12 @@ def class_rich_scenes(spark, sf):
 
 @query("events_with_later_scene", SEARCH_SQL + """ SELECT eid FROM es WHERE sensor='s2' GROUP BY eid
 HAVING bool_or(dt >= cast(event_date - 1 AS timestamp) + INTERVAL 12 HOUR)
-AND bool_or(cast(cast(dt AS date) AS timestamp) >= cast(event_date - 1 AS timestamp) + INTERVAL 12 HOUR AND NOT cover_pct > 30)""", "precip_cell_day scene")
+AND bool_or(cast(cast(dt AS date) AS timestamp) >= cast(event_date - 1 AS timestamp) + INTERVAL 12 HOUR AND NOT cover_pct > 30)""", "precip_cell_day catalog")
 def events_with_later_scene(spark, sf):
     return S.events_with_scene_after(_event_scenes(spark, sf).where("sensor = 's2'"), 30)
 
 
-@query("post_event_scenes", SEARCH_SQL + " SELECT eid, item_id FROM es WHERE dt >= cast(event_date - 1 AS timestamp)", "precip_cell_day scene")
+@query("post_event_scenes", SEARCH_SQL + " SELECT eid, item_id FROM es WHERE dt >= cast(event_date - 1 AS timestamp)", "precip_cell_day catalog")
 def post_event_scenes(spark, sf):
     return S.post_event_only(_event_scenes(spark, sf)).select("eid", "item_id")
 
@@ -140,13 +143,13 @@ def first_optical_within_days(spark, sf):
 
 
 @query("primary_scene_per_date", SEARCH_SQL + """ SELECT eid, scene_date, item_id, crs FROM (SELECT *, cast(dt AS date) scene_date, row_number() OVER
-(PARTITION BY eid, cast(dt AS date) ORDER BY CASE WHEN crs='EPSG:32615' THEN 0 ELSE 1 END, crs, ord) rn FROM es WHERE sensor='s2') WHERE rn=1""", "precip_cell_day scene")
+(PARTITION BY eid, cast(dt AS date) ORDER BY CASE WHEN crs='EPSG:32615' THEN 0 ELSE 1 END, crs, ord) rn FROM es WHERE sensor='s2') WHERE rn=1""", "precip_cell_day catalog")
 def primary_scene_per_date(spark, sf):
     rows = _event_scenes(spark, sf).where("sensor = 's2'")
     return S.primary_per_date(rows, ["eid"], F.lit("EPSG:32615")).select("eid", "scene_date", "item_id", "crs")
 
 
-@query("event_crs", SEARCH_SQL + """ SELECT eid, CASE WHEN any_value(x) % 4 = 0 THEN 'EPSG:99999' ELSE min(crs) END crs FROM es GROUP BY eid""", "precip_cell_day scene")
+@query("event_crs", SEARCH_SQL + """ SELECT eid, CASE WHEN any_value(ex) % 4 = 0 THEN 'EPSG:99999' ELSE min(crs) END crs FROM es GROUP BY eid""", "precip_cell_day catalog")
 def event_crs(spark, sf):
     manual = _events(spark, sf).select("eid", F.when(F.col("x") % 4 == 0, "EPSG:99999").alias("crs"))
     return S.event_crs(_event_scenes(spark, sf), manual)
@@ -193,7 +196,7 @@ def _features(spark, sf):
 AND ev.miny <= f.maxy AND ev.maxy >= f.miny AND fcode <> 49300 GROUP BY eid""", "feature")
 def overlapping_watersheds(spark, sf):
     kept = _features(spark, sf).where(F.col("fcode") != 49300)
-    return S.box_overlap(_boxed_orders(spark, sf), kept, strict=False, grid=0.5).groupBy("eid").agg(
+    return box_overlap(_boxed_orders(spark, sf), kept, strict=False).groupBy("eid").agg(
         F.count(F.lit(1)).alias("n"), F.sum("feature_id").alias("id_sum"))
 
 

@@ -1,6 +1,5 @@
 """Explicit table schemas, sentinels and class dimensions."""
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # ---- fixed values: sentinels and processing constants of the data products ----
@@ -12,7 +11,6 @@ BASELINE_DATE = "2022-01-25"
 BASELINE_OFFSET = -1000.0
 CUBE_START = "2016-08-01"
 CLOUD_CLASSES = [8, 9]
-CLOUD_NULL_CLASSES = [0, 8, 9]
 
 # ---- fixed values: land-cover codes and their evaluation groups ----
 NLCD_CLASSES = [11, 12, 21, 22, 23, 24, 31, 41, 42, 43, 51, 52, 71, 72, 73, 74, 81, 82, 90, 95]
@@ -54,7 +52,6 @@ SCL_COLORS = {
 
 # ---- fixed values: hydrography feature codes kept for flowlines / dropped for waterbodies ----
 FLOWLINE_FCODES = [46000, 46003, 46006, 46007, 55800, 33600, 33601, 33603, 33400, 42801, 42802, 42805, 42806, 42809]
-WATERBODY_EXCLUDED_FCODE = 49300
 
 # ---- fixed values: channel order of the two model inputs ----
 S2_CHANNELS = ["red", "green", "blue", "nir", "swir1", "swir2", "ndwi", "mndwi", "awei_sh", "awei_nsh",
@@ -120,10 +117,3 @@ def class_rgb(system: str) -> dict[int, tuple[int, int, int]]:
     def scaled(hexa: str) -> tuple[int, int, int]:
         return tuple(int(255 * (int(hexa[i:i + 2], 16) / 255)) for i in (1, 3, 5))
     return {code: scaled(hexa) for code, hexa in CLASS_SYSTEMS[system][2].items()}
-
-
-def class_dim(spark: SparkSession, system: str) -> DataFrame:
-    """One row per evaluated class: code and group (NULL where the class is in no group)."""
-    groups = class_group(system)
-    rows = [(code, groups.get(code)) for code in CLASS_SYSTEMS[system][0]]
-    return spark.createDataFrame(rows, "code int, class_group string")
