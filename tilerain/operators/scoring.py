@@ -1,7 +1,8 @@
 """Sliding-window scoring and overlap blending.
 
 A scorer is `factory() -> f(batch)`: the factory runs once per Python worker (load weights there), `f` maps a float array
-(n, channels, size, size) to (n, size, size). `index_scorer` is the closed-form default, so jobs run without weights.
+(n, channels, size, size) to (n, size, size), or to (n, outputs, size, size) where several maps are made. `index_scorer` and
+`smoothing_scorer` are closed-form defaults, so jobs run without weights.
 """
 
 from collections.abc import Callable, Iterator, Sequence
@@ -10,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilerain.functions.bands import d, masked_prediction, predicted
 from tilerain.operators.patches import axis_positions, cut_windows, require_fit
@@ -24,6 +26,13 @@ def index_scorer(scale: float = 10.0, threshold: float = 0.0) -> Callable[[], Sc
     return factory
 
 
+def smoothing_scorer(share: float = 0.5) -> Callable[[], Scorer]:
+    """One map per channel: every pixel is pulled to its window's mean of that channel by `share`."""
+    def factory() -> Scorer:
+        return lambda batch: (1 - share) * batch + share * batch.mean(axis=(2, 3), keepdims=True)
+    return factory
+
+
 def window_weights(size: int, kind: str = "uniform", floor: float = 1e-3) -> list[float]:
     """Row-major blending weights: ones, or a symmetric Hann window floored so that borders keep some weight."""
     if kind == "uniform":
@@ -95,6 +104,64 @@ def tile_scores(tiles: DataFrame, channels: Sequence[str], size: int, factory: C
     return ready.withColumn("prob", run(F.col("h"), F.col("w"), *corners, *[F.col(c) for c in channels]))
 
 
+def blended_maps(image: np.ndarray, spots: np.ndarray, size: int, outputs: int, scorer: Scorer, weight: np.ndarray,
+                 batch: int) -> np.ndarray:
+    """Weighted mean (outputs, pixels) of the window maps of one image (channels, pixels); `spots` lists each window's pixels."""
+    pixels = image.shape[1]
+    total, mass = np.zeros((outputs, pixels)), np.zeros(pixels)
+    for at in range(0, len(spots), batch):
+        some = spots[at:at + batch]
+        maps = np.asarray(scorer(image[:, some].swapaxes(0, 1).reshape(len(some), len(image), size, size)), dtype=float)
+        maps = maps.reshape(len(some), outputs, size * size) * weight
+        for k in range(outputs):
+            total[k] += np.bincount(some.ravel(), maps[:, k].ravel(), pixels)
+        mass += np.bincount(some.ravel(), np.broadcast_to(weight, some.shape).ravel(), pixels)
+    return total / np.maximum(mass, 1e-3)
+
+
+def tile_maps(tiles: DataFrame, channels: Sequence[str], outputs: dict[str, tuple[float, float]], size: int,
+              factory: Callable[[], Scorer], moments: dict[str, tuple[float, float]], stride: int | None = None,
+              weighting: str = "uniform", nodata: float | None = None, batch: int = 128) -> DataFrame:
+    """Adds one blended map per output of a scorer that makes several, in tile form, without a shuffle.
+
+    A pixel that is nodata (or null) in any channel is missing in all: it is fed as the channels' means and is nodata again in
+    every map. Channels enter standardized by their `moments` (mean, std); a map is scaled back by the moments of its name in
+    `outputs`. Windows are scored `batch` at a time. A tile with a null channel has null maps; one whose arrays don't hold
+    h * w values fails.
+    """
+    step = stride if stride is not None else size - size // 4
+    weight = np.asarray(window_weights(size, weighting))
+    row, col = np.divmod(np.arange(size * size), size)
+    mean, std = (np.array([moments[c][i] for c in channels])[:, None] for i in (0, 1))
+    back_mean, back_std = (np.array([m[i] for m in outputs.values()])[:, None] for i in (0, 1))
+    schema = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in outputs])
+
+    def one(scorer: Scorer, h: int, w: int, top, left, layers) -> list:
+        if any(layer is None for layer in layers):
+            return [None] * len(outputs)
+        if any(len(layer) != h * w for layer in layers):
+            raise ValueError(f"a tile of {h} by {w} has channels of {[len(layer) for layer in layers]} values")
+        image = np.stack([np.asarray(layer, dtype=float) for layer in layers])
+        gone = np.isnan(image).any(axis=0)
+        if nodata is not None:
+            gone |= (image == nodata).any(axis=0)
+        image = (np.where(gone, mean, image) - mean) / std
+        x0, y0 = (a.ravel() for a in np.meshgrid(top, left, indexing="ij"))
+        maps = blended_maps(image, (x0[:, None] + row) * w + y0[:, None] + col, size, len(outputs), scorer, weight, batch)
+        return list(np.where(gone, np.nan if nodata is None else nodata, maps * back_std + back_mean))
+
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        scorer = factory()
+        for heights, widths, tops, lefts, *parts in batches:
+            rows = [one(scorer, h, w, top, left, layers) for h, w, top, left, *layers in zip(heights, widths, tops, lefts, *parts)]
+            yield pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(outputs)})
+
+    corners = [axis_positions(F.col(side), size, step) for side in ("h", "w")]
+    ready = require_fit(tiles, size).withColumn("_maps", run(F.col("h"), F.col("w"), *corners, *[F.col(c) for c in channels]))
+    return ready.withColumns({n: F.col(f"_maps.{n}") for n in outputs}).drop("_maps")
+
+
 def final_map(scores: DataFrame, missing: Column, threshold: float = 0.5) -> DataFrame:
     """Inclusive threshold for maps; missing input is never water."""
     return scores.withColumn("water", masked_prediction(predicted(F.col("prob"), threshold, inclusive=True), missing))

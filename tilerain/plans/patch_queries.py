@@ -147,6 +147,31 @@ def tile_scores(spark, sf):
     return rounded(W.final_map(px, missing, 0.5))
 
 
+DESPECKLED = """, ins AS (SELECT tile_id, r, c, vv_db = -9999 OR vh_db = -9999 gone, CASE WHEN vv_db = -9999 OR vh_db = -9999 THEN 0.0 ELSE (vv_db + 14.5)/5.0::double END vv,
+CASE WHEN vv_db = -9999 OR vh_db = -9999 THEN 0.0 ELSE (vh_db + 20.0)/4.0::double END vh FROM pixel_ext WHERE tile_id % 5 <> 0 AND tile_id % 7 <> 3),
+xs AS (SELECT unnest([0,3,4]) x0), ys AS (SELECT unnest([0,3,4]) y0),
+wi AS (SELECT *, avg(vv) OVER w mvv, avg(vh) OVER w mvh, greatest((0.5::double-0.5::double*cos(2*pi()*(r-x0)/3))*(0.5::double-0.5::double*cos(2*pi()*(c-y0)/3)), 0.001::double) k
+FROM ins, xs, ys WHERE r BETWEEN x0 AND x0+3 AND c BETWEEN y0 AND y0+3 WINDOW w AS (PARTITION BY tile_id, x0, y0)),
+bl AS (SELECT tile_id, r, c, any_value(gone) gone, sum((0.75::double*vv + 0.25::double*mvv)*k)/greatest(sum(k), 0.001) vv, sum((0.75::double*vh + 0.25::double*mvh)*k)/greatest(sum(k), 0.001) vh FROM wi GROUP BY 1, 2, 3)
+SELECT tile_id, r, c, CASE WHEN gone THEN -9999.0::double ELSE round(vv*5 - 14.5, 6) END vv, CASE WHEN gone THEN -9999.0::double ELSE round(vh*4 - 20, 6) END vh FROM bl"""
+
+
+@query("despeckled_captures", DESPECKLED, "pixel_ext")
+def despeckled_captures(spark, sf):
+    """Two-channel despeckling of the captures that have both polarizations and are not done."""
+    from tilerain.plans.despeckle_plan import despeckled
+    t = F.col("tile_id")
+    capture = [F.concat(F.lit("20240101_0_"), t.cast("string")).alias("eid"), F.lit("20240101").alias("s2_date"), F.lit("20240102").alias("s1_date")]
+    radar = _radar_tiles(spark, sf)
+    tiles = radar.select(*capture, "h", "w", F.lit("vv").alias("polarization"), F.col("vv").alias("data")).unionByName(
+        radar.where(t % 5 != 0).select(*capture, "h", "w", F.lit("vh").alias("polarization"), F.col("vh").alias("data")))
+    done = radar.where(t % 7 == 3).select(*capture)
+    maps = despeckled(tiles, done, {"vv": (-14.5, 5.0), "vh": (-20.0, 4.0)}, 4, W.smoothing_scorer(0.25), 3)
+    wide = K.stacked(maps.withColumnRenamed("polarization", "channel"), ["vv", "vh"], ["eid"])
+    px = K.exploded(wide, ["vv", "vh"], ["eid"])
+    return px.select(F.element_at(F.split("eid", "_"), 3).cast("bigint").alias("tile_id"), "r", "c", *[r6(p).alias(p) for p in ("vv", "vh")])
+
+
 @query("stacked_channels", "SELECT tile_id, r, c, v vv, v*2 vh FROM pixel WHERE tile_id % 11 <> 0", "pixel")
 def stacked_channels(spark, sf):
     t = X.tile(spark, sf)

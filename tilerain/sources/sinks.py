@@ -17,6 +17,11 @@ def write_shards(sharded: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("shard").parquet(path))
 
 
+def write_captures(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """One folder per capture. Folders of the captures written are replaced, all others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def split_manifest(events: DataFrame, event: str = "eid") -> DataFrame:
     """Ids with the size of their split; one row per event, so no list of ids has to fit in one row."""
     sizes = events.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
