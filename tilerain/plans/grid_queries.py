@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from tilerain.operators import neighborhood as N
 from tilerain.operators import regrid as R
 from tilerain.operators import stacking as K
+from tilerain.operators import tilegrid as H
 from tilerain.plans import fixtures as X
-from tilerain.plans.registry import query, r6, rounded
+from tilerain.plans.registry import ORACLES, query, r6, rounded
 
 KEY = ["tile_id", "r", "c"]
 LINE_WINDOWS = "WINDOW d AS (PARTITION BY tile_id, c ORDER BY r), e AS (PARTITION BY tile_id, r ORDER BY c)"
@@ -209,3 +210,68 @@ def leave_one_out_tiles(spark, sf):
     tiles = _db_tiles(spark, sf).withColumn("stack_id", F.floor(t / 5).cast("int")).withColumn("acq", (t % 5).cast("int"))
     out = N.leave_one_out_tiles(tiles, 5)
     return rounded(K.exploded(out, ["composite"], ["stack_id", "acq"]))
+
+
+RASTER = """, ra AS (SELECT cast(tile_id//6 AS bigint) raster_id, cast(tile_id % 6 // 3 AS int) ty, cast(tile_id % 3 AS int) tx, r, c,
+cast(tile_id % 6 // 3 * 8 + r AS int) gr, cast(tile_id % 3 * 8 + c AS int) gc, v, vv_db FROM pixel)"""
+
+
+def _raster_tiles(spark, sf):
+    """Rasters of two by three tiles; the last raster has fewer."""
+    t, data = F.col("tile_id"), F.col("data")
+    db = F.transform(data, lambda v, p: F.when((t * 64 + p) % 97 == 0, F.lit(-9999.0)).otherwise(v * 20 - 15))
+    return X.tile(spark, sf).select(F.floor(t / 6).alias("raster_id"), F.floor(t % 6 / 3).cast("int").alias("ty"), (t % 3).cast("int").alias("tx"),
+                                    "h", "w", data.alias("v"), db.alias("vv_db"))
+
+
+@query("slopes_across_tiles", RASTER + """ SELECT a.raster_id, a.ty, a.tx, a.r, a.c,
+round(CASE WHEN n.v IS NULL THEN a.v - s.v WHEN s.v IS NULL THEN n.v - a.v ELSE (n.v - s.v)/2 END, 6) slope_y,
+round(CASE WHEN e.v IS NULL THEN a.v - w.v WHEN w.v IS NULL THEN e.v - a.v ELSE (e.v - w.v)/2 END, 6) slope_x FROM ra a
+LEFT JOIN ra n ON n.raster_id=a.raster_id AND n.gr=a.gr+1 AND n.gc=a.gc LEFT JOIN ra s ON s.raster_id=a.raster_id AND s.gr=a.gr-1 AND s.gc=a.gc
+LEFT JOIN ra e ON e.raster_id=a.raster_id AND e.gr=a.gr AND e.gc=a.gc+1 LEFT JOIN ra w ON w.raster_id=a.raster_id AND w.gr=a.gr AND w.gc=a.gc-1""", "pixel")
+def slopes_across_tiles(spark, sf):
+    slopes = H.slopes_across(H.with_halo(_raster_tiles(spark, sf), ["v"], 1), "v")
+    px = K.exploded(slopes.withColumn("w", F.col("width") - 2), ["slope_y", "slope_x"], ["raster_id", "ty", "tx"])
+    return px.select("raster_id", "ty", "tx", "r", "c", r6("slope_y").alias("slope_y"), r6("slope_x").alias("slope_x"))
+
+
+@query("laplacian_across_tiles", RASTER + """, l AS (SELECT a.raster_id, coalesce(n.v,0)+coalesce(s.v,0)+coalesce(e.v,0)+coalesce(w.v,0)-4*a.v l FROM ra a
+LEFT JOIN ra n ON n.raster_id=a.raster_id AND n.gr=a.gr+1 AND n.gc=a.gc LEFT JOIN ra s ON s.raster_id=a.raster_id AND s.gr=a.gr-1 AND s.gc=a.gc
+LEFT JOIN ra e ON e.raster_id=a.raster_id AND e.gr=a.gr AND e.gc=a.gc+1 LEFT JOIN ra w ON w.raster_id=a.raster_id AND w.gr=a.gr AND w.gc=a.gc-1)
+SELECT raster_id, round(var_samp(l), 6) var_laplacian FROM l GROUP BY 1""", "pixel")
+def laplacian_across_tiles(spark, sf):
+    return rounded(H.laplacian_across(H.with_halo(_raster_tiles(spark, sf), ["v"], 1, fill=0.0), "v"))
+
+
+@query("crop_across_tiles", RASTER + """, b AS (SELECT cast(vec_id//6 AS bigint) raster_id, vec_id window_id, cast(vec_id % 20 - 3 AS int) r0, cast(vec_id % 23 - 2 AS int) c0 FROM embeddings),
+g AS (SELECT b.*, cast(x.range AS int) r, cast(y.range AS int) c FROM b, range(6) x, range(9) y)
+SELECT g.raster_id, g.window_id, g.r, g.c, round(coalesce(v, -9999.0), 6) v FROM g LEFT JOIN ra ON ra.raster_id=g.raster_id AND gr=g.r+r0 AND gc=g.c+c0""", "pixel")
+def crop_across_tiles(spark, sf):
+    t = F.col("tile_id")
+    windows = X.tile(spark, sf).select(F.floor(t / 6).alias("raster_id"), t.alias("window_id"), (t % 20 - 3).cast("int").alias("r0"),
+                                       (t % 23 - 2).cast("int").alias("c0"), F.lit(6).alias("height"), F.lit(9).alias("width"))
+    cut = H.read_windows(_raster_tiles(spark, sf), windows, ["v"], 8, 8)
+    px = K.exploded(cut.withColumnRenamed("width", "w"), ["v"], ["raster_id", "window_id"])
+    return px.select("raster_id", "window_id", "r", "c", r6("v").alias("v"))
+
+
+@query("regrid_across_tiles", RASTER + """, b AS (SELECT cast(vec_id//6 AS bigint) raster_id, vec_id window_id, vec_id % 7 * 20.0::double + 3 ulx, -(vec_id % 5) * 20.0::double - 5 uly FROM embeddings),
+g AS (SELECT b.*, cast(x.range AS int) r, cast(y.range AS int) c, (uly - (x.range+0.5::double)*7.5::double)/(-10.0::double) - 0.5::double sr, (ulx + (y.range+0.5::double)*7.5::double)/10.0::double - 0.5::double sc FROM b, range(7) x, range(9) y),
+k AS (SELECT g.*, floor(sr) + i rr, floor(sc) + j cc, abs(1 - i - (sr - floor(sr)))*abs(1 - j - (sc - floor(sc))) wt FROM g, (SELECT unnest([0,1]) i), (SELECT unnest([0,1]) j))
+SELECT k.raster_id, k.window_id, k.r, k.c, round(CASE WHEN sum(CASE WHEN p.vv_db IS NOT NULL THEN wt END) > 0 THEN sum(wt*vv_db)/sum(CASE WHEN p.vv_db IS NOT NULL THEN wt END) ELSE -9999 END, 5) vv_db
+FROM k LEFT JOIN ra p ON p.raster_id=k.raster_id AND p.gr=rr AND p.gc=cc AND p.vv_db <> -9999 GROUP BY 1, 2, 3, 4""", "pixel")
+def regrid_across_tiles(spark, sf):
+    t = F.col("tile_id")
+    wanted = X.tile(spark, sf).select(F.floor(t / 6).alias("raster_id"), t.alias("window_id"), (t % 7 * F.lit(20.0) + 3).alias("ulx"), F.lit(7.5).alias("sx"),
+                                      (-(t % 5) * F.lit(20.0) - 5).alias("uly"), F.lit(-7.5).alias("sy"), F.lit(7).alias("h"), F.lit(9).alias("w"))
+    out = H.regrid_across(_raster_tiles(spark, sf), wanted, "vv_db", (0.0, 10.0, 0.0, -10.0), 8, 8, -9999.0)
+    return rounded(K.exploded(out, ["data"], ["raster_id", "window_id"]).withColumnRenamed("data", "vv_db"), 5)
+
+
+@query("bilinear_regrid_tiles", ORACLES["bilinear_regrid"])
+def bilinear_regrid_tiles(spark, sf):
+    t, data = F.col("tile_id"), F.col("data")
+    db = F.transform(data, lambda v, p: F.when((t * 64 + p) % 97 == 0, F.lit(-9999.0)).otherwise(v * 20 - 15))
+    tiles = X.tile(spark, sf).withColumn("db", db)
+    out = H.regrid_tiles(tiles, "db", (0.0, 10.0, 0.0, -10.0), (3.0, 7.5, 5.0, -7.5), 10, 10, -9999.0)
+    return rounded(K.exploded(out.withColumn("w", F.lit(10)), ["regridded"]).withColumnRenamed("regridded", "vv_db"), 5)
