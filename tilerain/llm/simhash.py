@@ -192,14 +192,21 @@ def links(prints: DataFrame, tables: int = 1, limit: int = 3, named: bool = True
     meet. (Two fingerprints within three bits always have such a half.) Equal halves send one ball. Nodes of a bucket are
     compared in blocks; a bucket of more than `BLOCK` members becomes pairs of blocks, so no task holds a hot bucket and no
     pair is written out.
+
+    A column `root` of `prints` names what is connected already: a bucket whose nodes all have one root can add nothing and is
+    not opened.
     """
-    pieces = prints.select("node", F.explode(_pieces(F.col("prints"), tables)).alias("piece"))
+    known = ["root"] if "root" in prints.columns else []
+    pieces = prints.select("node", *known, F.explode(_pieces(F.col("prints"), tables)).alias("piece"))
     values = stored(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
     # nodes with an equal half meet in a bucket of its own
     alike = values.where("n > 1").select((-F.col("piece") - 1).alias("bucket"), "piece")
-    shared = stored(_meetings(values).union(alike).join(pieces, "piece").select("bucket", "node"))
-    sizes = shared.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"))
-    shared = shared.join(sizes, "bucket")
+    shared = stored(_meetings(values).union(alike).join(pieces, "piece").select("bucket", "node", *known))
+    counted = [F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"), *[f(k).alias(f"{n}_{k}") for k in known for n, f in (("low", F.min), ("high", F.max))]]
+    sizes = shared.groupBy("bucket").agg(*counted)
+    for k in known:
+        sizes = sizes.where(F.col(f"low_{k}") < F.col(f"high_{k}"))
+    shared = shared.drop(*known).join(sizes.select("bucket", "cells"), "bucket")
     # with one table the node is the fingerprint, if so `named`; else the few rows that share a bucket fetch theirs
     shared = shared.withColumn("prints", F.array("node")) if tables == 1 and named else shared.join(prints.select("node", "prints"), "node")
     cell = F.pmod(F.xxhash64("node", "bucket"), F.col("cells")).cast("int")
@@ -341,7 +348,8 @@ def near_links(rows: DataFrame, shingle: int = 5, tables: int = 8, similarity: f
 
     Fingerprints and bands of least hashes only say which texts are compared: a text and the smallest node of each of its
     bands, and fingerprints that are near with `SLACK` standard deviations to spare, are candidates. Candidates that hang
-    together form a cluster, and all texts of a cluster are compared exactly, in blocks of `BLOCK`.
+    together form a cluster, and all texts of a cluster are compared exactly, in blocks of `BLOCK`. What bands connect is
+    known when fingerprints are compared, so these only look for what lies between such clusters.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * tables
@@ -350,7 +358,10 @@ def near_links(rows: DataFrame, shingle: int = 5, tables: int = 8, similarity: f
     bands = sketches.select("node", F.explode("bands").alias("band"))
     hubs = bands.groupBy("band").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "b")
     stars = bands.join(hubs, "band").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-    roots = stored(components(stars.union(links(sketches.select("node", "prints"), tables, limit, named=False))))
+    banded = stored(components(stars).withColumnRenamed("root", "band_root"))
+    rooted = sketches.join(banded, "node", "left").select("node", "prints", F.coalesce("band_root", "node").alias("root"))
+    near = links(stored(rooted), tables, limit, named=False)
+    roots = stored(components(banded.select(F.col("node").alias("a"), F.col("band_root").alias("b")).union(near)))
     sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"))
     cell = F.pmod(F.xxhash64("node", "root"), F.col("cells")).cast("int")
     placed = roots.join(sizes, "root").withColumn("cell", cell)
