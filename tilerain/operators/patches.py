@@ -149,7 +149,7 @@ def random_spots(tiles: DataFrame, size: int, samples: int, seed: int, missing:
     """Adds `spots` (attempt, x0, y0): the first `samples` accepted of at most `max_attempts` drawn corners of each tile row.
 
     A tile that yields too few keeps those, or fails if `strict`. Attempts are numbers and acceptance is four lookups, so
-    all of a tile's draws stay inside its row.
+    all of a tile's draws stay inside its row; most tiles need the first few draws only.
     """
     h, w = F.col("h"), F.col("w")
     mixed = lambda k, salt: random_key([F.col("tile_id"), k], seed + salt, "hash") if kind == "hash" else (
@@ -160,10 +160,20 @@ def random_spots(tiles: DataFrame, size: int, samples: int, seed: int, missing:
         y0 = F.floor(mixed(k, 1) * (w - size) / d(KEY_SPACE)).cast("int")
         return F.struct(k.alias("attempt"), x0.alias("x0"), y0.alias("y0"))
 
-    draws = F.transform(F.sequence(F.lit(1), F.lit(max_attempts)), draw)
-    good = F.filter(draws, lambda s: accepted(s["x0"], s["y0"], size, max_missing, max_cloud))
-    found = (with_tables(require_fit(tiles, size), missing, clouds)
-             .withColumn("spots", F.slice(good, 1, samples)).drop("_miss", "_cloud"))
+    # draws in growing chunks: a later one is made only in rows that still lack patches
+    bounds, last = [], 0
+    while last < max_attempts:
+        first, last = last + 1, min(max_attempts, max(4 * last, 4 * samples, 16))
+        bounds.append(F.struct(F.lit(first).alias("first"), F.lit(last).alias("last")))
+
+    def more(found: Column, chunk: Column) -> Column:
+        drawn = F.transform(F.sequence(chunk["first"], chunk["last"]), draw)
+        good = F.filter(drawn, lambda s: accepted(s["x0"], s["y0"], size, max_missing, max_cloud))
+        return F.when(F.size(found) >= samples, found).otherwise(F.concat(found, good))
+
+    none = F.array().cast("array<struct<attempt:int,x0:int,y0:int>>")
+    found = with_tables(require_fit(tiles, size), missing, clouds).withColumn("spots", F.aggregate(F.array(*bounds), none, more))
+    found = found.withColumn("spots", F.slice("spots", 1, samples)).drop("_miss", "_cloud")
     if not strict:
         return found
     text = F.concat(F.lit("too few patches accepted on tile "), F.col("tile_id").cast("string"))
@@ -177,18 +187,31 @@ def random_patches(tiles: DataFrame, size: int, samples: int, seed: int, missing
     return listed(random_spots(tiles, size, samples, seed, missing, clouds, max_missing, max_cloud, max_attempts, kind, strict), keys)
 
 
-def fixed_patches(stacks: DataFrame, spots: DataFrame, size: int, missing: str | None = None,
-                  max_missing: float = 0.0) -> DataFrame:
-    """Listed (y, x, i, j) corners on the stacks of the same cell, when they fit.
+def fixed_spots(stacks: DataFrame, spots: DataFrame, size: int, missing: str | None = None, max_missing: float = 0.0) -> DataFrame:
+    """Adds `spots`, the listed corners (i, j as x0, y0) of the stack's cell (y, x) that fit it, in corner order; stacks without
+    any drop out.
 
-    `missing` names a flag array of the stacks; windows with a share of missing pixels above `max_missing` drop out.
+    The few corners of a cell are gathered into one list first, so each stack passes the join once and unchanged; the test of
+    the share of missing pixels (flag array `missing`, at most `max_missing`) runs in its row.
     """
-    fit = (F.col("i") + size <= F.col("h")) & (F.col("j") + size <= F.col("w"))
+    lists = spots.groupBy("y", "x").agg(F.sort_array(F.collect_list(F.struct(F.col("i").alias("x0"), F.col("j").alias("y0")))).alias("spots"))
+    joined = stacks.join(lists, ["y", "x"])
+    fit = lambda s: (s["x0"] + size <= F.col("h")) & (s["y0"] + size <= F.col("w"))
+    joined = joined.withColumn("spots", F.filter("spots", fit)).where(F.size("spots") > 0)
     if missing is None:
-        return stacks.join(spots, ["y", "x"]).where(fit)
-    tables = stacks.withColumn("_miss", summed_area(F.col(missing), F.col("h"), F.col("w"))).drop(missing)
-    share = window_count(F.col("_miss"), F.col("w"), F.col("i"), F.col("j"), size) / d(size * size)
-    return tables.join(spots, ["y", "x"]).where(fit & (share <= d(max_missing))).drop("_miss")
+        return joined
+    share = lambda s: window_count(F.col("_miss"), F.col("w"), s["x0"], s["y0"], size) / d(size * size)
+    return (joined.withColumn("_miss", summed_area(F.col(missing), F.col("h"), F.col("w")))
+            .withColumn("spots", F.filter("spots", lambda s: share(s) <= d(max_missing))).drop("_miss").where(F.size("spots") > 0))
+
+
+def fixed_patches(stacks: DataFrame, spots: DataFrame, size: int, missing: str | None = None,
+                  max_missing: float = 0.0) -> DataFrame:
+    """One row per accepted corner (i, j) of `fixed_spots` with the stack's columns that are no arrays; `cut_windows` on the
+    spots gives the pixels."""
+    small = [f.name for f in stacks.schema if not isinstance(f.dataType, T.ArrayType)]
+    kept = fixed_spots(stacks, spots, size, missing, max_missing)
+    return kept.select(*small, "spots").select(*small, F.inline("spots")).withColumnsRenamed({"x0": "i", "y0": "j"})
 
 
 def grid_patches(pixels: DataFrame, size: int, missing: Column, tile: str = "tile_id") -> DataFrame:

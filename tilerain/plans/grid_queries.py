@@ -56,10 +56,10 @@ def lee_filter_tiles(spark, sf):
     return K.exploded(N.lee_filter_tiles(_db_tiles(spark, sf)), ["data"]).select(*KEY, r6("data").alias("vv"))
 
 
-SSIM = """, q AS (SELECT tile_id//4 patch, (tile_id%4//2)*8 + r r, (tile_id%4%2)*8 + c c, least(greatest(v+0.5::double,0),1) x, least(greatest(prob,0),1) y FROM pixel_ext),
-f AS (SELECT patch FROM q GROUP BY patch HAVING count(*) = 256), g AS (SELECT range i, exp(-(range-5)*(range-5)/4.5::double) g FROM range(11)), gn AS (SELECT i, g/(SELECT sum(g) FROM g) w FROM g),
+SSIM = """, q0 AS (SELECT tile_id//4 patch, (tile_id%4//2)*8 + r r, (tile_id%4%2)*8 + c c, least(greatest(v+0.5::double,0),1) x, least(greatest(prob,0),1) y FROM pixel_ext),
+q AS (SELECT p.patch, a.range r, b.range c, coalesce(x, 0) x, coalesce(y, 0) y FROM (SELECT DISTINCT patch FROM q0) p CROSS JOIN range(16) a CROSS JOIN range(16) b LEFT JOIN q0 ON q0.patch=p.patch AND q0.r=a.range AND q0.c=b.range), g AS (SELECT range i, exp(-(range-5)*(range-5)/4.5::double) g FROM range(11)), gn AS (SELECT i, g/(SELECT sum(g) FROM g) w FROM g),
 o AS (SELECT a.range r0, b.range c0 FROM range(6) a, range(6) b),
-m AS (SELECT q.patch, r0, c0, sum(u.w*t.w*x) mx, sum(u.w*t.w*y) my, sum(u.w*t.w*x*x) xx, sum(u.w*t.w*y*y) yy, sum(u.w*t.w*x*y) xy FROM q JOIN f ON f.patch=q.patch JOIN o ON q.r BETWEEN r0 AND r0+10 AND q.c BETWEEN c0 AND c0+10 JOIN gn u ON u.i=q.r-r0 JOIN gn t ON t.i=q.c-c0 GROUP BY ALL)
+m AS (SELECT q.patch, r0, c0, sum(u.w*t.w*x) mx, sum(u.w*t.w*y) my, sum(u.w*t.w*x*x) xx, sum(u.w*t.w*y*y) yy, sum(u.w*t.w*x*y) xy FROM q JOIN o ON q.r BETWEEN r0 AND r0+10 AND q.c BETWEEN c0 AND c0+10 JOIN gn u ON u.i=q.r-r0 JOIN gn t ON t.i=q.c-c0 GROUP BY ALL)
 SELECT patch, round(avg(((2*mx*my+0.0001::double)/(mx*mx+my*my+0.0001::double))*((2*(xy-mx*my)+0.0009::double)/(xx-mx*mx+yy-my*my+0.0009::double))), 6) ssim FROM m GROUP BY patch"""
 
 
@@ -70,8 +70,9 @@ def structural_similarity(spark, sf):
     px = X.pixel_ext(spark, sf).select(
         F.floor(t / 4).alias("tile_id"), (F.floor(quarter / 2) * 8 + F.col("r")).alias("r"), (quarter % 2 * 8 + F.col("c")).alias("c"),
         F.least(F.greatest(F.col("v") + 0.5, F.lit(0.0)), F.lit(1.0)).alias("x"), F.col("prob").alias("y"))
-    both = px.withColumn("xy", F.struct("x", "y"))
-    tiles = K.collected(both, "xy").where(F.size("xy") == 256)
+    # a group of fewer than four tiles is zero where it has none
+    full = R.dense_grid(px.select("tile_id").distinct(), 16, 16).join(px, ["tile_id", "r", "c"], "left").fillna(0.0, ["x", "y"])
+    tiles = K.collected(full.withColumn("xy", F.struct("x", "y")), "xy")
     arrays = tiles.select(F.col("tile_id").alias("patch"), F.lit(16).alias("h"), F.lit(16).alias("w"), F.transform("xy", lambda s: s["x"]).alias("x"), F.transform("xy", lambda s: s["y"]).alias("y"))
     return rounded(N.ssim_tiles(arrays, "x", "y").select("patch", "ssim"))
 

@@ -34,9 +34,10 @@ def confusion_matrix(spark, sf):
     return rounded(counts.select("*", *M.core_rates()))
 
 
-@query("confusion_by_class", f", d AS (SELECT unnest({NLCD_CLASSES}) code), g AS (SELECT nlcd code, {CELLS} FROM pixel_ext WHERE nlcd NOT IN (12, 95) GROUP BY nlcd) SELECT d.code, coalesce(tn,0) tn, coalesce(fp,0) fp, coalesce(fn,0) fn, coalesce(tp,0) tp FROM d LEFT JOIN g ON g.code=d.code", "pixel_ext")
+@query("confusion_by_class", f", d AS (SELECT unnest({NLCD_CLASSES}) code), g AS (SELECT tile_id, nlcd code, {CELLS} FROM pixel_ext GROUP BY tile_id, nlcd) SELECT t.tile_id, d.code, coalesce(tn,0) tn, coalesce(fp,0) fp, coalesce(fn,0) fn, coalesce(tp,0) tp FROM (SELECT DISTINCT tile_id FROM g) t CROSS JOIN d LEFT JOIN g ON g.tile_id=t.tile_id AND g.code=d.code", "pixel_ext")
 def confusion_by_class(spark, sf):
-    return M.confusion_by_class(X.pixel_ext(spark, sf).where(~F.col("nlcd").isin(12, 95)), "nlcd")
+    """Per tile, where most classes don't occur."""
+    return M.confusion_by_class(X.pixel_ext(spark, sf), "nlcd", ["tile_id"])
 
 
 @query("confusion_by_group", f", g AS (SELECT tile_id % 2 part, {_group_sql('scl', 'scl')} class_group, {CELLS} FROM pixel_ext GROUP BY ALL) SELECT part, class_group, tn, fp, fn, tp, {_rates_sql()} FROM g WHERE class_group IS NOT NULL", "pixel_ext")
@@ -111,11 +112,12 @@ def trial_summary_long(spark, sf):
     return rounded(M.trial_summary_long(X.trial(spark, sf), ["f1", "recall", "loss"]))
 
 
-@query("joined_summaries", "SELECT 'a' run, round(avg(f1),6) mean__f1, round(stddev_samp(f1),6) std__f1, NULL::double mean__loss, NULL::double std__loss FROM trial UNION ALL SELECT 'b', round(avg(f1),6), round(stddev_samp(f1),6), round(avg(loss),6), round(stddev_samp(loss),6) FROM trial WHERE config='F'", "trial")
+@query("joined_summaries", """SELECT 'all' run, round(avg(f1),6) mean__f1, round(stddev_samp(f1),6) std__f1, NULL::double mean__loss, NULL::double std__loss FROM trial
+UNION ALL SELECT config, round(avg(f1),6), round(stddev_samp(f1),6), round(avg(loss),6), round(stddev_samp(loss),6) FROM trial GROUP BY config""", "trial")
 def joined_summaries(spark, sf):
     t = X.trial(spark, sf)
-    return rounded(M.joined_summaries([M.trial_summary(t, ["f1"]).withColumn("run", F.lit("a")),
-                                       M.trial_summary(t.where("config = 'F'"), ["f1", "loss"]).withColumn("run", F.lit("b"))]))
+    return rounded(M.joined_summaries([M.trial_summary(t, ["f1"]).withColumn("run", F.lit("all")),
+                                       M.trial_summary(t, ["f1", "loss"], ["config"]).withColumnRenamed("config", "run")]))
 
 
 @query("pending_trials", "SELECT trial, seed FROM trial t WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = t.trial)", "trial")

@@ -43,11 +43,12 @@ def patch_pixels(spark, sf):
     return kept.select("tile_id", "x0", "y0", F.posexplode("data").alias("pos", "v"))
 
 
-@query("random_patches", FLAGS + f""", tries AS (SELECT vec_id tile_id, cast(k AS int) attempt, cast(floor({MIX.format(k='vec_id*1000 + k + 21')}*5/4294967296.0::double) AS int) x0, cast(floor({MIX.format(k='vec_id*1000 + k + 22')}*5/4294967296.0::double) AS int) y0 FROM embeddings, (SELECT range k FROM range(1, 26))),
-ok AS (SELECT a.tile_id, attempt, x0, y0 FROM tries a JOIN fl ON fl.tile_id=a.tile_id AND r BETWEEN x0 AND x0+2 AND c BETWEEN y0 AND y0+2 GROUP BY ALL HAVING sum(ms) = 0 AND sum(cl)/9.0::double <= 0.25)
-SELECT tile_id, attempt, x0, y0 FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY attempt) rn FROM ok) WHERE rn <= 4""", "pixel_ext")
+@query("random_patches", FLAGS + f""", tries AS (SELECT vec_id tile_id, cast(k AS int) attempt, cast(floor({MIX.format(k='vec_id*1000 + k + 21')}*5/4294967296.0::double) AS int) x0, cast(floor({MIX.format(k='vec_id*1000 + k + 22')}*5/4294967296.0::double) AS int) y0 FROM embeddings, (SELECT range k FROM range(1, 20001))),
+ok AS (SELECT tile_id, x0, y0 FROM fl, (SELECT unnest(range(5)) x0), (SELECT unnest(range(5)) y0) WHERE r BETWEEN x0 AND x0+2 AND c BETWEEN y0 AND y0+2 GROUP BY ALL HAVING sum(ms) = 0 AND sum(cl)/9.0::double <= 0.25),
+ta AS (SELECT t.* FROM tries t JOIN ok ON ok.tile_id=t.tile_id AND ok.x0=t.x0 AND ok.y0=t.y0)
+SELECT tile_id, attempt, x0, y0 FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY attempt) rn FROM ta) WHERE rn <= 4""", "pixel_ext")
 def random_patches(spark, sf):
-    return G.random_patches(_flag_tiles(spark, sf), 3, 4, 21, "missing", "clouds", 0.0, 0.25, 25, "mix").select("tile_id", "attempt", "x0", "y0")
+    return G.random_patches(_flag_tiles(spark, sf), 3, 4, 21, "missing", "clouds", 0.0, 0.25, kind="mix").select("tile_id", "attempt", "x0", "y0")
 
 
 @query("grid_patches", "SELECT tile_id, r//4 br, c//4 bc, count(*) n FROM pixel_ext GROUP BY ALL HAVING count(*) = 16 AND NOT bool_or(vv_db = -9999)", "pixel_ext")
@@ -60,12 +61,12 @@ def complete_patches(spark, sf):
     return G.no_missing(X.pixel_ext(spark, sf), ["tile_id"], F.col("b04") < 20)
 
 
-@query("fixed_patches", """SELECT o_orderkey stack, cast(o_orderkey % 50 AS int) y, cast(o_custkey % 40 AS int) x, l.i, l.j FROM orders JOIN (SELECT DISTINCT cast(l_orderkey % 50 AS int) y, cast(l_partkey % 40 AS int) x, cast(l_suppkey*7 % 400 AS int) i, cast(l_linenumber*61 % 400 AS int) j FROM lineitem WHERE l_quantity > 48) l
+@query("fixed_patches", """SELECT o_orderkey stack, cast(o_orderkey % 50 AS int) y, cast(o_custkey % 40 AS int) x, l.i, l.j FROM orders JOIN (SELECT DISTINCT cast(l_orderkey % 50 AS int) y, cast(l_partkey % 40 AS int) x, cast(l_suppkey*7 % 400 AS int) i, cast(l_linenumber*61 % 400 AS int) j FROM lineitem) l
 ON l.y = o_orderkey % 50 AND l.x = o_custkey % 40 WHERE i + 64 <= 380 + o_orderkey % 30 AND j + 64 <= 400""")
 def fixed_patches(spark, sf):
     k = F.col("o_orderkey")
     stacks = X.table(spark, sf, "orders").select(k.alias("stack"), (k % 50).cast("int").alias("y"), (F.col("o_custkey") % 40).cast("int").alias("x"), (380 + k % 30).alias("h"), F.lit(400).alias("w"))
-    spots = X.table(spark, sf, "lineitem").where("l_quantity > 48").select(
+    spots = X.table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") % 50).cast("int").alias("y"), (F.col("l_partkey") % 40).cast("int").alias("x"),
         (F.col("l_suppkey") * 7 % 400).cast("int").alias("i"), (F.col("l_linenumber") * 61 % 400).cast("int").alias("j")).distinct()
     return G.fixed_patches(stacks, spots, 64).select("stack", "y", "x", "i", "j")

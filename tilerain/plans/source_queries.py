@@ -102,9 +102,9 @@ def event_metadata(spark, sf):
 
 
 @query("event_products", """SELECT eid, array_to_string(list_sort(list(concat(strftime(d, '%Y-%m-%d'), '=', item_id)) FILTER (sensor='s2')), ',') s2, array_to_string(list_sort(list(concat(strftime(d, '%Y-%m-%d'), '=', item_id)) FILTER (sensor='s1')), ',') s1
-FROM (SELECT concat(y, '_', x) eid, sensor, cast(dt AS date) d, min(item_id) item_id FROM scene WHERE sensor <> 'other' GROUP BY ALL) GROUP BY eid""", "scene")
+FROM (SELECT concat(y, '_', x) eid, sensor, cast(dt AS date) d, min(item_id) item_id FROM scene GROUP BY ALL) GROUP BY eid""", "scene")
 def event_products(spark, sf):
-    chosen = X.scene(spark, sf).where("sensor <> 'other'").groupBy(F.concat_ws("_", "y", "x").alias("eid"), "sensor", F.col("dt").cast("date").alias("scene_date")).agg(F.min("item_id").alias("item_id"))
+    chosen = X.scene(spark, sf).groupBy(F.concat_ws("_", "y", "x").alias("eid"), "sensor", F.col("dt").cast("date").alias("scene_date")).agg(F.min("item_id").alias("item_id"))
     flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda s: F.concat(s["key"], F.lit("="), s["value"])), ",")
     return C.products_by_date(chosen).select("eid", flat(F.col("s2_products")).alias("s2"), flat(F.col("s1_products")).alias("s1"))
 
@@ -136,11 +136,14 @@ def label_choice(spark, sf):
     return K.chosen_labels(o.distinct(), tied)
 
 
-@query("first_folder_wins", """SELECT user_id, arg_min(event_id, rk * 1000000000 + event_id) event_id, cast(min(rk) AS int) dir_rank FROM (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 END rk FROM events WHERE event_type IN ('purchase', 'view')) GROUP BY user_id""")
+FOLDERS = ["purchase", "view", "click", "signup", "error"]
+
+
+@query("first_folder_wins", f"""SELECT user_id, arg_min(event_id, rk::bigint * 1000000000 + event_id) event_id, cast(min(rk) AS int) dir_rank FROM (SELECT user_id, event_id, list_position({FOLDERS}, event_type) - 1 rk FROM events) GROUP BY user_id""")
 def first_folder_wins(spark, sf):
     e = X.table(spark, sf, "events")
     part = lambda kind: e.where(F.col("event_type") == kind).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    return K.union_once([part("purchase"), part("view")], ["user_id"]).select("user_id", "event_id", "dir_rank")
+    return K.union_once([part(kind) for kind in FOLDERS], ["user_id"]).select("user_id", "event_id", "dir_rank")
 
 
 FILE_PATTERNS = {"VV": r"sar_\d{8}.*_vv\.tif", "VH": r"sar_\d{8}.*_vh\.tif"}
