@@ -336,3 +336,52 @@ def test_early_stopping_matches_loop(spark):
             counter += 1
         stopped = stopped or counter >= 4
         assert got[i] == (counter, epoch, stopped)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 8, 64])
+@pytest.mark.parametrize("kind", ["hash", "mix"])
+def test_permutations_need_no_table(size, kind):
+    runs = [G.permutation(size, seed, kind) for seed in range(20)]
+    assert all(sorted(run.tolist()) == list(range(size * size)) for run in runs)
+    if size > 6:
+        assert len({run.tobytes() for run in runs}) == 20
+        assert all(abs(np.corrcoef(run, np.arange(size * size))[0, 1]) < 0.5 for run in runs)
+
+
+def test_one_channel_is_permuted_and_the_rest_stays(spark):
+    rows = [(i, [float(k) for k in range(9)] if i else None, [k * 10 + i if k != 4 else None for k in range(9)]) for i in range(5)]
+    patches = spark.createDataFrame(rows, "id int, a array<double>, b array<int>").repartition(3)
+    order = G.permutation(3, 4).tolist()
+    got = {r["id"]: r for r in G.permute_channels(patches, ["a", "b"], 3, 4).collect()}
+    assert all(got[i]["a"] == (a and [a[k] for k in order]) and got[i]["b"] == [b[k] for k in order] for i, a, b in rows)
+    runs = G.permutation_runs(patches, {"first": "a", "second": "b"}, 3, 4)
+    assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+    seen = {(r["id"], r["channel"]): (r["a"], r["b"]) for r in runs.collect()}
+    for i, a, b in rows:
+        assert seen[i, "none"] == (a, b) and seen[i, "first"] == (a and [a[k] for k in order], b) and seen[i, "second"] == (a, [b[k] for k in order])
+    with pytest.raises(Exception, match="not the 16 values"):
+        G.permute_channels(patches, ["b"], 4, 1).collect()
+
+
+def test_holes_and_shape_conflicts_fail(spark):
+    px = spark.createDataFrame([(1, r, c, 1.0) for r in range(3) for c in range(3) if (r, c) != (1, 1)] + [(2, 0, 0, 5.0)], "tile_id int, r int, c int, v double")
+    assert [tuple(r) for r in C.collected(px.where("tile_id = 2"), "v").collect()] == [(2, 1, 1, [5.0])]
+    for bad in (px, px.where("tile_id = 2").union(px.where("tile_id = 2"))):
+        with pytest.raises(Exception, match="not one value for each pixel"):
+            C.collected(bad, "v").collect()
+    rows = spark.createDataFrame([(1, "vv", 1, 2, [1.0, 2.0]), (1, "vh", 2, 1, [1.0, 2.0]), (2, "vv", 1, 1, [3.0])], "tile_id int, channel string, h int, w int, data array<double>")
+    assert C.stacked(rows.where("tile_id = 2"), ["vv", "vh"]).count() == 0
+    with pytest.raises(Exception, match="different shapes"):
+        C.stacked(rows, ["vv", "vh"]).collect()
+
+
+def test_draws_in_chunks_equal_all_draws(spark):
+    draw = random.Random(7)
+    rows = [(i, 12, 12, [int(draw.random() < share) for _ in range(144)], [0] * 144) for i, share in enumerate([0.0, 0.1, 0.3, 0.6, 1.0])]
+    tiles = spark.createDataFrame(rows, "tile_id long, h int, w int, miss array<int>, cloud array<int>")
+
+    def found(samples, attempts):
+        return {r["tile_id"]: [tuple(s) for s in r["spots"]] for r in G.random_spots(tiles, 4, samples, 3, "miss", "cloud", 0.2, 0.2, attempts).collect()}
+    every, few = found(10 ** 6, 700), found(5, 700)
+    assert all(few[i] == every[i][:5] for i in every) and len(every[0]) == 700 and not every[4]
+    assert all([s[0] for s in v] == sorted(s[0] for s in v) for v in every.values()) and any(0 < len(v) < 700 for v in every.values())

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilerain.functions.bands import d, predicted
+from tilerain.operators.losses import segmentation_losses
 from tilerain.operators.ranking import Fold, joined, running_folds, value_levels
 from tilerain.schema import CLASS_SYSTEMS, class_group
 
@@ -108,13 +109,33 @@ def core_row(scores: DataFrame, losses: DataFrame | None, keys: Sequence[str]) -
     return row if losses is None else joined(row, losses, keys)
 
 
-def permutation_importance(scores: DataFrame, baseline: str = "none", channel: str = "channel") -> DataFrame:
-    """Core rates per permuted channel and their change against the unpermuted run."""
-    rates = confusion(scores, [channel]).select(channel, *core_rates())
+def permutation_importance(scores: DataFrame, losses: DataFrame | None = None, baseline: str = "none", channel: str = "channel") -> DataFrame:
+    """Confusion cells, core rates and, from `losses` (channel, loss), the loss per permuted channel, and the change of rates and
+    loss against the unpermuted run."""
+    rates = confusion(scores, [channel]).select(channel, *CELLS, *core_rates())
+    measures = [*RATES]
+    if losses is not None:
+        rates, measures = rates.join(losses.select(channel, "loss"), channel), [*RATES, "loss"]
     # one row per channel by now, so a single group holds the whole table
     every = Window.partitionBy(F.lit(0))
-    base = {r: F.max(F.when(F.col(channel) == baseline, F.col(r))).over(every) for r in RATES}
-    return rates.select(channel, *RATES, *[(F.col(r) - base[r]).alias(f"delta_{r}") for r in RATES])
+    base = {r: F.max(F.when(F.col(channel) == baseline, F.col(r))).over(every) for r in measures}
+    return rates.select(channel, *CELLS, *measures, *[(F.col(r) - base[r]).alias(f"delta_{r}") for r in measures])
+
+
+def mean_batch_loss(pixels: DataFrame, keys: Sequence[str], batch: str, logit: str, target: str, loss: str = "bce_dice",
+                    pos_weight: float = 1.0) -> DataFrame:
+    """(keys, loss): the mean over batches of a loss that is taken of each batch as a whole."""
+    per = segmentation_losses(pixels, [*keys, batch], logit, target, pos_weight)
+    return per.groupBy(*keys).agg(F.avg(loss).alias("loss"))
+
+
+def permutation_groups(scores: DataFrame, systems: Sequence[str] = ("nlcd", "scl"), channel: str = "channel") -> DataFrame:
+    """(channel, system, class_group, cells, rates): the group metrics of every class system for each permuted channel."""
+    parts = [confusion_by_group(scores, s, [channel]).withColumn("system", F.lit(s)) for s in systems]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def shift_distribution(shifts: DataFrame, side: int) -> DataFrame:

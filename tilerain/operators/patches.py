@@ -341,17 +341,67 @@ def augmentation_draws(patch: Column, seed: int, kind: str = "hash") -> dict[str
             "turns": F.floor(random_key([patch], seed + 2, kind) * 4 / d(KEY_SPACE)).cast("int")}
 
 
-def permuted_positions(spark, size: int, seed: int, kind: str = "hash") -> DataFrame:
-    """One permutation of the size * size positions of a patch, shared by all patches of the batch."""
-    order = Window.orderBy(random_key([F.col("pos")], seed, kind), "pos")
-    return spark.range(size * size).select(F.col("id").cast("int").alias("pos")).withColumn(
-        "from_pos", F.row_number().over(order) - 1)
-
-
-def permute_channels(pixels: DataFrame, values: Sequence[str], size: int, seed: int, kind: str = "hash",
-                     keys: Sequence[str] = ("tile_id",)) -> DataFrame:
-    """Rearranges the listed channels of every patch by the same permutation; `pos` addresses a pixel."""
-    moves = F.broadcast(permuted_positions(pixels.sparkSession, size, seed, kind))
-    moved = pixels.select(*keys, F.col("pos").alias("from_pos"), *values).join(moves, "from_pos").drop("from_pos")
-    rest = pixels.drop(*values)
-    return rest.join(moved, [*keys, "pos"])
+#: Rounds of the permutation of positions; an even number.
+ROUNDS = 6
+
+
+def permutation(size: int, seed: int, kind: str = "hash") -> np.ndarray:
+    """Where the value at each position of a permuted size x size patch comes from, computed position by position.
+
+    A position is a pair (row, column). A round swaps the two and moves one by a random number of the other, modulo `size`,
+    which can be undone; so any number of rounds maps the positions one to one, for every size and without sorting.
+    `kind="mix"` is a plain multiplicative key, as in `random_key`.
+    """
+    row, column = np.divmod(np.arange(size * size, dtype=np.uint64), np.uint64(size))
+    with np.errstate(over="ignore"):
+        for i in range(ROUNDS):
+            key = column * np.uint64(16) + np.uint64(i + seed)
+            if kind == "mix":
+                key = key * np.uint64(2654435761) % np.uint64(KEY_SPACE)
+            elif kind == "hash":
+                key = (key + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                key = (key ^ key >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
+            else:
+                raise ValueError(f"unknown key kind {kind!r}")
+            row, column = column, (row + key * np.uint64(size) // np.uint64(KEY_SPACE)) % np.uint64(size)
+    return (row * np.uint64(size) + column).astype(np.int64)
+
+
+def _gathered(column: pa.ListArray, order: np.ndarray) -> pa.ListArray:
+    """Every list rearranged by the same order; null lists stay null, others must have its length."""
+    sizes = np.diff(column.offsets.to_numpy())
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    if (sizes[there] != len(order)).any():
+        raise ValueError(f"a patch has not the {len(order)} values of the permutation")
+    starts = column.offsets.to_numpy()[:-1][there]
+    values = column.values.take(pa.array((starts[:, None] + order).ravel()))
+    offsets = np.concatenate(([0], np.cumsum(np.where(there, len(order), 0)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(~there))
+
+
+def _replaced(batch: pa.RecordBatch, values: Sequence[str], order: np.ndarray) -> list[pa.Array]:
+    return [_gathered(column, order) if name in values else column for name, column in zip(batch.schema.names, batch.columns)]
+
+
+def permute_channels(patches: DataFrame, values: Sequence[str], size: int, seed: int, kind: str = "hash") -> DataFrame:
+    """Rearranges the listed channel arrays of every patch row by the same permutation. Narrow: a gather in the row."""
+    names = patches.columns
+
+    def run(batches):
+        order = permutation(size, seed, kind)
+        for batch in batches:
+            yield pa.record_batch(_replaced(batch, values, order), names)
+    return patches.mapInArrow(run, patches.schema)
+
+
+def permutation_runs(patches: DataFrame, channels: dict[str, str], size: int, seed: int, kind: str = "hash",
+                     baseline: str = "none") -> DataFrame:
+    """Every patch as it is (`channel` = baseline) and once for each named channel array with that one permuted. One scan, narrow."""
+    schema = T.StructType([*patches.schema.fields, T.StructField("channel", T.StringType())])
+
+    def run(batches):
+        order = permutation(size, seed, kind)
+        for batch in batches:
+            for name, moved in [(baseline, ()), *((n, (c,)) for n, c in channels.items())]:
+                yield pa.record_batch([*_replaced(batch, moved, order), pa.array([name] * batch.num_rows)], schema.names)
+    return patches.mapInArrow(run, schema)

@@ -48,14 +48,18 @@ def with_split(rows: DataFrame, splits: DataFrame) -> DataFrame:
 def stacked(tile_rows: DataFrame, channels: Sequence[str], keys: Sequence[str] = ("tile_id",)) -> DataFrame:
     """One row per tile with a column per channel array, from one row per (tile, channel).
 
-    A single aggregation on the tile replaces a chain of joins; tiles that lack a channel drop out.
+    A single aggregation on the tile replaces a chain of joins; tiles that lack a channel drop out. A tile whose channels
+    differ in shape fails.
     """
     picks = [F.max_by("data", F.when(F.col("channel") == c, F.lit(1))).alias(c) for c in channels]
-    wide = tile_rows.where(F.col("channel").isin(*channels)).groupBy(*keys, "h", "w").agg(*picks)
+    shape = F.struct("h", "w")
+    wide = tile_rows.where(F.col("channel").isin(*channels)).groupBy(*keys).agg(F.min(shape).alias("_low"), F.max(shape).alias("_high"), *picks)
     complete = F.lit(True)
     for c in channels:
         complete = complete & F.col(c).isNotNull()
-    return wide.where(complete)
+    text = F.concat(F.lit("channels of different shapes on tile "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    height = F.when(F.col("_low") == F.col("_high"), F.col("_low.h")).otherwise(F.raise_error(text).cast("int"))
+    return wide.where(complete).select(*keys, height.alias("h"), F.col("_low.w").alias("w"), *channels)
 
 
 def exploded(tiles: DataFrame, channels: Sequence[str], keys: Sequence[str] = ("tile_id",)) -> DataFrame:
@@ -67,10 +71,13 @@ def exploded(tiles: DataFrame, channels: Sequence[str], keys: Sequence[str] = ("
 
 
 def collected(pixels: DataFrame, value: str, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
-    """Back to one row-major array per tile."""
+    """Back to one row-major array per tile. A tile with a pixel missing or there twice fails: it would shift all after it."""
     ordered = F.array_sort(F.collect_list(F.struct("r", "c", F.col(value).alias("v"))))
-    return pixels.groupBy(*keys).agg(
-        (F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.transform(ordered, lambda s: s["v"]).alias(value))
+    tiles = pixels.groupBy(*keys).agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.count_distinct("r", "c").alias("_n"), ordered.alias("_px"))
+    whole = (F.col("_n") == F.col("h") * F.col("w")) & (F.size("_px") == F.col("_n"))
+    text = F.concat(F.lit("not one value for each pixel of tile "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    values = F.when(whole, F.transform("_px", lambda s: s["v"])).otherwise(F.raise_error(text).cast(f"array<{pixels.schema[value].dataType.simpleString()}>"))
+    return tiles.select(*keys, "h", "w", values.alias(value))
 
 
 def polarization_pairs(files: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -184,3 +184,11 @@ def with_views(views: str, body: str) -> str:
     clauses = ", ".join(f"{n} AS ({DUCK[n][1]})" for n in needed)
     glue = "" if body.lstrip().startswith(",") else " "
     return f"WITH {clauses}{glue}{body}"
+
+
+def permutation_sql(seed: int, size: int = 8) -> str:
+    """CTEs that walk the rounds of the position permutation; pm(pos, src) at the end."""
+    steps = [f", f0 AS (SELECT cast(range AS bigint) pos, range//{size} a, range % {size} b FROM range({size * size}))"]
+    for i in range(6):
+        steps.append(f"f{i + 1} AS (SELECT pos, b a, (a + (((b*16 + {i} + {seed})::bigint*2654435761 % 4294967296)*{size})//4294967296) % {size} b FROM f{i})")
+    return ", ".join(steps) + f", pm AS (SELECT cast(pos AS int) pos, cast(a*{size} + b AS int) src FROM f6)"

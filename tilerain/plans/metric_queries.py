@@ -84,21 +84,42 @@ def evaluation_row(spark, sf):
     return rounded(M.core_row(rows, losses, ["part"]))
 
 
-@query("permutation_importance", f""", pm AS (SELECT cast(range AS int) pos, cast(row_number() OVER (ORDER BY ((range + 9)::bigint*2654435761) % 4294967296, range) - 1 AS int) src FROM range(64)),
-s AS (SELECT 'none' channel, b03, b08, target FROM pixel_ext UNION ALL SELECT 'green', q.b03, p.b08, p.target FROM pixel_ext p JOIN pm ON pm.pos=p.pos JOIN pixel_ext q ON q.tile_id=p.tile_id AND q.pos=pm.src
-UNION ALL SELECT 'nir', p.b03, q.b08, p.target FROM pixel_ext p JOIN pm ON pm.pos=p.pos JOIN pixel_ext q ON q.tile_id=p.tile_id AND q.pos=pm.src),
-z AS (SELECT channel, 1/(1+exp(-(b03-b08)/1000.0::double)) prob, target FROM s), g AS (SELECT channel, {CELLS} FROM z GROUP BY channel),
-h AS (SELECT channel, tp, tn, fp, fn, (tp+tn)/(tp+tn+fp+fn)::double acc, tp/(tp+fp)::double prec, tp/(tp+fn)::double rec, 2*tp/(2*tp+fp+fn)::double f1, tp/(tp+fp+fn)::double iou FROM g)
-SELECT h.channel, round(h.acc,6) acc, round(h.prec,6) prec, round(h.rec,6) rec, round(h.f1,6) f1, round(h.iou,6) iou, round(h.acc-b.acc,6) delta_acc, round(h.prec-b.prec,6) delta_prec, round(h.rec-b.rec,6) delta_rec, round(h.f1-b.f1,6) delta_f1, round(h.iou-b.iou,6) delta_iou
+PERMUTED = X.permutation_sql(9) + f""", s AS (SELECT 'none' channel, tile_id, b03, b08, target, nlcd, scl FROM pixel_ext UNION ALL SELECT 'green', p.tile_id, q.b03, p.b08, p.target, p.nlcd, p.scl FROM pixel_ext p JOIN pm ON pm.pos=p.pos JOIN pixel_ext q ON q.tile_id=p.tile_id AND q.pos=pm.src
+UNION ALL SELECT 'nir', p.tile_id, p.b03, q.b08, p.target, p.nlcd, p.scl FROM pixel_ext p JOIN pm ON pm.pos=p.pos JOIN pixel_ext q ON q.tile_id=p.tile_id AND q.pos=pm.src),
+z AS (SELECT channel, tile_id % 10 batch, (b03-b08)/1000.0::double x, 1/(1+exp(-(b03-b08)/1000.0::double)) prob, target, nlcd, scl FROM s)"""
+
+
+def _permuted_scores(spark, sf):
+    from tilerain.operators.patches import permutation_runs
+    from tilerain.operators.stacking import exploded
+    t, data = F.col("tile_id"), F.col("data")
+    dn = lambda v: F.floor((v + 1) * 5000).cast("int")
+    codes = F.array(*[F.lit(c) for c in NLCD_CLASSES])
+    tiles = X.tile(spark, sf).select(
+        t, "w", F.transform(data, lambda v, p: (dn(v) * 3 + p * 211) % 10000).alias("b03"), F.transform(data, lambda v, p: (dn(v) * 7 + p * 97) % 10000).alias("b08"),
+        F.transform(data, lambda v: F.when((dn(v) * 7) % 11 < 3, 1).otherwise(0)).alias("target"), F.transform(data, lambda v: dn(v) % 12).alias("scl"),
+        F.transform(data, lambda v: F.element_at(codes, (dn(v) % 20 + 1).cast("int"))).alias("nlcd"))
+    runs = permutation_runs(tiles, {"green": "b03", "nir": "b08"}, 8, 9, "mix")
+    px = exploded(runs, ["b03", "b08", "target", "scl", "nlcd"], ["channel", "tile_id"])
+    x = (F.col("b03") - F.col("b08")) / F.lit(1000.0)
+    return px.select("channel", (t % 10).alias("batch"), x.alias("logit"), B.sigmoid(x).alias("prob"), "target", "scl", "nlcd")
+
+
+@query("permutation_importance", PERMUTED + f""", g AS (SELECT channel, {CELLS} FROM z GROUP BY channel),
+bl AS (SELECT channel, batch, sum(-(target*ln(prob) + (1-target)*ln(1-prob)))/count(*) + 1 - (2*sum(prob*target) + 1)/(sum(prob) + sum(target) + 1) l FROM z GROUP BY 1, 2),
+lo AS (SELECT channel, avg(l) loss FROM bl GROUP BY 1),
+h AS (SELECT g.channel, tp, tn, fp, fn, (tp+tn)/(tp+tn+fp+fn)::double acc, tp/(tp+fp)::double prec, tp/(tp+fn)::double rec, 2*tp/(2*tp+fp+fn)::double f1, tp/(tp+fp+fn)::double iou, loss FROM g JOIN lo ON lo.channel=g.channel)
+SELECT h.channel, h.tp, h.tn, h.fp, h.fn, round(h.acc,6) acc, round(h.prec,6) prec, round(h.rec,6) rec, round(h.f1,6) f1, round(h.iou,6) iou, round(h.loss,6) loss, round(h.acc-b.acc,6) delta_acc, round(h.prec-b.prec,6) delta_prec, round(h.rec-b.rec,6) delta_rec, round(h.f1-b.f1,6) delta_f1, round(h.iou-b.iou,6) delta_iou, round(h.loss-b.loss,6) delta_loss
 FROM h, h b WHERE b.channel='none'""", "pixel_ext")
 def permutation_importance(spark, sf):
-    from tilerain.operators.patches import permute_channels
-    px = X.pixel_ext(spark, sf).select("tile_id", "pos", "b03", "b08", "target")
-    runs = px.withColumn("channel", F.lit("none"))
-    for name, column in (("green", "b03"), ("nir", "b08")):
-        runs = runs.unionByName(permute_channels(px, [column], 8, 9, "mix").withColumn("channel", F.lit(name)))
-    scored = runs.withColumn("prob", B.sigmoid((F.col("b03") - F.col("b08")) / F.lit(1000.0)))
-    return rounded(M.permutation_importance(scored))
+    scored = _permuted_scores(spark, sf)
+    return rounded(M.permutation_importance(scored, M.mean_batch_loss(scored, ["channel"], "batch", "logit", "target")))
+
+
+@query("permutation_groups", PERMUTED + f""", gg AS (SELECT channel, 'nlcd' AS system, {_group_sql('nlcd', 'nlcd')} class_group, {CELLS} FROM z GROUP BY ALL UNION ALL SELECT channel, 'scl', {_group_sql('scl', 'scl')}, {CELLS} FROM z GROUP BY ALL)
+SELECT channel, system, class_group, tn, fp, fn, tp, {_rates_sql()} FROM gg WHERE class_group IS NOT NULL""", "pixel_ext")
+def permutation_groups(spark, sf):
+    return rounded(M.permutation_groups(_permuted_scores(spark, sf)))
 
 
 @query("trial_summary", "SELECT config, round(avg(f1),6) mean_f1, round(stddev_samp(f1),6) std_f1, round(avg(recall),6) mean_recall, round(stddev_samp(recall),6) std_recall FROM trial GROUP BY config", "trial")

@@ -180,11 +180,15 @@ def flip_rotate(spark, sf):
     return tiles.select("tile_id", F.posexplode(turned).alias("pos", "v"))
 
 
-@query("permuted_channels", f""", pm AS (SELECT cast(range AS int) pos, cast(row_number() OVER (ORDER BY {MIXD.format(k='range', s=9)}, range) - 1 AS int) src FROM range(64))
-SELECT p.tile_id, p.pos, q.vv_db, q.vh_db, p.dn FROM pixel_ext p JOIN pm ON pm.pos=p.pos JOIN pixel_ext q ON q.tile_id=p.tile_id AND q.pos=pm.src""", "pixel_ext")
+@query("permuted_channels", X.permutation_sql(9) + """ SELECT p.tile_id, p.pos, q.vv_db, q.vh_db, p.dn FROM pixel_ext p JOIN pm ON pm.pos=p.pos JOIN pixel_ext q ON q.tile_id=p.tile_id AND q.pos=pm.src""", "pixel_ext")
 def permuted_channels(spark, sf):
-    px = X.pixel_ext(spark, sf).select("tile_id", "pos", "vv_db", "vh_db", "dn")
-    return G.permute_channels(px, ["vv_db", "vh_db"], 8, 9, "mix")
+    t, data = F.col("tile_id"), F.col("data")
+    tiles = X.tile(spark, sf).select(
+        t, F.transform(data, lambda v, p: F.when((t * 64 + p) % 97 == 0, F.lit(-9999.0)).otherwise(v * 20 - 15)).alias("vv_db"),
+        F.transform(data, lambda v, p: F.when((t * 64 + p) % 89 == 0, F.lit(-9999.0)).otherwise(v * 15 - 20)).alias("vh_db"),
+        F.transform(data, lambda v: F.floor((v + 1) * 5000).cast("int")).alias("dn"))
+    moved = G.permute_channels(tiles, ["vv_db", "vh_db"], 8, 9, "mix")
+    return moved.select(t, F.posexplode(F.arrays_zip("vv_db", "vh_db", "dn")).alias("pos", "_p")).select(t, "pos", "_p.vv_db", "_p.vh_db", "_p.dn")
 
 
 @query("score_maps", """, s AS (SELECT *, 1/(1+exp(-v*8)) p FROM pixel_ext), t AS (SELECT *, CASE WHEN vv_db = -9999 THEN 0 WHEN p >= 0.55 THEN 1 ELSE 0 END m, CASE WHEN p > 0.5 THEN 1 ELSE 0 END e FROM s)
