@@ -12,8 +12,6 @@ HIDDEN, SEGMENT = 8, 128
 #: Training: documents at most (shared equally among the languages, those with the smallest hashes of the id), segments per
 #: document at most (evenly spread over the whole text), steps at least, segments per step, step size.
 TRAIN_DOCS, TRAIN_SEGMENTS, STEPS, STEP_SEGMENTS, RATE = 1600, 4, 200, 128, 0.02
-#: Parts that the rows of a language are dealt to where the smallest hashes are looked for.
-SALTS = 64
 #: Segments that are read at once.
 LANES = 4096
 #: Answer for texts without a letter.
@@ -175,15 +173,19 @@ def trained(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text"),
                        F.col(f"`{lang}`").cast("string").alias("lang"))
     rows = rows.where(f"id IS NOT NULL AND lang IS NOT NULL AND NOT ({held_out})").where(F.col("text").rlike(r"\p{L}"))
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    hashed = rows.select("id", "lang", F.xxhash64("id").alias("hash")).withColumn("part", F.shiftrightunsigned("hash", 56))
+    # the smallest hashes of a language lie in its first parts: 256 counts for each say in how many
+    counts: dict[str, list[int]] = {}
+    for r in hashed.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["lang"], [0] * 256)[r["part"]] = r["n"]
+    languages = sorted(counts)
     if not languages:
         return None, []
     most = max(1, max_docs // len(languages))
-    picked = rows.select("id", "lang", F.xxhash64("id").alias("hash"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"))
-    for keys in (["lang", "salt"], ["lang"]):  # a language with most of the rows is cut down in SALTS tasks first
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "id"))
-        picked = picked.withColumn("nth", nth).where(F.col("nth") <= most)
-    picked = picked.select("id", "lang").distinct()
+    reach = {v: next((i for i in range(256) if sum(n[:i + 1]) >= most), 255) for v, n in counts.items()}
+    first = hashed.where(F.col("part") <= F.create_map(*[F.lit(x) for item in reach.items() for x in item])[F.col("lang")])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("part", "hash", "id"))
+    picked = first.withColumn("nth", nth).where(F.col("nth") <= most).select("id", "lang").distinct()
     sample = rows.join(F.broadcast(picked), ["id", "lang"]).select("id", "lang", "text")
     index = {v: i for i, v in enumerate(languages)}
 
