@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 import struct
 from collections import Counter
@@ -361,6 +362,34 @@ def test_long_comments_beside_an_article_go():
     page = f"<body><div class='wrap'><article><p>The piece itself, short as it is.</p></article></div><div id='comments'>{chat}</div></body>"
     assert html_density.main_text(page) == "The piece itself, short as it is."
 
+
+def test_articles_stay_beside_named_parts_of_any_size():
+    lines = [f"<p>Paragraph {i} of an article that goes on for a good while and says a lot.</p>" for i in range(4)]
+    beside = "".join(f"<p>Side {i} of a column that goes on for a good while and says a lot too.</p>" for i in range(600))
+    for n in (1, 6, 600):
+        part = "".join(beside.split("</p>")[:n])
+        text = html_density.main_text(f"<body><div class=content>{''.join(lines)}</div><div class='sidebar'>{part}</div></body>")
+        assert text.count("Paragraph") == 4 and "Side" not in text
+    text = html_density.main_text(f"<body><main>Teaser</main><div id='search'>{''.join(lines)}<div class=ad>Buy</div></div></body>")
+    assert text.count("Paragraph") == 4 and "Buy" not in text
+
+
+@pytest.mark.parametrize("piece", ["<a>", "<a><h1>x", "<div>x", "<i></b>", "<a ", "<div class=ad>x", "<script></script><a>x "])
+def test_odd_markup_takes_time_in_proportion(piece):
+    def seconds(n):
+        start = time.process_time()
+        html_density.main_text(piece * n)
+        return time.process_time() - start
+    assert seconds(40_000) < 20 * seconds(4_000) + 0.5
+
+
+def test_pages_with_nulls_and_clashing_columns(spark):
+    rows = [(1, None, None, "a", 1), (1, "u", "", "b", 2), (None, "u", "<p>One</p>", "c", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = {tuple(r) for r in html_density.extracted(pages).collect()}
+    assert got == {(1, None, "", 0), (1, "u", "", 0), (None, "u", "One", 3)}
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 9)), "big" if i % 3 else ("null" if i % 2 else None)) for i in range(900)]

@@ -3,6 +3,7 @@
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,9 @@ SIDE = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent
 #: Parts of a name that say nothing of what an element holds.
 NEUTRAL = re.compile(r"\d*|site|page|main|top|bottom|left|right|primary|secondary|global|wrap|wrapper|container|inner|outer|box|block|area|section|"
                      r"list|item|items|links?|buttons?|bar|slot|unit|posts?|form", re.I)
-#: An element so marked is hidden if it holds less than this share of the body's text.
-SMALL = 1 / 3
+#: What the density of text below an element so marked counts beside that of other text.
+DISCOUNT = 0.1
+OPEN_LINK, CLOSED_LINK, TAGS_AND_SPACES = re.compile(r"<a\b", re.I), re.compile(r"</a\s*>", re.I), re.compile(r"<[^>]*(?:>|\Z)|\s")
 SPACES = re.compile(r"\s+")
 
 
@@ -60,17 +62,25 @@ def _tree(page: str) -> _Node:
     root = _Node("#root", None, False)
     node, at = root, 0
     raw_end = None
+    opened: Counter = Counter()  # open elements by name, so that no tag looks for one that is not open
 
     def text(piece: str) -> None:
         if piece:
             node.parts.append(html.unescape(piece) if "&" in piece else piece)
 
-    def up_to(names: set, stop: set) -> None:
+    def close(last: _Node) -> None:
         nonlocal node
+        while node is not last.parent:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    def up_to(names: set, stop: set) -> None:
+        if not any(opened[x] for x in names):
+            return
         n = node
         while n.parent is not None and n.tag not in stop:
             if n.tag in names:
-                node = n.parent
+                close(n)
                 return
             n = n.parent
 
@@ -86,7 +96,7 @@ def _tree(page: str) -> _Node:
             continue
         name = name.lower()
         if found.group(1):
-            if name in ("body", "html"):
+            if name in ("body", "html") or not opened[name]:
                 continue
             n = node
             while n.parent is not None and n.tag != name:
@@ -94,7 +104,7 @@ def _tree(page: str) -> _Node:
                     break
                 n = n.parent
             if n.tag == name and n.parent is not None:
-                node = n.parent
+                close(n)
             continue
         if name in CLOSES_P:
             up_to({"p"}, {"table", "td", "th", "body", "article", "section", "div", "li", "blockquote", "main", "aside", "header", "footer", "nav", "form"})
@@ -123,6 +133,7 @@ def _tree(page: str) -> _Node:
             at = raw_end.end() if raw_end else len(page)
             continue
         node = child
+        opened[name] += 1
     return root
 
 
@@ -149,21 +160,6 @@ def _measure(root: _Node) -> list[_Node]:
     return order
 
 
-def _hide(body: _Node) -> None:
-    """Makes side nodes of the marked nodes with little of the body's text, and of all of them if an article stands elsewhere."""
-    order = _measure(body)
-    if not any(n.marked for n in order):
-        return
-    elsewhere, stack = False, [body]
-    while stack:
-        n = stack.pop()
-        elsewhere = elsewhere or n.tag in ("article", "main") and n.chars > 0
-        stack.extend(p for p in n.parts if isinstance(p, _Node) and not p.side and not p.marked)
-    for n in order:
-        if n.marked and (elsewhere or n.chars < SMALL * body.chars):
-            n.side = True
-
-
 def _densities(order: list[_Node], link_chars: int, all_chars: int) -> None:
     """Composite text density of each node, and the sum of its children's."""
     share = link_chars / max(1, all_chars)
@@ -179,6 +175,59 @@ def _densities(order: list[_Node], link_chars: int, all_chars: int) -> None:
         n.total = sum(p.density for p in n.parts if isinstance(p, _Node) and not p.side)
 
 
+def _densest(order: list[_Node]) -> _Node:
+    """The node with the largest density sum, the outermost of equal ones."""
+    best = order[0]
+    for n in order:
+        if n.total >= best.total:
+            best = n
+    return best
+
+
+def _text_density(node: _Node) -> float:
+    """Mean density of the nodes below that hold text themselves, weighted by their characters; 0 without text."""
+    weighted, chars, stack = 0.0, 0, [node]
+    while stack:
+        n = stack.pop()
+        if any(isinstance(p, str) and not p.isspace() for p in n.parts):
+            weighted += n.density * n.chars
+            chars += n.chars
+        stack.extend(p for p in n.parts if isinstance(p, _Node) and not p.side)
+    return weighted / chars if chars else 0.0
+
+
+def _hide(body: _Node, links: int) -> None:
+    """Makes side nodes of the marked nodes, but for those around the densest marked text if it stands out by DISCOUNT.
+
+    Mean densities are compared, so it does not matter how much text either part holds.
+    """
+    order = _measure(body)
+    marked = [n for n in order if n.marked]
+    if not marked:
+        return
+    _densities(order, links, max(body.chars + links, 1))
+    below, stack = [], [n for n in marked]
+    seen = set()
+    while stack:
+        n = stack.pop()
+        if id(n) not in seen:
+            seen.add(id(n))
+            below.append(n)
+            stack.extend(p for p in n.parts if isinstance(p, _Node) and not p.side)
+    places = {id(n): i for i, n in enumerate(order)}
+    hidden = _densest(sorted(below, key=lambda n: places[id(n)]))
+    named = _text_density(hidden)
+    for n in marked:
+        n.side = True
+    order = _measure(body)
+    _densities(order, links, max(body.chars + links, 1))
+    if _text_density(_densest(order)) < DISCOUNT * named:
+        n = hidden
+        while n is not body:
+            n.side = n.side and not n.marked
+            n = n.parent
+
+
 def _blocks(node: _Node, out: list[str]) -> None:
     """Adds the text of each block below a node, in page order."""
     line: list[str] = []
@@ -209,14 +258,26 @@ def _blocks(node: _Node, out: list[str]) -> None:
     end()
 
 
+def _link_chars(page: str) -> int:
+    """Characters in links, without tags and white space: each from an opening tag to the next closing one."""
+    total = 0
+    for piece in CLOSED_LINK.split(page)[:-1]:
+        link = OPEN_LINK.search(piece)
+        end = piece.find(">", link.end()) if link else -1
+        if end >= 0:
+            total += len(TAGS_AND_SPACES.sub("", piece[end + 1:]))
+    return total
+
+
 def main_text(page: str) -> str:
     """The text of the subtree with the largest density sum, and of what is as dense as its thinnest ancestor.
 
     Every node gets its characters per tag, adjusted by the characters and tags of links below it and by the link share
     of the whole body. The node whose children have the largest sum of densities holds the article; the smallest density
     on its path up to the body is the threshold for further parts outside of it. Scripts, forms, menus, notices, adverts
-    and comments, known by element, take no part; those known by a name in class, id or role only if they hold little of the
-    text or an article stands elsewhere.
+    and comments, known by element, take no part. Text below an element that a name in class, id or role marks as one of them
+    counts a tenth of its density: it takes part only if the other text is thinner even so, as a menu or a teaser beside an
+    article that stands in a part of such a name.
     """
     if not page:
         return ""
@@ -228,12 +289,11 @@ def main_text(page: str) -> str:
             body = n
             break
         stack.extend(p for p in reversed(n.parts) if isinstance(p, _Node) and not p.side)
-    links = sum(len(re.sub(r"<[^>]*>|\s", "", x)) for x in re.findall(r"<a\b[^>]*>(.*?)</a\s*>", page, re.S | re.I))
-    _hide(body)
+    links = _link_chars(page)
+    _hide(body, links)
     order = _measure(body)
     _densities(order, links, max(body.chars + links, 1))
-    places = {id(n): i for i, n in enumerate(order)}
-    chosen = max(order, key=lambda n: (n.total, places[id(n)]))
+    chosen = _densest(order)
     if chosen.total == 0:
         chosen = body
     path, n = [chosen.density], chosen
@@ -246,31 +306,13 @@ def main_text(page: str) -> str:
         n = n.parent
         within.add(id(n))
     out: list[str] = []
-
-    def visit(n: _Node) -> None:
-        if n is chosen:
+    stack = [body]
+    while stack:
+        n = stack.pop()
+        if n is chosen or id(n) not in within and n.density >= threshold and n.chars > n.links:
             _blocks(n, out)
         elif id(n) in within:
-            loose: list = []
-            for p in n.parts:
-                if isinstance(p, _Node) and not p.side:
-                    if loose:
-                        flush(loose)
-                        loose = []
-                    visit(p)
-                elif isinstance(p, str):
-                    loose.append(p)
-            if loose:
-                flush(loose)
-        elif n.density >= threshold and n.chars > n.links:
-            _blocks(n, out)
-
-    def flush(loose: list) -> None:
-        text = SPACES.sub(" ", "".join(loose)).strip()
-        if text and chosen is body:
-            out.append(text)
-
-    visit(body)
+            stack.extend(p for p in reversed(n.parts) if isinstance(p, _Node) and not p.side)
     return "\n".join(out)
 
 
