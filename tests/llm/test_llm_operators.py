@@ -1,11 +1,12 @@
 """The training-text operators against brute force, on small tables with nulls, ties, long texts and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
-import time
 import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -390,6 +391,49 @@ def test_pages_with_nulls_and_clashing_columns(spark):
     assert got == {(1, None, "", 0), (1, "u", "", 0), (None, "u", "One", 3)}
 
 
+def test_best_path_of_a_lattice_by_trying_all():
+    rng = np.random.default_rng(3)
+    restorer = toxicity.Restorer(np.log(rng.dirichlet(np.full(toxicity.SYMBOLS, 0.3), toxicity.SYMBOLS ** 3) + 1e-6))
+    draw = random.Random(8)
+    for _ in range(60):
+        gap = draw.choice(" .-")
+        stretch = "".join(draw.choice(["a", "bb", "c", "1", "4", "$$", "ooo", gap]) for _ in range(draw.randint(1, 6)))
+        best = None
+        for path in itertools.product(*restorer._columns(stretch, gap)):
+            state, score = 0, 0.0
+            for letters, cost in path:
+                score += cost
+                for x in letters:
+                    code = 0 if x == " " else ord(x) - 96
+                    score += restorer.logs[state][code]
+                    state = state * toxicity.SYMBOLS % toxicity.SYMBOLS ** 3 + code
+            score += restorer.logs[state][0]
+            best = max(best, (score, "".join(x for x, _ in path))) if best else (score, "".join(x for x, _ in path))
+        assert restorer.decode(stretch, gap) == best[1]
+
+
+def test_long_unbroken_stretches_follow_the_rules_of_short_ones(monkeypatch):
+    restorer = toxicity.Restorer(np.zeros((toxicity.SYMBOLS ** 3, toxicity.SYMBOLS)))
+    monkeypatch.setattr(toxicity.Restorer, "decode", lambda self, stretch, gap=None: f"<{stretch}>")
+    draw = random.Random(9)
+    texts = [draw.choice(["", ".", "x ", "2", ","]) + "".join(draw.choice("aab$!05@") for _ in range(draw.randint(1, 14)))
+             + draw.choice(["", " y", ".", "=", "2"]) for _ in range(5000)]
+    short = [restorer.restore(t) for t in texts]
+    monkeypatch.setattr(toxicity, "LONG", re.compile(toxicity.LONG.pattern.replace("{1000,}", "{5,}")))
+    assert [restorer.restore(t) for t in texts] == short
+
+
+@pytest.mark.parametrize("piece", [",@", "!", "ab$", "!5", "a", "aab$", "("])
+def test_odd_spelling_takes_time_in_proportion(piece):
+    restorer = toxicity.Restorer(np.zeros((toxicity.SYMBOLS ** 3, toxicity.SYMBOLS)))
+
+    def seconds(n):
+        start = time.process_time()
+        restorer.restore(piece * n + "=2")
+        return time.process_time() - start
+    assert seconds(400_000) < 20 * seconds(40_000) + 0.5
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 9)), "big" if i % 3 else ("null" if i % 2 else None)) for i in range(900)]

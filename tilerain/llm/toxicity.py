@@ -29,13 +29,19 @@ REMEMBERED = 40
 _L = r"[^\W\d_]"
 _D = "[0134578@$!|+€(¡9]"
 _X = rf"(?:{_L}|{_D})"
+_GAPPED = rf"(?<![\w@$]){_X}(?P<gap>[ .\-_*/~]){_X}(?:(?=(?P=gap))|(?![\w@$]))(?:(?P=gap){_X}(?:(?=(?P=gap))|(?![\w@$])))++"
+_MIXED = rf"(?<![\w@.+/=-])(?:{_L}*+{_D}++)++{_L}++(?![\w@=])|(?<![\w@.+/=-]){_L}{{2,}}+(?:[013457@$]{_L}*+)++(?![\w@.=])"
+_DOUBLED = rf"(?<!\w)(?={_L}++(?!\w)){_L}*?(?P<twice>{_L})(?P=twice){_L}*+"
 #: Stretches that may hide a word: single characters set apart, letters mixed with look-alikes, doubled letters and longer
-#: runs. Groups that repeat are possessive, so that a long stretch costs no more than its length.
-SUSPECT = re.compile(
-    rf"(?<![\w@$]){_X}(?P<gap>[ .\-_*/~]){_X}(?:(?=(?P=gap))|(?![\w@$]))(?:(?P=gap){_X}(?:(?=(?P=gap))|(?![\w@$])))++"
-    rf"|(?<![\w@.+/=-])(?=[^\s]*{_L})(?:{_L}*+{_D}++)++{_L}++(?![\w@=])"
-    rf"|(?<![\w@.+/=-]){_L}{{2,}}+(?:[013457@$]{_L}*+)++(?![\w@.=])"
-    rf"|(?<!\w){_L}*?({_L})\2{_L}*+(?!\w)")
+#: runs. Groups that repeat are possessive, so that a try costs no more than its stretch.
+SUSPECT = re.compile(f"{_GAPPED}|{_MIXED}|{_DOUBLED}")
+MIXED, DOUBLED = re.compile(_MIXED), re.compile(_DOUBLED)
+#: Whether letters and look-alikes are a suspect hangs on their two ends, so of a long unbroken stretch only the first places
+#: that a try may start at are tried: all others would read it again to the same end.
+LONG = re.compile(rf"(?<!{_L})(?<!{_D}){_X}{{1000,}}+")
+FIRST = re.compile(rf"(?<![\w@.+/=-]){_X}")
+PART = re.compile(rf"(?:{_L}|[013457@$])++")
+FIRST_LETTERS = re.compile(rf"(?<![\w@.+/=-]){_L}{{2}}")
 WORD = re.compile(rf"{_L}+")
 
 
@@ -129,16 +135,45 @@ class Restorer:
 
     def restore(self, text: str) -> str:
         """The text in lower case with every suspicious stretch decoded."""
-        def one(found: re.Match) -> str:
-            stretch = found.group()
-            if len(stretch) > REMEMBERED:
-                return self.decode(stretch, found.group("gap"))
-            if stretch not in self.known:
-                if len(self.known) > 100_000:
-                    self.known = {}
-                self.known[stretch] = self.decode(stretch, found.group("gap"))
-            return self.known[stretch]
-        return SUSPECT.sub(one, text.lower())
+        text, parts, at = text.lower(), [], 0
+        for run in LONG.finditer(text):
+            if run.start() >= at:
+                parts.append(SUSPECT.sub(self._decoded, text[at:run.start()]))
+                at = run.start()
+                for found in self._in_long(text, at, run.end()):
+                    parts += [text[at:found.start()], self._decoded(found)]
+                    at = found.end()
+                parts.append(text[at:run.end()])
+                at = max(at, run.end())
+        return "".join(parts) + SUSPECT.sub(self._decoded, text[at:] if at else text)
+
+    def _in_long(self, text: str, at: int, end: int):
+        """Suspects of an unbroken stretch: the whole of it, parts without signs, or words with doubled letters."""
+        def doubled(start: int, stop: int):
+            while (word := DOUBLED.search(text, start, stop)) is not None:
+                start = word.end()
+                if not (start == end < len(text) and (text[end].isalnum() or text[end] == "_")):
+                    yield word
+
+        tries = [FIRST.search(text, at, end)]
+        tries += [FIRST_LETTERS.search(text, part.start(), part.end()) for part in PART.finditer(text, at, end)]
+        for first in tries:
+            found = first and first.start() >= at and MIXED.match(text, first.start())
+            if found:
+                yield from doubled(at, found.start())
+                yield found
+                at = found.end()
+        yield from doubled(at, end)
+
+    def _decoded(self, found: re.Match) -> str:
+        stretch, gap = found.group(), found.groupdict().get("gap")
+        if len(stretch) > REMEMBERED:
+            return self.decode(stretch, gap)
+        if stretch not in self.known:
+            if len(self.known) > 100_000:
+                self.known = {}
+            self.known[stretch] = self.decode(stretch, gap)
+        return self.known[stretch]
 
 
 def features(restored: str) -> Counter:
