@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tilerain.operators import burning as B
 from tilerain.operators import neighborhood as N
 from tilerain.operators import regrid as R
 from tilerain.operators import stacking as K
@@ -168,20 +169,59 @@ def _triangles(spark, sf):
     return f.select("feature_id", F.inline(edges))
 
 
-@query("filled_polygons", TRI + CELLS + """ SELECT feature_id, r, c FROM tr JOIN gr ON r + 0.5 >= ay AND r + 0.5 < cy AND c >= floor(ax) - 1 AND c <= bx + 1
-WHERE (bx-ax)*(r+0.5::double-ay) - (by_-ay)*(c+0.5::double-ax) > 0 AND (cx-bx)*(r+0.5::double-by_) - (cy-by_)*(c+0.5::double-bx) > 0 AND (ax-cx)*(r+0.5::double-cy) - (ay-cy)*(c+0.5::double-cx) > 0""", "feature")
+FILLED = """ SELECT feature_id, r, c FROM tr JOIN gr ON r + 0.5 >= ay AND r + 0.5 < cy AND c >= floor(ax) - 1 AND c <= bx + 1
+WHERE (bx-ax)*(r+0.5::double-ay) - (by_-ay)*(c+0.5::double-ax) > 0 AND (cx-bx)*(r+0.5::double-by_) - (cy-by_)*(c+0.5::double-bx) > 0 AND (ax-cx)*(r+0.5::double-cy) - (ay-cy)*(c+0.5::double-cx) > 0"""
+
+
+@query("filled_polygons", TRI + CELLS + FILLED, "feature")
 def filled_polygons(spark, sf):
     return R.filled_cells(_triangles(spark, sf), ["feature_id"], [], 32, 32)
 
 
-@query("region_cells", """, d AS (SELECT fcode, min(minx)*2 x0, max(maxx)*2 x1, min(miny)*2 y0, max(maxy)*2 y1 FROM feature GROUP BY fcode), gr AS (SELECT cast(a.range AS int) r, cast(b.range AS int) c FROM range(20) a, range(20) b)
-SELECT fcode, r, c FROM d, gr WHERE greatest(0, greatest(c - (x0+x1)/2, (x0+x1)/2 - (c+1)))/((x1-x0)/2) + greatest(0, greatest(r - (y0+y1)/2, (y0+y1)/2 - (r+1)))/((y1-y0)/2) <= 1""", "feature")
-def region_cells(spark, sf):
+def _burned_pixels(masks, tiles, keys, side, tile):
+    out = B.burned_tiles(masks, tiles, keys, side, side, tile)
+    px = K.exploded(out, ["burned"], [*keys, "ty", "tx"])
+    return px.select(*keys, (F.col("ty") * tile + F.col("r")).cast("int").alias("r"), (F.col("tx") * tile + F.col("c")).cast("int").alias("c"), F.col("burned").cast("int").alias("burned"))
+
+
+@query("burned_line_tiles")
+def burned_line_tiles(spark, sf):
+    seg = _segments(spark, sf)
+    return _burned_pixels(B.line_masks(seg, ["fcode"], 32, 32, 20), B.tiles_of(seg, ["fcode"], 32, 32, 20), ["fcode"], 32, 20)
+
+
+ORACLES["burned_line_tiles"] = ORACLES["burned_lines"]
+
+
+@query("filled_shares", TRI + CELLS + ", f AS (" + FILLED + """) SELECT g.feature_id, ty, tx, cast(least(20, 32-ty*20)*least(20, 32-tx*20) AS bigint) n_cells, count(f.r) burned, count(f.r)/(least(20, 32-ty*20)*least(20, 32-tx*20)) share
+FROM (SELECT feature_id, ty, tx FROM (SELECT DISTINCT feature_id FROM tr), (SELECT cast(unnest([0,1]) AS int) ty), (SELECT cast(unnest([0,1]) AS int) tx)) g LEFT JOIN f ON f.feature_id=g.feature_id AND f.r//20=ty AND f.c//20=tx GROUP BY 1, 2, 3""", "feature")
+def filled_shares(spark, sf):
+    seg = _triangles(spark, sf)
+    return B.burned_shares(B.fill_masks(seg, ["feature_id"], [], 32, 32, 20), B.tiles_of(seg, ["feature_id"], 32, 32, 20), ["feature_id"], 32, 32, 20)
+
+
+def _diamonds(spark, sf):
     box = X.feature(spark, sf).groupBy("fcode").agg((F.min("minx") * 2).alias("x0"), (F.max("maxx") * 2).alias("xe"), (F.min("miny") * 2).alias("y0"), (F.max("maxy") * 2).alias("ye"))
     mx, my = (F.col("x0") + F.col("xe")) / 2, (F.col("y0") + F.col("ye")) / 2
     corner = [(F.col("x0"), my), (mx, F.col("y0")), (F.col("xe"), my), (mx, F.col("ye"))]
     edges = F.array(*[F.struct(p[0].alias("x1"), p[1].alias("y1"), q[0].alias("x2"), q[1].alias("y2")) for p, q in zip(corner, corner[1:] + corner[:1])])
-    return R.region_cells(box.select("fcode", F.inline(edges)), ["fcode"], [], 20, 20)
+    return box.select("fcode", F.inline(edges))
+
+
+@query("region_cells", """, d AS (SELECT fcode, min(minx)*2 x0, max(maxx)*2 x1, min(miny)*2 y0, max(maxy)*2 y1 FROM feature GROUP BY fcode), gr AS (SELECT cast(a.range AS int) r, cast(b.range AS int) c FROM range(20) a, range(20) b)
+SELECT fcode, r, c FROM d, gr WHERE greatest(0, greatest(c - (x0+x1)/2, (x0+x1)/2 - (c+1)))/((x1-x0)/2) + greatest(0, greatest(r - (y0+y1)/2, (y0+y1)/2 - (r+1)))/((y1-y0)/2) <= 1""", "feature")
+def region_cells(spark, sf):
+    return R.region_cells(_diamonds(spark, sf), ["fcode"], [], 20, 20)
+
+
+@query("region_cell_tiles")
+def region_cell_tiles(spark, sf):
+    edges = _diamonds(spark, sf)
+    masks = B.united([B.line_masks(edges, ["fcode"], 20, 20, 16), B.fill_masks(edges, ["fcode"], [], 20, 20, 16)], ["fcode"])
+    return _burned_pixels(masks, masks.select("fcode", "ty", "tx").distinct(), ["fcode"], 20, 16).where("burned = 1").drop("burned")
+
+
+ORACLES["region_cell_tiles"] = ORACLES["region_cells"]
 
 
 @query("shifted_pair", """, sh AS (SELECT vec_id tile_id, cast(vec_id % 5 - 2 AS int) sx, cast(vec_id % 3 - 1 AS int) sy FROM embeddings)
