@@ -118,6 +118,24 @@ def test_shift_losses_match_loop(spark, loss):
         assert value == pytest.approx(want, abs=1e-9)
 
 
+def test_placements_at_full_size_and_with_nulls(spark):
+    logit, label = rng.normal(size=(64, 64)) * 3, (rng.random((68, 68)) < 0.3).astype(int)
+    flat = ([float(v) for v in logit.ravel()], [int(v) for v in label.ravel()])
+    df = spark.createDataFrame([(0, *flat), (1, None, flat[1]), (2, flat[0], None)], "id long, logit array<double>, label array<int>")
+    losses = L.shift_losses(df, ["id"], 64, 68, "bce", 2.0)
+    rows = losses.collect()
+    assert len(rows) == 75 and all((r.loss is None) == (r.id > 0) for r in rows)
+    p = 1 / (1 + np.exp(-logit))
+    for r in rows[:25]:
+        y = label[r.row_shift:r.row_shift + 64, r.col_shift:r.col_shift + 64]
+        assert r.loss == pytest.approx(-(2 * y * np.log(p) + (1 - y) * np.log(1 - p)).mean(), abs=1e-9)
+    center = L.centered_losses(df, ["id"], 64, 68, "bce", 2.0).where("id = 0").collect()
+    assert [(r.row_shift, r.col_shift) for r in center] == [(2, 2)]
+    assert center[0].loss == pytest.approx(next(r.loss for r in rows if (r.id, r.row_shift, r.col_shift) == (0, 2, 2)))
+    plan = losses._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "lambda" not in plan
+
+
 def test_tied_shift_prefers_center(spark):
     df = spark.createDataFrame([(0, [0.0] * 9, [0] * 25), (1, [1.0] * 9, [1] + [0] * 24)], "id long, logit array<double>, label array<int>")
     best = {r["id"]: (r["row_shift"], r["col_shift"]) for r in L.best_shift(L.shift_losses(df, ["id"], 3, 5), ["id"], 3).collect()}

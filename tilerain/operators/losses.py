@@ -2,6 +2,8 @@
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,43 +63,57 @@ def segmentation_losses(pixels: DataFrame, keys: Sequence[str], logit: str, targ
     return sums.select(*keys, *[c.alias(n) for n, c in out.items()])
 
 
+def _placement_sums(window: int, size: int, placements: Sequence[tuple[int, int]], pos_weight: float):
+    """UDF (logit, label) -> array of (row_shift, col_shift, bce, tp, p, y), one entry per placement.
+
+    What a placement adds to the sums is the correlation of the label's water mask with three score maps, so all
+    placements of all patches of a batch are a few products over shifted views.
+    """
+    @F.pandas_udf("array<struct<row_shift:int,col_shift:int,bce:double,tp:double,p:double,y:double>>")
+    def sums(logits: pd.Series, labels: pd.Series) -> pd.Series:
+        whole = [x is not None and y is not None for x, y in zip(logits, labels)]
+        blank = [{"row_shift": i, "col_shift": j, "bce": None, "tp": None, "p": None, "y": None} for i, j in placements]
+        out = [blank] * len(whole)
+        at = [i for i, ok in enumerate(whole) if ok]
+        if at:
+            x = np.stack([np.asarray(logits.iloc[i], np.float64) for i in at]).reshape(len(at), window, window)
+            water = np.stack([np.asarray(labels.iloc[i], np.float64) for i in at]).reshape(len(at), size, size) == 1
+            spread = np.log1p(np.exp(-np.abs(x)))
+            log_p, log_q = np.minimum(x, 0) - spread, np.minimum(-x, 0) - spread
+            p = np.exp(log_p)
+            gain, dry, total = log_q - pos_weight * log_p, -log_q.sum((1, 2)), p.sum((1, 2))
+            found = []
+            for i, j in placements:
+                under = water[:, i:i + window, j:j + window].astype(np.float64)
+                found.append((dry + np.einsum("nrc,nrc->n", under, gain), np.einsum("nrc,nrc->n", under, p), under.sum((1, 2))))
+            for k, row in enumerate(at):
+                out[row] = [{"row_shift": i, "col_shift": j, "bce": b[k], "tp": t[k], "p": total[k], "y": y[k]}
+                            for (i, j), (b, t, y) in zip(placements, found)]
+        return pd.Series(out)
+    return sums
+
+
+def _placed_losses(patches: DataFrame, patch: Sequence[str], window: int, size: int, placements: Sequence[tuple[int, int]], loss: str, pos_weight: float) -> DataFrame:
+    sums = patches.select(*patch, F.inline(_placement_sums(window, size, placements, pos_weight)(F.col("logit").cast("array<double>"), F.col("label").cast("array<double>"))))
+    value = loss_from_sums(d(window * window), F.col("bce"), F.col("tp"), F.col("p"), F.col("y"))[loss]
+    return sums.select(*patch, "row_shift", "col_shift", value.alias("loss"))
+
+
 def shift_losses(patches: DataFrame, patch: Sequence[str], window: int, size: int, loss: str = "bce",
                  pos_weight: float = 1.0) -> DataFrame:
     """Loss of every placement of a window x window score inside a size x size label.
 
-    Input is one row per patch: `logit` (window^2 doubles) and `label` (size^2 ints), both row-major. The sums over the
-    scores alone do not depend on the placement; only water pixels of the label are laid over the scores. The rows never
-    leave their task: no pixel join and no shuffle takes place.
+    Input is one row per patch: `logit` (window^2 doubles) and `label` (size^2 ints), both row-major. The rows never leave
+    their task: no pixel join and no shuffle takes place. A null array gives null losses; one of another length fails.
     """
-    side = size - window + 1
-    base = patches.select(
-        *patch, "logit", "label",
-        F.aggregate("logit", d(0), lambda a, x: a - log_sigmoid(-x)).alias("_neg"),
-        F.aggregate("logit", d(0), lambda a, x: a + sigmoid(x)).alias("_p"))
-    water = base.withColumn("_water", F.filter(F.sequence(F.lit(0), F.lit(size * size - 1)),
-                                               lambda k: F.get(F.col("label"), k) == 1))
-
-    def placement(s: Column) -> Column:
-        i, j = F.floor(s / side).cast("int"), (s % side).cast("int")
-
-        def inside(k: Column) -> Column:
-            r, c = F.floor(k / size) - i, k % size - j
-            return (r >= 0) & (r < window) & (c >= 0) & (c < window)
-
-        def score_at(k: Column) -> Column:
-            return F.get(F.col("logit"), ((F.floor(k / size) - i) * window + (k % size - j)).cast("int"))
-
-        under = F.transform(F.filter(F.col("_water"), inside), score_at)
-        return F.struct(i.alias("row_shift"), j.alias("col_shift"), under.alias("under"))
-
-    placed = water.select(*patch, "_neg", "_p",
-                          F.inline(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), placement)))
-    gain = F.aggregate("under", d(0), lambda a, x: a + log_sigmoid(-x) - d(pos_weight) * log_sigmoid(x))
-    tp = F.aggregate("under", d(0), lambda a, x: a + sigmoid(x))
-    sums = placed.select(*patch, "row_shift", "col_shift", (F.col("_neg") + gain).alias("_bce"),
-                         tp.alias("_tp"), F.col("_p"), F.size("under").cast("double").alias("_y"))
-    value = loss_from_sums(d(window * window), F.col("_bce"), F.col("_tp"), F.col("_p"), F.col("_y"))[loss]
-    return sums.select(*patch, "row_shift", "col_shift", value.alias("loss"))
+    side = range(size - window + 1)
+    return _placed_losses(patches, patch, window, size, [(i, j) for i in side for j in side], loss, pos_weight)
+
+
+def centered_losses(patches: DataFrame, patch: Sequence[str], window: int, size: int, loss: str = "bce", pos_weight: float = 1.0) -> DataFrame:
+    """Loss of the center placement alone; no other placement is computed."""
+    offset = (size - window) // 2
+    return _placed_losses(patches, patch, window, size, [(offset, offset)], loss, pos_weight)
 
 
 def best_shift(losses: DataFrame, patch: Sequence[str], side: int, digits: int | None = None) -> DataFrame:
@@ -113,11 +129,6 @@ def best_shift(losses: DataFrame, patch: Sequence[str], side: int, digits: int |
         *patch, "_b.*")
 
 
-def center_shift(losses: DataFrame, size: int, window: int) -> DataFrame:
-    offset = (size - window) // 2
-    return losses.where((F.col("row_shift") == offset) & (F.col("col_shift") == offset))
-
-
 def center_crop(pixels: DataFrame, size: int, window: int) -> DataFrame:
     """Central window of size x size pixels, re-indexed to 0."""
     start = (size - window) // 2

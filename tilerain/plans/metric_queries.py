@@ -241,7 +241,7 @@ def shift_invariant_total(spark, sf):
 
 @query("centered_loss", SHIFT + " SELECT tile_id, round(tversky, 6) loss FROM u WHERE row_shift=1 AND col_shift=1", "pixel_ext")
 def centered_loss(spark, sf):
-    return rounded(L.center_shift(_shift(spark, sf, "tversky"), 8, 6).select("tile_id", "loss"))
+    return rounded(L.centered_losses(_patch_rows(spark, sf), ["tile_id"], 6, 8, "tversky", 2.0).select("tile_id", "loss"))
 
 
 @query("shift_distribution", SHIFT + ", " + BEST.format(m="bce") + " SELECT i row_shift, j col_shift, count(bs.tile_id) n FROM sh LEFT JOIN bs ON bs.row_shift=i AND bs.col_shift=j GROUP BY 1, 2", "pixel_ext")
