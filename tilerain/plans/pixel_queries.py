@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tilerain.functions import bands as B
 from tilerain.operators import metrics as M
+from tilerain.operators import moments as P
 from tilerain.operators import patches as G
 from tilerain.operators import regrid as R
 from tilerain.operators import stacking as K
@@ -11,6 +12,7 @@ from tilerain.operators import stats as S
 from tilerain.plans import fixtures as X
 from tilerain.plans.registry import query, r6, rounded
 from tilerain.schema import NLCD_NODATA, class_rgb
+from tilerain.session import scratch_folder
 
 KEY = ["tile_id", "r", "c"]
 REFL = "least(greatest(({b} + CASE WHEN img_date >= date '2022-01-25' THEN -1000.0::double ELSE 0.0::double END)/10000.0::double, 0.0::double), 1.0::double)"
@@ -93,6 +95,16 @@ def channel_statistics(spark, sf):
     return st.select("channel", "n", r6("mean").alias("mean"), r6("std").alias("std"), "min", "max")
 
 
+@query("statistics_by_updates", LONG + " SELECT channel, n, round(mean, 6) mean, round(std, 6) std, lo min, hi max FROM st", "pixel_ext")
+def statistics_by_updates(spark, sf):
+    """The statistics of all tiles, kept as a state: three updates, the last of which writes parts again that were there."""
+    px, path = _stats(spark, sf)[0].withColumn("batch", F.col("tile_id") % 9), scratch_folder(spark)
+    for batches in ((0, 1, 2, 3), (4, 5, 6), (3, 6, 7, 8)):
+        P.update_state(P.partial_moments(px.where(F.col("batch").isin(*batches)), "batch", ["vv", "vh", "dem", "target"], _radar_ok()), path)
+    st = P.final_moments(P.merged_moments(P.state(spark, path)), ["target"])
+    return st.select("channel", "n", r6("mean").alias("mean"), r6("std").alias("std"), "min", "max")
+
+
 @query("standardized_channels", LONG + " SELECT l.tile_id, l.r, l.c, l.channel, round((value - CASE WHEN l.channel='vv' THEN -14.5 ELSE mean END)/CASE WHEN l.channel='vv' THEN 3.0 ELSE std END, 5) value FROM long l JOIN st ON st.channel=l.channel", "pixel_ext")
 def standardized_channels(spark, sf):
     px, st = _stats(spark, sf)
