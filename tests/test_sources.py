@@ -1,6 +1,7 @@
 """Files in, files out, resume rules, negative inputs and the streaming intake."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -92,6 +93,44 @@ def test_cell_and_id_lists(spark, tmp_path):
     assert sorted(r["eid"] for r in T.parse_id_list(T.numbered_lines(spark, str(ids))).collect()) == ["#odd", "20170829_1_2"]
 
 
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    rng = random.Random(4)
+    want = set()
+    for name, end, last in (("a.txt", "\n", ""), ("b.txt", "\r\n", "\r\n"), ("c.txt", "\n", "\n")):
+        lines = ["" if rng.random() < 0.2 else "x" * rng.randint(0, 90) + str(i) for i in range(700)] + ["end"]
+        (tmp_path / name).write_bytes((end.join(lines) + last).encode())
+        want |= {(name, i + 1, line) for i, line in enumerate(lines)}
+    (tmp_path / "empty.txt").write_text("")
+    keys = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "10"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        lines = T.numbered_lines(spark, str(tmp_path))
+        got = [(r.path.rsplit("/", 1)[1], r.line_no, r.line) for r in lines.collect()]
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_days_are_pruned_and_checked_by_name(spark, tmp_path):
+    """Files outside the days asked for, and any file while days are checked, are never opened: they hold garbage."""
+    for day in ("20160731", "20160803"):
+        (tmp_path / f"precip_{day}.bil").write_bytes(b"???")
+    for day in ("20160801", "20160802"):
+        (tmp_path / f"precip_{day}.bil").write_bytes(np.arange(6, dtype="<f4").tobytes())
+    assert sorted(str(r[0]) for r in R.grid_days(spark, str(tmp_path)).collect()) == ["2016-07-31", "2016-08-01", "2016-08-02", "2016-08-03"]
+    cube = R.cube_of_files(spark, str(tmp_path), 2, 3, "2016-08-01", "20160802")
+    assert {(r.t, r.y, r.x, r.precip) for r in cube.collect()} == {(t, i // 3, i % 3, float(i)) for t in (0, 1) for i in range(6)}
+    plan = R.read_daily_grids(spark, str(tmp_path), 2, 3, "20160801", "20160802")
+    assert plan.select("event_date").distinct().count() == 2
+    (tmp_path / "precip_20160805.bil").write_bytes(b"???")
+    with pytest.raises(ValueError, match="2016-08-05"):
+        R.cube_of_files(spark, str(tmp_path), 2, 3, "2016-08-01")
+
+
 def test_csv_tables(spark, tmp_path):
     (tmp_path / "split.csv").write_text("y,x,split\n1,2,train\n3,4,val\n")
     (tmp_path / "patch.csv").write_text("y,x,i,j\n1,2,64,128\n")

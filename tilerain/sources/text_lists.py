@@ -1,6 +1,9 @@
 """Line-based inputs: event lists, cell lists, id lists, FIPS table, CSV tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilerain.functions.dates import is_epsg, parse_date
@@ -8,10 +11,31 @@ from tilerain.schema import CONTROL_POINT, HOMOGENEOUS_PATCH, SPLIT
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of text files. A list file is one small document, read whole and split in its row."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).select(
-        "path", (F.col("pos") + 1).alias("line_no"), "line")
+    """(path, line_no, line) of text files, numbered from 1 in each file, however many splits Spark reads it in.
+
+    Lines are counted within their split while they are read, and a split's first number follows from the line counts of
+    the splits before it: a table of one row per split. Lines end at \\n or \\r\\n; nothing after the last end is no line.
+    """
+    rows = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"))
+    later = counts.select("path", "split", F.sum("n").over(before).alias("before")).where("before > 0")
+    counted = rows.mapInArrow(_counted, "path string, split long, n long, line string")
+    return counted.join(later, ["path", "split"], "left").select("path", (F.col("n") + F.coalesce("before", F.lit(0))).alias("line_no"), "line")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the lines of each split, which reach a task one after another and in order."""
+    current, seen = None, 0
+    for batch in batches:
+        paths, splits, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+        for key in zip(paths, splits):
+            if key != current:
+                current, seen = key, 0
+            seen += 1
+            numbers.append(seen)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(numbers, pa.int64()), batch.column(2)], ["path", "split", "n", "line"])
 
 
 def _judged(lines: DataFrame, dated: bool) -> DataFrame:
