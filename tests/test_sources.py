@@ -15,7 +15,7 @@ from tilerain.sources import catalog as C
 from tilerain.sources import grids as R
 from tilerain.sources import sinks as O
 from tilerain.sources import text_lists as T
-from tilerain.streaming.intake import recorded, start_intake
+from tilerain.streaming.intake import recorded, start_intake, start_keyed_intake
 
 
 def write_grids(folder, days):
@@ -248,3 +248,32 @@ def test_streaming_intake_continues_where_it_stopped(spark, tmp_path):
     start_intake(spark, source, events, str(tmp_path / "other"), 300.0, box).awaitTermination()
     got = sorted((r["t"], r["y"], r["x"], r["precip"]) for r in recorded(spark, events).collect())
     assert got == [(0, 1, 1, 500.0), (1, 1, 1, 400.0), (3, 2, 2, 460.0)]
+
+
+def test_keyed_intake_restarts_replays_and_forgets(spark, tmp_path):
+    source, events, ckpt = (str(tmp_path / n) for n in ("in", "events", "ckpt"))
+    box = (-125.0, 0.25, 0.0, 50.0, 0.0, -0.25)
+
+    def put(rows):
+        spark.createDataFrame(rows, "t int, y int, x int, precip double").coalesce(1).write.mode("append").parquet(source)
+
+    def run(keep=3650):
+        query = start_keyed_intake(spark, source, events, ckpt, 300.0, box, keep_days=keep, max_files=1)
+        query.awaitTermination()
+        return sorted((r.t, r.y, r.x, r.precip, r.eid) for r in spark.read.parquet(events).collect())
+
+    put([(0, 1, 1, 500.0), (0, 1, 2, 10.0), (0, 1, 1, 510.0)])
+    put([(0, 1, 1, 700.0), (5, 1, 1, 301.0), (2, 5, 5, 300.0)])
+    first = [(0, 1, 1, 510.0, "20160801_1_1"), (5, 1, 1, 301.0, "20160806_1_1")]
+    assert run() in (first, [(0, 1, 1, 700.0, "20160801_1_1"), first[1]])
+    put([(5, 1, 1, 900.0), (1, 1, 1, 400.0)])
+    got = run()
+    assert [r[:3] for r in got] == [(0, 1, 1), (1, 1, 1), (5, 1, 1)] and got[2][3] == 301.0
+    # a replayed batch: its commit is lost, so it runs again and is written once
+    commits = tmp_path / "ckpt" / "commits"
+    newest = max((f for f in commits.iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+    for f in (newest, commits / f".{newest.name}.crc"):
+        f.unlink(missing_ok=True)
+    assert run() == got
+    with pytest.raises(ValueError, match="another checkpoint"):
+        start_keyed_intake(spark, source, events, str(tmp_path / "other"), 300.0, box)

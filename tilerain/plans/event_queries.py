@@ -181,3 +181,15 @@ def streamed_events(spark, sf):
     X.precip_cell_day(spark, sf).repartition("t").write.parquet(f"{base}/landing")
     start_intake(spark, f"{base}/landing", f"{base}/events", f"{base}/offsets", 280, X.GEOTRANSFORM, X.START, 2).awaitTermination()
     return recorded(spark, f"{base}/events").select("eid", "t", "y", "x", "precip")
+
+
+@query("keyed_intake", f"""SELECT {EID} eid, t, y, x, precip FROM precip_cell_day WHERE precip > 280""", "precip_cell_day")
+def keyed_intake(spark, sf):
+    """As streamed_events, with every cell-day landed twice and known the second time by the stream's own state."""
+    from tilerain.session import scratch_folder
+    from tilerain.streaming.intake import start_keyed_intake
+    base = scratch_folder(spark)
+    for _ in range(2):
+        X.precip_cell_day(spark, sf).write.mode("append").parquet(f"{base}/landing")
+    start_keyed_intake(spark, f"{base}/landing", f"{base}/events", f"{base}/offsets", 280, X.GEOTRANSFORM, X.START, max_files=8).awaitTermination()
+    return spark.read.parquet(f"{base}/events").select("eid", "t", "y", "x", "precip")

@@ -3,13 +3,21 @@
 The history table is the state. A micro-batch that is replayed after a lost driver finds its own rows in the history
 folder of the same run and batch id and overwrites them, so a restart neither loses nor repeats events. The run is a name
 kept in the checkpoint folder: with a new checkpoint folder batch ids start over, in folders of their own.
+
+`start_keyed_intake` keeps what it has seen as keyed state of the stream instead and never reads events back.
 """
 
 import uuid
+from collections.abc import Iterator
+from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tilerain.functions.dates import index_to_date
 from tilerain.operators.events import CELL_KEY, describe_events, extreme_events
 from tilerain.schema import CELL_DAY, CUBE_START
 
@@ -45,3 +53,37 @@ def recorded(spark: SparkSession, events_path: str) -> DataFrame:
     if not exists(spark, events_path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(events_path)
+
+
+DAY_MS = 86_400_000
+
+
+def start_keyed_intake(spark: SparkSession, source: str, events_path: str, checkpoint: str, threshold: float,
+                       geotransform: tuple[float, ...], start: str = CUBE_START, keep_days: int = 3650, max_files: int = 1000):
+    """As `start_intake`, with one state entry per extreme cell-day in place of the history table.
+
+    The first micro-batch that brings a cell-day writes its event, with the largest rain of that batch; later ones are
+    known by the state. Entries time out `keep_days` after the newest day seen, and cell-days older than that are late and
+    left out. State and written files belong to one checkpoint folder: another one needs an events folder of its own.
+    """
+    from tilerain.sources.sinks import exists
+    if exists(spark, events_path) and not exists(spark, f"{checkpoint.rstrip('/')}/offsets"):
+        raise ValueError(f"{events_path} was written by a stream with another checkpoint folder")
+    origin = int(datetime.fromisoformat(start).replace(tzinfo=UTC).timestamp() * 1000)
+
+    def once(key: tuple, batches: Iterator[pd.DataFrame], seen: GroupState) -> Iterator[pd.DataFrame]:
+        if seen.hasTimedOut:
+            seen.remove()
+            return
+        precip = max(batch["precip"].max() for batch in batches)
+        if not seen.exists:
+            t, y, x = key
+            seen.update((True,))
+            seen.setTimeoutTimestamp(origin + (int(t) + 2) * DAY_MS)  # the watermark runs keep_days behind; two days cover any time zone
+            yield pd.DataFrame({"t": [t], "y": [y], "x": [x], "precip": [precip]})
+
+    cells = (spark.readStream.schema(CELL_DAY).option("maxFilesPerTrigger", max_files).parquet(source).where(F.col("precip") > threshold)
+             .withColumn("_day", index_to_date(F.col("t"), start).cast("timestamp")).withWatermark("_day", f"{keep_days} days"))
+    found = cells.groupBy(*CELL_KEY).applyInPandasWithState(once, "t int, y int, x int, precip double", "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return (describe_events(found, geotransform, start).writeStream.format("parquet").outputMode("append")
+            .option("path", events_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
