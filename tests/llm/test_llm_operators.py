@@ -290,6 +290,50 @@ def test_base_spans_and_discovery(spark):
     assert rows[16].n_id == 1 and rows[16].spans == "id:10:17"
 
 
+def test_keys_give_their_contexts_away(spark):
+    rng = random.Random(2)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
+    texts = [f'some words api_token = "{k}" end' for k in keys] + ['more words api_token = "zx8812qq" end', f"a lone hash {keys[0][::-1]} elsewhere"]
+    rows = {r.doc_id: r for r in pii.personal_data(documents(spark, texts)).collect()}
+    assert all(rows[i].spans == "id:24:64" for i in range(30)) and rows[30].spans == "id:24:32" and rows[31].spans == ""
+    assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows.values())
+
+
+def test_contexts_are_whole_words_however_long(spark):
+    cases = [("w" * 9000 + " = ", " v" + "x" * 9000 + "."), ("a " + " " * 9000 + "b ", " " * 9000 + "End."), ("one two three ", ""), ("", " -- !"),
+             ("x" * 70 + " y ", " " * 70 + "z"), ("ab " + "-" * 61, "." * 58 + "qq rr")]
+    df = spark.createDataFrame([(i, b + "K1K2K3" + a, len(b), len(b) + 6) for i, (b, a) in enumerate(cases)], "i int, text string, s int, e int")
+    got = {r.i: r.p for r in df.select("i", pii._contexts(F.col("text"), F.col("s"), F.col("e")).alias("p")).collect()}
+    for i, (b, a) in enumerate(cases):
+        words = [""] * 2 + [w for w in re.split(r"[^\w=:@]+", b.lower()) if w]
+        after = re.search(r"\w+", a.lower())
+        assert got[i] == [f"2 {words[-2]} {words[-1]} _", f"1 {words[-1]} _ {after.group() if after else ''}"]
+
+
+def test_base_spans_equal_the_patterns_on_random_texts(spark):
+    rng = random.Random(12)
+    pieces = ["a@b.co", "x.y+z@mail.example.org", "@", ".", "-", " ", "+", "1.2.3.4", "256", "255", "0007", "4111 1111 1111 1111", "4111-1111", "5500005555555559",
+              "+1 (555) 010-9999", "(", ")", "12", "é", "\n", "  ", "1" * 13, "0" * 16, "..", "_%", "+49.30.123456", "word"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+
+    def luhn(digits):
+        twice = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+        return sum(x - 9 * (x > 9) for x in twice) % 10 == 0
+
+    def spans(text):
+        digits = lambda m: re.sub("[^0-9]", "", m.group())
+        tests = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+                 ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.group().split("."))),
+                 ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+                 ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15)]
+        return ",".join(f"{kind}:{m.start()}:{m.end()}" for kind, pattern, test in tests for m in re.finditer(pattern, text) if test(m))
+
+    rows = pii.personal_data(documents(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.base_sha256 == hashlib.sha256(spans(texts[r.doc_id]).encode()).hexdigest(), texts[r.doc_id]
+
+
 def test_toxic_words_are_learned_and_restored(spark):
     rng = random.Random(5)
     words = ["anen", "thore", "erst", "tionan", "hand", "stion"]

@@ -13,8 +13,10 @@ from tilerain.llm.common import stored, text_of
 KINDS = ("email", "ip", "card", "phone", "id")
 #: Rounds of scoring; support and confidence from which a context counts; score from which an identifier is taken.
 ROUNDS, SUPPORT, CONFIDENCE, ACCEPT = 3, 3, 0.8, 0.9
-#: Characters on either side of a span that its contexts are read from.
-NEAR = 60
+#: Characters on either side of a span that its contexts are looked for in, one after the other; then the whole text.
+REACHES = (60, 600, 6000)
+#: Tokens that seed contexts by their shape, as keys and hashes do: at least so long, of at least so many different characters.
+KEY_LENGTH, KEY_VARIETY = 20, 10
 SPACE = r"\x20\x09-\x0D"
 #: Stands for an inner dot or separator while a pattern is matched; where a text has it, another one stands for it.
 MARK, OTHER = "", ""
@@ -88,31 +90,58 @@ def _candidates(text: Column) -> Column:
     return F.coalesce(shaped, F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
+def _key_like(value: Column) -> Column:
+    """Whether a value looks drawn at random: one long piece of letters and digits, both of them, with many different characters."""
+    return (value.rlike(rf"^[A-Za-z0-9+/_=-]{{{KEY_LENGTH},}}$") & value.rlike("[A-Za-z]") & (F.length(_digits(value)) * 8 >= F.length(value))
+            & (F.size(F.array_distinct(F.split(F.lower(value), ""))) >= KEY_VARIETY))
+
+
+def _words_before(text: Column, start: Column) -> Column:
+    """The words before a place, at least the last two of them whole: further back is looked only where the near part holds less."""
+    def words(reach: Column) -> Column:
+        return F.filter(F.split(F.lower(F.substring(text, start - reach + 1, reach)), rf"[^\p{{L}}\p{{N}}=:@]+"), lambda w: w != "")
+    found = words(start)
+    for reach in reversed(REACHES):
+        near = words(F.least(start, F.lit(reach)))
+        found = F.when((start <= reach) | (F.size(near) > 2), near).otherwise(found)
+    return found
+
+
+def _word_after(text: Column, end: Column) -> Column:
+    """The first word after a place, whole."""
+    left = F.length(text) - end
+    found = F.regexp_extract(F.substring(text, end + 1, left), r"[\p{L}\p{N}]+", 0)
+    for reach in reversed(REACHES):
+        near = F.substring(text, end + 1, F.lit(reach))
+        found = F.when(left <= reach, F.regexp_extract(near, r"[\p{L}\p{N}]+", 0)).when(
+            near.rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]"), F.regexp_extract(near, r"[\p{L}\p{N}]+", 0)).otherwise(found)
+    return F.lower(found)
+
+
 def _contexts(text: Column, start: Column, end: Column) -> Column:
     """The lexical patterns around a span: two words before it, the word on either side."""
-    at = F.greatest(start - NEAR, F.lit(0))
-    before = F.lower(F.substring(text, at + 1, start - at))
-    words = F.filter(F.split(before, rf"[^\p{{L}}\p{{N}}=:@]+"), lambda w: w != "")
-    after = F.regexp_extract(F.lower(F.substring(text, end + 1, F.lit(NEAR))), r"[\p{L}\p{N}]+", 0)
-    last = F.coalesce(F.get(words, F.size(words) - 1), F.lit(""))
-    second = F.coalesce(F.get(words, F.size(words) - 2), F.lit(""))
-    return F.array(F.concat(F.lit("2 "), second, F.lit(" "), last, F.lit(" _")), F.concat(F.lit("1 "), last, F.lit(" _ "), after))
+    def patterns(words: Column) -> Column:
+        last = F.coalesce(F.get(words, F.size(words) - 1), F.lit(""))
+        second = F.coalesce(F.get(words, F.size(words) - 2), F.lit(""))
+        return F.array(F.concat(F.lit("2 "), second, F.lit(" "), last, F.lit(" _")), F.concat(F.lit("1 "), last, F.lit(" _ "), _word_after(text, end)))
+    return F.get(F.transform(F.array(_words_before(text, start)), patterns), F.lit(0))
 
 
 def _accepted(edges: DataFrame) -> DataFrame:
     """The unseen values that high-confidence contexts hold: value, score.
 
-    edges(pattern, value, known) is the graph. A context is worth the mean score of its distinct values, damped by one
+    edges(pattern, value, known, base) is the graph; known values are the base matches and what is shaped like a key, which has to
+    stand in trusted contexts itself to be accepted. A context is worth the mean score of its distinct values, damped by one
     unknown; a value is worth what all its trusted contexts leave of doubt. Seeds stay at one; each round lets values
     found so far support further contexts. Both sides fold before they are shuffled.
     """
-    scores = edges.where(~F.col("known")).select("value").distinct().withColumn("score", F.lit(0.0))
+    scores = edges.where(~F.col("base")).select("value").distinct().withColumn("score", F.lit(0.0))
     for _ in range(ROUNDS):
         weighed = edges.join(scores, "value", "left").withColumn("s", F.when(F.col("known"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
         patterns = weighed.groupBy("pattern").agg(F.sum("s").alias("sum"), F.count(F.lit(1)).alias("n"), F.sum((F.col("s") >= ACCEPT).cast("int")).alias("support"))
         patterns = patterns.withColumn("confidence", F.col("sum") / (F.col("n") + 1)).where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
-        scores = stored(edges.where(~F.col("known")).join(patterns.select("pattern", "confidence"), "pattern")
+        scores = stored(edges.where(~F.col("base")).join(patterns.select("pattern", "confidence"), "pattern")
                         .groupBy("value").agg((1 - F.exp(doubt)).alias("score")))
     return scores.where(F.col("score") >= ACCEPT)
 
@@ -126,8 +155,9 @@ def _listed(spans: Column) -> Column:
 def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_id, base_sha256, spans, base (array of kind, start, end), found (array) per row.
 
-    Emails, addresses, card numbers and phone numbers are matched wherever they stand and seed the context graph; tokens
-    shaped like identifiers that overlap none of them and stand in trusted contexts are added as kind id. Null texts count
+    Emails, addresses, card numbers and phone numbers are matched wherever they stand and seed the context graph, and so do
+    tokens shaped like keys; tokens shaped like identifiers that overlap no base match and stand in trusted contexts are added
+    as kind id. Null texts count
     as empty and have no spans. Equal texts get equal spans; rows are neither merged nor dropped; an empty table gives no
     rows; further columns play no part.
     """
@@ -137,13 +167,14 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     apart = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     seeds = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"),
                                                    F.substring(body, b["start"] + 1, b["end"] - b["start"]).alias("value"), F.lit(True).alias("known"),
-                                                   _contexts(body, b["start"], b["end"]).alias("patterns")))
+                                                   F.lit(True).alias("is_base"), _contexts(body, b["start"], b["end"]).alias("patterns")))
     unseen = F.transform(apart, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"),
-                                                   F.lit(False).alias("known"), _contexts(body, t["start"], t["end"]).alias("patterns")))
+                                                   _key_like(t["value"]).alias("known"), F.lit(False).alias("is_base"), _contexts(body, t["start"], t["end"]).alias("patterns")))
     rows = stored(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", F.concat(seeds, unseen).alias("instances")))
     flat = rows.where(F.size("instances") > 0).select("row", F.inline("instances"))
-    edges = stored(flat.select(F.explode("patterns").alias("pattern"), "value", "known").groupBy("pattern", "value").agg(F.max("known").alias("known")))
-    found = flat.where(~F.col("known")).join(_accepted(edges).select("value"), "value", "left_semi")
+    edges = stored(flat.select(F.explode("patterns").alias("pattern"), "value", "known", F.col("is_base").alias("base"))
+                   .groupBy("pattern", "value").agg(F.max("known").alias("known"), F.max("base").alias("base")))
+    found = flat.where(~F.col("is_base")).join(_accepted(edges).select("value"), "value", "left_semi")
     lists = found.groupBy("row").agg(F.collect_list(F.struct(F.lit(KINDS.index("id")).alias("kind"), "start", "end")).alias("found"))
     full = rows.select("row", "doc_id", "base").join(lists, "row", "left")
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
