@@ -307,6 +307,18 @@ def test_fixed_patches_by_missing_share(spark):
     assert sorted(r["i"] for r in G.fixed_patches(stack, spots, 2, "m", 0.5).collect()) == [1, 2]
 
 
+def test_fixed_patches_join_corners_without_lists(spark):
+    """Equal corners each count, unusable sizes and corners drop out, arrays stay behind, and no list of a cell's corners is built."""
+    stacks = spark.createDataFrame([(1, 0, 0, 4, 5, [7]), (2, 0, 0, 3, 5, [7]), (3, 0, 1, 9, 9, [7]), (4, 0, 0, None, 5, [7]), (5, None, 0, 9, 9, [7])],
+                                   "stack int, y int, x int, h int, w int, m array<int>")
+    spots = spark.createDataFrame([(0, 0, 0, 0), (0, 0, 2, 3), (0, 0, 2, 3), (0, 0, 2, 4), (0, 0, None, 0), (None, 0, 0, 0), (1, 0, 0, 0)], "y int, x int, i int, j int")
+    out = G.fixed_patches(stacks, spots, 2)
+    assert out.columns == ["stack", "y", "x", "h", "w", "i", "j"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0, 0, 4, 5, 0, 0), (1, 0, 0, 4, 5, 2, 3), (1, 0, 0, 4, 5, 2, 3), (2, 0, 0, 3, 5, 0, 0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Generate" not in plan
+
+
 def test_random_draws_do_not_depend_on_partitioning(spark):
     cells = spark.range(400).select((F.col("id") % 20).cast("int").alias("y"), F.floor(F.col("id") / 20).cast("int").alias("x"), F.lit(0).alias("t"), F.lit(1.0).alias("precip"))
     pool = E.valid_cells(cells)

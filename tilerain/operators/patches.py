@@ -208,8 +208,17 @@ def fixed_spots(stacks: DataFrame, spots: DataFrame, size: int, missing: str | N
 def fixed_patches(stacks: DataFrame, spots: DataFrame, size: int, missing: str | None = None,
                   max_missing: float = 0.0) -> DataFrame:
     """One row per accepted corner (i, j) of `fixed_spots` with the stack's columns that are no arrays; `cut_windows` on the
-    spots gives the pixels."""
+    spots gives the pixels.
+
+    Without `missing` no array is asked for: the corners are joined row by row and the fit is part of the join, so no list of
+    a cell's corners is built and filtered again for each of its stacks.
+    """
     small = [f.name for f in stacks.schema if not isinstance(f.dataType, T.ArrayType)]
+    if missing is None:
+        corners = spots.select("y", "x", F.col("i").alias("_x0"), F.col("j").alias("_y0"))
+        fit = (F.col("_x0") + size <= F.col("h")) & (F.col("_y0") + size <= F.col("w"))
+        kept = stacks.select(*small).join(corners, ["y", "x"]).where(fit)
+        return kept.select(*small, F.col("_x0").alias("i"), F.col("_y0").alias("j"))
     kept = fixed_spots(stacks, spots, size, missing, max_missing)
     return kept.select(*small, "spots").select(*small, F.inline("spots")).withColumnsRenamed({"x0": "i", "y0": "j"})
 
