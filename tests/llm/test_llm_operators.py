@@ -501,3 +501,24 @@ def test_empty_tables(spark):
                suffix_dedup.without_repeats(docs), pii.personal_data(docs), toxicity.scored(docs, labels), mixing.copies(docs),
                html_density.extracted(pages), curves.nearest_neighbours(vectors, F.col("id") % 50 == 0)):
         assert df.collect() == []
+
+
+def test_texts_read_piece_by_piece_as_a_whole():
+    """Counts as of the whole restored text, and a piece that comes again is decoded once."""
+    model = toxicity.character_model(np.arange(toxicity.SYMBOLS ** 4) % 7)
+    reader, plain, calls = toxicity.Reader(model), toxicity.Restorer(model), []
+    decode = reader.restorer.decode
+    reader.restorer.decode = lambda stretch, gap=None: (calls.append(stretch), decode(stretch, gap))[1]
+    rng, parts = random.Random(8), ["a", "I", "b4d", "f00l", "(", "$", "2", "_", " ", " ", " ", "\n", "\xa0", ".", "-", "ss", "x.y", "Σ", "İ", "a" * 1001, "(" * 1001]
+    for _ in range(300):
+        some = rng.sample(parts, 8)
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(30)))
+        want = toxicity.features(plain.restore(text))
+        assert reader.read(text) == (sum(1 for _ in toxicity.SUSPECT.finditer(text.lower())), sum(n for f, n in want.items() if f[0] == "="), dict(want))
+    calls.clear()
+    reader.known, reader.restorer.known = {}, {}
+    reader.read("b4d " * 500 + "so b a d and b4d")
+    reader.read("so b a d")
+    assert sorted(calls) == ["b a d", "b4d"]
+    few = toxicity.Reader(model, {"=so"})
+    assert few.read("so so what")[1:] == (3, {"=so": 2})

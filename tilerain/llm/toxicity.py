@@ -3,6 +3,7 @@
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,33 @@ SUSPECT = re.compile(f"{_GAPPED}|{_MIXED}|{_DOUBLED}")
 MIXED, DOUBLED = re.compile(_MIXED), re.compile(_DOUBLED)
 #: Whether letters and look-alikes are a suspect hangs on their two ends, so of a long unbroken stretch only the first places
 #: that a try may start at are tried: all others would read it again to the same end.
-LONG = re.compile(rf"(?<!{_L})(?<!{_D}){_X}{{1000,}}+")
+LONG_FROM = 1000
+LONG = re.compile(rf"(?<!{_L})(?<!{_D}){_X}{{{LONG_FROM},}}+")
 FIRST = re.compile(rf"(?<![\w@.+/=-]){_X}")
 PART = re.compile(rf"(?:{_L}|[013457@$])++")
 FIRST_LETTERS = re.compile(rf"(?<![\w@.+/=-]){_L}{{2}}")
 WORD = re.compile(rf"{_L}+")
+#: Blanks that a stretch of single characters may run across; no other white space lies inside a stretch.
+CROSSED = re.compile(rf" (?={_X}(?![\w@$]))(?<={_X} )(?<![\w@$]{_X} )")
+SOLID = re.compile(r"\S+")
+#: Pieces of a text whose features are kept for the next time, and the longest such piece.
+PIECES_KEPT, PIECE_LENGTH = 200_000, 40
+
+
+def pieces(text: str) -> list[str]:
+    """The text, cut at white space that no suspicious stretch runs across."""
+    crossed = {found.start() for found in CROSSED.finditer(text)}
+    if not crossed:
+        return text.split()
+    out, start, end = [], 0, -1
+    for found in SOLID.finditer(text):
+        if end not in crossed:
+            if end >= 0:
+                out.append(text[start:end])
+            start = found.start()
+        end = found.end()
+    out.append(text[start:end])
+    return out
 
 
 def symbols(text: str) -> np.ndarray:
@@ -138,14 +161,14 @@ class Restorer:
         text, parts, at = text.lower(), [], 0
         for run in LONG.finditer(text):
             if run.start() >= at:
-                parts.append(SUSPECT.sub(self._decoded, text[at:run.start()]))
+                parts.append(SUSPECT.sub(self.decoded, text[at:run.start()]))
                 at = run.start()
                 for found in self._in_long(text, at, run.end()):
-                    parts += [text[at:found.start()], self._decoded(found)]
+                    parts += [text[at:found.start()], self.decoded(found)]
                     at = found.end()
                 parts.append(text[at:run.end()])
                 at = max(at, run.end())
-        return "".join(parts) + SUSPECT.sub(self._decoded, text[at:] if at else text)
+        return "".join(parts) + SUSPECT.sub(self.decoded, text[at:] if at else text)
 
     def _in_long(self, text: str, at: int, end: int):
         """Suspects of an unbroken stretch: the whole of it, parts without signs, or words with doubled letters."""
@@ -165,7 +188,7 @@ class Restorer:
                 at = found.end()
         yield from doubled(at, end)
 
-    def _decoded(self, found: re.Match) -> str:
+    def decoded(self, found: re.Match) -> str:
         stretch, gap = found.group(), found.groupdict().get("gap")
         if len(stretch) > REMEMBERED:
             return self.decode(stretch, gap)
@@ -187,6 +210,48 @@ def features(restored: str) -> Counter:
     return out
 
 
+class Reader:
+    """Features of whole texts, piece by piece. A short piece that comes again, in this text or another, is not decoded again."""
+
+    def __init__(self, model: np.ndarray, wanted: Collection[str] | None = None):
+        """`wanted` names the features that are counted; all without it."""
+        self.restorer, self.wanted, self.known = Restorer(model), wanted, {}
+
+    def _piece(self, piece: str) -> tuple[int, int, Collection[str]]:
+        """Stretches that may hide a word, words, and features, repeats included, of a piece in lower case."""
+        if len(piece) < LONG_FROM:
+            restored, changed = SUSPECT.subn(self.restorer.decoded, piece)
+        else:
+            restored, changed = self.restorer.restore(piece), sum(1 for _ in SUSPECT.finditer(piece))
+        words, wanted, found = WORD.findall(restored), self.wanted, []
+        for word in words:
+            for f in ("=" + word, *[word[:k] for k in PREFIXES if len(word) > k]):
+                if wanted is None or f in wanted:
+                    found.append(f)
+        return (changed, len(words), found) if found or changed or len(words) != 1 else _PLAIN
+
+    def read(self, text: str) -> tuple[int, int, dict[str, int]]:
+        """Stretches that may hide a word, words, and features with their counts, of the restored text."""
+        changed, words, out = 0, 0, {}
+        for piece, times in Counter(pieces(text.lower())).items():
+            one = self.known.get(piece)
+            if one is None:
+                one = self._piece(piece)
+                if len(piece) <= PIECE_LENGTH:
+                    if len(self.known) >= PIECES_KEPT:
+                        self.known = {}
+                    self.known[piece] = one
+            changed += times * one[0]
+            words += times * one[1]
+            for f in one[2]:
+                out[f] = out.get(f, 0) + times
+        return changed, words, out
+
+
+#: One word without any wanted feature, as most pieces are.
+_PLAIN = (0, 1, ())
+
+
 def _fit(rows: list[tuple[list[int], list[float], float]], n: int) -> tuple[np.ndarray, float]:
     """Logistic regression with a ridge, by gradient steps with running moments."""
     x = np.zeros((len(rows), n + 1), np.float32)
@@ -229,15 +294,15 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_of(text).alias("text"))
     sample = stored(rows.join(marks, "id").select("id", "label", "text").dropDuplicates(["id"]))
 
-    def restored(batches):
-        restorer = Restorer(model)
+    def read(batches, wanted=None):
+        reader = Reader(model, wanted)
         for batch in batches:
             for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                yield i, features(restorer.restore(t))
+                yield i, *reader.read(t)[1:]
 
     def tallies(batches):
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for toxic, found in restored(batches):
+        for toxic, _, found in read(batches):
             for f in found:
                 seen[f][toxic] += 1
         names = list(seen)
@@ -258,9 +323,8 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
     def vectors(batches):
         out = []
-        for toxic, found in restored(batches):
-            words = sum(c for f, c in found.items() if f[0] == "=")
-            hits = [(index[f], _value(c, words)) for f, c in found.items() if f in index]
+        for toxic, words, found in read(batches, index):
+            hits = [(index[f], _value(c, words)) for f, c in found.items()]
             out.append(([h[0] for h in hits], [h[1] for h in hits], toxic))
         yield pa.record_batch([pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.list_(pa.float64())),
                                pa.array([o[2] for o in out], pa.int32())], ["at", "value", "label"])
@@ -281,14 +345,12 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     model, weights, bias = trained(docs, labels, text, doc_id, **options)
 
     def run(batches):
-        restorer = Restorer(model)
+        reader = Reader(model, weights)
         for batch in batches:
             scores, parts = [], []
             for t in batch.column(1).to_pylist():
-                changed = sum(1 for _ in SUSPECT.finditer(t.lower()))
-                found = features(restorer.restore(t)) if changed else features(t.lower())
-                words = sum(c for f, c in found.items() if f[0] == "=")
-                total = bias + sum(weights[f] * _value(found[f], words) for f in found.keys() & weights.keys())
+                changed, words, found = reader.read(t)
+                total = bias + math.fsum(weights[f] * _value(n, words) for f, n in found.items())
                 scores.append(1 / (1 + math.exp(-min(max(total, -50), 50))))
                 parts.append(changed)
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(parts, pa.int64())],
