@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -277,3 +278,18 @@ def test_keyed_intake_restarts_replays_and_forgets(spark, tmp_path):
     assert run() == got
     with pytest.raises(ValueError, match="another checkpoint"):
         start_keyed_intake(spark, source, events, str(tmp_path / "other"), 300.0, box)
+
+
+def test_keyed_intake_keeps_one_state_entry_per_block(spark, tmp_path):
+    """Cell-days of a block share an entry, also below zero and beside nulls; a second landing of all adds nothing."""
+    source, events, ckpt = (str(tmp_path / n) for n in ("in", "events", "ckpt"))
+    cells = [(t, y, x) for t in (0, 3) for y in (-65, -64, -1, 0, 63, 64, None) for x in (-1, 0, 5, 63, 64, None)]
+    for more in (0.0, 9.0):
+        rows = [(*c, 400.0 + i + more) for i, c in enumerate(cells)] * 2
+        spark.createDataFrame(rows, "t int, y int, x int, precip double").coalesce(1).write.mode("append").parquet(source)
+        query = start_keyed_intake(spark, source, events, ckpt, 300.0, (-125.0, 0.25, 0.0, 50.0, 0.0, -0.25))
+        query.awaitTermination()
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert max(kept) <= 2 * 5 * 4
+    got = [(r.t, r.y, r.x, r.precip) for r in spark.read.parquet(events).collect()]
+    assert Counter(got) == Counter((*c, 400.0 + i) for i, c in enumerate(cells))

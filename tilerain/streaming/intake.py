@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,11 +57,15 @@ def recorded(spark: SparkSession, events_path: str) -> DataFrame:
 
 
 DAY_MS = 86_400_000
+#: Side of a block of cells that share a state entry, and the bytes of its bits; a last row and column stand for null.
+BLOCK = 64
+SEEN_BYTES = -(-(BLOCK + 1) ** 2 // 8)
 
 
 def start_keyed_intake(spark: SparkSession, source: str, events_path: str, checkpoint: str, threshold: float,
                        geotransform: tuple[float, ...], start: str = CUBE_START, keep_days: int = 3650, max_files: int = 1000):
-    """As `start_intake`, with one state entry per extreme cell-day in place of the history table.
+    """As `start_intake`, with keyed state in place of the history table: an entry per day and block of BLOCK x BLOCK cells, whose
+    bits tell which cell-days were extreme. Python is called once per block of a micro-batch, not once per cell-day.
 
     The first micro-batch that brings a cell-day writes its event, with the largest rain of that batch; later ones are
     known by the state. Entries time out `keep_days` after the newest day seen, and cell-days older than that are late and
@@ -71,19 +76,25 @@ def start_keyed_intake(spark: SparkSession, source: str, events_path: str, check
         raise ValueError(f"{events_path} was written by a stream with another checkpoint folder")
     origin = int(datetime.fromisoformat(start).replace(tzinfo=UTC).timestamp() * 1000)
 
-    def once(key: tuple, batches: Iterator[pd.DataFrame], seen: GroupState) -> Iterator[pd.DataFrame]:
-        if seen.hasTimedOut:
-            seen.remove()
+    def once(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
             return
-        precip = max(batch["precip"].max() for batch in batches)
-        if not seen.exists:
-            t, y, x = key
-            seen.update((True,))
-            seen.setTimeoutTimestamp(origin + (int(t) + 2) * DAY_MS)  # the watermark runs keep_days behind; two days cover any time zone
-            yield pd.DataFrame({"t": [t], "y": [y], "x": [x], "precip": [precip]})
-
+        seen = np.unpackbits(np.frombuffer(state.get[0], np.uint8)) if state.exists else np.zeros(8 * SEEN_BYTES, np.uint8)
+        cells = pd.concat(list(batches)).groupby("bit", sort=False, dropna=False).agg({"y": "first", "x": "first", "precip": "max"}).reset_index()
+        new = cells[seen[cells["bit"].to_numpy()] == 0]
+        seen[new["bit"].to_numpy()] = 1
+        state.update((np.packbits(seen).tobytes(),))
+        t = int(key[0])
+        state.setTimeoutTimestamp(origin + (t + 2) * DAY_MS)  # the watermark runs keep_days behind; two days cover any time zone
+        if len(new):
+            yield pd.DataFrame({"t": t, "y": new["y"].astype("Int32"), "x": new["x"].astype("Int32"), "precip": new["precip"]})
+
+    place = [F.coalesce(F.pmod(c, F.lit(BLOCK)), F.lit(BLOCK)) for c in ("y", "x")]
+    block = {f"_b{c}": F.floor(F.col(c) / BLOCK).cast("int") for c in ("y", "x")}
     cells = (spark.readStream.schema(CELL_DAY).option("maxFilesPerTrigger", max_files).parquet(source).where(F.col("precip") > threshold)
              .withColumn("_day", index_to_date(F.col("t"), start).cast("timestamp")).withWatermark("_day", f"{keep_days} days"))
-    found = cells.groupBy(*CELL_KEY).applyInPandasWithState(once, "t int, y int, x int, precip double", "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    found = (cells.withColumns({"bit": (place[0] * (BLOCK + 1) + place[1]).cast("int"), **block}).groupBy("t", *block)
+             .applyInPandasWithState(once, "t int, y int, x int, precip double", "seen binary", "append", GroupStateTimeout.EventTimeTimeout))
     return (describe_events(found, geotransform, start).writeStream.format("parquet").outputMode("append")
             .option("path", events_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
