@@ -84,3 +84,14 @@ def test_no_features(spark):
     tiles = spark.createDataFrame([(4, 0, 0)], "k int, ty int, tx int")
     assert _cells(B.line_masks(seg, ["k"], H, W, TILE), tiles)[0] == set()
     assert B.fill_masks(seg, ["k"], [], H, W, TILE).count() == 0
+
+
+def test_segments_of_one_file_are_cut_in_many_tasks(spark, monkeypatch):
+    """Segments are dealt out before they become words, and the more of them the more tasks."""
+    monkeypatch.setattr(B, "SEGMENTS", 10)
+    segments = spark.createDataFrame([(i, 0.0, 0.0, 3.0, 3.0 + i) for i in range(400)], "id int, x1 double, y1 double, x2 double, y2 double").coalesce(1)
+    for masks in (B.line_masks(segments, ["id"], 8, 8, 4), B.fill_masks(segments, ["id"], [], 8, 8, 4)):
+        plan = masks._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and ", 40)" in plan
+        assert plan.index("REPARTITION_BY_NUM") > plan.index("partial_bit")
+        assert masks.count() > 400
