@@ -111,6 +111,19 @@ def test_medians(spark):
         assert K.exact_median(df, [], "v", how).first()["median"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("how", ["lower", "average"])
+def test_medians_of_large_keys_and_several_columns(spark, how):
+    """The same medians whether keys are groups, go through buckets or some do; small keys need one shuffle and no window."""
+    draw, nan = random.Random(7), float("nan")
+    rows = [(k, draw.choice([None, nan, -0.5, draw.uniform(-9, 9)]), draw.choice([None, draw.uniform(0, 1)])) for k in range(12) for _ in range(4 * k)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0), (99, None, None), (98, None, 2.0)], "k int, a double, b double")
+    read = lambda n: sorted(tuple(map(str, r)) for r in K.exact_medians(df, ["k"], ["a", "b"], how, n).collect())
+    assert read(10_000) == read(15) == read(0)
+    assert ("98", "None", "2.0") in read(15) and len(read(15)) == 12
+    plan = K.exact_medians(df, ["k"], ["a", "b"], how)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
 def test_median_of_special_values(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, v) for v in (1.0, 2.0, 3.0, nan, nan, nan)] + [(2, v) for v in (-inf, -1.0, 0.0, 5e-324, inf)] + [(3, None)]

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tilerain.functions.keys import key_levels
 
 Level = tuple[str, Column]
+#: Rows of a key whose median is taken in one group, and larger keys that are broadcast; more are joined like any table.
+GROUP_ROWS, BROADCAST_KEYS = 100_000, 50_000
 
 
 class Fold(NamedTuple):
@@ -110,15 +112,44 @@ def value_levels(value: Column) -> list[Level]:
     return [(f"_v{b}", F.when(F.isnan(value), last).otherwise(F.floor(spread * F.lit(float(1 << b))))) for b in (9, 24)]
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, how: str = "average") -> DataFrame:
-    """Exact median per key as `median`; `lower` takes the lower middle value, `average` the mean of both.
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, how: str = "average", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Exact median per key as `median`, see `exact_medians`; one NULL row without `keys` and without any value."""
+    return exact_medians(df, keys, [value], how, group_rows).withColumnRenamed(value, "median")
 
-    Equal values collapse to a count; running counts over nested buckets then tell which values hold the middle ranks, so
-    no task holds a key's whole value list. NULL values don't count, NaN ranks above all numbers. Rows with a NULL key drop
-    out, and keys without any value give no row (one NULL row without `keys`).
+
+def exact_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str], how: str = "average", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Exact medians per key under the columns' names; `lower` takes the lower middle value, `average` the mean of both.
+
+    NULL values don't count, NaN ranks above all numbers. Rows with a NULL key drop out, and keys without any value give no
+    row. Keys of at most `group_rows` rows are aggregated as groups, all columns at once. Larger ones, and the whole table
+    without `keys`, go through nested buckets, so no task holds a long value list.
     """
     if how not in ("lower", "average"):
         raise ValueError(f"unknown median {how!r}")
+    rows = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values])
+    rows = rows.where(" AND ".join(["(" + " OR ".join(f"`{v}` IS NOT NULL" for v in values) + ")", *[f"`{k}` IS NOT NULL" for k in keys]]))
+    if not keys:
+        return _bucketed_medians(rows, keys, values, how)
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows).select(*keys)
+    first = large.limit(BROADCAST_KEYS + 1).collect()
+    if first and len(first) <= BROADCAST_KEYS:
+        large = F.broadcast(df.sparkSession.createDataFrame(first, large.schema))
+    middle = "percentile_disc(0.5) WITHIN GROUP (ORDER BY `{}`)" if how == "lower" else "percentile(`{}`, 0.5)"
+    small = rows.join(large, [*keys], "left_anti") if first else rows
+    medians = small.groupBy(*keys).agg(*[F.expr(middle.format(v)).alias(v) for v in values])
+    return medians.unionByName(_bucketed_medians(rows.join(large, [*keys], "left_semi"), keys, values, how)) if first else medians
+
+
+def _bucketed_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str], how: str) -> DataFrame:
+    """Equal values collapse to a count; running counts over nested buckets then tell which values hold the middle ranks."""
+    if len(values) == 1:
+        return _bucketed_median(df, keys, values[0], how).withColumnRenamed("median", values[0])
+    each = F.array(*[F.struct(F.lit(i).alias("_of"), F.col(v).alias("_value")) for i, v in enumerate(values)])
+    found = _bucketed_median(df.select(*keys, F.inline(each)), [*keys, "_of"], "_value", how)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_of") == i, F.col("median"))).alias(v) for i, v in enumerate(values)])
+
+
+def _bucketed_median(df: DataFrame, keys: Sequence[str], value: str, how: str) -> DataFrame:
     counts = (df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
               .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     run = running_folds(counts, keys, value_levels(F.col("_v")), F.col("_v"), {"c": Fold("sum", F.col("_c"))}, ["c"])

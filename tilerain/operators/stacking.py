@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilerain.functions.bands import pair_shift
-from tilerain.operators.ranking import exact_median
+from tilerain.operators.ranking import exact_medians
 from tilerain.schema import S2_CHANNELS, SAR_CHANNELS
 
 
@@ -147,13 +147,9 @@ def inconsistent_rasters(rasters: DataFrame, tolerance: float = 1e-5) -> DataFra
 
 def median_shift(points: DataFrame, tile: Sequence[str]) -> DataFrame:
     """Median control-point offset per tile in whole pixels, halves to even."""
-    axes = F.array(*[
-        F.struct(F.lit(axis).alias("axis"), pair_shift(F.col(f"map{axis}"), F.col(f"source{axis}")).alias("offset"))
-        for axis in ("X", "Y")])
-    offsets = points.select(*tile, F.inline(axes))
-    middle = F.rint("median").cast("int")
-    return exact_median(offsets, [*tile, "axis"], "offset").groupBy(*tile).agg(
-        F.max(F.when(F.col("axis") == "X", middle)).alias("shift_x"), F.max(F.when(F.col("axis") == "Y", middle)).alias("shift_y"))
+    offsets = points.select(*tile, *[pair_shift(F.col(f"map{axis}"), F.col(f"source{axis}")).alias(f"shift_{axis.lower()}") for axis in "XY"])
+    middle = exact_medians(offsets, tile, ["shift_x", "shift_y"])
+    return middle.select(*tile, *[F.rint(c).cast("int").alias(c) for c in ("shift_x", "shift_y")])
 
 
 def labeled_events(paths: DataFrame) -> DataFrame:
