@@ -92,6 +92,6 @@ def test_segments_of_one_file_are_cut_in_many_tasks(spark, monkeypatch):
     segments = spark.createDataFrame([(i, 0.0, 0.0, 3.0, 3.0 + i) for i in range(400)], "id int, x1 double, y1 double, x2 double, y2 double").coalesce(1)
     for masks in (B.line_masks(segments, ["id"], 8, 8, 4), B.fill_masks(segments, ["id"], [], 8, 8, 4)):
         plan = masks._jdf.queryExecution().executedPlan().toString()
-        assert "REPARTITION_BY_NUM" in plan and ", 40)" in plan
+        assert "RoundRobinPartitioning(40), REPARTITION_BY_NUM" in plan
         assert plan.index("REPARTITION_BY_NUM") > plan.index("partial_bit")
         assert masks.count() > 400

@@ -26,11 +26,11 @@ def _ones(n: Column) -> Column:
     return F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (F.lit(WORD) - n).cast("int"))
 
 
-def _spread(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """At most about SEGMENTS segments in a task, however few files they come from: each becomes many words, and the words of a
+def _spread(segments: DataFrame) -> DataFrame:
+    """At most about SEGMENTS segments in a task, however few files they come from and however equal they are: the words of a
     task are folded in its memory."""
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return segments.repartition(max(n, -(-segments.count() // SEGMENTS)), *keys, "x1", "y1", "x2", "y2")
+    return segments.repartition(max(n, -(-segments.count() // SEGMENTS)))
 
 
 def _words(runs: DataFrame, kept: Sequence[str], tile: int) -> DataFrame:
@@ -69,7 +69,7 @@ def line_masks(segments: DataFrame, keys: Sequence[str], height: int, width: int
 
     low = F.greatest(F.floor(F.least(y1, y2)), F.lit(0)).cast("int")
     high = F.least(F.floor(F.greatest(y1, y2)), F.lit(height - 1)).cast("int")
-    strips = _spread(segments, keys).select(*keys, "x1", "y1", "x2", "y2", low.alias("_low"), high.alias("_high")).where("_low <= _high")
+    strips = _spread(segments).select(*keys, "x1", "y1", "x2", "y2", low.alias("_low"), high.alias("_high")).where("_low <= _high")
     strips = strips.select("*", F.explode(F.sequence(F.floor(F.col("_low") / tile).cast("int"), F.floor(F.col("_high") / tile).cast("int"))).alias("ty"))
     strips = strips.withColumn("_low", F.greatest(F.col("_low"), F.col("ty") * tile)).withColumn("_high", F.least(F.col("_high"), F.col("ty") * tile + tile - 1))
     left, right = columns(F.col("_low"), F.col("_high") + 1)
@@ -97,7 +97,7 @@ def fill_masks(segments: DataFrame, keys: Sequence[str], ring: Sequence[str], he
     last = F.least(F.ceil(high - d(0.5)) - 1, F.lit(height - 1)).cast("int")
     end = F.lit(width - 1) if right is None else F.least(F.ceil(F.col(right) - d(0.5)) - 1, F.lit(width - 1))
     kept = [*keys, *ring]
-    strips = _spread(segments, kept).select(*kept, "x1", "y1", "x2", "y2", first.alias("_low"), last.alias("_high"), end.cast("int").alias("_end")).where("_low <= _high")
+    strips = _spread(segments).select(*kept, "x1", "y1", "x2", "y2", first.alias("_low"), last.alias("_high"), end.cast("int").alias("_end")).where("_low <= _high")
     strips = strips.select("*", F.explode(F.sequence(F.floor(F.col("_low") / tile).cast("int"), F.floor(F.col("_high") / tile).cast("int"))).alias("ty"))
     strips = strips.withColumn("_low", F.greatest(F.col("_low"), F.col("ty") * tile)).withColumn("_high", F.least(F.col("_high"), F.col("ty") * tile + tile - 1))
     start = F.greatest(F.ceil(F.least(x1, x2) - d(0.5)) - 1, F.lit(0)).cast("int")
