@@ -117,3 +117,40 @@ def test_event_search_by_box_day_and_mode(spark):
     assert got == sorted(want) and len(want) > 50
     none = S.search_events(ev, spark.createDataFrame(scenes, SCENE), 2, 3, where={"s1": {"sar:instrument_mode": ("eq", "XX")}})
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("part_rows, slab_rows", [(1 << 18, 1 << 16), (40, 20), (7, 100), (1000, 3)])
+def test_overlap_totals_equal_all_pairs(spark, part_rows, slab_rows):
+    rng = random.Random(part_rows)
+    left = drawn(rng, 150, [0.0, 0.25, 1.0, 4.0]) + drawn(rng, 60, [0.0, 0.5], corner=lambda r: (1.0, 2.0))
+    right = drawn(rng, 130, [0.0, 0.25, 1.0, 7.0]) + drawn(rng, 50, [0.0, 0.5], corner=lambda r: (1.0, float(r.randrange(3))))
+    for bad in ((None, 0.0, 1.0, 1.0), (0.0, 0.0, math.inf, 1.0), (1.0, 0.0, -1.0, 1.0), (math.nan, 0.0, 1.0, 1.0)):
+        left.append((900, 0, *bad))
+        right.append((901, 0, *bad))
+    big = {i: rng.choice([None, (1 << 62) - i, -(1 << 62) + i, i]) for i in range(130)}  # sums of all overflow
+    asked = frame(spark, left, "i", "bbox").select((F.col("i") % 90).alias("eid"), "bbox")
+    held = frame(spark, right, "j", "box").join(spark.createDataFrame(list(big.items()), "j int, v long"), "j", "left")
+    pairs = B.box_overlap(asked, held, strict=False).groupBy("eid").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).collect()
+    want = {r.eid: (r.n, None if r.s is None else int(r.s)) for r in pairs}
+    small = held.withColumn("v", F.when(F.abs("v") > 1000, F.floor(F.col("v") / 1000000)).otherwise(F.col("v")))
+    want_small = {r.eid: (r.n, r.s) for r in B.box_overlap(asked, small, strict=False).groupBy("eid").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).collect()}
+    got = {r.eid: (r.n, r.total) for r in B.overlap_totals(asked, small, ["eid"], "v", part_rows, slab_rows).collect()}
+    assert got == want_small and len(got) > 50
+    fits = [e for e, (_, s) in want.items() if s is None or abs(s) < 1 << 63]
+    some = asked.where(F.col("eid").isin(fits))
+    assert {r.eid: (r.n, r.total) for r in B.overlap_totals(some, held, ["eid"], "v", part_rows, slab_rows).collect()} == {e: want[e] for e in fits}
+
+
+def test_overlap_totals_make_no_pairs(spark):
+    """4,000 x 4,000 boxes of one square: the rows of the plan grow with the boxes, not with their 16 million pairs."""
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("minx", 0.0), ("miny", 0.0), ("maxx", 1.0), ("maxy", 1.0))])
+    ids = spark.range(4000)
+    found = B.box_overlap(ids.select("id", box.alias("bbox")), ids.select(F.col("id").alias("v"), box.alias("box")), False, per=["id"], total="v")
+    assert found.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.min("total"), F.max("total")).first() == (4000, 4000, 4000, 7998000, 7998000)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    empty = ids.select("id", box.alias("bbox")).limit(0)
+    assert not B.overlap_totals(empty, ids.select(F.col("id").alias("v"), box.alias("box")), ["id"], "v").collect()
+    with pytest.raises(ValueError):
+        B.box_overlap(empty, ids.select(box.alias("box")), True, per=["id"], total="id")

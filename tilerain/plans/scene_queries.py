@@ -196,8 +196,7 @@ def _features(spark, sf):
 AND ev.miny <= f.maxy AND ev.maxy >= f.miny AND fcode <> 49300 GROUP BY eid""", "feature")
 def overlapping_watersheds(spark, sf):
     kept = _features(spark, sf).where(F.col("fcode") != 49300)
-    return box_overlap(_boxed_orders(spark, sf), kept, strict=False).groupBy("eid").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("feature_id").alias("id_sum"))
+    return box_overlap(_boxed_orders(spark, sf), kept, strict=False, per=["eid"], total="feature_id").withColumnRenamed("total", "id_sum")
 
 
 @query("flowline_features", "SELECT feature_id, fcode FROM feature WHERE fcode IN (46000,46003,46006,46007,55800,33600,33601,33603,33400,42801,42802,42805,42806,42809)", "feature")
