@@ -7,9 +7,10 @@ import random
 import re
 import struct
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -103,6 +104,35 @@ def test_links_hold_every_near_pair(spark, monkeypatch, block):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("keyed", [1 << 15, 50])
+def test_values_meet_by_parts(spark, monkeypatch, keyed):
+    """The masks of a variant's senders, folded over the parts, are those of all values one bit away; a value is three rows."""
+    monkeypatch.setattr(simhash, "KEYED", keyed)
+    rng = random.Random(keyed)
+    base = [rng.getrandbits(32) for _ in range(40)]
+    values = {b ^ sum(1 << i for i in rng.sample(range(32), rng.randrange(5))) for b in base for _ in range(30)}
+    values |= {7 << 32 | v for v in list(values)[:200]} | {rng.getrandbits(11) << 21 for _ in range(300)}
+    keys = sorted((i << simhash.PART_SHIFT | v & (p | 0xFFFFFF << 32), v) for v in values for i, p in enumerate(simhash.PARTS))
+    got = defaultdict(int)
+    for batch in simhash._met([pa.record_batch([pa.array([k for k, _ in keys]), pa.array([v for _, v in keys])], ["key", "piece"])]):
+        for variant, senders in zip(*(c.to_pylist() for c in batch.columns)):
+            got[variant] |= senders
+    want = defaultdict(int)
+    for v in values:
+        want[v] |= 1
+        for i in range(32):
+            want[v ^ 1 << i] |= 1 << i + 1
+    assert got == {k: m for k, m in want.items() if m.bit_count() > 1}
+    df = spark.createDataFrame([(v,) for v in values], "piece long")
+    buckets = defaultdict(set)
+    for r in simhash._meetings(df).collect():
+        buckets[r.bucket].add(r.piece)
+    met = {(a, b) for members in buckets.values() for a in members for b in members if a < b}
+    assert met == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2}
+    plan = simhash._meetings(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") > plan.index("shiftleft")  # variants of single values are made in tasks, not as rows
+
+
 def test_simhash_groups(spark, texts):
     rows = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_groups(documents(spark, texts)).collect()}
     assert {i: f for i, (f, _) in rows.items()} == {i: "%016x" % fingerprint(t) for i, t in enumerate(texts)}

@@ -14,6 +14,11 @@ BLOCK = 1024
 #: Multipliers of the published splitmix64 finaliser (fixed values).
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 GOLDEN = 0x9E3779B97F4A7C15
+#: Three parts of the 32 bits of a half: values within two bits of each other agree in one of them. The number of the part
+#: stands in a key above the tag of the half.
+PARTS, PART_SHIFT = (0x7FF, 0x7FF << 11, 0x3FF << 22), 56
+#: Pieces whose variants a task holds at once.
+KEYED = 1 << 15
 #: Bands of least hashes, and least hashes in each: a pair of Jaccard index 0.8 shares a band with chance 0.9999.
 BANDS, BAND_ROWS = 30, 6
 #: Standard deviations by which the distance of candidates may exceed the expected one.
@@ -104,25 +109,71 @@ def _pieces(prints: Column, tables: int) -> Column:
     return F.array(*halves)
 
 
+def _neighbours(part: int) -> list[int]:
+    """The bits of a half outside of one of its PARTS."""
+    return [i for i in range(32) if not PARTS[part] >> i & 1]
+
+
+def _met(batches):
+    """Of the keyed pieces of a partition: each variant that several of one key send, and its senders as a mask."""
+    read = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not read:
+        return
+    keys, pieces = (np.concatenate(x) for x in zip(*read))
+    read.clear()
+    order = np.argsort(keys, kind="stable")
+    keys, pieces = keys[order], pieces[order]
+    at = 0
+    while at < len(keys):
+        # whole keys of one part; a key beyond KEYED pieces goes in slices of its variants
+        first_of_next = np.searchsorted(keys, ((keys[at] >> PART_SHIFT) + 1) << PART_SHIFT)
+        end = min(at + KEYED, first_of_next)
+        if end < first_of_next and keys[end] == keys[end - 1]:
+            end = np.searchsorted(keys, keys[end])
+            end = end if end > at else np.searchsorted(keys, keys[at], side="right")
+        some, bits = pieces[at:end], _neighbours(int(keys[at] >> PART_SHIFT))
+        slices = -(-len(some) // KEYED)
+        for part in range(slices):
+            variants, senders = [], []
+            for mask, flip in ((1, 0), *((1 << i + 1, 1 << i) for i in bits)):
+                variant = some ^ flip
+                if slices > 1:
+                    variant = variant[(variant.view(np.uint64) * np.uint64(GOLDEN) >> np.uint64(40)) % np.uint64(slices) == part]
+                variants.append(variant)
+                senders.append(np.full(len(variant), mask, np.int64))
+            variants, senders = np.concatenate(variants), np.concatenate(senders)
+            order = np.argsort(variants)
+            variants, senders = variants[order], senders[order]
+            again = variants[1:] == variants[:-1]
+            head = np.flatnonzero(np.concatenate((again, [False])) & ~np.concatenate(([False], again)))
+            if len(head):
+                inside = np.concatenate(([False], again)) | np.concatenate((again, [False]))
+                starts = np.cumsum(inside)[head] - 1
+                masks = np.bitwise_or.reduceat(senders[inside], starts)
+                yield pa.record_batch([pa.array(variants[head]), pa.array(masks)], ["variant", "senders"])
+        at = end
+
+
 def _meetings(values: DataFrame) -> DataFrame:
     """bucket, piece: of the distinct values(piece) those that meet others at a variant one bit away from both, or equal to one.
 
     All values within two bits of each other meet. A variant has at most 33 senders, itself and its neighbours, so it
-    gathers them as bits of one mask: bit 0 for itself, bit i + 1 for the neighbour at bit i. The mask folds before the
-    shuffle, and no variant is a hot key. Two senders meet at two variants; the smaller one keeps them, which holds for
-    the senders up to the highest one whose bit is clear in the variant.
+    gathers them as bits of one mask: bit 0 for itself, bit i + 1 for the neighbour at bit i. Any two senders of a variant
+    agree in one of three PARTS of their bits, and the variant with them: values are dealt by each part, three rows for a
+    value, and make their variants inside the tasks, by one key at a time. The masks of the parts fold to the whole one,
+    and no variant is a hot key. Two senders meet at two variants; the smaller one keeps them, which holds for the senders
+    up to the highest one whose bit is clear in the variant.
     """
-    bit = F.explode(F.array(*[F.lit(i) for i in range(33)])).alias("bit")
-    # values are small but become 33 rows each: as many tasks as a shuffle has, not as few as their files
-    values = values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "piece")
-    variant = F.expr("CASE WHEN bit = 0 THEN piece ELSE piece ^ shiftleft(1L, bit - 1) END").alias("variant")
-    sent = values.select("piece", bit).select(variant, F.expr("shiftleft(1L, bit)").alias("sender"))
-    met = sent.groupBy("variant").agg(F.bit_or("sender").alias("senders")).where("bit_count(senders) > 1")
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = F.array(*[F.col("piece").bitwiseAND(F.lit(p | 0xFFFFFF << 32)).bitwiseOR(F.lit(i << PART_SHIFT).cast("long")) for i, p in enumerate(PARTS)])
+    found = values.select(F.explode(keyed).alias("key"), "piece").repartition(tasks, "key").mapInArrow(_met, "variant long, senders long")
+    met = found.groupBy("variant").agg(F.bit_or("senders").alias("senders"))
     below = F.col("senders").bitwiseAND(F.bitwise_not(F.col("variant") * 2)).bitwiseAND(F.lit((1 << 33) - 2))
     for step in (1, 2, 4, 8, 16, 32):
         met = met.withColumn("below", below)
         below = F.col("below").bitwiseOR(F.shiftrightunsigned("below", step))
     met = met.select("variant", F.col("senders").bitwiseAND(below).alias("senders")).where("bit_count(senders) > 1")
+    bit = F.explode(F.array(*[F.lit(i) for i in range(33)])).alias("bit")
     piece = F.expr("CASE WHEN bit = 0 THEN variant ELSE variant ^ shiftleft(1L, bit - 1) END")
     return (met.select("variant", "senders", bit).where("shiftrightunsigned(senders, bit) & 1 = 1")
             .select(F.col("variant").alias("bucket"), piece.alias("piece")))
