@@ -258,7 +258,7 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
                 total = pooled(net, [t if k else None for t, k in zip(texts, known)]) if net is not None else np.zeros((len(texts), 2, 1))
                 best, letters = total[:, 0].argmax(axis=1), np.maximum(total[:, 0].sum(axis=1), 1e-9)
                 every = np.arange(len(texts))
-                # the last bits of single-precision steps depend on where arrays lie in memory
+                # equal runs differ in the last bits of single-precision steps
                 score = np.round(np.clip(total[every, 0, best] / letters, 0.0, 1.0), 7)
                 yield pa.record_batch([
                     part.column(0), pa.array([languages[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.string()),
