@@ -133,6 +133,38 @@ def test_values_meet_by_parts(spark, monkeypatch, keyed):
     assert plan.index("MapInArrow") > plan.index("shiftleft")  # variants of single values are made in tasks, not as rows
 
 
+@pytest.mark.parametrize("strays", [0, 25])
+def test_nodes_of_one_root_are_not_joined_to_buckets(spark, monkeypatch, strays):
+    """What is connected already is left out before nodes are joined to buckets; all else is found as by brute force."""
+    made = []
+    monkeypatch.setattr(simhash, "stored", lambda df, store=simhash.stored: made.append(store(df)) or made[-1])
+    monkeypatch.setattr(simhash, "KEYED", 64)
+    rng = random.Random(strays)
+    low, high = rng.getrandbits(62), rng.getrandbits(62)
+
+    def around(x, n):
+        return {x ^ sum(1 << i for i in rng.sample(range(62), rng.randrange(4))) for _ in range(n)}
+    near, others = sorted(around(low, 300)), sorted(around(high, 40))
+    root = {x: near[0] for x in near} | {x: x for x in others}
+    root |= {x: x for x in near[1:strays + 1]}
+    df = spark.createDataFrame([(x, [x], r) for x, r in root.items()], "node long, prints array<long>, root long")
+    linked = {(r.a, r.b) for r in simhash.links(df).collect()}
+    shared = [r.node for f in made if "bucket" in f.columns for r in f.collect()]
+    assert set(shared) & set(others) and (strays or not set(shared) & set(near))
+
+    def groups(pairs):
+        own = {x: x for x in root}
+
+        def find(x):
+            while own[x] != x:
+                x = own[x]
+            return x
+        for a, b in [*root.items(), *pairs]:
+            own[find(a)] = find(b)
+        return sorted(sorted(x for x in own if find(x) == y) for y in own if own[y] == y)
+    assert groups(linked) == groups([(a, b) for a in root for b in root if a < b and (a ^ b).bit_count() <= 3])
+
+
 def test_simhash_groups(spark, texts):
     rows = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_groups(documents(spark, texts)).collect()}
     assert {i: f for i, (f, _) in rows.items()} == {i: "%016x" % fingerprint(t) for i, t in enumerate(texts)}

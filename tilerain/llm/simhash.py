@@ -115,14 +115,15 @@ def _neighbours(part: int) -> list[int]:
 
 
 def _met(batches):
-    """Of the keyed pieces of a partition: each variant that several of one key send, and its senders as a mask."""
-    read = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    """Of the keyed pieces of a partition: each variant that several of one key send, and its senders as a mask. Where pieces
+    come with `root` and `several`, only the variants whose senders have more than one root."""
+    read = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
     if not read:
         return
-    keys, pieces = (np.concatenate(x) for x in zip(*read))
+    keys, pieces, *known = (np.concatenate(x) for x in zip(*read))
     read.clear()
     order = np.argsort(keys, kind="stable")
-    keys, pieces = keys[order], pieces[order]
+    keys, pieces, *known = (x[order] for x in (keys, pieces, *known))
     at = 0
     while at < len(keys):
         # whole keys of one part; a key beyond KEYED pieces goes in slices of its variants
@@ -134,23 +135,30 @@ def _met(batches):
         some, bits = pieces[at:end], _neighbours(int(keys[at] >> PART_SHIFT))
         slices = -(-len(some) // KEYED)
         for part in range(slices):
-            variants, senders = [], []
+            variants, senders, rows = [], [], []
             for mask, flip in ((1, 0), *((1 << i + 1, 1 << i) for i in bits)):
-                variant = some ^ flip
+                variant, row = some ^ flip, np.arange(at, end)
                 if slices > 1:
-                    variant = variant[(variant.view(np.uint64) * np.uint64(GOLDEN) >> np.uint64(40)) % np.uint64(slices) == part]
+                    own = (variant.view(np.uint64) * np.uint64(GOLDEN) >> np.uint64(40)) % np.uint64(slices) == part
+                    variant, row = variant[own], row[own]
                 variants.append(variant)
                 senders.append(np.full(len(variant), mask, np.int64))
-            variants, senders = np.concatenate(variants), np.concatenate(senders)
+                rows.append(row)
+            variants, senders, rows = np.concatenate(variants), np.concatenate(senders), np.concatenate(rows)
             order = np.argsort(variants)
-            variants, senders = variants[order], senders[order]
+            variants, senders, rows = variants[order], senders[order], rows[order]
             again = variants[1:] == variants[:-1]
             head = np.flatnonzero(np.concatenate((again, [False])) & ~np.concatenate(([False], again)))
             if len(head):
                 inside = np.concatenate(([False], again)) | np.concatenate((again, [False]))
                 starts = np.cumsum(inside)[head] - 1
                 masks = np.bitwise_or.reduceat(senders[inside], starts)
-                yield pa.record_batch([pa.array(variants[head]), pa.array(masks)], ["variant", "senders"])
+                found = variants[head]
+                if known:
+                    root, several = (x[rows[inside]] for x in known)
+                    apart = np.logical_or.reduceat(several, starts) | (np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts))
+                    found, masks = found[apart], masks[apart]
+                yield pa.record_batch([pa.array(found), pa.array(masks)], ["variant", "senders"])
         at = end
 
 
@@ -163,20 +171,23 @@ def _meetings(values: DataFrame) -> DataFrame:
     value, and make their variants inside the tasks, by one key at a time. The masks of the parts fold to the whole one,
     and no variant is a hot key. Two senders meet at two variants; the smaller one keeps them, which holds for the senders
     up to the highest one whose bit is clear in the variant.
+
+    Where `values` has `root`, a root of the nodes of a value, and `several`, whether they have more than that one, values
+    whose nodes all have one root need not meet: the tasks leave out the variants at which no two roots come together.
     """
+    known = [c for c in ("root", "several") if c in values.columns]
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = F.array(*[F.col("piece").bitwiseAND(F.lit(p | 0xFFFFFF << 32)).bitwiseOR(F.lit(i << PART_SHIFT).cast("long")) for i, p in enumerate(PARTS)])
-    found = values.select(F.explode(keyed).alias("key"), "piece").repartition(tasks, "key").mapInArrow(_met, "variant long, senders long")
+    found = values.select(F.explode(keyed).alias("key"), "piece", *known).repartition(tasks, "key").mapInArrow(_met, "variant long, senders long")
     met = found.groupBy("variant").agg(F.bit_or("senders").alias("senders"))
     below = F.col("senders").bitwiseAND(F.bitwise_not(F.col("variant") * 2)).bitwiseAND(F.lit((1 << 33) - 2))
     for step in (1, 2, 4, 8, 16, 32):
         met = met.withColumn("below", below)
         below = F.col("below").bitwiseOR(F.shiftrightunsigned("below", step))
     met = met.select("variant", F.col("senders").bitwiseAND(below).alias("senders")).where("bit_count(senders) > 1")
-    bit = F.explode(F.array(*[F.lit(i) for i in range(33)])).alias("bit")
+    bit = F.explode(F.filter(F.array(*[F.lit(i) for i in range(33)]), lambda i: F.call_function("bit_get", "senders", i) == 1)).alias("bit")
     piece = F.expr("CASE WHEN bit = 0 THEN variant ELSE variant ^ shiftleft(1L, bit - 1) END")
-    return (met.select("variant", "senders", bit).where("shiftrightunsigned(senders, bit) & 1 = 1")
-            .select(F.col("variant").alias("bucket"), piece.alias("piece")))
+    return met.select("variant", bit).select(F.col("variant").alias("bucket"), piece.alias("piece"))
 
 
 def _verified(limit: int):
@@ -245,13 +256,15 @@ def links(prints: DataFrame, tables: int = 1, limit: int = 3, named: bool = True
     pair is written out.
 
     A column `root` of `prints` names what is connected already: a bucket whose nodes all have one root can add nothing and is
-    not opened.
+    not opened. Values know the roots of their nodes, so such buckets are left out before any node is joined to its buckets: a
+    group of near copies that is connected already costs its values, and no row for each node and variant.
     """
     known = ["root"] if "root" in prints.columns else []
     pieces = prints.select("node", *known, F.explode(_pieces(F.col("prints"), tables)).alias("piece"))
-    values = stored(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
+    several = [x for k in known for x in (F.min(k).alias(k), (F.min(k) < F.max(k)).alias("several"))]
+    values = stored(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), *several))
     # nodes with an equal half meet in a bucket of its own
-    alike = values.where("n > 1").select((-F.col("piece") - 1).alias("bucket"), "piece")
+    alike = values.where("n > 1 AND several" if known else "n > 1").select((-F.col("piece") - 1).alias("bucket"), "piece")
     shared = stored(_meetings(values).union(alike).join(pieces, "piece").select("bucket", "node", *known))
     counted = [F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"), *[f(k).alias(f"{n}_{k}") for k in known for n, f in (("low", F.min), ("high", F.max))]]
     sizes = shared.groupBy("bucket").agg(*counted)
