@@ -137,7 +137,7 @@ def _met(batches):
         for part in range(slices):
             variants, senders, rows = [], [], []
             for mask, flip in ((1, 0), *((1 << i + 1, 1 << i) for i in bits)):
-                variant, row = some ^ flip, np.arange(at, end)
+                variant, row = some ^ flip, np.arange(len(some), dtype=np.int32)
                 if slices > 1:
                     own = (variant.view(np.uint64) * np.uint64(GOLDEN) >> np.uint64(40)) % np.uint64(slices) == part
                     variant, row = variant[own], row[own]
@@ -155,7 +155,7 @@ def _met(batches):
                 masks = np.bitwise_or.reduceat(senders[inside], starts)
                 found = variants[head]
                 if known:
-                    root, several = (x[rows[inside]] for x in known)
+                    root, several = (x[at:end][rows[inside]] for x in known)
                     apart = np.logical_or.reduceat(several, starts) | (np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts))
                     found, masks = found[apart], masks[apart]
                 yield pa.record_batch([pa.array(found), pa.array(masks)], ["variant", "senders"])
