@@ -332,6 +332,27 @@ def test_fixed_patches_join_corners_without_lists(spark):
     assert "collect_list" not in plan and "Generate" not in plan
 
 
+@pytest.mark.parametrize("listed", [10_000, 0])
+def test_fixed_patches_deal_crowded_cells(spark, monkeypatch, listed):
+    """A crowded cell's stacks meet its corners in several tasks, and cells aren't put together by the few bytes they have."""
+    monkeypatch.setattr(G, "PART_STACKS", 20, raising=False)
+    monkeypatch.setattr(G, "BROADCAST_CELLS", listed, raising=False)
+    cells = [(0, 0, 4 + k % 3, k) for k in range(200)] + [(y, 1, 5, 200 + y) for y in range(40)] + [(None, 0, 9, 300 + k) for k in range(30)]
+    held = [(y, x, h, None if k % 50 == 7 else 6, k) for y, x, h, k in cells] + [(0, 0, 6, 6, 0)] * 2
+    corners = [(0, 0, i, j) for i in range(6) for j in (0, 4)] + [(0, 0, 1, 1)] * 2 + [(y, 1, 3, 0) for y in range(0, 40, 2)] + [(None, 0, 0, 0), (7, 7, 0, 0)]
+    stacks = spark.createDataFrame(held, "y int, x int, h int, w int, stack long")
+    spots = spark.createDataFrame(corners, "y int, x int, i int, j int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = G.fixed_patches(stacks, spots, 2).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wanted = [(y, x, h, w, k, i, j) for y, x, h, w, k in held for b, a, i, j in corners
+              if y is not None and w is not None and (y, x) == (b, a) and i + 2 <= h and j + 2 <= w]
+    assert sorted(tuple(r)[:-1] for r in found) == sorted(wanted)
+    assert len({r["task"] for r in found if r["x"] == 0}) > 1 and len({r["task"] for r in found if r["x"] == 1}) > 1
+
+
 def test_random_draws_do_not_depend_on_partitioning(spark):
     cells = spark.range(400).select((F.col("id") % 20).cast("int").alias("y"), F.floor(F.col("id") / 20).cast("int").alias("x"), F.lit(0).alias("t"), F.lit(1.0).alias("precip"))
     pool = E.valid_cells(cells)

@@ -205,19 +205,51 @@ def fixed_spots(stacks: DataFrame, spots: DataFrame, size: int, missing: str | N
             .withColumn("spots", F.filter("spots", lambda s: share(s) <= d(max_missing))).drop("_miss").where(F.size("spots") > 0))
 
 
+#: Stacks of one cell that one task joins with its corners, on average and at most; a cell of more is dealt out.
+PART_STACKS = 1024
+#: Cells of more stacks than that go to the executors as a list up to this number, else as a table.
+BROADCAST_CELLS = 10_000
+
+
+def _crowded_cells(stacks: DataFrame) -> DataFrame | None:
+    """(y, x, _parts): into how many parts the stacks of a cell are dealt, where that is more than one. None if there is no such cell."""
+    counted = stacks.groupBy("y", "x").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PART_STACKS)
+    crowded = counted.where("y IS NOT NULL AND x IS NOT NULL").select("y", "x", F.ceil(F.col("_n") / PART_STACKS).alias("_parts"))
+    first = crowded.limit(BROADCAST_CELLS + 1).toArrow()
+    if not first.num_rows:
+        return None
+    return crowded if first.num_rows > BROADCAST_CELLS else F.broadcast(stacks.sparkSession.createDataFrame(first, crowded.schema))
+
+
+def _dealt(stacks: DataFrame, corners: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Stacks, corners and the keys they meet by. Stacks of a crowded cell are dealt over parts that each get its corners, and
+    all stacks over the set number of tasks: the rows a task makes don't show in the bytes it reads, by which Spark would
+    put tasks together."""
+    crowded, by = _crowded_cells(stacks), ["y", "x"]
+    if crowded is not None:
+        plain = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+        own = F.xxhash64(*[F.col(f.name) for f in stacks.schema if isinstance(f.dataType, plain)])
+        parts = F.coalesce("_parts", F.lit(1))
+        stacks = stacks.join(crowded, by, "left").withColumn("_part", F.pmod(own, parts)).drop("_parts")
+        corners = corners.join(crowded, by, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
+        by = [*by, "_part"]
+    return stacks.repartition(int(stacks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by), corners, by
+
+
 def fixed_patches(stacks: DataFrame, spots: DataFrame, size: int, missing: str | None = None,
                   max_missing: float = 0.0) -> DataFrame:
     """One row per accepted corner (i, j) of `fixed_spots` with the stack's columns that are no arrays; `cut_windows` on the
     spots gives the pixels.
 
     Without `missing` no array is asked for: the corners are joined row by row and the fit is part of the join, so no list of
-    a cell's corners is built and filtered again for each of its stacks.
+    a cell's corners is built and filtered again for each of its stacks. Stacks are counted by cell first, to deal them evenly.
     """
     small = [f.name for f in stacks.schema if not isinstance(f.dataType, T.ArrayType)]
     if missing is None:
         corners = spots.select("y", "x", F.col("i").alias("_x0"), F.col("j").alias("_y0"))
         fit = (F.col("_x0") + size <= F.col("h")) & (F.col("_y0") + size <= F.col("w"))
-        kept = stacks.select(*small).join(corners, ["y", "x"]).where(fit)
+        dealt, corners, by = _dealt(stacks.select(*small), corners)
+        kept = dealt.join(corners, by).where(fit)
         return kept.select(*small, F.col("_x0").alias("i"), F.col("_y0").alias("j"))
     kept = fixed_spots(stacks, spots, size, missing, max_missing)
     return kept.select(*small, "spots").select(*small, F.inline("spots")).withColumnsRenamed({"x0": "i", "y0": "j"})
